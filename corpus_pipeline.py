@@ -1,7 +1,69 @@
-"""placeholder"""
-STAGES = []
+"""The corpus pipeline: five operators of `lithic.llm` in a row over `documents`.
+
+Each stage takes (spark, docs, sf_dir) and returns documents with the columns of
+`documents`; the last one returns the mix.  Between stages the documents are
+written as Parquet and read again, so a lost executor repeats one stage at most.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lithic.llm import decontaminate, mixing, neardup, quality, recompress
+from lithic.llm.common import shared_dir, table
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """n_chars follows a text that a stage may have cut."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on all labels, rejects go."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model, score_col="_score", predicted_col="_predicted")
+    return scored.where(F.col("_predicted") == 1).drop("_score", "_predicted")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: the smallest id."""
+    return neardup.deduplicate(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words that a document with a smaller id has are cut out."""
+    return _counted(recompress.remove(docs))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages are cut out."""
+    return _counted(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words to take from each document that is left, for the target weights of the sources."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("quality", quality_filter),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixture),
+]
+
+#: The first stage is a trained model, which SQL cannot express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
