@@ -405,13 +405,20 @@ def find(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     bounds = _range_bounds(texts, length, gap, total, range_bytes)
     runs = texts.mapInArrow(_runs(length, gap, bounds), "part int, shared binary, rest binary, raw binary, payload binary")
     kinds = "f1 long, f2 long, core long, pos long, far long, near long, sure int, most int"
-    found = cut(runs.repartition(len(bounds) + 1, "part").mapInArrow(_matches(bounds), kinds), "matches")
+    found = matched = cut(runs.repartition(len(bounds) + 1, "part").mapInArrow(_matches(bounds), kinds), "matches")
     drop(shared)
-    # starts settled by earlier sync points of the text, and the range that stays open before each
-    before = Window.partitionBy("f1", "f2").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.coalesce(F.max(F.when(F.col("sure") >= length, F.col("pos") + F.col("sure") - length)).over(before), F.lit(-1))
+    # starts settled by the sync points before, as islands of overlapping ranges; a point's own starts begin left of it, so
+    # they are settled up to the island's end only if the island begins no later than they do
+    order = Window.partitionBy("f1", "f2").orderBy("pos")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    settles = F.col("sure") >= length
+    reach = F.coalesce(F.max(F.when(settles, F.col("pos") + F.col("sure") - length)).over(before), F.lit(-1))
+    found = found.withColumn("reach", reach).withColumn("island", F.when(settles & (F.col("pos") > F.col("reach") + 1), F.col("pos")))
+    begins = F.last("island", ignorenulls=True).over(before)
+    own = F.col("pos") - F.col("far")
     open_ = (
-        found.withColumn("first", F.greatest(F.col("pos") - F.col("far"), reach + 1))
+        found.withColumn("begins", begins)
+        .withColumn("first", F.when(F.col("begins") <= own, F.greatest(own, F.col("reach") + 1)).otherwise(own))
         .withColumn("last", F.least(F.col("pos") - F.col("near"), F.col("pos") + F.col("most") - length, F.when(F.col("sure") >= length, F.col("pos") - 1).otherwise(F.col("pos"))))
         .where("first <= last")
     )
@@ -427,7 +434,7 @@ def find(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     by_string = strings.join(twice, ["h1", "h2"]).select("f1", "f2", F.col("at").alias("a"), F.col("at").alias("b"))
     by_sort = found.where(F.col("sure") >= length).select("f1", "f2", F.col("pos").alias("a"), (F.col("pos") + F.col("sure") - length).alias("b"))
     ranges = cut(by_sort.unionByName(by_string).groupBy("f1", "f2").agg(F.collect_list(F.struct("a", "b")).alias("ranges")), "ranges")
-    drop(found, asked, twice, asking)
+    drop(matched, asked, twice, asking)
     copies = one.where("n > 1").select("f1", "f2")
     return scanned.drop("cores"), texts.select("f1", "f2", "text"), ranges, copies
 
