@@ -71,6 +71,7 @@ class ByteConv:
             for j in range(1, width):
                 over = offs[1:] - j
                 act[over[over >= offs[:-1]]] = -np.inf
+            act[offs[-1] :] = -np.inf
             out.append(np.maximum(np.maximum.reduceat(act, np.minimum(starts, n - 1)) + bias.astype(np.float32), 0))
         return np.concatenate(out, axis=1)
 

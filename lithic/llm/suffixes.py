@@ -16,8 +16,10 @@ positions; equal strings have it at the same offset.  So
    suffix's longest match to the right;
 3. a match of m bytes at sync point x settles the strings that start from x to
    x + m - length.  What begins left of the first sync point of a match stays
-   open; those strings are fingerprinted (128 bits) and counted, together with
-   the strings at the same offsets of the same cores.
+   open.  Open strings and those at the same offsets of the same cores are taken
+   in pieces of ``PIECE`` starts: what all strings of a piece share is hashed,
+   and only pieces that occur twice have their strings fingerprinted (128 bits)
+   and counted.
 
 No pairs are formed; the sort's ranges split equal and common prefixes anywhere.
 """
@@ -38,6 +40,7 @@ LENGTH = 400
 GAP = 128
 RANGE_BYTES = 12 << 20
 RUN_BYTES = 24 << 20
+PIECE = 16
 
 
 # ------------------------------------------------------------------ sync points
@@ -126,7 +129,7 @@ def _wanted(batch, column, a, b, rows, names):
 
 # ------------------------------------------------------------------ runs
 #: What goes with each suffix: text, position, core, and how far left of it its strings begin.
-_PAYLOAD = np.dtype([("f1", "<i8"), ("f2", "<i8"), ("core", "<i8"), ("pos", "<i4"), ("far", "<i2"), ("near", "<i2")])
+_PAYLOAD = np.dtype([("uid", "<i8"), ("core", "<i8"), ("pos", "<i4"), ("far", "<i2"), ("near", "<i2")])
 
 
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -192,8 +195,7 @@ def _runs(length: int, gap: int, bounds: list[bytes]):
                 raw = data.tobytes()
                 keys += [raw[x:y] for x, y in zip(pos.tolist(), end.tolist(), strict=True)]
                 out = np.zeros(len(take), _PAYLOAD)
-                for k, c in enumerate(("f1", "f2")):
-                    out[c] = batch.column(k).to_numpy()[a:b][row]
+                out["uid"] = batch.column(0).to_numpy()[a:b][row]
                 out["core"], out["pos"] = name[take].view(np.int64), pos - offs[row]
                 out["far"], out["near"] = pos - s.lo[take], pos - s.hi[take]
                 pay.append(out)
@@ -304,27 +306,63 @@ def _matches(bounds: list[bytes]):
 
 
 # ------------------------------------------------------------------ open strings
-def _strings(length: int):
-    """Fingerprints of the strings that start at the listed (first, last) positions of each text."""
+def _ranges(batch: pa.RecordBatch, column: str, a: int, b: int):
+    """Row and int64 fields of the structs in a list column of rows a to b."""
+    lists = batch.column(batch.schema.get_field_index(column))
+    off, fields = lists.offsets.to_numpy(), lists.values.flatten()
+    row = np.repeat(np.arange(b - a), np.diff(off[a : b + 1]))
+    return row, [f.to_numpy(zero_copy_only=False)[off[a] : off[b]].astype(np.int64) for f in fields]
+
+
+def _spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For counts n: which entry each of sum(n) items belongs to, and its number there."""
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _pieces(length: int):
+    """Pieces of the asked starts of each text: first and last start, hash of what all its strings share, and whether a start is open."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b, data, offs in chunks(batch, "text"):
+                row, (pos, lo, hi, first, last) = _ranges(batch, "ask", a, b)
+                j0, j1 = (pos - hi) // PIECE, (pos - lo) // PIECE
+                i, k = _spread(j1 - j0 + 1)
+                j = j0[i] + k
+                right = pos[i] - j * PIECE  # the piece's last start; its first is PIECE - 1 before
+                x, y = np.maximum(lo[i], right - PIECE + 1), np.minimum(hi[i], right)
+                start = offs[row[i]] + right
+                name = span_hash(prefix_hash(byte_values(data)), start, start - PIECE + 1 + length)
+                open_ = np.maximum(x, first[i]) <= np.minimum(y, last[i])
+                # the sync point's offset belongs to the name: equal strings have theirs at the same place
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[a:b].take(pa.array(row[i])), pa.array(x), pa.array(y), pa.array(np.maximum(x, first[i])), pa.array(np.minimum(y, last[i])), _signed(mix(name + j.astype(U64))), pa.array(open_)],
+                    ["uid", "a", "b", "first", "last", "piece", "open"],
+                )
+
+    return run
+
+
+def _strings(length: int, only_open: bool):
+    """Fingerprints of the strings that start in the listed ranges of each text."""
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index("open"))
-            off = lists.offsets.to_numpy()
-            lo, hi = (lists.values.field(k).to_numpy() for k in (0, 1))
             for a, b, data, offs in chunks(batch, "text"):
-                x, y = lo[off[a] : off[b]], hi[off[a] : off[b]]
-                owner = np.repeat(np.arange(b - a), np.diff(off[a : b + 1]))
-                n = y - x + 1
-                at = np.repeat(x, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                row = np.repeat(owner, n)
-                start = offs[row] + at
+                row, (x, y, first, last) = _ranges(batch, "pieces", a, b)
+                if only_open:
+                    x, y = first, last
+                i, k = _spread(np.maximum(y - x + 1, 0))
+                at = x[i] + k
+                start = offs[row[i]] + at
                 p, _ = _fingerprint(data, offs)
-                names = [span_hash(p[k], start, start + length, k) for k in (0, 1)]
+                names = [span_hash(p[q], start, start + length, q) for q in (0, 1)]
+                open_ = (at >= first[i]) & (at <= last[i])
                 for s in range(0, len(at), CHUNK // 8):
                     z = slice(s, s + CHUNK // 8)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(batch.column(k).to_numpy()[a:b][row[z]]) for k in (0, 1)] + [pa.array(at[z]), _signed(names[0][z]), _signed(names[1][z])], ["f1", "f2", "at", "h1", "h2"]
+                        [batch.column(0)[a:b].take(pa.array(row[i][z])), pa.array(at[z].astype(np.int32)), _signed(names[0][z]), _signed(names[1][z]), pa.array(open_[z])], ["uid", "at", "h1", "h2", "open"]
                     )
 
     return run
@@ -332,14 +370,11 @@ def _strings(length: int):
 
 def _kept(batch: pa.RecordBatch, length: int):
     """Chunks of rows with lists `ranges` (first and last start of repeated strings): which bytes go."""
-    lists = batch.column(batch.schema.get_field_index("ranges"))
-    off = lists.offsets.to_numpy()
-    lo, hi = (lists.values.field(k).to_numpy() for k in (0, 1))
     for a, b, data, offs in chunks(batch, "text"):
-        owner = np.repeat(np.arange(b - a), np.diff(off[a : b + 1]))
+        owner, (lo, hi) = _ranges(batch, "ranges", a, b)
         step = np.zeros(len(data) + 1, np.int64)
-        np.add.at(step, offs[owner] + lo[off[a] : off[b]], 1)
-        np.add.at(step, offs[owner] + hi[off[a] : off[b]] + length, -1)
+        np.add.at(step, offs[owner] + lo, 1)
+        np.add.at(step, offs[owner] + hi + length, -1)
         yield a, b, data, offs, np.cumsum(step[:-1]) > 0
 
 
@@ -356,8 +391,8 @@ def _digests(length: int):
                 place = offs - total[offs]
                 sha = [hashlib.sha256(kept[x:y]).hexdigest() for x, y in zip(place[:-1].tolist(), place[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k)[a:b] for k in (0, 1)), pa.array(total[offs[1:]] - total[offs[:-1]]), pa.array(begins[offs[1:]] - begins[offs[:-1]]), pa.array(sha)],
-                    ["f1", "f2", "n_removed", "n_spans", "kept_sha256"],
+                    [batch.column(0)[a:b], pa.array(total[offs[1:]] - total[offs[:-1]]), pa.array(begins[offs[1:]] - begins[offs[:-1]]), pa.array(sha)],
+                    ["uid", "n_removed", "n_spans", "kept_sha256"],
                 )
 
     return run
@@ -384,32 +419,34 @@ def _range_bounds(texts: DataFrame, length: int, gap: int, total: int, range_byt
                 end = np.minimum(s.pos[take] + length + gap, offs[s.row[take] + 1])
                 yield pa.RecordBatch.from_arrays([pa.array([raw[x:y] for x, y in zip(s.pos[take].tolist(), end.tolist(), strict=True)], pa.binary())], ["key"])
 
-    keys = sorted({bytes(r[0]) for r in texts.select("f1", "f2", "text", "cores").mapInArrow(sample, "key binary").collect()})
+    keys = sorted({bytes(r[0]) for r in texts.select("uid", "text", "cores").mapInArrow(sample, "key binary").collect()})
     return sorted({keys[len(keys) * k // parts] for k in range(1, parts)}) if keys else []
 
 
 def find(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gap: int = GAP, range_bytes: int = RANGE_BYTES):
-    """(scanned, texts, ranges): documents without text, texts of possible repeats, and per text the starts of repeated strings."""
+    """(scanned, names, texts, ranges): documents without text, distinct texts' numbers and counts, texts of possible repeats, and per text the starts of repeated strings."""
     docs = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     scanned = cut(docs.mapInArrow(_scan(length, gap), f"doc_id {kind}, n_bytes long, f1 long, f2 long, sha string, cores array<long>"), "scan")
     long_ = scanned.where(F.col("n_bytes") >= length)
     # one row a text; copies meet as a count
-    one = cut(long_.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n"), F.first("cores").alias("cores")), "distinct")
-    cores = one.select("f1", "f2", F.explode("cores").alias("core"))
+    one = long_.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n"), F.first("cores").alias("cores"))
+    one = cut(one.withColumn("uid", F.monotonically_increasing_id()), "distinct")  # written, so the numbers stay
+    cores = one.select("uid", F.explode("cores").alias("core"))
     shared = cut(cores.groupBy("core").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("core", "c"), "cores")
     total = shared.agg(F.sum("c").alias("c")).first()["c"] or 0
-    lists = cores.join(shared.select("core"), "core").groupBy("f1", "f2").agg(F.collect_set("core").alias("cores"))
+    lists = cut(cores.join(shared.select("core"), "core").groupBy("uid").agg(F.collect_set("core").alias("cores")), "lists")
+    lists = lists.join(one.select("uid", "f1", "f2"), "uid")
     named = docs.where(F.octet_length("text") >= length).select("text").mapInArrow(_named, "f1 long, f2 long, text string")
-    texts = cut(named.join(lists, ["f1", "f2"]).groupBy("f1", "f2").agg(F.first("text").alias("text"), F.first("cores").alias("cores")), "texts")
+    texts = cut(named.join(lists, ["f1", "f2"]).groupBy("uid").agg(F.first("text").alias("text"), F.first("cores").alias("cores")), "texts")
     bounds = _range_bounds(texts, length, gap, total, range_bytes)
     runs = texts.mapInArrow(_runs(length, gap, bounds), "part int, shared binary, rest binary, raw binary, payload binary")
-    kinds = "f1 long, f2 long, core long, pos long, far long, near long, sure int, most int"
+    kinds = "uid long, core long, pos long, far long, near long, sure int, most int"
     found = matched = cut(runs.repartition(len(bounds) + 1, "part").mapInArrow(_matches(bounds), kinds), "matches")
     drop(shared)
     # starts settled by the sync points before, as islands of overlapping ranges; a point's own starts begin left of it, so
     # they are settled up to the island's end only if the island begins no later than they do
-    order = Window.partitionBy("f1", "f2").orderBy("pos")
+    order = Window.partitionBy("uid").orderBy("pos")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     settles = F.col("sure") >= length
     reach = F.coalesce(F.max(F.when(settles, F.col("pos") + F.col("sure") - length)).over(before), F.lit(-1))
@@ -420,23 +457,30 @@ def find(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         found.withColumn("begins", begins)
         .withColumn("first", F.when(F.col("begins") <= own, F.greatest(own, F.col("reach") + 1)).otherwise(own))
         .withColumn("last", F.least(F.col("pos") - F.col("near"), F.col("pos") + F.col("most") - length, F.when(F.col("sure") >= length, F.col("pos") - 1).otherwise(F.col("pos"))))
-        .where("first <= last")
     )
-    asked = cut(open_.groupBy("core").agg(F.max(F.col("pos") - F.col("first")).alias("e1"), F.min(F.col("pos") - F.col("last")).alias("e0")), "open")
+    opened = cut(open_.select("uid", "core", "pos", "far", "near", "first", "last"), "opened")
+    own_open = opened.where("first <= last").groupBy("core")
+    asked = cut(own_open.agg(F.max(F.col("pos") - F.col("first")).alias("e1"), F.min(F.col("pos") - F.col("last")).alias("e0")), "asked")
     ask = (
-        found.join(asked, "core")
-        .select("f1", "f2", F.greatest(F.col("pos") - F.col("far"), F.col("pos") - F.col("e1")).alias("a"), F.least(F.col("pos") - F.col("near"), F.col("pos") - F.col("e0")).alias("b"))
-        .where("a <= b").groupBy("f1", "f2").agg(F.collect_list(F.struct("a", "b")).alias("open"))
+        opened.join(asked, "core")
+        .withColumn("a", F.greatest(F.col("pos") - F.col("far"), F.col("pos") - F.col("e1")))
+        .withColumn("b", F.least(F.col("pos") - F.col("near"), F.col("pos") - F.col("e0")))
+        .where("a <= b").groupBy("uid").agg(F.collect_list(F.struct("pos", "a", "b", "first", "last")).alias("ask"))
     )
-    asking = cut(texts.select("f1", "f2", "text").join(ask, ["f1", "f2"]), "asking")
-    strings = asking.mapInArrow(_strings(length), "f1 long, f2 long, at long, h1 long, h2 long")
-    twice = cut(strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h1", "h2"), "twice")
-    by_string = strings.join(twice, ["h1", "h2"]).select("f1", "f2", F.col("at").alias("a"), F.col("at").alias("b"))
-    by_sort = found.where(F.col("sure") >= length).select("f1", "f2", F.col("pos").alias("a"), (F.col("pos") + F.col("sure") - length).alias("b"))
-    ranges = cut(by_sort.unionByName(by_string).groupBy("f1", "f2").agg(F.collect_list(F.struct("a", "b")).alias("ranges")), "ranges")
-    drop(matched, asked, twice, asking)
-    copies = one.where("n > 1").select("f1", "f2")
-    return scanned.drop("cores"), texts.select("f1", "f2", "text"), ranges, copies
+    asking = cut(texts.select("uid", "text").join(ask, "uid"), "asking")
+    pieces = asking.mapInArrow(_pieces(length), "uid long, a long, b long, first long, last long, piece long, open boolean")
+    common = cut(pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("c"), F.max("open").alias("open")).where("c > 1 AND open").select("piece"), "pieces")
+    ranges = pieces.join(common, "piece").groupBy("uid").agg(F.collect_list(F.struct(*[F.col(c).cast("int").alias(c) for c in ("a", "b", "first", "last")])).alias("pieces"))
+    known = cut(asking.select("uid", "text").join(ranges, "uid"), "known")
+    drop(asked, opened, common, asking)
+    kinds = "uid long, at int, h1 long, h2 long, open boolean"
+    twice = known.mapInArrow(_strings(length, False), kinds).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c"), F.max("open").alias("open"))
+    twice = cut(twice.where("c > 1 AND open").select("h1", "h2"), "twice")
+    by_string = known.mapInArrow(_strings(length, True), kinds).join(twice, ["h1", "h2"]).select("uid", F.col("at").alias("a"), F.col("at").alias("b"))
+    by_sort = matched.where(F.col("sure") >= length).select("uid", F.col("pos").cast("int").alias("a"), (F.col("pos") + F.col("sure") - length).cast("int").alias("b"))
+    ranges = cut(by_sort.unionByName(by_string).groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("ranges")), "ranges")
+    drop(matched, twice, known)
+    return scanned.drop("cores"), one.select("uid", "f1", "f2", "n"), texts.select("uid", "text"), ranges
 
 
 def digest(documents: DataFrame, *, length: int = LENGTH, gap: int = GAP, **kw) -> DataFrame:
@@ -447,10 +491,14 @@ def digest(documents: DataFrame, *, length: int = LENGTH, gap: int = GAP, **kw)
     `length` stay.  Repeated rows are copies of each other, whatever their ids,
     and null ids are as good as others.
     """
-    scanned, texts, ranges, copies = find(documents, length=length, gap=gap, **kw)
-    cut_ = texts.join(ranges, ["f1", "f2"]).join(copies, ["f1", "f2"], "left_anti").mapInArrow(_digests(length), "f1 long, f2 long, n_removed long, n_spans long, kept_sha256 string")
-    whole = copies.select("f1", "f2", F.lit(None).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"))
-    marks = cut(cut_.unionByName(whole), "marks")
+    scanned, names, texts, ranges = find(documents, length=length, gap=gap, **kw)
+    cut_ = texts.join(ranges, "uid").mapInArrow(_digests(length), "uid long, n_removed long, n_spans long, kept_sha256 string")
+    marks = names.join(cut_, "uid", "left").where((F.col("n") > 1) | F.col("n_spans").isNotNull())
+    copy = F.col("n") > 1  # all of it goes
+    marks = cut(marks.select(
+        "f1", "f2", F.when(~copy, F.col("n_removed")).alias("n_removed"), F.when(copy, 1).otherwise(F.col("n_spans")).cast("long").alias("n_spans"),
+        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
+    ), "marks")
     out = scanned.join(marks, ["f1", "f2"], "left")
     hit = F.col("n_spans").isNotNull()
     return out.select(
