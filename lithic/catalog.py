@@ -1,8 +1,15 @@
-"""All registered queries with their SQL."""
+"""All registered queries of the reference's own operators, with their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").limit(1)
+from lithic.plans import bank_queries, corpus_queries
+
+QUERIES = {**bank_queries.QUERIES, **corpus_queries.QUERIES}
+ORACLE_SQL = {**bank_queries.ORACLE_SQL, **corpus_queries.ORACLE_SQL}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The question bank: questions, papers, mark schemes and tags in one view."""
+    return bank_queries.bank_view(spark, sf_dir)

@@ -1 +1,241 @@
+"""Sources: tables, anchors of HTML pages, encoded bytes, zip listings, candidate files, fetch policies and configuration."""
 
+from __future__ import annotations
+
+import os
+import struct
+import tomllib
+import zipfile
+from collections.abc import Callable, Iterator
+from io import BytesIO
+from pathlib import Path
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.window import Window
+
+from lithic.functions import text as T
+
+# ------------------------------------------------------------------ registry
+Source = Callable[[SparkSession, dict], DataFrame]
+_SOURCES: dict[str, Source] = {}
+
+
+def register(name: str) -> Callable[[Source], Source]:
+    """Decorator: a link source under a name."""
+
+    def put(f: Source) -> Source:
+        _SOURCES[name] = f
+        return f
+
+    return put
+
+
+def source(name: str) -> Source:
+    if name not in _SOURCES:
+        raise KeyError(f"no source {name!r}; known: {', '.join(sorted(_SOURCES)) or 'none'}")
+    return _SOURCES[name]
+
+
+# ------------------------------------------------------------------ tables
+def first_table(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The first path that can be read."""
+    error: Exception | None = None
+    for p in paths:
+        try:
+            return spark.read.parquet(p)
+        except Exception as x:  # not there or not Parquet: the next candidate
+            error = x
+    raise FileNotFoundError(f"none of {paths}: {error}")
+
+
+def candidate_links(spark: SparkSession, path: str) -> DataFrame:
+    """Links of a candidates file (groups with nested links), one row each."""
+    link = "struct<source:string,file_url:string,page_url:string,title:string,school:string,school_code:string,year:int,exam_type:string,paper_no:int,doc_type:string>"
+    groups = spark.read.schema(f"n_groups int, groups array<struct<exam_key:string,links:array<{link}>>>").json(path, multiLine=True)
+    return groups.select(F.explode("groups").alias("g")).select("g.exam_key", F.explode("g.links").alias("l")).select("exam_key", "l.*")
+
+
+# ------------------------------------------------------------------ html
+def anchors(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(id, pos, href, link) of every <a href> in document order; link is absolute."""
+    found = F.regexp_extract_all(html_col, F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""), F.lit(1))
+    out = pages.select(id_col, url_col, F.posexplode(found).alias("pos", "href"))
+    return out.select(id_col, "pos", "href", T.absolute_url(F.col(url_col), F.col("href")).alias("link"))
+
+
+def matching_links(links: DataFrame, title_pattern: str | None = None, href_pattern: str | None = None, title_col: str = "title", href_col: str = "href") -> DataFrame:
+    out = links
+    if title_pattern:
+        out = out.where(F.col(title_col).rlike(f"(?i){title_pattern}"))
+    if href_pattern:
+        out = out.where(F.col(href_col).rlike(f"(?i){href_pattern}"))
+    return out
+
+
+# ------------------------------------------------------------------ bytes
+#: Byte order marks in the order in which they are tried.
+BOMS = (("FFFE0000", 4, "utf-32-le"), ("0000FEFF", 4, "utf-32-be"), ("FFFE", 2, "utf-16-le"), ("FEFF", 2, "utf-16-be"), ("EFBBBF", 3, "utf-8"))
+
+
+def encoding(raw: Column, declared: Column) -> Column:
+    """The encoding by byte order mark, else the declared one, else utf-8."""
+    out = None
+    for mark, n, name in BOMS:
+        hit = F.hex(F.substring(raw, 1, n)) == mark
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return out.otherwise(F.coalesce(F.lower(declared), F.lit("utf-8")))
+
+
+@F.pandas_udf(StringType())
+def decode(raw: pd.Series, name: pd.Series) -> pd.Series:
+    """Bytes to text: the encoding if it is known and fits, else utf-8, else cp1252 with replacement; no leading byte order mark."""
+
+    def one(b, n):
+        if b is None:
+            return None
+        for enc in (n, "utf-8"):
+            try:
+                return bytes(b).decode(enc).removeprefix("﻿")
+            except (LookupError, UnicodeDecodeError, TypeError):
+                continue
+        return bytes(b).decode("cp1252", "replace").removeprefix("﻿")
+
+    return pd.Series([one(b, n) for b, n in zip(raw, name, strict=True)], dtype=object)
+
+
+def decoded(df: DataFrame, raw_col: str = "content", declared_col: str = "charset") -> DataFrame:
+    name = encoding(F.col(raw_col), F.col(declared_col))
+    return df.withColumn("encoding", name).withColumn("text", decode(F.col(raw_col), F.col("encoding")))
+
+
+def zip_listing(archives: DataFrame, id_col: str = "url", raw_col: str = "content") -> DataFrame:
+    """(id, name, size, is_pdf, error) of the members of zip archives, from their central directory alone; the bytes may be an archive's tail."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for i, raw in zip(pdf["id"], pdf["raw"], strict=True):
+                try:
+                    out += [(i, n, s, n.lower().endswith(".pdf"), None) for n, s in zip_members(bytes(raw))]
+                except ValueError as x:
+                    out.append((i, None, None, None, f"{type(x).__name__}: {x}"))
+            yield pd.DataFrame(out, columns=["id", "name", "size", "is_pdf", "error"])
+
+    kind = archives.schema[id_col].dataType.simpleString()
+    return archives.select(F.col(id_col).alias("id"), F.col(raw_col).alias("raw")).mapInPandas(run, f"id {kind}, name string, size long, is_pdf boolean, error string")
+
+
+def zip_members(tail: bytes) -> list[tuple[str, int]]:
+    """(name, uncompressed size) from the bytes of an archive or of its end."""
+    at = tail.rfind(b"PK\x05\x06")
+    if at < 0:
+        raise ValueError("no end of central directory")
+    count, size, offset = struct.unpack_from("<HII", tail, at + 10)
+    if 0xFFFF == count or 0xFFFFFFFF in (size, offset):
+        raise ValueError("zip64 archives are not supported")
+    pos, out = at - size, []
+    if pos < 0:
+        raise ValueError("the central directory is not in the bytes given")
+    while len(out) < count:
+        if tail[pos : pos + 4] != b"PK\x01\x02":
+            raise ValueError("bad central directory entry")
+        flags, plain = struct.unpack_from("<H", tail, pos + 8)[0], struct.unpack_from("<I", tail, pos + 24)[0]
+        n, extra, comment = struct.unpack_from("<HHH", tail, pos + 28)
+        out.append((tail[pos + 46 : pos + 46 + n].decode("utf-8" if flags & 0x800 else "cp437"), plain))
+        pos += 46 + n + extra + comment
+    return out
+
+
+def safe_member(name: Column) -> Column:
+    """Whether an archive member's name stays inside the folder it is unpacked to."""
+    parts = F.split(F.replace(name, F.lit("\\"), F.lit("/")), "/")
+    return ~F.exists(parts, lambda p: p == "..") & ~F.startswith(name, F.lit("/")) & ~F.startswith(name, F.lit("\\")) & ~name.rlike("^[A-Za-z]:")
+
+
+def is_pdf(raw: Column) -> Column:
+    return F.hex(F.substring(raw, 1, 4)) == "25504446"
+
+
+@F.pandas_udf(BinaryType())
+def extract_member(raw: pd.Series, name: pd.Series) -> pd.Series:
+    """A member's bytes out of whole archives; null where it cannot be read."""
+
+    def one(b, n):
+        try:
+            return zipfile.ZipFile(BytesIO(bytes(b))).read(n)
+        except (KeyError, zipfile.BadZipFile, TypeError):
+            return None
+
+    return pd.Series([one(b, n) for b, n in zip(raw, name, strict=True)], dtype=object)
+
+
+def smallest_version(rows: DataFrame, id_col: str, versions: list[str]) -> DataFrame:
+    """(id, chosen, size): the smallest of several encodings given as binary columns; the first one on ties."""
+    pick = F.array_min(F.array(*[F.struct(F.octet_length(v).alias("size"), F.lit(i).alias("i"), F.lit(v).alias("chosen")) for i, v in enumerate(versions)]))
+    return rows.select(id_col, pick.alias("p")).select(id_col, "p.chosen", "p.size")
+
+
+# ------------------------------------------------------------------ fetch policy
+def host(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
+
+
+def allowed(urls: DataFrame, robots: DataFrame, agents: tuple[str, ...]) -> DataFrame:
+    """urls with `allowed`: for any of the agents the longest matching rule (allow before disallow on ties) permits it; hosts without rules permit all.
+
+    robots: (host, agent, prefix, allow, delay); a small table a host, joined on the host.
+    """
+    path = F.coalesce(F.nullif(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^#]*)", 1), F.lit("")), F.lit("/"))
+    base = urls.withColumn("host", host(F.col("url"))).withColumn("_path", path)
+    rules = robots.where(F.col("agent").isin(*agents)).groupBy("host").agg(F.collect_list(F.struct("agent", "prefix", "allow")).alias("_rules"))
+    joined = base.join(rules, "host", "left")
+    verdicts = [
+        F.coalesce(F.array_max(F.transform(
+            F.filter("_rules", lambda r, a=a: (r["agent"] == a) & (r["prefix"] != "") & F.startswith(F.col("_path"), r["prefix"])),
+            lambda r: F.struct(F.length(r["prefix"]).alias("n"), r["allow"].alias("allow")),
+        ))["allow"], F.lit(True)) for a in agents
+    ]
+    any_ok = verdicts[0]
+    for v in verdicts[1:]:
+        any_ok = any_ok | v
+    return joined.withColumn("allowed", any_ok).drop("_rules", "_path")
+
+
+def crawl_delay(delay: Column, least: float) -> Column:
+    return F.greatest(F.coalesce(delay, F.lit(0.0)), F.lit(least))
+
+
+def schedule(requests: DataFrame, order: str = "ord", delay: str = "delay") -> DataFrame:
+    """start_at seconds of each request: the delays of its host's earlier ones."""
+    w = Window.partitionBy("host").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return requests.withColumn("start_at", F.coalesce(F.sum(delay).over(w), F.lit(0.0)))
+
+
+def backoff(base: Column, attempt: Column, most: float = 120.0) -> Column:
+    return F.least(F.lit(most), base * F.pow(F.lit(2.0), attempt))
+
+
+def retryable(status: Column) -> Column:
+    return (status == 429) | status.between(500, 599)
+
+
+# ------------------------------------------------------------------ configuration
+DEFAULTS: dict = {
+    "crawl": {"sources": [], "target": 8, "cap": 0, "max_bytes": 52_428_800, "min_delay": 2.0, "max_retries": 4},
+    "split": {"min_chars_per_page": 50, "expected_questions_min": 10, "expected_questions_max": 13, "gutter_max_x0": 120, "gutter_tolerance": 6.0, "paper_marks": 100},
+    "tag": {"model": "", "llm_enabled": False},
+}
+
+
+def load_config(path: str | Path | None = None, env_file: str | Path | None = None) -> dict:
+    """Sections over the defaults from a TOML file; KEY=value lines of an env file do not override what is set."""
+    found = tomllib.loads(Path(path).read_text()) if path and Path(path).exists() else {}
+    if env_file and Path(env_file).exists():
+        for line in Path(env_file).read_text().splitlines():
+            key, eq, value = line.strip().partition("=")
+            if eq and key and not key.startswith("#"):
+                os.environ.setdefault(key.strip(), value.strip().strip("\"'"))
+    return {**found, **{k: {**v, **found.get(k, {})} for k, v in DEFAULTS.items()}}
