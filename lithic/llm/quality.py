@@ -58,7 +58,7 @@ def features_of(text: str) -> list[float]:
             longest = max(longest, here)
     return [
         *shares, *marks, *roots, np.log1p(longest), np.log1p(n), np.log1p(n_words), length / tokens / 10,
-        np.log1p(n / len(lines)), text.count("\n") / tokens, float(n_words == 0), sum(map(str.isdigit, text[:0])) / chars,
+        np.log1p(n / len(lines)), text.count("\n") / tokens, float(n_words == 0), sum(map(text.count, "0123456789")) / chars,
     ]
 
 

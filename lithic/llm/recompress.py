@@ -195,14 +195,14 @@ def _covered(at: np.ndarray, n: int, window: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _removed(batch: pa.RecordBatch, window: int):
+def _removed(batch: pa.RecordBatch, window: int, column: str = "text"):
     """For each chunk of rows with a list `starts` of window fingerprints: rows, bytes, offsets, words and which words go."""
     lists = batch.column(batch.schema.get_field_index("starts"))
     if lists.null_count:
         lists = lists.fill_null(pa.scalar([], lists.type))
     off, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(U64)
     copies = batch.schema.get_field_index("copy")
-    for a, b, data, offs in chunks(batch, "text"):
+    for a, b, data, offs in chunks(batch, column):
         w = Words(data, offs, NON_SPACE)
         h1 = span_hash(prefix_hash(w.hashes(data)), np.arange(len(w.start) - window + 1), np.arange(window, len(w.start) + 1)) if len(w.start) >= window else np.zeros(0, U64)
         size = np.maximum(w.count - window + 1, 0)
@@ -290,12 +290,12 @@ def remove(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     marks = r.starts.join(copies, "doc_id", "full").withColumnRenamed("doc_id", "_id")
     schema, k = documents.schema, documents.schema.names.index(text_col)
     marked = documents.join(marks, documents[id_col].cast("long") == F.col("_id"), "left")
-    packed = marked.select(*[documents[c].alias(f"c{i}") for i, c in enumerate(documents.columns)], documents[text_col].alias("text"), "starts", "copy")
+    packed = marked.select(*[documents[c].alias(f"c{i}") for i, c in enumerate(documents.columns)], "starts", "copy")
 
     def run(batches):
         for batch in batches:
             texts = batch.column(k).to_pylist()
-            for a, b, data, offs, w, gone in _removed(batch, window):
+            for a, b, data, offs, w, gone in _removed(batch, window, f"c{k}"):
                 raw = data.tobytes()
                 for row in np.unique(w.row[gone]).tolist():
                     lo, hi = int(w.first[row]), int(w.first[row + 1])

@@ -137,7 +137,7 @@ def _packed(batches):
 
 def _dealt(rows: DataFrame, id_col: str, size: int, total: int) -> tuple[DataFrame, int]:
     parts = max(1, -(-total // size))
-    part = F.pmod(F.xxhash64(id_col, F.lit(17)), F.lit(parts))
+    part = F.pmod(F.xxhash64(id_col, "v", F.lit(17)), F.lit(parts))
     dealt = rows.select(part.alias("part"), F.size("v").alias("dim"), F.col(id_col).cast("long").alias("id"), "v")
     return dealt.repartition(parts, "part").mapInArrow(_packed, "part long, dim int, ids array<long>, vecs binary"), parts
 
