@@ -152,9 +152,10 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], update: list[str]) -
 
 def changed_rows(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """New rows of known keys whose values differ null-safely."""
-    cond = reduce(lambda x, y: x & y, [old[k] == new[k] for k in keys])
-    differ = reduce(lambda x, y: x | y, [~old[v].eqNullSafe(new[v]) for v in values])
-    return new.join(old, cond).where(differ).select(*[new[c] for c in new.columns])
+    a, b = old.select(*keys, *values).alias("a"), new.alias("b")
+    cond = reduce(lambda x, y: x & y, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys])
+    differ = reduce(lambda x, y: x | y, [~F.col(f"a.{v}").eqNullSafe(F.col(f"b.{v}")) for v in values])
+    return b.join(a, cond).where(differ).select("b.*")
 
 
 def same_signature(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -129,7 +129,7 @@ def first_related_nullsafe(spark, sf_dir):
 
 
 def scan_question_papers(spark, sf_dir):
-    return papers(spark, sf_dir).where(F.col("doc_type").isin("qp", "combined") & (F.col("id") % 7 == 0)).orderBy(F.col("year").desc(), "school_code", F.col("paper_no").asc_nulls_first())
+    return papers(spark, sf_dir).where(F.col("doc_type").isin("qp", "combined")).orderBy(F.col("year").desc(), "school_code", F.col("paper_no").asc_nulls_first())
 
 
 def paper_score(spark, sf_dir):
@@ -265,7 +265,7 @@ FROM (SELECT *, CASE WHEN tags IS NULL THEN 0 ELSE len(string_split(tags, '|'))
     "untagged_questions": _CTE + "SELECT id, paper_id, q_number FROM questions WHERE id NOT IN (SELECT question_id FROM tags)",
     "global_counts": _CTE + "SELECT (SELECT count(*) FROM topics) AS topics, (SELECT count(*) FROM questions WHERE id NOT IN (SELECT question_id FROM tags)) AS untagged",
     "first_related_nullsafe": _CTE + "SELECT p.id, p.school_code, p.year, p.exam_type, p.paper_no, ms.ms_path FROM papers p LEFT JOIN ms ON ms.school_code = p.school_code AND ms.year = p.year AND ms.exam_type = p.exam_type AND ms.paper_no IS NOT DISTINCT FROM p.paper_no WHERE p.doc_type = 'qp'",
-    "scan_question_papers": _CTE + "SELECT * FROM papers WHERE doc_type IN ('qp', 'combined') AND id % 7 = 0",
+    "scan_question_papers": _CTE + "SELECT * FROM papers WHERE doc_type IN ('qp', 'combined')",
     "paper_score": _CTE + """, t AS (SELECT paper_id, count(*) AS n, count(*) FILTER (WHERE marks_total > 0) AS wm, coalesce(sum(marks_total), 0) AS tm, count(*) + paper_id % 3 AS nc, paper_id % 2 AS ng FROM questions GROUP BY paper_id),
 s AS (SELECT *, 1.0::DOUBLE - least(0.5::DOUBLE, greatest(0, nc - n)::DOUBLE / nc) AS numbering, greatest(0.0::DOUBLE, 1.0::DOUBLE - 0.15::DOUBLE * ng) AS sequence, wm::DOUBLE / n AS marks,
   greatest(0.0::DOUBLE, 1.0::DOUBLE - (CASE WHEN n < 3 THEN 3 - n WHEN n > 6 THEN n - 6 ELSE 0 END)::DOUBLE / 5.0::DOUBLE) AS count_, greatest(0.0::DOUBLE, 1.0::DOUBLE - abs(tm - 100)::DOUBLE / 20.0::DOUBLE) AS marks_sum FROM t),

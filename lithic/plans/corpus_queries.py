@@ -42,8 +42,10 @@ def upsert_merge(spark, sf_dir):
 
 
 def filename_suffix(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.concat("source", F.lit("_"), "lang", F.lit(".pdf")).alias("name"))
-    return ingest.free_names(d.where(F.col("ord") % 5 > 0), d.where(F.col("ord") % 40 == 0).select("name")).select("ord", "name", "rel_path")
+    """Names by source and character count; those of labelled documents are taken already."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.concat("source", F.lit("_"), "lang", F.lit("_"), (F.col("n_chars") / 400).cast("int").cast("string"), F.lit(".pdf")).alias("name"))
+    taken = d.join(read(spark, sf_dir, "labels").select(F.col("doc_id").alias("ord")), "ord", "left_semi")
+    return ingest.free_names(d, taken.select("name")).select("ord", "name", "rel_path")
 
 
 def crawl_log_summary(spark, sf_dir):
@@ -98,7 +100,8 @@ def host_policy(spark, sf_dir):
     p = read(spark, sf_dir, "pages").select("page_id", "url")
     hosts = p.select(sources.host(F.col("url")).alias("host")).distinct().select("host", F.explode(F.array(
         F.struct(F.lit("*").alias("agent"), F.lit("/en/").alias("prefix"), F.lit(False).alias("allow")),
-        F.struct(F.lit("*"), F.lit("/en/1"), F.lit(True)), F.struct(F.lit("bot"), F.lit("/"), F.lit(False)),
+        F.struct(F.lit("*").alias("agent"), F.lit("/en/1").alias("prefix"), F.lit(True).alias("allow")),
+        F.struct(F.lit("bot").alias("agent"), F.lit("/").alias("prefix"), F.lit(False).alias("allow")),
     )).alias("r")).where(F.length("host") % 2 == 0).select("host", "r.*")
     out = sources.allowed(p, hosts, ("bot", "*"))
     out = out.withColumn("delay", sources.crawl_delay(F.when(F.length("host") % 3 == 0, (F.length("host") % 7).cast("double")), 2.0)).withColumn("ord", F.col("page_id"))
@@ -259,8 +262,8 @@ ORACLE_SQL = {
     "ingest_summary": _STATES + "SELECT state, count(*) AS n FROM s GROUP BY state",
     "upsert_merge": """WITH d AS (SELECT doc_id AS id, lang, source, n_chars AS size FROM documents), o AS (SELECT * FROM d WHERE id % 3 > 0), n AS (SELECT id, upper(lang) AS lang, 'new' AS source, size * 2 AS size FROM d WHERE id % 2 = 0)
 SELECT coalesce(o.id, n.id) AS id, coalesce(n.lang, o.lang) AS lang, coalesce(o.source, n.source) AS source, coalesce(n.size, o.size)::BIGINT AS size FROM o FULL JOIN n ON o.id = n.id""",
-    "filename_suffix": """WITH d AS (SELECT doc_id AS ord, source || '_' || lang || '.pdf' AS name FROM documents), u AS (SELECT name, count(*) AS used FROM d WHERE ord % 40 = 0 GROUP BY name),
-r AS (SELECT d.*, row_number() OVER (PARTITION BY d.name ORDER BY ord) + coalesce(used, 0) AS k FROM d LEFT JOIN u USING (name) WHERE ord % 5 > 0)
+    "filename_suffix": """WITH d AS (SELECT doc_id AS ord, source || '_' || lang || '_' || (n_chars // 400) || '.pdf' AS name FROM documents), u AS (SELECT name, count(*) AS used FROM d WHERE ord IN (SELECT doc_id FROM labels) GROUP BY name),
+r AS (SELECT d.*, row_number() OVER (PARTITION BY d.name ORDER BY ord) + coalesce(used, 0) AS k FROM d LEFT JOIN u USING (name))
 SELECT ord, name, CASE WHEN k <= 5 THEN replace(name, '.pdf', ['', '_b', '_c', '_d', '_e'][k] || '.pdf') END AS rel_path FROM r""",
     "crawl_log_summary": f"""WITH l AS (SELECT regexp_extract({_HOST}, '([a-z]+)$', 1) AS source, {_HOST} || '|' || (page_id % 7) AS exam_key, CASE WHEN page_id % 9 = 0 THEN 'Error: page ' || page_id END AS error FROM pages)
 SELECT source, count(*) FILTER (WHERE error IS NULL) AS urls_seen, count(DISTINCT exam_key) AS new_papers, '[' || coalesce(string_agg('"' || error || '"', ',' ORDER BY error), '') || ']' AS errors, '2025-01-01T00:00:00+00:00' AS run_at FROM l GROUP BY source""",

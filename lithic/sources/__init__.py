@@ -192,12 +192,13 @@ def allowed(urls: DataFrame, robots: DataFrame, agents: tuple[str, ...]) -> Data
     base = urls.withColumn("host", host(F.col("url"))).withColumn("_path", path)
     rules = robots.where(F.col("agent").isin(*agents)).groupBy("host").agg(F.collect_list(F.struct("agent", "prefix", "allow")).alias("_rules"))
     joined = base.join(rules, "host", "left")
-    verdicts = [
-        F.coalesce(F.array_max(F.transform(
-            F.filter("_rules", lambda r, a=a: (r["agent"] == a) & (r["prefix"] != "") & F.startswith(F.col("_path"), r["prefix"])),
-            lambda r: F.struct(F.length(r["prefix"]).alias("n"), r["allow"].alias("allow")),
-        ))["allow"], F.lit(True)) for a in agents
-    ]
+
+    def verdict(agent: str) -> Column:
+        mine = F.filter("_rules", lambda r: (r["agent"] == agent) & (r["prefix"] != "") & F.startswith(F.col("_path"), r["prefix"]))
+        best = F.array_max(F.transform(mine, lambda r: F.struct(F.length(r["prefix"]).alias("n"), r["allow"].alias("allow"))))
+        return F.coalesce(best["allow"], F.lit(True))
+
+    verdicts = [verdict(a) for a in agents]
     any_ok = verdicts[0]
     for v in verdicts[1:]:
         any_ok = any_ok | v

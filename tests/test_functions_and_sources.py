@@ -29,7 +29,7 @@ def test_school(spark):
     cases = {"2025 acjc prelim": "ACJC", "Anderson Serangoon JC": "ASRJC", "anderson": "ASRJC", "St. Andrew's": "SAJC", "x-ri-y": "RI", "prime trial": "UNK", "raffles institution RI": "RI",
              "hci": "HCI", "ahci": "UNK", "Hwa-Chong": "HCI", "national junior": "NJC", "": "UNK", "Anglo-Chinese": "ACJC", "nus high vjc": "NUSH", "NJC mi": "NJC"}
     assert values(spark, "t string", list(cases), T.school(T.normalised(F.col("t")))["code"]) == list(cases.values())
-    assert len(T.aliases()) == 50 and len({a for a, _, _ in T.aliases()}) == 50
+    assert len(T.aliases()) == 52 and len({a for a, _, _ in T.aliases()}) == 52
 
 
 def test_years_papers_types(spark):

@@ -32,7 +32,7 @@ def test_furniture(spark):
 def test_candidates(spark):
     rows = [(1, 1, 1, 300, "1 Cover text here"), (1, 1, 2, 56.6, "2 Find the value"), (1, 1, 3, 56.6, "3"), (1, 1, 4, 294.6, "4"), (1, 1, 5, 56.6, "5 ,"), (1, 1, 6, 56.6, "6) abc"), (1, 1, 7, 56.6, "7. ab"), (1, 1, 8, 56.6, "123 abc"), (1, 1, 9, 56.6, " 8 . ")]
     got = segment.candidates(segment.reading_order(lines(spark, rows))).orderBy("line_index").collect()
-    assert [r.q_number for r in got] == [2, 3, 6, 8]
+    assert [r.q_number for r in got] == [2, 3, 6]  # a numbered line with a short body is no bare number
 
 
 def test_modal_gutter(spark):
