@@ -75,19 +75,22 @@ def ranked_paths(messages: DataFrame, paths: int = 1) -> DataFrame:
     m = messages.select("key", "id", "parent", F.coalesce(F.col("score"), F.lit(0.0)).cast("double").alias("score"))
     known = m.select("key", F.col("id").alias("parent"), F.lit(True).alias("found"))
     first = m.join(known, ["key", "parent"], "left").select("key", "id", F.when(F.col("found"), F.col("parent")).alias("up"), "score")
-    # up: the ancestor 2**k steps above, null past the root; steps and total: of the way to it, this message included
-    jumps = [cut(first.withColumn("steps", F.lit(1).cast("long")).withColumnRenamed("score", "total"), "jump")]
-    count = jumps[0].count()
-    while jumps[-1].where(F.col("up").isNotNull()).limit(1).count():
+    # up: the ancestor 2**k steps above; steps and total: of the way to it, this message included, or of the whole way to the
+    # root once there is no such ancestor. Messages that have reached their root wait in `top` and are joined no more.
+    state = cut(first.withColumn("steps", F.lit(1).cast("long")).withColumnRenamed("score", "total"), "jump")
+    count, tables = state.count(), [state]
+    top, jumps = state.where(F.col("up").isNull()), [state.where(F.col("up").isNotNull())]
+    while jumps[-1].limit(1).count():
         if 2 ** (len(jumps) - 1) > 2 * count:
             break  # only cycles are left
-        low = jumps[-1]
-        high = low.select("key", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("total").alias("total2"))
-        on = low.join(high, ["key", "up"], "left")
-        jumps.append(cut(on.select(
+        low, known = jumps[-1], jumps[-1].unionByName(top)
+        high = known.select("key", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("total").alias("total2"))
+        new = cut(low.join(high, ["key", "up"], "left").select(
             "key", "id", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"),
-        ), "jump"))
-    top = jumps[-1].where(F.col("up").isNull())  # all messages that reach a root
+        ), "jump")
+        tables.append(new)
+        top = top.unionByName(new.where(F.col("up").isNull()))
+        jumps.append(new.where(F.col("up").isNotNull()))
     leaves = top.join(first.where(F.col("up").isNotNull()).select("key", F.col("up").alias("id")).distinct(), ["key", "id"], "left_anti")
     w = Window.partitionBy("key").orderBy((F.col("total") / F.col("steps")).desc(), F.col("steps").desc(), "id")
     # leaves of a key are cut to `paths` within each of 32 parts first, so one large tree does not meet in one task
@@ -95,10 +98,10 @@ def ranked_paths(messages: DataFrame, paths: int = 1) -> DataFrame:
     best = leaves.withColumn("r", F.row_number().over(part)).where(F.col("r") <= paths).withColumn("branch_rank", F.row_number().over(w)).where(F.col("branch_rank") <= paths)
     path = best.select("key", F.col("id").alias("leaf"), "branch_rank", "id", (F.col("steps") - 1).alias("depth"))
     for k in range(len(jumps) - 2, -1, -1):  # the largest jump first: each round doubles what is known of a path
-        jump = jumps[k].where(F.col("up").isNotNull()).select("key", "id", "up")
+        jump = jumps[k].select("key", "id", "up")
         more = path.join(jump, ["key", "id"]).select("key", "leaf", "branch_rank", F.col("up").alias("id"), (F.col("depth") - 2**k).alias("depth"))
         path = cut(path.unionByName(more), "path")
-    drop(*jumps)
+    drop(*tables)
     return path
 
 
