@@ -3,12 +3,12 @@
 A document's set is its distinct shingles of five words; `COORDS` minwise tokens
 represent it while branching.  Each of ``trees`` independent trees begins with
 one minwise token (documents with the same one share a node); a node of more
-than ``small`` documents branches again by further coordinates that its path
-chooses, 4/3 of them on average, until nodes are small.  Small nodes are
-compared exhaustively.  Documents of similarity s share a root's child with
+than ``small`` documents branches again by a minwise token that its path has not
+used yet, 4/3 of them on average, until nodes are small.  So what very many
+documents share (a licence line) is used up and stops counting.  Small nodes
+are compared exhaustively.  Documents of similarity s share a root's child with
 probability s, so 16 trees leave fewer than one link of 0.75 in 10**9 unseen
-where these nodes are small; below a large node the paths of a pair at the
-threshold neither multiply nor die out on average.
+where these nodes are small.
 
 Pairs whose sizes or sketches (four bits of each coordinate) rule a link out go
 no further; the rest are confirmed on full sets.  What is compared is bounded without losing
@@ -89,12 +89,16 @@ def _signatures(shingle: int, coords: int):
                     f1.append(int.from_bytes(d[:8], "little", signed=True))
                     f2.append(int.from_bytes(d[8:], "little", signed=True))
                     if len(own):  # blocks keep the products small for very long texts
-                        low = np.full(coords, (1 << 64) - 1, U64)
+                        low, token = np.full(coords, (1 << 64) - 1, U64), np.zeros(coords, U64)
                         for k in range(0, len(own), 4096):
                             x = own[k : k + 4096, None] * salt[None, :]
-                            np.minimum(low, (x ^ (x >> U64(29))).min(0), out=low)
-                        sig.append(low.view(np.int64).tolist())
-                        nibbles = (low & U64(15)).reshape(-1, 16) << (np.arange(16, dtype=U64) * U64(4))
+                            x ^= x >> U64(29)
+                            at = x.argmin(0)
+                            least = x[at, np.arange(coords)]
+                            token = np.where(least < low, own[k + at], token)
+                            low = np.minimum(low, least)
+                        sig.append(token.view(np.int64).tolist())
+                        nibbles = (token & U64(15)).reshape(-1, 16) << (np.arange(16, dtype=U64) * U64(4))
                         sketch.append(np.bitwise_or.reduce(nibbles, axis=1).view(np.int64).tolist())
                     else:
                         sig.append([])
@@ -109,27 +113,40 @@ def _signatures(shingle: int, coords: int):
 
 # ------------------------------------------------------------------ trees
 def _roots(classes: DataFrame, trees: int) -> DataFrame:
-    """(node, id, a) of each tree's first branching: a document stands in the node of its minwise token, a is the node's smallest one; nodes of one document are left out."""
-    names = F.transform(F.slice("sig", 1, trees), lambda x, i: F.xxhash64(i, x))
-    level = cut(classes.select("id", F.explode(names).alias("node")), "level")
+    """(node, id, token, a) of each tree's first branching: a document stands in the node of its minwise token, a is the node's
+    smallest one; nodes of one document are left out."""
+    names = F.transform(F.slice("sig", 1, trees), lambda x, i: F.struct(F.xxhash64(i, x).alias("node"), x.alias("token")))
+    level = cut(classes.select("id", F.explode(names).alias("r")).select("id", "r.*"), "level")
     sizes = cut(level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a")).where("n > 1").select("node", "a"), "sizes")
     out = cut(level.join(sizes, "node"), "nodes")
     drop(level, sizes)
     return out
 
 
-def _children(nodes: DataFrame, classes: DataFrame) -> DataFrame:
-    """Branch by one coordinate, and every third node by a second one: 4/3 = 1 / 0.75 children on average, so that documents
-    at the threshold share one child on average, however deep. A child's name hashes its parent's, the coordinate and its value."""
-    at = [F.pmod(F.xxhash64("node", F.lit(k)), F.lit(COORDS)).cast("int") for k in (0, 1)]
-    names = F.array(*[F.xxhash64("node", i, F.get("sig", i)) for i in at])
+#: Strides that visit all coordinates.
+_STRIDES = [k for k in range(5, COORDS) if np.gcd(k, COORDS) == 1]
+
+
+def _free(nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """nodes (node, id, component, path) with `free`: the document's minwise tokens that its path has not used, in the node's order of coordinates."""
+    start = F.pmod(F.xxhash64("node", F.lit(0)), F.lit(COORDS)).cast("int")
+    stride = F.get(F.array(*map(F.lit, _STRIDES)), F.pmod(F.xxhash64("node", F.lit(1)), F.lit(len(_STRIDES))).cast("int"))
+    order = F.transform(F.sequence(F.lit(0), F.lit(COORDS - 1)), lambda k: F.get("sig", (start + k * stride) % COORDS))
+    joined = nodes.select("node", "id", "component", "path").join(classes, "id")
+    return joined.select("node", "id", "component", "path", F.array_except(order, "path").alias("free"))
+
+
+def _children(free: DataFrame) -> DataFrame:
+    """Branch by the first free token, and every third node by the second one too: 4/3 = 1 / 0.75 children on average, so that
+    long documents at the threshold share one child on average, however deep. A child's name hashes its parent's and the token."""
     n = F.when(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(3)) == 0, F.lit(2)).otherwise(F.lit(1))
-    return nodes.select("node", "id", "component").join(classes, "id").select("id", "component", F.explode(F.array_distinct(F.slice(names, F.lit(1), n))).alias("node"))
+    out = free.select("node", "id", "component", "path", F.explode(F.slice("free", F.lit(1), n)).alias("token"))
+    return out.select(F.xxhash64("node", "token").alias("node"), "id", "component", F.concat("path", F.array("token")).alias("path"))
 
 
 def _mixed(nodes: DataFrame) -> DataFrame:
-    """(node, id, component, n): nodes (node, id, component) that hold several components, with their size."""
-    nodes = cut(nodes.select("node", "id", "component"), "level")
+    """(node, id, component, path, n): nodes (node, id, component, path) that hold several components, with their size."""
+    nodes = cut(nodes.select("node", "id", "component", "path"), "level")
     mixed = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     mixed = cut(mixed.where("lo < hi").select("node", "n"), "mixed")
     out = cut(nodes.join(mixed, "node"), "nodes")
@@ -234,23 +251,32 @@ def find(
     close = cut(_promising(stars, sketches, percent, agree), "close")
     links = cut(_confirm(close, docs, shingle, percent), "links")
     component = components(links)
-    named = nodes.join(component, "id", "left").select("node", "id", F.coalesce("component", "id").alias("component"))
+    named = nodes.join(component, "id", "left").select("node", "id", F.coalesce("component", "id").alias("component"), F.array("token").alias("path"))
     open_ = _mixed(named)
     leaves = open_.where(F.col("n") <= small)
+    spent = None
     for _ in range(depth):
         large = open_.where(F.col("n") > small)
         if not large.limit(1).count():
             break
-        open_ = _mixed(_children(large, classes))
+        free = cut(_free(large, classes), "free")
+        # a document without a free token is its path: at most a few to a node, and the node's others hold all of it
+        whole = free.where(F.size("free") == 0).select("node", F.col("id").alias("h"), F.col("component").alias("ch"))
+        rest = free.select("node", "id", "component").join(whole, "node").where(F.col("component") != F.col("ch"))
+        rest = rest.select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))
+        spent = rest if spent is None else spent.unionByName(rest)
+        open_ = _mixed(_children(free))
         leaves = leaves.unionByName(open_.where(F.col("n") <= small))
-    leaves = cut(leaves.join(sketches, "id"), "leaves")
+    leaves = cut(leaves.select("node", "id", "component").join(sketches, "id"), "leaves")
     other = leaves.select("node", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("s").alias("t"))
     apart = (F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")) & _alike("s", "t", percent, agree)
     inside = leaves.join(other, "node").where(apart).select(F.col("id").alias("a"), "b")
-    deep = open_.where(F.col("n") > small)
-    heads = deep.groupBy("node", "component").agg(F.min("id").alias("h")).select("node", "h", F.col("component").alias("ch"))
-    across = deep.join(heads, "node").where(F.col("component") != F.col("ch")).select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))
-    across = _promising(across.distinct(), sketches, percent, agree)
+    deep = cut(open_.where(F.col("n") > small).select("node", "id", "component").join(sketches, "id"), "deep")
+    heads = deep.groupBy("node", "component").agg(F.min_by(F.struct("id", "s"), "id").alias("h")).select("node", F.col("h.id").alias("h"), F.col("h.s").alias("t"), F.col("component").alias("ch"))
+    across = deep.join(heads, "node").where((F.col("component") != F.col("ch")) & _alike("s", "t", percent, agree))
+    across = across.select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))
+    if spent is not None:
+        across = across.unionByName(_promising(spent.distinct(), sketches, percent, agree))
     pairs = cut(inside.unionByName(across).distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(cut(_confirm(pairs, docs, shingle, percent), "links"))
     # equal sets are links as well: each document with the smallest id of its class
