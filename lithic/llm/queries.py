@@ -108,17 +108,6 @@ l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id WHERE r.c < e.b)
 SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.c) AS component_id, min(r.c) = r.doc_id AS kept FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""",
-    "op9_suffix_dedup": r"""
-WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS t, hex(encode(coalesce(text, ''))) AS x FROM documents),
-g AS (SELECT doc_id, p, md5(x[2 * p - 1 : 2 * p + 798]) AS h FROM (SELECT doc_id, x, unnest(generate_series(1, len(x) // 2 - 399)) AS p FROM b WHERE len(x) >= 800)),
-m AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1),
-s AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER w + 400 THEN 0 ELSE 1 END AS new FROM g JOIN m USING (h) WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
-r AS (SELECT doc_id, min(p) AS a, max(p) + 399 AS z FROM (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM s) GROUP BY doc_id, k),
-k AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
-j AS (SELECT k.doc_id, string_agg(x[2 * before + 1 : 2 * a - 2], '' ORDER BY a) || any_value(x[2 * last + 1 :]) AS kept, sum(z - a + 1) AS n, count(*) AS c
-  FROM k JOIN b USING (doc_id) JOIN (SELECT doc_id, max(z) AS last FROM r GROUP BY doc_id) USING (doc_id) GROUP BY k.doc_id)
-SELECT b.doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(j.n, 0)::BIGINT AS n_removed, coalesce(j.c, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(j.kept, x))) AS kept_sha256
-FROM b LEFT JOIN j USING (doc_id)""",
     "op10_topk": """
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
