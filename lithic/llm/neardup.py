@@ -1,14 +1,19 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
 A document's set is its distinct shingles of five words; `COORDS` minwise tokens
-represent it while branching.  Each of ``trees`` independent trees begins with
-one minwise token (documents with the same one share a node); a node of more
-than ``small`` documents branches again by a minwise token that its path has not
-used yet, 4/3 of them on average, until nodes are small.  So what very many
-documents share (a licence line) is used up and stops counting.  Small nodes
-are compared exhaustively.  Documents of similarity s share a root's child with
-probability s, so 16 trees leave fewer than one link of 0.75 in 10**9 unseen
-where these nodes are small.
+represent it in sketches.  Each of ``trees`` independent trees puts a document in
+the node of one minwise token.  Documents of similarity s share a node of a tree
+with probability s, so 16 trees leave fewer than one link of 0.75 in 10**9
+unseen.  Every pair of a node is either compared, in one component already, or
+ruled out by a bound that no link can break:
+
+- nodes of up to ``small`` documents are compared exhaustively;
+- the documents of larger nodes are joined on the prefixes of their full sets,
+  tokens that many of them share last: two linked documents have their first
+  common token in both prefixes, and what stands behind it must suffice for the
+  link.  So a line that very many documents share (a licence) counts only where
+  it makes up most of a document.  Where very many still meet under one token,
+  they are parted by the sizes that can be linked there.
 
 Pairs whose sizes or sketches (four bits of each coordinate) rule a link out go
 no further; the rest are confirmed on full sets.  What is compared is bounded without losing
@@ -16,13 +21,10 @@ links between classes:
 
 - documents with equal sets form one class and join once, by their smallest id;
 - every node first compares its members with its smallest one (a star), and
-  connected components of the confirmed links are found;
+  connected components of the confirmed links are found; the large groups of the
+  prefix join do so again, with the member of the smallest set;
 - afterwards only members of different components of a node are compared, as
   pairs inside a component cannot change it.
-
-Nodes that stay large after ``depth`` branchings hold documents that share that
-many minwise tokens; there each member is compared with the smallest member of
-every other component of its node.
 """
 
 from __future__ import annotations
@@ -40,7 +42,8 @@ SHINGLE = 5
 COORDS = 48
 TREES = 16
 SMALL = 24
-DEPTH = 10
+#: Tokens that stand last in prefixes; the order of tokens costs or saves time only.
+COMMON = 200_000
 #: Coordinates whose four-bit sketches must agree before full sets are compared: at similarity 0.75 they agree in 36.8 of 48
 #: on average with a deviation of 2.9, so one pair in 10**8 is below 20.
 AGREE = 20
@@ -123,30 +126,9 @@ def _roots(classes: DataFrame, trees: int) -> DataFrame:
     return out
 
 
-#: Strides that visit all coordinates.
-_STRIDES = [k for k in range(5, COORDS) if np.gcd(k, COORDS) == 1]
-
-
-def _free(nodes: DataFrame, classes: DataFrame) -> DataFrame:
-    """nodes (node, id, component, path) with `free`: the document's minwise tokens that its path has not used, in the node's order of coordinates."""
-    start = F.pmod(F.xxhash64("node", F.lit(0)), F.lit(COORDS)).cast("int")
-    stride = F.get(F.array(*map(F.lit, _STRIDES)), F.pmod(F.xxhash64("node", F.lit(1)), F.lit(len(_STRIDES))).cast("int"))
-    order = F.transform(F.sequence(F.lit(0), F.lit(COORDS - 1)), lambda k: F.get("sig", (start + k * stride) % COORDS))
-    joined = nodes.select("node", "id", "component", "path").join(classes, "id")
-    return joined.select("node", "id", "component", "path", F.array_except(order, "path").alias("free"))
-
-
-def _children(free: DataFrame) -> DataFrame:
-    """Branch by the first free token, and every third node by the second one too: 4/3 = 1 / 0.75 children on average, so that
-    long documents at the threshold share one child on average, however deep. A child's name hashes its parent's and the token."""
-    n = F.when(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(3)) == 0, F.lit(2)).otherwise(F.lit(1))
-    out = free.select("node", "id", "component", "path", F.explode(F.slice("free", F.lit(1), n)).alias("token"))
-    return out.select(F.xxhash64("node", "token").alias("node"), "id", "component", F.concat("path", F.array("token")).alias("path"))
-
-
 def _mixed(nodes: DataFrame) -> DataFrame:
-    """(node, id, component, path, n): nodes (node, id, component, path) that hold several components, with their size."""
-    nodes = cut(nodes.select("node", "id", "component", "path"), "level")
+    """nodes (node, id, component, ...) that hold several components, with their size n."""
+    nodes = cut(nodes, "level")
     mixed = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     mixed = cut(mixed.where("lo < hi").select("node", "n"), "mixed")
     out = cut(nodes.join(mixed, "node"), "nodes")
@@ -154,6 +136,54 @@ def _mixed(nodes: DataFrame) -> DataFrame:
     return out
 
 
+# ------------------------------------------------------------------ prefixes
+def _common(hot: DataFrame, classes: DataFrame, small: int) -> np.ndarray:
+    """The minwise tokens of more than `small` of the documents hot (id), at most `COMMON`, the most frequent last."""
+    count = hot.join(classes, "id").select(F.explode(F.array_distinct("sig")).alias("token")).groupBy("token").count()
+    rows = count.where(F.col("count") > small).orderBy(F.desc("count"), "token").limit(COMMON).select("token").collect()
+    return np.array([r.token for r in rows[::-1]], np.int64).view(U64)
+
+
+def _prefixes(docs: DataFrame, hot: DataFrame, common: np.ndarray, shingle: int, percent: int) -> DataFrame:
+    """(token, id, size, reach) for the prefixes of the documents hot (id): rare tokens stand first, `common` ones last, and a
+    prefix has all tokens that can be the first common one of a link.  If it is, the other set has at most `reach` tokens."""
+    order = np.argsort(common)
+    known = common[order]
+
+    def run(batches):
+        for batch in batches:
+            for a, b, data, offs in chunks(batch, "text", 1 << 19):
+                h, first = shingle_hashes(data, offs, shingle)
+                size, prefix = [], []
+                for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                    own = np.unique(h[lo:hi])
+                    rank = np.zeros(len(own), np.int64)
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                        rank = np.where(known[at] == own, order[at] + 1, 0)
+                    size.append(len(own))
+                    prefix.append(own[np.lexsort((own, rank))[: len(own) + percent * -len(own) // 100 + 1]].view(np.int64))
+                ends = np.cumsum([0, *map(len, prefix)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefix)))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(size, pa.int64()), lists], ["id", "size", "prefix"])
+
+    few = hot.count() <= BROADCAST_IDS
+    texts = docs.join(F.broadcast(hot) if few else hot, docs["doc_id"] == hot["id"]).select("doc_id", "text")
+    found = texts.mapInArrow(run, "id long, size long, prefix array<long>").distinct()  # repeated rows of one id
+    found = found.select("id", "size", F.posexplode("prefix").alias("pos", "token"))
+    return found.select("token", "id", "size", F.expr(f"(size - pos) * {100 + percent} div {percent} - size").alias("reach"))
+
+
+def _by_size(groups: DataFrame, percent: int) -> DataFrame:
+    """groups (node, id, component, size, reach) parted by the sizes of both ends of a pair, in bands of a tenth; a document stands
+    in the part of each band that it can be linked with, as `lower` or `upper` end, or both where the bands are one."""
+    band = lambda x: F.floor(F.log(x) * 10)
+    least = F.expr(f"({percent} * size + 99) div 100")
+    out = groups.where(F.col("reach") >= least).withColumn("own", band(F.col("size"))).withColumn("other", F.explode(F.sequence(band(least), band(F.col("reach")))))
+    part = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
+    return out.select(part.alias("node"), "id", "component", "size", "reach", (F.col("own") <= F.col("other")).alias("lower"), (F.col("own") >= F.col("other")).alias("upper"))
+
+
 # ------------------------------------------------------------------ links
 def _alike(x: str, y: str, percent: int, agree: int):
     """Whether two classes (structs n, sketch) can be linked: sizes that allow it, and sketches that agree often enough."""
@@ -172,6 +202,21 @@ def _promising(pairs: DataFrame, sketches: DataFrame, percent: int, agree: int)
     return pairs.join(x, "a").join(y, "b").where(_alike("x", "y", percent, agree)).select("a", "b")
 
 
+def _reached(x: str, y: str, percent: int, agree: int):
+    """Whether two members of a prefix group (structs id, component, size, reach, s) can be linked with its token as their first common one."""
+    size, reach = F.col(f"{x}.size") <= F.col(f"{y}.reach"), F.col(f"{y}.size") <= F.col(f"{x}.reach")
+    return (F.col(f"{x}.component") != F.col(f"{y}.component")) & size & reach & _alike(f"{x}.s", f"{y}.s", percent, agree)
+
+
+def _ends(x: str, y: str):
+    return F.least(f"{x}.id", f"{y}.id").alias("a"), F.greatest(f"{x}.id", f"{y}.id").alias("b")
+
+
+def _named(nodes: DataFrame, component: DataFrame) -> DataFrame:
+    """nodes with their documents' components; those of no link are their own."""
+    return nodes.drop("component", "n").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets satisfy 100 * intersection >= percent * union; docs has the texts."""
     ids = cut(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
@@ -229,7 +274,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def find(
     documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = 75, trees: int = TREES,
-    small: int = SMALL, depth: int = DEPTH, agree: int = AGREE,
+    small: int = SMALL, agree: int = AGREE,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document row.
 
@@ -250,34 +295,37 @@ def find(
     stars = cut(nodes.where("a < id").select("a", F.col("id").alias("b")).distinct(), "stars")
     close = cut(_promising(stars, sketches, percent, agree), "close")
     links = cut(_confirm(close, docs, shingle, percent), "links")
-    component = components(links)
-    named = nodes.join(component, "id", "left").select("node", "id", F.coalesce("component", "id").alias("component"), F.array("token").alias("path"))
-    open_ = _mixed(named)
-    leaves = open_.where(F.col("n") <= small)
-    spent = None
-    for _ in range(depth):
-        large = open_.where(F.col("n") > small)
-        if not large.limit(1).count():
-            break
-        free = cut(_free(large, classes), "free")
-        # a document without a free token is its path: at most a few to a node, and the node's others hold all of it
-        whole = free.where(F.size("free") == 0).select("node", F.col("id").alias("h"), F.col("component").alias("ch"))
-        rest = free.select("node", "id", "component").join(whole, "node").where(F.col("component") != F.col("ch"))
-        rest = rest.select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))
-        spent = rest if spent is None else spent.unionByName(rest)
-        open_ = _mixed(_children(free))
-        leaves = leaves.unionByName(open_.where(F.col("n") <= small))
-    leaves = cut(leaves.select("node", "id", "component").join(sketches, "id"), "leaves")
+    component = cut(components(links), "component")
+    open_ = _mixed(_named(nodes.select("node", "id"), component))
+    drop(nodes)
+    leaves = cut(open_.where(F.col("n") <= small).select("node", "id", "component").join(sketches, "id"), "leaves")
     other = leaves.select("node", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("s").alias("t"))
     apart = (F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")) & _alike("s", "t", percent, agree)
-    inside = leaves.join(other, "node").where(apart).select(F.col("id").alias("a"), "b")
-    deep = cut(open_.where(F.col("n") > small).select("node", "id", "component").join(sketches, "id"), "deep")
-    heads = deep.groupBy("node", "component").agg(F.min_by(F.struct("id", "s"), "id").alias("h")).select("node", F.col("h.id").alias("h"), F.col("h.s").alias("t"), F.col("component").alias("ch"))
-    across = deep.join(heads, "node").where((F.col("component") != F.col("ch")) & _alike("s", "t", percent, agree))
-    across = across.select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))
-    if spent is not None:
-        across = across.unionByName(_promising(spent.distinct(), sketches, percent, agree))
-    pairs = cut(inside.unionByName(across).distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
+    pairs = leaves.join(other, "node").where(apart).select(F.col("id").alias("a"), "b")
+    hot = cut(open_.where(F.col("n") > small).select("id").distinct(), "hot")
+    if hot.limit(1).count():
+        prefixes = _prefixes(docs, hot, _common(hot, classes, small), shingle, percent)
+        groups = _mixed(_named(prefixes.withColumnRenamed("token", "node"), component))
+        one = F.struct("id", "component", "size", "reach", "s")
+        few = cut(groups.where(F.col("n") <= small).join(sketches, "id").select("node", one.alias("x")), "few")
+        met = few.join(few.select("node", F.col("x").alias("y")), "node").where((F.col("x.id") < F.col("y.id")) & _reached("x", "y", percent, agree))
+        pairs = pairs.unionByName(met.select(*_ends("x", "y")))
+        many = _mixed(_by_size(groups.where(F.col("n") > small), percent))
+        drop(groups)
+        # stars again, now between documents that can be linked
+        many = cut(many.join(sketches, "id").select("node", "lower", "upper", one.alias("x")), "many")
+        centre = many.groupBy("node").agg(F.min_by("x", F.struct("x.size", "x.id")).alias("y"))
+        near = many.join(centre, "node").where(_reached("x", "y", percent, agree)).select(*_ends("x", "y")).distinct()
+        near = cut(near.join(stars, ["a", "b"], "left_anti"), "near")
+        links = links.unionByName(cut(_confirm(near, docs, shingle, percent), "links"))
+        stars = stars.unionByName(near)
+        component = cut(components(links), "component")
+        many = _mixed(_named(many.select("node", "lower", "upper", "x.id", "x.size", "x.reach", "x.s"), component))
+        low = many.where("lower").select("node", one.alias("x"), F.col("upper").alias("both"))
+        up = many.where("upper").select("node", one.alias("y"), F.col("lower").alias("both_"))
+        once = ~(F.col("both") & F.col("both_")) | (F.col("x.id") < F.col("y.id"))
+        pairs = pairs.unionByName(low.join(up, "node").where(once & _reached("x", "y", percent, agree)).select(*_ends("x", "y")))
+    pairs = cut(pairs.distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(cut(_confirm(pairs, docs, shingle, percent), "links"))
     # equal sets are links as well: each document with the smallest id of its class
     copies = usable.join(first.where("id < x").select("f1", "f2", "id"), ["f1", "f2"]).where("doc_id > id").select(F.col("id").alias("a"), F.col("doc_id").alias("b")).distinct()

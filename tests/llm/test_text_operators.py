@@ -224,6 +224,20 @@ def test_near_dedup_of_a_large_group(spark):
     assert all(out[1000 + i] == 1000 + i for i in range(40))
 
 
+def components_of(spark, rows):
+    return sorted((r.doc_id, r.component_id) for r in neardup.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+
+
+def test_near_dedup_of_short_documents_sharing_a_line(spark):
+    """Longer documents at the smallest ids share the line too, so that stars with the smallest id link nothing."""
+    rng = random.Random(4)
+    line = " ".join(f"l{i}" for i in range(11))
+    rows = [(i, f"{line} " + " ".join(f"a{i}x{k}" for k in range(rng.randint(5, 15)))) for i in range(400)]
+    rows += [(500 + i, f"{line} own{i}") for i in range(250)]
+    rows += [(800 + i, f"{line} two{i} more{i}") for i in range(60)]
+    assert components_of(spark, rows) == sorted((i, c) for i, _, c, _ in brute_components(rows))
+
+
 def test_near_dedup_keeps_one(spark, docs, rows):
     want = {i for i, _, _, kept in brute_components(rows) if kept}
     out = neardup.deduplicate(docs)
