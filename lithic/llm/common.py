@@ -8,6 +8,7 @@ chunk size or by the longest single document, whichever is larger.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -36,9 +37,11 @@ WORD_SQL = r"[^\x20\x09-\x0D]+"
 
 # ------------------------------------------------------------------ tables
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from spark.checkpoint.dir; a temporary one only where unset."""
+    """The cluster's shared folder, from spark.checkpoint.dir; a temporary one where that is unset and Spark runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -68,6 +71,14 @@ def drop(*tables: DataFrame) -> None:
             p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -111,43 +122,87 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Spans are hashed by polynomials modulo this prime, in pairs of bases: two different spans of n values agree under one base with a
+#: chance of n / 2**31 at most, whatever their structure (powers of two as modulus have pairs that agree under every odd base).
+PRIME = U64((1 << 31) - 1)
+_FOLD = U64(31)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, in place, for any 64-bit x."""
+    for _ in range(2):
+        high = x >> _FOLD
+        x &= PRIME
+        x += high
+    high = x >> _FOLD
+    x &= PRIME
+    x += high
+    x[x == PRIME] = 0
+    return x
+
+
 class Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, grown as needed."""
+    """Powers of a base modulo PRIME and of its inverse, grown as needed."""
 
     def __init__(self, base: int):
-        self.base, self.inverse, self.n = base, pow(base, -1, 1 << 64), 0
+        self.base, self.n = base % int(PRIME), 0
+
+    def _grown(self, base: int, n: int) -> np.ndarray:
+        out = np.ones(n, U64)
+        k = 1
+        while k < n:
+            out[k : 2 * k] = _reduced(out[: min(k, n - k)] * U64(pow(base, k, int(PRIME))))
+            k *= 2
+        return out
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self.n:
             self.n = max(n, CHUNK + 1)
-            up = np.full(self.n, self.base, U64)
-            down = np.full(self.n, self.inverse, U64)
-            up[0] = down[0] = 1
-            self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+            self.up, self.down = self._grown(self.base, self.n), self._grown(pow(self.base, -1, int(PRIME)), self.n)
         return self.up, self.down
 
 
-_BASES = (Powers(0x9E3779B97F4A7C15), Powers(0xD1342543DE82EF95))
-#: A fixed random value for each byte: sums of value times power are hard to make collide by accident.
-_BYTE = tuple(mix(np.arange(1, 257, dtype=U64) * U64(k)) for k in (0x2545F4914F6CDD1D, 0xDA942042E4DD58B5))
+_BASES = tuple(Powers(b) for b in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9))
+#: A fixed random value for each byte, for each base.
+_BYTE = tuple(mix(np.arange(1, 257, dtype=U64) * U64(k)) & PRIME for k in (0x2545F4914F6CDD1D, 0xDA942042E4DD58B5, 0x8EBC6AF09C88C6E3, 0xE7037ED1A0B428DB))
+#: Values that are worked on at once, so that temporary arrays stay in the cache.
+_PIECE = 1 << 14
 
 
 def prefix_hash(values: np.ndarray, which: int = 0) -> np.ndarray:
-    """Running sums of value * base**i; `span_hash` takes the hash of any span from them."""
-    up, _ = _BASES[which].upto(len(values) + 1)
-    out = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * up[: len(values)], out=out[1:])
+    """Running sums of value * base**i for two bases; `span_hash` takes the hash of any span from them.
+
+    values: bytes, or 64-bit names of which both halves count.  which: 0 or 1, two independent hashes.
+    """
+    n = len(values)
+    out = np.zeros((2, n + 1), U64)
+    powers = [_BASES[2 * which + k].upto(n + 1)[0] for k in range(2)]
+    for a in range(0, n, _PIECE):
+        x = values[a : a + _PIECE]
+        for k in range(2):
+            term = _BYTE[2 * which + k][x] if x.dtype == np.uint8 else x >> U64(33) if k else x & PRIME
+            term *= powers[k][a : a + len(x)]
+            high = term >> _FOLD
+            term &= PRIME
+            term += high  # below 2**33, so that sums of 2**31 values do not overflow
+            term[0] += out[k, a]
+            np.cumsum(term, out=out[k, a + 1 : a + 1 + len(x)])
     return out
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    """Hash of values[start:end] for arrays of spans; equal spans have equal hashes wherever they stand."""
-    _, down = _BASES[which].upto(len(prefix))
-    return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(U64) * U64(0x632BE59BD9B4E019))
-
-
-def byte_values(data: np.ndarray, which: int = 0) -> np.ndarray:
-    return _BYTE[which][data]
+    """62-bit hash of values[start:end] for arrays of spans; equal spans have equal hashes wherever they stand."""
+    out = np.empty(len(start), U64)
+    downs = [_BASES[2 * which + k].upto(prefix.shape[1])[1] for k in range(2)]
+    for a in range(0, len(start), _PIECE):
+        x, y = start[a : a + _PIECE], end[a : a + _PIECE]
+        total = (y - x).astype(U64) * U64(0x632BE59BD9B4E019)
+        for k in range(2):
+            h = _reduced(prefix[k][y] - prefix[k][x])
+            h *= downs[k][x]
+            total += _reduced(h) << U64(32 * k)
+        out[a : a + len(x)] = mix(total)
+    return out
 
 
 # ------------------------------------------------------------------ words
@@ -171,7 +226,7 @@ class Words:
         self.count = np.diff(self.first)
 
     def hashes(self, data: np.ndarray, which: int = 0) -> np.ndarray:
-        return span_hash(prefix_hash(byte_values(data, which), which), self.start, self.end, which)
+        return span_hash(prefix_hash(data, which), self.start, self.end, which)
 
 
 def stable_hash(text: str) -> int:

@@ -1,30 +1,32 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
 A document's set is its distinct shingles of five words; `COORDS` minwise tokens
-represent it in sketches.  Each of ``trees`` independent trees puts a document in
-the node of one minwise token.  Documents of similarity s share a node of a tree
-with probability s, so 16 trees leave fewer than one link of 0.75 in 10**9
-unseen.  Every pair of a node is either compared, in one component already, or
-ruled out by a bound that no link can break:
-
-- nodes of up to ``small`` documents are compared exhaustively;
-- the documents of larger nodes are joined on the prefixes of their full sets,
-  tokens that many of them share last: two linked documents have their first
-  common token in both prefixes, and what stands behind it must suffice for the
-  link.  So a line that very many documents share (a licence) counts only where
-  it makes up most of a document.  Where very many still meet under one token,
-  they are parted by the sizes that can be linked there.
-
-Pairs whose sizes or sketches (four bits of each coordinate) rule a link out go
-no further; the rest are confirmed on full sets.  What is compared is bounded without losing
-links between classes:
-
-- documents with equal sets form one class and join once, by their smallest id;
-- every node first compares its members with its smallest one (a star), and
-  connected components of the confirmed links are found; the large groups of the
-  prefix join do so again, with the member of the smallest set;
-- afterwards only members of different components of a node are compared, as
-  pairs inside a component cannot change it.
+represent it.  Documents with equal sets form one class and take part once.
+Each of ``trees`` independent trees puts a class in the node of one minwise
+token; classes of similarity s meet in a tree with probability s, so 16 trees
+leave fewer than one link of 0.75 in 10**9 unseen.
+
+1. Stars.  Every class is compared with the smallest members of its nodes by
+   sizes and sketches (four bits of each coordinate); the best one that can be
+   linked is confirmed on full sets.  That is one confirmation a class, and it
+   joins most of a large group of near copies; it is repeated with the next best
+   one in another component while that still finds links, `ROUNDS` times at most.
+2. Branching.  Only nodes that still hold several components matter.  A node of
+   more than ``small`` classes branches by ``BRANCHES`` further minwise tokens of
+   its members as long as that at least halves the comparisons: a line that very
+   many otherwise different documents share falls apart at once.  A pair of
+   similarity 0.75 stays together in some child with probability 0.984.
+3. Comparison.  Small nodes, and nodes that branching does not thin out, are
+   compared exhaustively by sketches inside tasks, the latter in blocks of
+   about ``BLOCK`` tokens; what comes out are the classes that have a promising
+   partner in another component.
+4. Ceilings.  A token that no other of these classes has cannot be common, so
+   what is left of a set is the most that any pair with it can share.  Near
+   copies of a template that differ too much from all others mostly go here.
+5. Confirmation.  The classes left are compared once more, with their full sets.
+   A part gives at most one link for each component that it joins.
+
+Beside the stars no pair is ever written, and pairs inside a component are not compared, as they cannot change the result.
 """
 
 from __future__ import annotations
@@ -36,14 +38,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NON_SPACE, U64, Words, chunks, cut, drop, mix, uniform
+from .common import LOWER, NON_SPACE, U64, Words, chunks, cut, drop, mix, uniform, unused
 
 SHINGLE = 5
 COORDS = 48
 TREES = 16
-SMALL = 24
-#: Tokens that stand last in prefixes; the order of tokens costs or saves time only.
-COMMON = 200_000
+SMALL = 64
+BRANCHES = 3
+LEVELS = 4
+#: Tokens of the sets of a block of a large node.
+BLOCK = 1 << 19
+ROUNDS = 4
+#: Share of confirmed stars below which no further round is made.
+FEW = 0.05
+#: Members of a star that share one copy of its centre's set.
+STAR = 256
 #: Coordinates whose four-bit sketches must agree before full sets are compared: at similarity 0.75 they agree in 36.8 of 48
 #: on average with a deviation of 2.9, so one pair in 10**8 is below 20.
 AGREE = 20
@@ -74,6 +83,12 @@ def set_of(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(shingle_hashes(data, np.array([0, len(data)]), shingle)[0])
 
 
+def fingerprint(own: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set of sorted distinct hashes."""
+    d = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
 _SALT = uniform(COORDS, 7) | U64(1)
 
 
@@ -88,9 +103,9 @@ def _signatures(shingle: int, coords: int):
                 for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                     own = np.unique(h[lo:hi])
                     n.append(len(own))
-                    d = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
-                    f1.append(int.from_bytes(d[:8], "little", signed=True))
-                    f2.append(int.from_bytes(d[8:], "little", signed=True))
+                    x, y = fingerprint(own)
+                    f1.append(x)
+                    f2.append(y)
                     if len(own):  # blocks keep the products small for very long texts
                         low, token = np.full(coords, (1 << 64) - 1, U64), np.zeros(coords, U64)
                         for k in range(0, len(own), 4096):
@@ -116,10 +131,10 @@ def _signatures(shingle: int, coords: int):
 
 # ------------------------------------------------------------------ trees
 def _roots(classes: DataFrame, trees: int) -> DataFrame:
-    """(node, id, token, a) of each tree's first branching: a document stands in the node of its minwise token, a is the node's
-    smallest one; nodes of one document are left out."""
-    names = F.transform(F.slice("sig", 1, trees), lambda x, i: F.struct(F.xxhash64(i, x).alias("node"), x.alias("token")))
-    level = cut(classes.select("id", F.explode(names).alias("r")).select("id", "r.*"), "level")
+    """(node, tree, id, size, a) of each tree's first branching: a class stands in the node of its minwise token, a is the node's
+    smallest one; nodes of one class are left out."""
+    names = F.transform(F.slice("sig", 1, trees), lambda x, i: F.struct(F.xxhash64(i, x).alias("node"), i.cast("int").alias("tree")))
+    level = cut(classes.select("id", F.col("n").alias("size"), F.explode(names).alias("r")).select("id", "size", "r.*"), "level")
     sizes = cut(level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a")).where("n > 1").select("node", "a"), "sizes")
     out = cut(level.join(sizes, "node"), "nodes")
     drop(level, sizes)
@@ -127,129 +142,274 @@ def _roots(classes: DataFrame, trees: int) -> DataFrame:
 
 
 def _mixed(nodes: DataFrame) -> DataFrame:
-    """nodes (node, id, component, ...) that hold several components, with their size n."""
+    """nodes (node, tree, id, size, component) that hold several components, with their classes n and tokens."""
     nodes = cut(nodes, "level")
-    mixed = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    mixed = cut(mixed.where("lo < hi").select("node", "n"), "mixed")
+    mixed = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("tokens"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    mixed = cut(mixed.where("lo < hi").select("node", "n", "tokens"), "mixed")
     out = cut(nodes.join(mixed, "node"), "nodes")
     drop(nodes, mixed)
     return out
 
 
-# ------------------------------------------------------------------ prefixes
-def _common(hot: DataFrame, classes: DataFrame, small: int) -> np.ndarray:
-    """The minwise tokens of more than `small` of the documents hot (id), at most `COMMON`, the most frequent last."""
-    count = hot.join(classes, "id").select(F.explode(F.array_distinct("sig")).alias("token")).groupBy("token").count()
-    rows = count.where(F.col("count") > small).orderBy(F.desc("count"), "token").limit(COMMON).select("token").collect()
-    return np.array([r.token for r in rows[::-1]], np.int64).view(U64)
+def _named(nodes: DataFrame, component: DataFrame) -> DataFrame:
+    """nodes with their classes' components; those of no link are their own."""
+    return nodes.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def _prefixes(docs: DataFrame, hot: DataFrame, common: np.ndarray, shingle: int, percent: int) -> DataFrame:
-    """(token, id, size, reach) for the prefixes of the documents hot (id): rare tokens stand first, `common` ones last, and a
-    prefix has all tokens that can be the first common one of a link.  If it is, the other set has at most `reach` tokens."""
-    order = np.argsort(common)
-    known = common[order]
+def _leaves(nodes: DataFrame, classes: DataFrame, trees: int, small: int) -> list[DataFrame]:
+    """Tables (part, side, id) of what is to be compared: classes of one part, on different sides where sides are given.
 
-    def run(batches):
-        for batch in batches:
-            for a, b, data, offs in chunks(batch, "text", 1 << 19):
-                h, first = shingle_hashes(data, offs, shingle)
-                size, prefix = [], []
-                for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    own = np.unique(h[lo:hi])
-                    rank = np.zeros(len(own), np.int64)
-                    if len(known):
-                        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                        rank = np.where(known[at] == own, order[at] + 1, 0)
-                    size.append(len(own))
-                    prefix.append(own[np.lexsort((own, rank))[: len(own) + percent * -len(own) // 100 + 1]].view(np.int64))
-                ends = np.cumsum([0, *map(len, prefix)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefix)))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(size, pa.int64()), lists], ["id", "size", "prefix"])
-
-    few = hot.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(hot) if few else hot, docs["doc_id"] == hot["id"]).select("doc_id", "text")
-    found = texts.mapInArrow(run, "id long, size long, prefix array<long>").distinct()  # repeated rows of one id
-    found = found.select("id", "size", F.posexplode("prefix").alias("pos", "token"))
-    return found.select("token", "id", "size", F.expr(f"(size - pos) * {100 + percent} div {percent} - size").alias("reach"))
-
-
-def _by_size(groups: DataFrame, percent: int) -> DataFrame:
-    """groups (node, id, component, size, reach) parted by the sizes of both ends of a pair, in bands of a tenth; a document stands
-    in the part of each band that it can be linked with, as `lower` or `upper` end, or both where the bands are one."""
-    band = lambda x: F.floor(F.log(x) * 10)
-    least = F.expr(f"({percent} * size + 99) div 100")
-    out = groups.where(F.col("reach") >= least).withColumn("own", band(F.col("size"))).withColumn("other", F.explode(F.sequence(band(least), band(F.col("reach")))))
+    nodes: (node, tree, id, size, component, n, tokens).  The coordinates of a path are those
+    after the trees', three a level, so that no path uses one twice.
+    """
+    whole = lambda rows: rows.select(F.col("node").alias("part"), F.lit(0).alias("side"), "id")
+    out, big = [whole(nodes.where(F.col("n") <= small))], nodes.where(F.col("n") > small)
+    for level in range(LEVELS):
+        if not big.limit(1).count():
+            return out
+        at = [(F.col("tree") * 7 + (BRANCHES * level + k)) % (COORDS - trees) + trees for k in range(BRANCHES)]
+        child = F.explode(F.array(*[F.xxhash64("node", i, F.get("sig", i)) for i in at]))
+        kids = cut(big.join(classes.select("id", "sig"), "id").select("node", "tree", "id", "size", "component", "n", child.alias("child")), "kids")
+        count = kids.groupBy("node", "n", "child").agg(F.count(F.lit(1)).cast("double").alias("c"))
+        # comparisons in the children against those in the node: a node that does not fall apart is compared as it is
+        dense = cut(count.groupBy("node", "n").agg(F.sum(F.col("c") * F.col("c")).alias("squares")).where(F.col("squares") > F.col("n") * F.col("n") * 0.5).select("node"), "dense")
+        stay = cut(big.join(dense, "node", "left_semi"), "stay")
+        out.append(_blocks(stay))
+        below = _mixed(kids.join(dense, "node", "left_anti").select(F.col("child").alias("node"), "tree", "id", "size", "component"))
+        drop(kids, dense)
+        out.append(whole(below.where(F.col("n") <= small)))
+        big = below.where(F.col("n") > small)
+    return [*out, _blocks(big)]
+
+
+def _blocks(nodes: DataFrame) -> DataFrame:
+    """Large nodes in blocks: each two blocks of a node are a part of two sides, each block one of its own."""
+    n = F.ceil(F.col("tokens") / F.lit(float(BLOCK)))
+    own = F.pmod(F.xxhash64("id", "node"), n)
+    rows = nodes.select("node", "id", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("other"))
     part = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
-    return out.select(part.alias("node"), "id", "component", "size", "reach", (F.col("own") <= F.col("other")).alias("lower"), (F.col("own") >= F.col("other")).alias("upper"))
-
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return rows.select(part.alias("part"), side.alias("side"), "id")
+
+
+# ------------------------------------------------------------------ comparison
+def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many four-bit coordinates of two arrays of sketches are equal."""
+    d = x ^ y
+    d |= d >> U64(1)
+    d |= d >> U64(2)
+    d &= U64(0x1111111111111111)
+    return COORDS - np.bitwise_count(d).sum(-1).astype(np.int64)
+
+
+class _Rows:
+    """Rows of whole parts: part, side, id, component, set size, ceiling and sketch."""
+
+    def __init__(self, columns: list[np.ndarray]):
+        self.columns = columns
+        self.part, self.side, self.id, self.component, self.n, self.most = columns[:6]
+        self.sketch = np.stack(columns[6:], axis=1).view(U64) if len(columns[0]) else np.zeros((0, COORDS // 16), U64)
+
+    def pairs(self, small: int):
+        """Positions (i, j) of all pairs within parts, piece by piece."""
+        n = len(self.part)
+        head = np.flatnonzero(np.concatenate([[True], self.part[1:] != self.part[:-1]])) if n else np.zeros(0, np.int64)
+        size = np.diff(np.append(head, n))
+        last = np.repeat(head + size, size)  # where each row's part ends
+        few = np.flatnonzero(np.repeat(size <= small, size))
+        for d in range(1, int(size[size <= small].max(initial=1))):
+            few = few[few + d < last[few]]
+            yield few, few + d
+        for k in np.flatnonzero(size > small).tolist():
+            lo, hi = int(head[k]), int(head[k] + size[k])
+            for a in range(lo, hi, 128):
+                i, j = np.meshgrid(np.arange(a, min(a + 128, hi)), np.arange(a, hi), indexing="ij")
+                use = i < j
+                yield i[use], j[use]
+
+    def promising(self, small: int, percent: int, agree: int):
+        """(i, j) of pairs in different components that sizes, ceilings and sketches let be linked."""
+        for i, j in self.pairs(small):
+            n, m = self.n[i], self.n[j]
+            ok = (self.component[i] != self.component[j]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            ok &= (100 + percent) * np.minimum(self.most[i], self.most[j]) >= percent * (n + m)
+            ok &= (self.side[i] != self.side[j]) | (self.side[i] == 0)
+            i, j = i[ok], j[ok]
+            ok = _agreement(self.sketch[i], self.sketch[j]) >= agree
+            if ok.any():
+                yield i[ok], j[ok]
+
+
+def _common(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of pairs of sets, pair by pair or, where most sets are in many pairs, of all with all at once."""
+    if len(i) <= 8 * len(sets):
+        return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+    n = len(sets)
+    token, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(column, kind="stable")
+    row, first = row[order], np.concatenate([[0], np.cumsum(times)])
+    both = np.zeros((n, n), np.float32)
+    rare = np.flatnonzero((times > 1) & (times <= 8))
+    for d in range(1, 8):  # tokens of few sets: their pairs, by distance in the token's list
+        rare = rare[times[rare] > d]
+        for k in range(int(times[rare].max(initial=0)) - d):
+            at = first[rare[times[rare] > d + k]] + k
+            np.add.at(both, (row[at], row[at + d]), 1)
+    often = np.flatnonzero(times > 8)
+    for a in range(0, len(often), 4096):
+        some = often[a : a + 4096]
+        has = np.zeros((n, len(some)), np.float32)
+        which = np.repeat(np.arange(len(some)), times[some])
+        at = np.arange(len(which)) - np.repeat(np.cumsum(times[some]) - times[some], times[some]) + np.repeat(first[some], times[some])
+        has[row[at], which] = 1
+        both += np.triu(has @ has.T, 1)
+    return both[np.minimum(i, j), np.maximum(i, j)].astype(np.int64)
+
+
+def _joining(x: _Rows, i: np.ndarray, j: np.ndarray) -> list[int]:
+    """Of linked pairs (i, j) those that join components, one part after the other."""
+    out, part, root = [], None, {}
+
+    def find(c):
+        while root.get(c, c) != c:
+            root[c] = root.get(root[c], root[c])
+            c = root[c]
+        return c
+
+    for k in np.argsort(x.part[i], kind="stable").tolist():
+        if x.part[i[k]] != part:
+            part, root = x.part[i[k]], {}
+        c, d = find(int(x.component[i[k]])), find(int(x.component[j[k]]))
+        if c != d:
+            root[d] = c
+            out.append(k)
+    return out
 
-# ------------------------------------------------------------------ links
-def _alike(x: str, y: str, percent: int, agree: int):
-    """Whether two classes (structs n, sketch) can be linked: sizes that allow it, and sketches that agree often enough."""
-    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    same = F.lit(0)
-    for k in range(COORDS // 16):
-        d = F.get(F.col(f"{x}.sketch"), F.lit(k)).bitwiseXOR(F.get(F.col(f"{y}.sketch"), F.lit(k)))
-        differ = d.bitwiseOR(F.shiftright(d, 1)).bitwiseOR(F.shiftright(d, 2)).bitwiseOR(F.shiftright(d, 3)).bitwiseAND(F.lit(0x1111111111111111))
-        same = same + 16 - F.bit_count(differ)
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (same >= agree)
 
+def _compared(leaves: list[DataFrame], known: DataFrame, small: int, percent: int, agree: int) -> DataFrame:
+    """What the exhaustive comparison finds: the ids of classes with a promising partner or, if known has full sets `own`, links (a, b) that join components.
 
-def _promising(pairs: DataFrame, sketches: DataFrame, percent: int, agree: int) -> DataFrame:
-    """The pairs (a, b) that can be linked by their sizes and sketches."""
-    x, y = sketches.select(F.col("id").alias("a"), F.col("s").alias("x")), sketches.select(F.col("id").alias("b"), F.col("s").alias("y"))
-    return pairs.join(x, "a").join(y, "b").where(_alike("x", "y", percent, agree)).select("a", "b")
+    known: (id, component, n, most, sketch); classes that are not there take no part.
+    """
+    rows, exact = leaves[0], "own" in known.columns
+    for more in leaves[1:]:
+        rows = rows.unionByName(more)
+    sketch = [F.get("sketch", F.lit(k)).alias(f"s{k}") for k in range(COORDS // 16)]
+    rows = rows.join(known, "id").select("part", F.col("side").cast("long").alias("side"), "id", "component", "n", "most", *sketch, *["own"] * exact)
+
+    def found(x: _Rows, own: pa.Array | None):
+        pairs = [np.stack(p) for p in x.promising(small, percent, agree)]
+        i, j = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+        if own is None:
+            return [pa.array(np.unique(x.id[np.concatenate([i, j])]))]
+        order = np.argsort(x.part[i], kind="stable")
+        i, j = i[order], j[order]
+        kept = []
+        for at in np.split(np.arange(len(i)), np.flatnonzero(np.diff(x.part[i])) + 1):  # part by part
+            if len(at):
+                use, back = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+                sets = [np.frombuffer(own[int(k)].as_buffer(), U64) for k in use]
+                both = _common(sets, back[: len(at)], back[len(at) :])
+                kept.append(at[(both > 0) & (100 * both >= percent * (x.n[i[at]] + x.n[j[at]] - both))])
+        kept = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+        i, j = i[kept], j[kept]
+        some = _joining(x, i, j)
+        a, b = x.id[i[some]], x.id[j[some]]
+        return [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))]
+
+    names = ["a", "b"] if exact else ["id"]
+    n = 6 + COORDS // 16
 
+    def run(batches):
+        held, texts = None, []
+        for batch in batches:
+            columns = [c.to_numpy() for c in batch.columns[:n]]
+            if held is not None:
+                columns = [np.concatenate(c) for c in zip(held, columns, strict=True)]
+            texts += batch.columns[n:]
+            # the last part may go on in the next batch; parts are bounded by blocks
+            at = int(np.searchsorted(columns[0], columns[0][-1])) if len(columns[0]) else 0
+            held = [c[at:] for c in columns]
+            if at:
+                own = pa.chunked_array(texts) if exact else None
+                yield pa.RecordBatch.from_arrays(found(_Rows([c[:at] for c in columns]), own), names)
+                texts = own.slice(at).chunks if exact else []
+        if held is not None:
+            yield pa.RecordBatch.from_arrays(found(_Rows(held), pa.chunked_array(texts, pa.binary()) if exact else None), names)
+
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, ", ".join(f"{c} long" for c in names)).distinct()
+
+
+# ------------------------------------------------------------------ confirmation
+def _sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, own) for classes ids: the full set as sorted 64-bit hashes, made anew from the text of a document of the class."""
+    wanted = cut(ids.join(classes.select("id", "m", "f1", "f2"), "id"), "wanted")
+    few = wanted.count() <= BROADCAST_IDS  # a few MB of ids spare the shuffle of all texts; beyond that the join shuffles
 
-def _reached(x: str, y: str, percent: int, agree: int):
-    """Whether two members of a prefix group (structs id, component, size, reach, s) can be linked with its token as their first common one."""
-    size, reach = F.col(f"{x}.size") <= F.col(f"{y}.reach"), F.col(f"{y}.size") <= F.col(f"{x}.reach")
-    return (F.col(f"{x}.component") != F.col(f"{y}.component")) & size & reach & _alike(f"{x}.s", f"{y}.s", percent, agree)
+    def run(batches):
+        for batch in batches:
+            for a, b, data, offs in chunks(batch, "text", 1 << 19):
+                h, first = shingle_hashes(data, offs, shingle)
+                f1, f2 = (batch.column(k)[a:b].to_pylist() for k in (2, 3))
+                keep, own = [], []
+                for k, (lo, hi) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+                    x = np.unique(h[lo:hi])
+                    if fingerprint(x) == (f1[k], f2[k]):  # another row of the same id can have another text
+                        keep.append(a + k)
+                        own.append(x.tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(keep, pa.int64())), pa.array(own, pa.binary())], ["id", "own"])
 
+    texts = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("m")).select("text", "id", "f1", "f2")
+    return texts.mapInArrow(run, "id long, own binary").groupBy("id").agg(F.first("own").alias("own"))
 
-def _ends(x: str, y: str):
-    return F.least(f"{x}.id", f"{y}.id").alias("a"), F.greatest(f"{x}.id", f"{y}.id").alias("b")
 
+def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The written table of pairs (a, b) whose full sets satisfy 100 * intersection >= percent * union.
 
-def _named(nodes: DataFrame, component: DataFrame) -> DataFrame:
-    """nodes with their documents' components; those of no link are their own."""
-    return nodes.drop("component", "n").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    Pairs of one a meet in groups of about `STAR`, to which the set of a is sent once.
+    """
+    pairs = cut(pairs.select("a", "b"), "pairs")
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    own = cut(_sets(ids, classes, docs, shingle), "own")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(STAR))).alias("parts"))
+    dealt = cut(pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")), "dealt")
+    heads = dealt.select("a", "part").distinct().join(own.withColumnRenamed("id", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "own")
+    rows = heads.unionByName(dealt.join(own.withColumnRenamed("id", "b"), "b").select("a", "part", "b", "own"))
 
+    def run(batches):
+        head = np.zeros(0, U64)
+        for batch in batches:
+            a, b, own = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)
+            out = []
+            for k in range(len(a)):
+                x = np.frombuffer(own[k].as_buffer(), U64)
+                if b[k] is None:
+                    head = x.copy()
+                    continue
+                both = len(np.intersect1d(head, x, assume_unique=True))
+                if both and 100 * both >= percent * (len(head) + len(x) - both):
+                    out.append((a[k], b[k]))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-def _confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets satisfy 100 * intersection >= percent * union; docs has the texts."""
-    ids = cut(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-    few = ids.count() <= BROADCAST_IDS  # a few MB of ids spare the shuffle of all texts; beyond that the join shuffles
-    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id").groupBy("doc_id").agg(F.first("text").alias("text"))
-    texts = cut(texts.withColumnRenamed("doc_id", "id"), "texts")
+    links = cut(rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long"), "links")
+    drop(pairs, own, dealt)
+    return links
 
-    def run(batches):
-        kept: dict[int, np.ndarray] = {}
 
-        def own(i, text):
-            if i not in kept:
-                if len(kept) >= 64:
-                    kept.clear()
-                kept[i] = set_of(text, shingle)
-            return kept[i]
+def _ceilings(ids: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, most): tokens of each class that some other of the classes ids has as well."""
+    own = _sets(ids, classes, docs, shingle)
 
+    def tokens(batches):
         for batch in batches:
-            out_a, out_b = [], []
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ta, tb = batch.column(2), batch.column(3)
-            for k in range(len(a)):
-                x, y = own(a[k], ta[k].as_py() if a[k] not in kept else None), set_of(tb[k].as_py(), shingle)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both and 100 * both >= percent * (len(x) + len(y) - both):
-                    out_a.append(a[k])
-                    out_b.append(b[k])
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+            for k in range(batch.num_rows):
+                x = np.frombuffer(batch.column(1)[k].as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), batch.column(0)[k].as_py())), pa.array(x)], ["id", "token"])
 
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-    return both.mapInArrow(run, "a long, b long")
+    single = own.mapInArrow(tokens, "id long, token long").groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1")
+    alone = single.groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+    return ids.join(classes.select("id", "n"), "id").join(alone, "id", "left").select("id", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -272,6 +432,38 @@ def components(links: DataFrame) -> DataFrame:
     return label.select(F.col("a").alias("id"), F.col("l").alias("component"))
 
 
+def _stars(nodes: DataFrame, classes: DataFrame, percent: int, agree: int) -> DataFrame:
+    """(a, b, same): each class b with those smallest members a of its nodes that it can be linked with, and how many coordinates agree."""
+    x, y = (classes.select(F.col("id").alias(i), F.struct("n", "sketch").alias(s)) for i, s in (("a", "x"), ("b", "y")))
+    n, m, same = F.col("x.n"), F.col("y.n"), F.lit(0)
+    for k in range(COORDS // 16):
+        d = F.get("x.sketch", F.lit(k)).bitwiseXOR(F.get("y.sketch", F.lit(k)))
+        differ = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        differ = differ.bitwiseOR(F.shiftrightunsigned(differ, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        same = same + 16 - F.bit_count(differ)
+    met = nodes.where("a < id").select("a", F.col("id").alias("b")).distinct().join(x, "a").join(y, "b")
+    return met.where((100 * F.least(n, m) >= percent * F.greatest(n, m)) & (same >= agree)).select("a", "b", same.alias("same"))
+
+
+def _star_links(stars: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links, component) after rounds of one confirmation a class: with its best star in another component that it has not been compared with."""
+    left, links, component = cut(stars, "stars"), None, None
+    for _ in range(ROUNDS):
+        best = cut(left.groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a")), "best")
+        new = _confirm(best, classes, docs, shingle, percent)
+        links = new if links is None else links.unionByName(new)
+        component = components(links)
+        if new.count() < FEW * best.count():
+            break  # what is left is for the comparison of nodes
+        ends = (component.select(F.col("id").alias(k), F.col("component").alias(f"c{k}")) for k in "ab")
+        rest = left.join(best, ["a", "b"], "left_anti").join(next(ends), "a", "left").join(next(ends), "b", "left")
+        rest = cut(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "same"), "stars")
+        drop(left, best)
+        left = rest
+    drop(left, best)
+    return links, component
+
+
 def find(
     documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = 75, trees: int = TREES,
     small: int = SMALL, agree: int = AGREE,
@@ -281,61 +473,47 @@ def find(
     Documents are linked when 100 * intersection >= percent * union of their
     shingle sets; component_id is the smallest id reachable, and a row is kept
     if it is its own.  Texts that are null or have no word have an empty set and
-    link with nothing.  Repeated rows with one id are one node of the graph;
-    a null id links with nothing and is kept (its component is null).
+    link with nothing.  Repeated rows with one id are one node of the graph,
+    linked wherever one of them is, also if their texts differ; a null id links
+    with nothing and is kept (its component is null).  An empty table gives an
+    empty result; other columns are not looked at.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = cut(docs.mapInArrow(_signatures(shingle, COORDS), "doc_id long, n_shingles long, f1 long, f2 long, sig array<long>, sketch array<long>"), "sets")
     usable = sets.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    kept = F.first(F.struct("sig", F.struct(F.col("n_shingles").alias("n"), "sketch").alias("s"))).alias("c")
-    first = cut(usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("x"), kept), "classes")
-    classes, sketches = first.select("id", "c.sig"), first.select("id", "c.s")
+    kept = F.first(F.struct("sig", F.col("n_shingles").alias("n"), "sketch")).alias("c")
+    first = usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x"), kept).select("f1", "f2", "m", "x", "c.*")
+    classes = cut(first.withColumn("id", F.monotonically_increasing_id()), "classes")  # written, so the numbers stay
     nodes = _roots(classes, trees)
-    # every node's star first: components that it links need no other pair
-    stars = cut(nodes.where("a < id").select("a", F.col("id").alias("b")).distinct(), "stars")
-    close = cut(_promising(stars, sketches, percent, agree), "close")
-    links = cut(_confirm(close, docs, shingle, percent), "links")
-    component = cut(components(links), "component")
-    open_ = _mixed(_named(nodes.select("node", "id"), component))
+    links, component = _star_links(_stars(nodes, classes, percent, agree), classes, docs, shingle, percent)
+    mixed = _mixed(_named(nodes.select("node", "tree", "id", "size"), component))
     drop(nodes)
-    leaves = cut(open_.where(F.col("n") <= small).select("node", "id", "component").join(sketches, "id"), "leaves")
-    other = leaves.select("node", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("s").alias("t"))
-    apart = (F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")) & _alike("s", "t", percent, agree)
-    pairs = leaves.join(other, "node").where(apart).select(F.col("id").alias("a"), "b")
-    hot = cut(open_.where(F.col("n") > small).select("id").distinct(), "hot")
+    leaves = [cut(x, "leaves") for x in _leaves(mixed, classes, trees, small)]
+    drop(mixed)
+    known = _named(classes.select("id", "n", "sketch"), component)
+    hot = cut(_compared(leaves, known.withColumn("most", F.col("n")), small, percent, agree), "hot")
     if hot.limit(1).count():
-        prefixes = _prefixes(docs, hot, _common(hot, classes, small), shingle, percent)
-        groups = _mixed(_named(prefixes.withColumnRenamed("token", "node"), component))
-        one = F.struct("id", "component", "size", "reach", "s")
-        few = cut(groups.where(F.col("n") <= small).join(sketches, "id").select("node", one.alias("x")), "few")
-        met = few.join(few.select("node", F.col("x").alias("y")), "node").where((F.col("x.id") < F.col("y.id")) & _reached("x", "y", percent, agree))
-        pairs = pairs.unionByName(met.select(*_ends("x", "y")))
-        many = _mixed(_by_size(groups.where(F.col("n") > small), percent))
-        drop(groups)
-        # stars again, now between documents that can be linked
-        many = cut(many.join(sketches, "id").select("node", "lower", "upper", one.alias("x")), "many")
-        centre = many.groupBy("node").agg(F.min_by("x", F.struct("x.size", "x.id")).alias("y"))
-        near = many.join(centre, "node").where(_reached("x", "y", percent, agree)).select(*_ends("x", "y")).distinct()
-        near = cut(near.join(stars, ["a", "b"], "left_anti"), "near")
-        links = links.unionByName(cut(_confirm(near, docs, shingle, percent), "links"))
-        stars = stars.unionByName(near)
-        component = cut(components(links), "component")
-        many = _mixed(_named(many.select("node", "lower", "upper", "x.id", "x.size", "x.reach", "x.s"), component))
-        low = many.where("lower").select("node", one.alias("x"), F.col("upper").alias("both"))
-        up = many.where("upper").select("node", one.alias("y"), F.col("lower").alias("both_"))
-        once = ~(F.col("both") & F.col("both_")) | (F.col("x.id") < F.col("y.id"))
-        pairs = pairs.unionByName(low.join(up, "node").where(once & _reached("x", "y", percent, agree)).select(*_ends("x", "y")))
-    pairs = cut(pairs.distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(cut(_confirm(pairs, docs, shingle, percent), "links"))
-    # equal sets are links as well: each document with the smallest id of its class
-    copies = usable.join(first.where("id < x").select("f1", "f2", "id"), ["f1", "f2"]).where("doc_id > id").select(F.col("id").alias("a"), F.col("doc_id").alias("b")).distinct()
-    found = components(links.unionByName(copies))
+        most = cut(_ceilings(hot, classes, docs, shingle), "most")
+        left = cut(_compared(leaves, known.join(most, "id"), small, percent, agree), "left")
+        own = cut(_sets(left, classes, docs, shingle), "own")
+        links = links.unionByName(cut(_compared(leaves, known.join(most, "id").join(own, "id"), small, percent, agree), "links"))
+        drop(most, left, own)
+    drop(hot, *leaves)
+    # to documents: links between classes join their smallest ids, and each document is linked with that of its class
+    m = classes.select("id", "m")
+    ends = links.join(m.select(F.col("id").alias("a"), F.col("m").alias("ma")), "a").join(m.select(F.col("id").alias("b"), F.col("m").alias("mb")), "b").where("ma <> mb").select(F.col("ma").alias("a"), F.col("mb").alias("b"))
+    copies = usable.join(classes.where("m < x").select("f1", "f2", "m"), ["f1", "f2"]).where("doc_id > m").select(F.col("m").alias("a"), F.col("doc_id").alias("b")).distinct()
+    found = components(ends.unionByName(copies))
     out = sets.select("doc_id", "n_shingles").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def deduplicate(documents: DataFrame, *, id_col: str = "doc_id", **kw) -> DataFrame:
-    """documents without those that another one of their component stands for; repeated rows of one id all stay or all go."""
-    gone = find(documents, id_col=id_col, **kw).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, documents[id_col].cast("long") == F.col("_gone"), "left_anti")
+    """documents without those that another one of their component stands for, all columns as they are.
+
+    Repeated rows of one id all stay or all go.  Rows with a null id, and texts
+    that are null or empty, stay; an empty table stays empty.
+    """
+    gone = find(documents, id_col=id_col, **kw).where(~F.col("kept")).select(F.col("doc_id").alias(unused(documents, "gone"))).distinct()
+    return documents.join(gone, documents[id_col].cast("long") == gone[gone.columns[0]], "left_anti")

@@ -143,15 +143,15 @@ def _scan(window: int, rounds: int):
             for a, b, data, offs in chunks(batch, "text"):
                 w = Words(data, offs, NON_SPACE)
                 h = w.hashes(data)
-                whole = [span_hash(prefix_hash(w.hashes(data, k) if k else h, k), w.first[:-1], w.first[1:], k) for k in (0, 1)]
                 at, name = anchors(h, w, window, rounds)
                 row = w.row[at]
                 fresh = np.ones(len(at), bool)
                 fresh[1:] = (name[1:] != name[:-1]) | (row[1:] != row[:-1])
                 names = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[fresh], np.arange(b - a + 1)), pa.int32()), _signed(name[fresh]))
-                sha = [_hex(x) for x in _joined(data, w, np.ones(len(w.start), bool), b - a)]
+                sha = [hashlib.sha256(x).digest() for x in _joined(data, w, np.ones(len(w.start), bool), b - a)]
+                f1, f2 = (pa.array([int.from_bytes(x[k : k + 8], "big", signed=True) for x in sha], pa.int64()) for k in (0, 8))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], pa.array(w.count, pa.int64()), pa.array(sha), _signed(whole[0]), _signed(whole[1]), names],
+                    [batch.column(0)[a:b], pa.array(w.count, pa.int64()), pa.array([x.hex() for x in sha]), f1, f2, names],
                     ["doc_id", "n_words", "sha", "f1", "f2", "symbols"],
                 )
 

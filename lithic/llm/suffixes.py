@@ -5,7 +5,7 @@ bytes.  Not all suffixes need sorting.  A string is known by its sync point, the
 position of the smallest hash of eight bytes among the string's first ``gap``
 positions; equal strings have it at the same offset.  So
 
-1. one scan names each text (128-bit fingerprint) and hashes the bytes that all
+1. one scan names each text (128 bits of its SHA-256) and hashes the bytes that all
    strings of a sync point share (its core); texts that occur twice go as a
    whole and stand in for their copies from there on;
 2. suffixes at sync points whose core occurs twice are sorted: each task sorts
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import CHUNK, U64, byte_values, chunks, cut, drop, mix, prefix_hash, span_hash
+from .common import CHUNK, U64, chunks, cut, drop, mix, prefix_hash, span_hash
 
 LENGTH = 400
 GAP = 128
@@ -76,9 +76,9 @@ class Sync:
         self.pos, self.row, self.lo, self.hi = sync[at], row[at], start[at], start[np.append(at[1:], len(sync)) - 1]
 
 
-def _fingerprint(data, offs):
-    p = [prefix_hash(byte_values(data, k), k) for k in (0, 1)]
-    return p, [span_hash(p[k], offs[:-1], offs[1:], k) for k in (0, 1)]
+def _name(sha: bytes) -> tuple[int, int]:
+    """Two signed 64-bit numbers that stand for a text."""
+    return int.from_bytes(sha[:8], "big", signed=True), int.from_bytes(sha[8:16], "big", signed=True)
 
 
 def _signed(x):
@@ -95,24 +95,25 @@ def _scan(length: int, gap: int):
     def run(batches):
         for batch in batches:
             for a, b, data, offs in chunks(batch, "text"):
-                p, f = _fingerprint(data, offs)
                 s = Sync(data, offs, length, gap)
-                cores = _lists(_signed(span_hash(p[0], s.pos, s.pos + core)), s.row, b - a)
+                cores = _lists(_signed(span_hash(prefix_hash(data), s.pos, s.pos + core)), s.row, b - a)
                 raw = data.tobytes()
-                sha = [hashlib.sha256(raw[x:y]).hexdigest() for x, y in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+                sha = [hashlib.sha256(raw[x:y]).digest() for x, y in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+                f = np.array([_name(x) for x in sha], np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], pa.array(np.diff(offs)), _signed(f[0]), _signed(f[1]), pa.array(sha), cores], ["doc_id", "n_bytes", "f1", "f2", "sha", "cores"]
+                    [batch.column(0)[a:b], pa.array(np.diff(offs)), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array([x.hex() for x in sha]), cores], ["doc_id", "n_bytes", "f1", "f2", "sha", "cores"]
                 )
 
     return run
 
 
 def _named(batches):
-    """Each text with its fingerprint."""
+    """Each text with the 128 bits that name it."""
     for batch in batches:
         for a, b, data, offs in chunks(batch, "text"):
-            _, f = _fingerprint(data, offs)
-            yield pa.RecordBatch.from_arrays([_signed(f[0]), _signed(f[1]), batch.column(0)[a:b]], ["f1", "f2", "text"])
+            raw = data.tobytes()
+            f = np.array([_name(hashlib.sha256(raw[x:y]).digest()) for x, y in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(f[:, 0]), pa.array(f[:, 1]), batch.column(0)[a:b]], ["f1", "f2", "text"])
 
 
 def _wanted(batch, column, a, b, rows, names):
@@ -185,7 +186,7 @@ def _runs(length: int, gap: int, bounds: list[bytes]):
         for batch in batches:
             for a, b, data, offs in chunks(batch, "text"):
                 s = Sync(data, offs, length, gap)
-                p = prefix_hash(byte_values(data))
+                p = prefix_hash(data)
                 name = span_hash(p, s.pos, s.pos + core)
                 take = np.flatnonzero(_wanted(batch, "cores", a, b, s.row, name))
                 if not len(take):
@@ -333,7 +334,7 @@ def _pieces(length: int):
                 right = pos[i] - j * PIECE  # the piece's last start; its first is PIECE - 1 before
                 x, y = np.maximum(lo[i], right - PIECE + 1), np.minimum(hi[i], right)
                 start = offs[row[i]] + right
-                name = span_hash(prefix_hash(byte_values(data)), start, start - PIECE + 1 + length)
+                name = span_hash(prefix_hash(data), start, start - PIECE + 1 + length)
                 open_ = np.maximum(x, first[i]) <= np.minimum(y, last[i])
                 # the sync point's offset belongs to the name: equal strings have theirs at the same place
                 yield pa.RecordBatch.from_arrays(
@@ -356,8 +357,7 @@ def _strings(length: int, only_open: bool):
                 i, k = _spread(np.maximum(y - x + 1, 0))
                 at = x[i] + k
                 start = offs[row[i]] + at
-                p, _ = _fingerprint(data, offs)
-                names = [span_hash(p[q], start, start + length, q) for q in (0, 1)]
+                names = [span_hash(prefix_hash(data, q), start, start + length, q) for q in (0, 1)]
                 open_ = (at >= first[i]) & (at <= last[i])
                 for s in range(0, len(at), CHUNK // 8):
                     z = slice(s, s + CHUNK // 8)
@@ -410,7 +410,7 @@ def _range_bounds(texts: DataFrame, length: int, gap: int, total: int, range_byt
         for batch in batches:
             for a, b, data, offs in chunks(batch, "text"):
                 s = Sync(data, offs, length, gap)
-                p = prefix_hash(byte_values(data))
+                p = prefix_hash(data)
                 name = span_hash(p, s.pos, s.pos + length - gap + 1)
                 take = np.flatnonzero(_wanted(batch, "cores", a, b, s.row, name))
                 f = batch.column(0).to_numpy()[a:b].view(U64)[s.row[take]]
