@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -47,28 +48,63 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_RECORDS: list[list[str]] = []
+
+
+@contextmanager
+def recording():
+    """A list of the paths of the tables that `cut` writes meanwhile."""
+    made: list[str] = []
+    _RECORDS.append(made)
+    try:
+        yield made
+    finally:
+        _RECORDS.pop()
+
+
 def cut(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there.
 
     The files survive the loss of any executor.  They go with the folder, or
-    earlier with `drop`.
+    earlier with `drop` or `sweep`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lithic-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    for made in _RECORDS:
+        made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lithic_path = path
     return out
 
 
+def together(tables: list[DataFrame]) -> DataFrame:
+    """Tables of one schema made by `cut`, as one scan."""
+    first = tables[0]
+    return first.sparkSession.read.schema(first.schema).parquet(*[t._lithic_path for t in tables])
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by `cut` that nothing will read again."""
     for t in tables:
         path = getattr(t, "_lithic_path", None)
         if path:
-            jvm = t.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+            delete(t.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of Spark's file systems."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def sweep(docs: DataFrame, paths: list[str]) -> None:
+    """Delete those of the folders that docs does not read, and empty the list."""
+    read = docs.inputFiles() if paths else []
+    for path in paths:
+        if not any(path.rsplit("/", 1)[-1] in f for f in read):
+            delete(docs.sparkSession, path)
+    paths.clear()
 
 
 def unused(df: DataFrame, name: str) -> str:

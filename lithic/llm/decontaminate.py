@@ -10,9 +10,11 @@ phrases are searched backward at once, occurrences are located by LF steps to
 the next sampled position, and the hit spans of a document are merged.
 
 The documents are read once and never shuffled.  Phrases are the stated query
-set: they are collected in blocks of at most ``block_bytes`` of text, each block
-broadcast on its own, and with more than one block the spans are merged by an
-aggregation over document ids.
+set: they are collected and broadcast in blocks of at most about ``block_bytes``
+of text.  Each row passes through the blocks one after the other and takes its
+spans along, so rows are never told apart or merged by an id.  After ``WAVE``
+blocks the rows are written, which bounds what an executor holds of the phrases;
+results are the same for any size of blocks.
 """
 
 from __future__ import annotations
@@ -24,12 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
-from .common import ALNUM, LOWER, Words, chunks
+from .common import ALNUM, LOWER, Words, chunks, cut, unused
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 4 << 20
+WAVE = 8
 
 
 # ------------------------------------------------------------------ phrases
@@ -211,51 +215,93 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _flush(shard, parts, phrases):
+SPANS = pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())]))
+_SPANS_SQL = "array<struct<first:long,n:long,begin:long,end:long>>"
+
+
+def _joined(spans: list[dict]) -> list[dict]:
+    """Spans of one text, those that touch or overlap as one."""
+    out: list[dict] = []
+    for s in sorted(spans, key=lambda s: s["first"]):
+        if out and s["first"] <= out[-1]["first"] + out[-1]["n"]:
+            last = out[-1]
+            last["n"] = max(last["first"] + last["n"], s["first"] + s["n"]) - last["first"]
+            last["end"] = max(last["end"], s["end"])
+        else:
+            out.append(dict(s))
+    return out
+
+
+def _flush(shard: Shard, parts: list, phrases: Phrases):
+    """For each part (words, offsets) of the shard: spans and items of its rows that are hit, by row."""
     which, at = shard.hits(phrases)
     order = np.argsort(at, kind="stable")
     which, at = which[order], at[order]
     base = 0
-    for ids, w, offs in parts:
-        n = len(ids)
+    for w, offs in parts:
         first = w.first + base
-        cut = np.searchsorted(at, first)
-        spans, items = [[] for _ in range(n)], [[] for _ in range(n)]
-        for r in np.flatnonzero(np.diff(cut)).tolist():
-            a, b = int(cut[r]), int(cut[r + 1])
+        cut_ = np.searchsorted(at, first)
+        found = {}
+        for r in np.flatnonzero(np.diff(cut_)).tolist():
+            a, b = int(cut_[r]), int(cut_[r + 1])
             start = at[a:b] - int(first[r])
-            spans[r] = [
+            spans = [
                 {"first": x, "n": y - x, "begin": int(w.start[w.first[r] + x] - offs[r]), "end": int(w.end[w.first[r] + y - 1] - offs[r])}
                 for x, y in _merged(start, start + phrases.length[which[a:b]])
             ]
-            items[r] = sorted({str(i) for p in np.unique(which[a:b]).tolist() for i in phrases.items[p]})
-        yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(w.count, pa.int64()), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))],
-            ["doc_id", "n_words", "spans", "items"],
-        )
+            found[r] = spans, {str(i) for p in np.unique(which[a:b]).tolist() for i in phrases.items[p]}
+        yield found
         base += len(w.start)
 
 
-SPANS = pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())]))
+def _search(given, text_col: str, names: list[str], first: bool, shard_bytes: int):
+    """Rows with n_words, spans and items (the last three of names); after the first block the last two are added to."""
 
+    def run(batches):
+        known, shard, parts, held = given.value, Shard(), [], []
 
-def _scan(documents: DataFrame, phrases: Phrases, id_col: str, text_col: str, shard_bytes: int) -> DataFrame:
-    given = documents.sparkSession.sparkContext.broadcast(phrases)
+        def flush():
+            for (w, _), rows, found in zip(parts, held, _flush(shard, parts, known), strict=True):
+                n = rows.num_rows
+                before = rows.columns[:-3] if not first else rows.columns
+                if first or found:
+                    spans, items = ([[] for _ in range(n)] for _ in "xy") if first else (rows.column(k).to_pylist() for k in (-2, -1))
+                    for r, (s, i) in found.items():
+                        spans[r], items[r] = _joined([*spans[r], *s]), sorted({*items[r], *i})
+                    last = [pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))]
+                else:
+                    last = rows.columns[-2:]
+                yield pa.RecordBatch.from_arrays([*before, pa.array(w.count, pa.int64()), *last], names)
 
-    def run(batches):
-        known, shard, parts = given.value, Shard(), []
         for batch in batches:
-            for a, b, data, offs in chunks(batch, "text"):
-                parts.append((batch.column(0)[a:b], shard.add(data, offs, known), offs))
+            for a, b, data, offs in chunks(batch, text_col):
+                parts.append((shard.add(data, offs, known), offs))
+                held.append(batch.slice(a, b - a))
                 if shard.bytes >= shard_bytes:
-                    yield from _flush(shard, parts, known)
-                    shard, parts = Shard(), []
-        yield from _flush(shard, parts, known)
+                    yield from flush()
+                    shard, parts, held = Shard(), [], []
+        yield from flush()
 
-    kind = documents.schema[id_col].dataType.simpleString()
-    return documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n_words long, spans array<struct<first:long,n:long,begin:long,end:long>>, items array<string>"
-    )
+    return run
+
+
+def _marked(documents: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, window: int, shard_bytes: int, block_bytes: int) -> tuple[DataFrame, list[str]]:
+    """documents with three further columns, and the names of these: number of words, merged hit spans, items that occur."""
+    spark, extra = documents.sparkSession, []
+    for name, kind in (("n_words", "long"), ("spans", _SPANS_SQL), ("items", "array<string>")):
+        extra.append((unused(documents, name), kind))
+    names = [*documents.columns, *(n for n, _ in extra)]
+    schema = StructType([*documents.schema.fields, *(StructField(n, DataType.fromDDL(k)) for n, k in extra)])
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).where(F.col("text").isNotNull()).distinct()
+    size = items.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    blocks, out = max(1, -(-size // block_bytes)), documents
+    for k in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()
+        given = spark.sparkContext.broadcast(Phrases(phrases_of(map(tuple, block), window)))
+        if k and k % WAVE == 0:
+            out = cut(out, "marked")
+        out = out.mapInArrow(_search(given, text_col, names, k == 0, shard_bytes), schema)
+    return out, [n for n, _ in extra]
 
 
 def contamination(
@@ -265,95 +311,37 @@ def contamination(
     """For each document row: doc_id, n_words, merged hit spans and the items that occur.
 
     A span has the first hit word, the number of hit words and their byte range.
-    Null or empty texts have no words and no spans.  Repeated document rows are
-    each reported when one block of phrases suffices, and merged by doc_id when
-    there are more.  Items with a null id hit words but are not listed; repeated
-    item rows count once.  An empty benchmark hits nothing.
+    Null or empty texts have no words and no spans.  Repeated document rows and
+    rows with a null id are each reported.  Items with a null id hit words but
+    are not listed; repeated item rows count once.  An empty benchmark hits
+    nothing; of the documents only id and text are looked at.
     """
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    blocks = max(1, -(-size // block_bytes))
-    if blocks == 1:
-        return _scan(documents, Phrases(phrases_of(map(tuple, items.collect()), window)), id_col, text_col, shard_bytes)
-    found = None
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()
-        part = _scan(documents, Phrases(phrases_of(map(tuple, block), window)), id_col, text_col, shard_bytes)
-        found = part if found is None else found.unionByName(part)
-    together = found.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    # spans are sorted by their first word: join those that touch or overlap
-    step = lambda acc, s: F.when(
-        (F.size(acc) > 0) & (F.element_at(acc, -1)["first"] + F.element_at(acc, -1)["n"] >= s["first"]),
-        F.concat(
-            F.slice(acc, 1, F.size(acc) - 1),
-            F.array(F.struct(
-                F.element_at(acc, -1)["first"].alias("first"),
-                (F.greatest(F.element_at(acc, -1)["first"] + F.element_at(acc, -1)["n"], s["first"] + s["n"]) - F.element_at(acc, -1)["first"]).alias("n"),
-                F.element_at(acc, -1)["begin"].alias("begin"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"),
-            )),
-        ),
-    ).otherwise(F.concat(acc, F.array(s)))
-    return together.withColumn("spans", F.aggregate("spans", F.filter("spans", lambda s: F.lit(False)), step))
-
-
-def decontaminate(documents: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
-    """Documents with the hit spans cut out of their texts; texts without a hit stay as they are."""
-    id_col, text_col = kw.get("id_col", "doc_id"), kw.get("text_col", "text")
-    given = documents.sparkSession.sparkContext.broadcast(
-        Phrases(phrases_of(map(tuple, benchmark.select(kw.get("item_col", "item_id"), kw.get("item_text_col", "text")).collect()), kw.get("window", WINDOW)))
-    ) if _small(benchmark, kw) else None
-    if given is None:
-        spans = contamination(documents, benchmark, **kw).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
-        joined = documents.join(spans, documents[id_col] == spans["_id"], "left")
-        # byte offsets: cut in the binary form of the text
-        raw = F.col(text_col).cast("binary")
-        pieces = F.transform(
-            F.sequence(F.lit(0), F.size("_spans")),
-            lambda i: F.substring(raw, F.when(i == 0, F.lit(0)).otherwise(F.col("_spans")[i - 1]["end"]).cast("int") + 1,
-                                  (F.when(i == F.size("_spans"), F.octet_length(text_col).cast("long")).otherwise(F.col("_spans")[i]["begin"])
-                                   - F.when(i == 0, F.lit(0).cast("long")).otherwise(F.col("_spans")[i - 1]["end"])).cast("int")).cast("string"),
-        )
-        return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.array_join(pieces, ""))).drop("_id", "_spans")
-    schema, shard_bytes = documents.schema, kw.get("shard_bytes", SHARD_BYTES)
-
-    def run(batches):
-        known, shard, parts, held = given.value, Shard(), [], []
+    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    out, (n_words, spans, items) = _marked(docs, benchmark, "text", item_col, item_text_col, window, shard_bytes, block_bytes)
+    return out.select("doc_id", n_words, spans, items)
 
-        def flush():
-            for out, rows in zip(_flush(shard, parts, known), held, strict=True):
-                k = rows.schema.get_field_index(text_col)
-                spans = out.column(2).to_pylist()
-                if any(spans):
-                    texts = rows.column(k).to_pylist()
-                    for r, s in enumerate(spans):
-                        if s:
-                            raw, at, kept = texts[r].encode(), 0, []
-                            for x in s:
-                                kept.append(raw[at : x["begin"]])
-                                at = x["end"]
-                            texts[r] = b"".join([*kept, raw[at:]]).decode()
-                    rows = rows.set_column(k, rows.schema.field(k), pa.array(texts, rows.schema.field(k).type))
-                yield rows
 
-        for batch in batches:
-            for a, b, data, offs in chunks(batch, text_col):
-                rows = batch.slice(a, b - a)
-                parts.append((pa.nulls(b - a), shard.add(data, offs, known), offs))
-                held.append(rows)
-                if shard.bytes >= shard_bytes:
-                    yield from flush()
-                    shard, parts, held = Shard(), [], []
-        yield from flush()
+def decontaminate(
+    documents: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
+    shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """Documents with the hit spans cut out of their texts; texts without a hit, null and empty ones stay as they are.
 
-    return documents.mapInArrow(run, schema)
+    All columns pass through whatever their names; rows are not told apart by
+    an id, so repeated and null ids make no difference.  An empty table stays
+    empty, and an empty benchmark cuts nothing.
+    """
+    out, (_, spans, _) = _marked(documents, benchmark, text_col, item_col, item_text_col, window, shard_bytes, block_bytes)
+    s, raw = F.col(spans), F.col(text_col).cast("binary")
 
+    def piece(i):
+        """What stands between two spans, by byte offsets."""
+        begin = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(s, i - 1)["end"])
+        end = F.when(i == F.size(s), F.octet_length(raw).cast("long")).otherwise(F.get(s, i)["begin"])
+        return F.substring(raw, (begin + 1).cast("int"), (end - begin).cast("int")).cast("string")
 
-def _small(benchmark: DataFrame, kw: dict) -> bool:
-    size = benchmark.agg(F.sum(F.octet_length(kw.get("item_text_col", "text"))).alias("b")).first()["b"] or 0
-    return size <= kw.get("block_bytes", BLOCK_BYTES)
+    text = F.when(F.size(s) == 0, F.col(text_col)).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.size(s)), piece), ""))
+    return out.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in documents.columns])
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -58,21 +58,17 @@ class ByteConv:
                 self.pairs.append((t[k][:, None, :] + t[k + 1][None, :, :]).reshape(65536, -1).astype(np.float32))
         return self
 
-    def pooled(self, data: np.ndarray, starts: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """Max-pooled filters of the windows that begin at starts; a filter never reaches past its text's end."""
-        pair = (data[:-1].astype(np.int32) << 8) | data[1:]
+    def pooled(self, x: np.ndarray) -> np.ndarray:
+        """Max-pooled filters of windows x (windows x WINDOW bytes); no filter reaches past its window."""
+        pair = (x[:, :-1].astype(np.int32) << 8) | x[:, 1:]
         out, k = [], 0
         for width, bias in zip(WIDTHS, self.bias, strict=True):
-            n = len(data) - width + 1
-            act = self.pairs[k][pair[:n]]
+            n = x.shape[1] - width + 1
+            act = self.pairs[k][pair[:, :n]]
             for j in range(1, width // 2):
-                act += self.pairs[k + j][pair[2 * j : 2 * j + n]]
+                act += self.pairs[k + j][pair[:, 2 * j : 2 * j + n]]
             k += width // 2
-            for j in range(1, width):
-                over = offs[1:] - j
-                act[over[over >= offs[:-1]]] = -np.inf
-            act[offs[-1] :] = -np.inf
-            out.append(np.maximum(np.maximum.reduceat(act, np.minimum(starts, n - 1)) + bias.astype(np.float32), 0))
+            out.append(np.maximum(act.max(1) + bias.astype(np.float32), 0))
         return np.concatenate(out, axis=1)
 
     def log_softmax(self, h: np.ndarray) -> np.ndarray:
@@ -176,7 +172,9 @@ def predict(documents: DataFrame, net: ByteConv | None, *, text_col: str = "text
     """documents with lang_pred and score, from all windows of each whole text.
 
     `und` with score 0 if the text is null or has no letter, or if nothing was
-    learned.  Other columns pass through; clashing names are an error.
+    learned.  Repeated rows are each answered; an empty table stays empty.  Other
+    columns pass through; if one has the name of a new column, other names must
+    be given.
     """
     schema = documents.schema
     if {lang_out, score_out} & set(schema.names):
@@ -193,7 +191,8 @@ def predict(documents: DataFrame, net: ByteConv | None, *, text_col: str = "text
                     best, p = _chunk(model, data, offs)
                     lang[a:b] = best
                     score[a:b] = p
-                for i, t in enumerate(texts.to_pylist()):
+                for i in range(len(texts)):  # one text at a time as a Python string
+                    t = texts[i].as_py()
                     if t is None or not _LETTER.search(t):
                         lang[i], score[i] = UNDETERMINED, 0.0
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], [*batch.schema.names, lang_out, score_out])
@@ -201,18 +200,23 @@ def predict(documents: DataFrame, net: ByteConv | None, *, text_col: str = "text
     return documents.mapInArrow(run, T.StructType([*schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())]))
 
 
-def _chunk(net: ByteConv, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def windows_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of WINDOW bytes of each row, the last one filled up with spaces as in training; which row each is of, and its own bytes."""
     n = np.diff(offs)
-    windows = np.maximum(1, -(-n // WINDOW))
-    row = np.repeat(np.arange(len(n)), windows)
-    k = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-    # an even cut: windows of a text differ by a byte at most in length
-    starts = offs[row] + k * n[row] // windows[row]
-    weight = (k + 1) * n[row] // windows[row] - k * n[row] // windows[row]
-    padded = np.concatenate([data, np.full(max(WIDTHS), 32, np.uint8)])
-    logs = net.log_softmax(net.pooled(padded, starts, offs))
-    total = np.add.reduceat(logs * weight[:, None], np.cumsum(windows) - windows)
-    mean = total / np.maximum(n, 1)[:, None]
+    count = np.maximum(1, -(-n // WINDOW))
+    first = np.cumsum(count) - count
+    row = np.repeat(np.arange(len(n)), count)
+    flat = np.full(int(count.sum()) * WINDOW, 32, np.uint8)
+    flat[np.arange(len(data)) + np.repeat(first * WINDOW - offs[:-1], n)] = data
+    own = np.minimum(n[row] - (np.arange(len(row)) - first[row]) * WINDOW, WINDOW)
+    return flat.reshape(-1, WINDOW), row, own
+
+
+def _chunk(net: ByteConv, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x, row, own = windows_of(data, offs)
+    logs = np.concatenate([net.log_softmax(net.pooled(x[a : a + 256])) for a in range(0, len(x), 256)])
+    total = np.add.reduceat(logs * own[:, None], np.searchsorted(row, np.arange(len(offs) - 1)))
+    mean = total / np.maximum(np.diff(offs), 1)[:, None]
     p = np.exp(mean - mean.max(1, keepdims=True))
     p /= p.sum(1, keepdims=True)
     best = p.argmax(1)

@@ -10,9 +10,10 @@ block q // n times and q mod n seeded ones once more.  A document's share is
 what the taken blocks cover of it, so it never exceeds twice its size as long as
 targets stop at twice the source.
 
-Only sums per source and per shard reach the driver.  There are at most
-``max_shards`` shards, whatever the input; beyond that shards get larger, and
-one holds ids and sizes only, never texts.
+Only sums per source and per shard reach the driver.  Beside one shard a source
+there are at most ``2 * max_shards``, whatever the input; beyond that shards get
+larger, and one holds ids and sizes only, never texts.  What is broadcast has at
+most `BROADCAST_ROWS` rows; larger plans are joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ SHARE = Fraction(3, 2)
 CAP = 2
 BLOCK = 32
 SHARD_WORDS = 250_000
+SHARD_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 MAX_SHARDS = 20_000
 SEED = 23
 
@@ -97,19 +100,24 @@ def targets(per_source: list[tuple], weights=WEIGHTS, share: Fraction = SHARE, c
 
 
 def apportion(sources: list[tuple], shards: list[tuple], block: int = BLOCK, cap: int = CAP) -> Plan:
-    """Blocks of each source by its target, then of each of its shards by its words; no shard above cap times its blocks."""
-    whole = sum((t for _, _, t in sources), Fraction(0))
-    quota = sainte_lague([t for _, _, t in sources], int(whole / block + Fraction(1, 2)))
+    """Blocks of each source by its target, then of each of its shards; no shard above cap times its blocks.
+
+    A shard's last block covers less than the others, so a source's votes are
+    the blocks that its target takes: target * blocks / words.
+    """
     by_source: dict = {}
     for source, shard, words in shards:
         by_source.setdefault(source, []).append((shard, int(words)))
+    each = [sum(-(-w // block) for _, w in by_source.get(source, [])) for source, _, _ in sources]
+    votes = [t * b / words if words else Fraction(0) for (_, words, t), b in zip(sources, each, strict=True)]
+    quota = sainte_lague(votes, int(sum(votes, Fraction(0)) + Fraction(1, 2)))
     rows = []
     for (source, _, _), seats in zip(sources, quota, strict=True):
         mine = sorted(by_source.get(source, []))
         sizes = [w for _, w in mine]
         blocks = [-(-w // block) for w in sizes]
         seats = min(seats, cap * sum(blocks))
-        got = sainte_lague(sizes, seats)
+        got = sainte_lague(blocks, seats)
         over = sum(max(0, g - cap * b) for g, b in zip(got, blocks, strict=True))
         got = [min(g, cap * b) for g, b in zip(got, blocks, strict=True)]
         for i in range(len(got)):
@@ -119,9 +127,13 @@ def apportion(sources: list[tuple], shards: list[tuple], block: int = BLOCK, cap
     return Plan(sources, rows)
 
 
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def mix(
     documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: Fraction = SHARE,
-    cap: int = CAP, block: int = BLOCK, shard_words: int = SHARD_WORDS, max_shards: int = MAX_SHARDS, seed: int = SEED,
+    cap: int = CAP, block: int = BLOCK, shard_words: int = SHARD_WORDS, shard_rows: int = SHARD_ROWS, max_shards: int = MAX_SHARDS, seed: int = SEED,
 ) -> DataFrame:
     """doc_id, size, source_size, target, taken for each document row.
 
@@ -132,25 +144,26 @@ def mix(
     """
     sized = documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
     sized = cut(sized, "sizes")  # ids and sizes: the texts are read once
-    per_source = [tuple(r) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()]
+    per_source = [tuple(r) for r in sized.groupBy("source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()]
     spark = documents.sparkSession
     if not per_source:
         return sized.select("doc_id", "size", F.col("size").alias("source_size"), F.lit(0.0).alias("target"), F.col("size").alias("taken"))
     sources = targets(per_source, weights, share, cap)
-    total = sum(s for _, s, _ in sources)
-    each = max(shard_words, -(-total // max_shards))
+    rows = {r[0]: r[2] for r in per_source}
+    words_each = max(shard_words, -(-sum(s for _, s, _ in sources) // max_shards))
+    rows_each = max(shard_rows, -(-sum(rows.values()) // max_shards))
     info = spark.createDataFrame(
-        [(s, n, float(t), max(1, -(-n // each)), stable_hash(repr(s))) for s, n, t in sources],
+        [(s, n, float(t), max(1, -(-n // words_each), -(-rows[s] // rows_each)), stable_hash(repr(s))) for s, n, t in sources],
         "k string, source_size long, target double, n_shards long, salt long",
     )  # one row a source
     cond = sized["source"].eqNullSafe(info["k"])
-    dealt = sized.join(F.broadcast(info), cond).drop("k").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed), "salt"), F.col("n_shards")))
-    per_shard = [tuple(r) for r in dealt.groupBy("source", "shard").agg(F.sum("size").alias("n")).collect()]  # at most max_shards and the number of sources
+    dealt = sized.join(_few(info, len(sources)), cond).drop("k").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed), "salt"), F.col("n_shards")))
+    per_shard = [tuple(r) for r in dealt.groupBy("source", "shard").agg(F.sum("size").alias("n")).collect()]
     plan = apportion(sources, per_shard, block, cap)
     quotas = spark.createDataFrame(
         [(s, k, b, g, stable_hash(f"{seed}/{s!r}/{k}") % max(1, b)) for s, k, _, b, g in plan.shards], "k string, s long, blocks long, quota long, start long"
     )
-    placed = dealt.join(F.broadcast(quotas), dealt["source"].eqNullSafe(quotas["k"]) & (dealt["shard"] == quotas["s"])).drop("k", "s")
+    placed = dealt.join(_few(quotas, len(plan.shards)), dealt["source"].eqNullSafe(quotas["k"]) & (dealt["shard"] == quotas["s"])).drop("k", "s")
     line = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("end", F.sum("size").over(line)).withColumn("begin", F.col("end") - F.col("size"))
 

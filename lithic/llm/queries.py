@@ -14,7 +14,7 @@ def op1_chat(spark, sf_dir):
         F.lit("<|im_end|><|im_start|>assistant ok").alias("text"),
     )
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(extra)
-    found = chat.read_back(chat.format_trees(chat.linear_messages(rows)))
+    found = chat.read_back(chat.format_trees(chat.linear_messages(rows), unique=True))
     conv = F.when(F.startswith("key", F.lit("=")), F.substring("key", 2, 40).cast("long"))
     return found.select(conv.alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 

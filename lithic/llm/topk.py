@@ -1,13 +1,14 @@
 """Exact top-k inner products by the threshold algorithm over sorted per-dimension lists.
 
-Candidates are dealt into shards of bounded size by a hash of their id, queries
-into blocks of bounded size.  In each (shard, block) cell the shard has one list
-per dimension, sorted by value; a query reads each list from its high end where
-its own component is positive and from its low end where it is negative.  Depth
-by depth all rows that any list shows are scored in full, and a query stops when
-the best score that an unseen row could have - the sum of its components times
-the values at that depth - is below its k-th score.  Queries that stop leave the
-cell's block.  The k best of each cell are merged per query.
+Candidates are dealt once into shards of bounded size by a hash of their id and
+written.  Queries go in blocks of bounded size, each broadcast to one scan of
+the shards.  A shard has one list per dimension, sorted by value; a query reads
+each list from its high end where its own component is positive and from its
+low end where it is negative.  Depth by depth all rows that any list shows are
+scored in full, and a query stops when the best score that an unseen row could
+have - the sum of its components times the values at that depth - is below its
+k-th score.  A task carries the k best of each query from shard to shard, so
+later shards begin with a bound; the k best of the tasks are merged per query.
 
 Scores are exact: components are integers, and their products are summed as
 float64 below 2**53 (float32 where 2**24 suffices).
@@ -21,9 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import cut, drop, together
+
 K = 20
-SHARD_ROWS = 16384
-BLOCK_ROWS = 1024
+SHARD_ROWS = 8192
+BLOCK_ROWS = 65536
+#: Queries that are scored at once against the rows of a shard.
+STEP = 512
 FIRST_DEPTH = 32
 
 
@@ -42,49 +47,54 @@ class SortedLists:
         self.values = np.take_along_axis(rows, self.order, axis=0)
 
 
-def threshold_topk(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
-    """(query index, id, score) of each query's k best rows other than its own; ties to smaller ids."""
-    n, q = len(rows), len(queries)
-    by_id = np.argsort(ids, kind="stable")  # columns of scores are in id order, so a stable sort breaks ties
-    ids, rows = ids[by_id], rows[by_id]
-    lists = SortedLists(rows)
+class Best:
+    """The k best of each query so far: scores, and ids that break ties."""
+
+    def __init__(self, queries: int, k: int):
+        self.score, self.id = np.full((queries, k), -np.inf), np.full((queries, k), np.iinfo(np.int64).max)
+
+    def rows(self, query_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at, place = np.nonzero(self.score > -np.inf)
+        return query_ids[at], self.id[at, place], self.score[at, place].astype(np.int64)
+
+
+def threshold_topk(ids: np.ndarray, lists: SortedLists, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, best: Best, first: int = 0) -> int:
+    """Bring the rows of a shard other than a query's own into `best`, where these queries begin at `first`; gives how many scores were computed."""
+    n = len(rows)
     high, low = np.maximum(queries, 0), np.minimum(queries, 0)
+    best_score, best_id = best.score[first : first + len(queries)], best.id[first : first + len(queries)]
     seen = np.zeros(n, bool)
-    best_score = np.full((q, k), -np.inf)
-    best_row = np.full((q, k), n, np.int64)
-    live, depth, done = np.arange(q), min(FIRST_DEPTH, n), 0
+    live, depth, done, scored = np.arange(len(queries)), min(FIRST_DEPTH, n), 0, 0
     while len(live) and n:
         shown = np.unique(np.concatenate([lists.order[done:depth].ravel(), lists.order[n - depth : n - done].ravel()]))
         new = shown[~seen[shown]]
         seen[new] = True
         if len(new):
             score = (queries[live] @ rows[new].T).astype(np.float64)
+            scored += score.size
             score[query_ids[live][:, None] == ids[new][None, :]] = -np.inf
+            kth = best_score[live, k - 1]
             if len(new) > 4 * k:  # all that reach the k-th score, ties included, then only those
-                kth = np.partition(score, len(new) - k, axis=1)[:, len(new) - k]
-                kth = np.maximum(kth, best_score[live, k - 1])
-                at, col = np.nonzero(score >= kth[:, None])
-                score_at = score[at, col]
-            else:
-                at, col = np.nonzero(score > -np.inf)
-                score_at = score[at, col]
-            old_at, old_col = np.nonzero(best_score[live] > -np.inf)
-            at = np.concatenate([old_at, at])
-            row = np.concatenate([best_row[live][old_at, old_col], new[col]])
-            score_at = np.concatenate([best_score[live][old_at, old_col], score_at])
-            order = np.lexsort((row, -score_at, at))
-            at, row, score_at = at[order], row[order], score_at[order]
-            place = np.arange(len(at)) - np.searchsorted(at, at)
-            keep = (place < k) & (score_at > -np.inf)
-            best_score[live[at[keep]], place[keep]] = score_at[keep]
-            best_row[live[at[keep]], place[keep]] = row[keep]
+                kth = np.maximum(np.partition(score, len(new) - k, axis=1)[:, len(new) - k], kth)
+            at, col = np.nonzero((score >= kth[:, None]) & (score > -np.inf))
+            if len(at):
+                some, at = np.unique(at, return_inverse=True)  # queries with something new
+                old_at, old_col = np.nonzero(best_score[live[some]] > -np.inf)
+                score_at = np.concatenate([best_score[live[some]][old_at, old_col], score[some[at], col]])
+                id_at = np.concatenate([best_id[live[some]][old_at, old_col], ids[new[col]]])
+                at = np.concatenate([old_at, at])
+                order = np.lexsort((id_at, -score_at, at))
+                at, id_at, score_at = at[order], id_at[order], score_at[order]
+                place = np.arange(len(at)) - np.searchsorted(at, at)
+                keep = place < k
+                best_score[live[some[at[keep]]], place[keep]] = score_at[keep]
+                best_id[live[some[at[keep]]], place[keep]] = id_at[keep]
         if depth >= n or seen.all():
             break
         bound = high[live] @ lists.values[n - depth] + low[live] @ lists.values[depth - 1]
         live = live[bound >= best_score[live, k - 1]]  # an unseen row at the bound could still win a tie
         done, depth = depth, min(n, depth * 2)
-    at, place = np.nonzero(best_score > -np.inf)
-    return at, ids[best_row[at, place]], best_score[at, place].astype(np.int64)
+    return scored
 
 
 def _exact_type(rows: np.ndarray, queries: np.ndarray):
@@ -96,25 +106,34 @@ def _exact_type(rows: np.ndarray, queries: np.ndarray):
     raise ValueError("components are too large for exact scores")
 
 
-def _cells(k: int):
+def _answers(given, k: int):
+    """The k best of the task's shards for each query of the block: given has (ids, vectors) by dimension."""
+
     def run(batches):
-        """One cell is one row: the shard's and the block's ids and vectors, as flat lists."""
+        best = {dim: Best(len(ids), k) for dim, (ids, _) in given.value.items()}
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["q_ids"] is None or r["c_ids"] is None:
+            for r in range(batch.num_rows):
+                dim = batch.column(1)[r].as_py()
+                if dim not in best:
                     continue
-                q_ids, c_ids = np.array(r["q_ids"], np.int64), np.array(r["c_ids"], np.int64)
-                q, c = np.frombuffer(r["q_vecs"], "<i8"), np.frombuffer(r["c_vecs"], "<i8")
-                q, c = q.reshape(len(q_ids), -1), c.reshape(len(c_ids), -1)
-                kind = _exact_type(c, q)
-                at, ids, score = threshold_topk(c_ids, c.astype(kind), q_ids, q.astype(kind), k)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(ids), pa.array(score)], ["query_id", "vec_id", "score"])
+                ids = batch.column(2)[r].values.to_numpy()
+                rows = np.frombuffer(batch.column(3)[r].as_buffer(), "<i8").reshape(len(ids), dim)
+                query_ids, queries = given.value[dim]
+                kind = _exact_type(rows, queries)
+                rows = rows.astype(kind)
+                lists = SortedLists(rows)
+                for a in range(0, len(queries), STEP):
+                    threshold_topk(ids, lists, rows, query_ids[a : a + STEP], queries[a : a + STEP].astype(kind), k, best[dim], a)
+        for dim, found in best.items():
+            query_id, ids, score = found.rows(given.value[dim][0])
+            for a in range(0, len(ids), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in (query_id, ids, score)], ["query_id", "vec_id", "score"])
 
     return run
 
 
 def _packed(batches):
-    """Rows of a shard or block (consecutive, as sorted) into one row with its ids and its vectors as bytes."""
+    """The rows of a shard into one row with its ids and its vectors as bytes."""
     names, held = None, {}
     for batch in batches:
         names = batch.schema.names
@@ -135,11 +154,16 @@ def _packed(batches):
             )
 
 
-def _dealt(rows: DataFrame, id_col: str, size: int, total: int) -> tuple[DataFrame, int]:
-    parts = max(1, -(-total // size))
-    part = F.pmod(F.xxhash64(id_col, "v", F.lit(17)), F.lit(parts))
-    dealt = rows.select(part.alias("part"), F.size("v").alias("dim"), F.col(id_col).cast("long").alias("id"), "v")
-    return dealt.repartition(parts, "part").mapInArrow(_packed, "part long, dim int, ids array<long>, vecs binary"), parts
+def _block(rows: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of a block of queries, by dimension, in id order."""
+    found = rows.select("id", F.size("v").alias("dim"), "v").toArrow().sort_by("id").combine_chunks()
+    ids, dims = found.column("id").to_numpy(), found.column("dim").to_numpy()
+    out = {}
+    for dim in np.unique(dims).tolist():
+        at = np.flatnonzero(dims == dim)
+        flat = found.column("v").take(pa.array(at)).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        out[dim] = ids[at], flat.reshape(len(at), dim)
+    return out
 
 
 def topk(
@@ -152,17 +176,26 @@ def topk(
     as query or as candidate; nor do rows with a null id.  A query is compared
     with candidates of its own dimension only.  Ties go to the smaller id; of
     repeated candidate rows each counts, and repeated query rows are answered
-    once.  Empty inputs give no rows.  Other columns are ignored.
+    once (the smallest vector, where they differ).  Empty inputs give no rows.  Other columns are ignored.
     """
-    cand = quantized(vectors.where(F.col(id_col).isNotNull()), vec_col, scale).select(id_col, "v")
-    asked = quantized(queries.where(F.col(id_col).isNotNull()), vec_col, scale).select(id_col, "v").dropDuplicates([id_col])
-    shards, n_shards = _dealt(cand, id_col, shard_rows, vectors.count())
-    blocks, n_blocks = _dealt(asked, id_col, block_rows, queries.count())
-    # the grid: every shard meets every block; a shard is copied once for each block of queries
-    shards = shards.select("dim", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"), F.col("ids").alias("c_ids"), F.col("vecs").alias("c_vecs"))
-    blocks = blocks.select("dim", F.col("part").alias("block"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
-    cells = shards.join(blocks, ["block", "dim"]).select("q_ids", "q_vecs", "c_ids", "c_vecs")
-    cells = cells.repartition(n_shards * n_blocks)
-    found = cells.mapInArrow(_cells(k), "query_id long, vec_id long, score long")
+    spark = vectors.sparkSession
+    cand = quantized(vectors.where(F.col(id_col).isNotNull()), vec_col, scale).select(F.col(id_col).cast("long").alias("id"), "v")
+    asked = quantized(queries.where(F.col(id_col).isNotNull()), vec_col, scale).select(F.col(id_col).cast("long").alias("id"), "v")
+    asked = asked.groupBy("id").agg(F.min("v").alias("v"))
+    parts = max(1, -(-vectors.count() // shard_rows))
+    dealt = cand.select(F.pmod(F.xxhash64("id", "v", F.lit(17)), F.lit(parts)).alias("part"), F.size("v").alias("dim"), "id", "v")
+    shards = cut(dealt.repartition(parts, "part").mapInArrow(_packed, "part long, dim int, ids array<long>, vecs binary"), "shards")
+    blocks = max(1, -(-queries.count() // block_rows))
+    if blocks > 1:
+        asked = cut(asked, "asked")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    answers = []
+    for b in range(blocks):  # a stated query set in blocks against all shards
+        block = _block(asked.where(F.pmod(F.xxhash64("id", F.lit(29)), F.lit(blocks)) == b) if blocks > 1 else asked)
+        found = shards.mapInArrow(_answers(spark.sparkContext.broadcast(block), k), "query_id long, vec_id long, score long")
+        best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if blocks == 1:
+            return best
+        answers.append(cut(best, "answers"))
+    drop(asked, shards)
+    return together(answers)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from fractions import Fraction
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lithic.llm import chat, language, mixing, quality, topk, urls
+from lithic.llm.common import Words, mix
 
 
 # ------------------------------------------------------------------ chat
@@ -32,6 +34,23 @@ def test_ties_and_repeats_are_turns(spark):
     assert chat.format_trees(chat.linear_messages(df.limit(0))).count() == 0
 
 
+def test_trees_of_one_message(spark):
+    """All messages are roots: nothing climbs, and the tables that hold them must not go."""
+    rows = [(f"k{i}", 1, None, 1.0, "assistant", f"t{i}") for i in range(5)] + [("k0", 2, 77, 0.5, "user", "orphan"), (None, 1, None, 1.0, "user", "no key")]
+    df = spark.createDataFrame(rows, "key string, id long, parent long, score double, role string, text string")
+    got = {r.key: chat.parse(r.formatted) for r in chat.format_trees(df).collect()}
+    assert got == {f"k{i}": [("assistant", f"t{i}")] for i in range(5)}
+    again = {(r.key, r.branch_rank): chat.parse(r.formatted) for r in chat.format_trees(df.unionByName(df), 2).collect()}
+    assert again["k0", 2] == [("user", "orphan")] and len(again) == 6
+
+
+def test_a_conversation_in_many_partitions(spark):
+    rows = [(1, i, "user" if i % 2 else "assistant", f"t{i}" * 3) for i in range(500)] + [(2, 0, "user", "x")] * 40
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    out = {r.key: chat.parse(r.formatted) for r in chat.format_trees(chat.linear_messages(df), unique=True).collect()}
+    assert out["=1"] == [(r, t) for _, _, r, t in rows[:500]] and out["=2"] == [("user", "x")] * 40
+
+
 def brute_paths(nodes, n):
     kids, ids = {}, {i for i, _, _ in nodes}
     score = {i: s or 0.0 for i, _, s in nodes}
@@ -109,6 +128,34 @@ def test_pairs_order_documents():
     assert 0.4 < m.quantile < 0.6
 
 
+def brute_features(text):
+    raw = text.encode()
+    low = raw.translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)))
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", low) if w]
+    grams = [raw[i : i + 4] for i in range(len(raw) - 3)]
+    one = lambda x: int(Words(np.frombuffer(x, np.uint8), np.array([0, len(x)]), np.ones(256, bool)).hashes(np.frombuffer(x, np.uint8))[0])
+    out = np.zeros(quality.WIDTH)
+    for w in words:
+        out[one(w) >> 54] += 1 / len(words)
+    for g in grams:
+        out[1024 + (int(mix(np.array([int.from_bytes(g, "little")], np.uint64))[0]) >> 54)] += 1 / len(grams)
+    out[:2048] = np.sqrt(out[:2048])
+    mark = [33 <= x < 127 and not chr(x).isalnum() for x in raw]
+    n, k = max(len(raw), 1), max(len(words), 1)
+    out[2048:] = [
+        sum(65 <= x < 91 for x in raw) / n, sum(48 <= x < 58 for x in raw) / n, sum(mark) / n, sum(m and raw[i] == raw[i - 1] for i, m in enumerate(mark) if i) / n, raw.count(10) / n,
+        sum(a == b for a, b in zip(words, words[1:], strict=False)) / k, len(set(words)) / k, np.log1p(len(raw)) / 10, np.log1p(len(words)) / 10, float(not words),
+    ]
+    return out
+
+
+def test_quality_features_against_plain_python():
+    texts = ["", "a", "A b b  B!!\n11", "abc", "é Ä!! ñ", " \t ", "word " * 300, "xyzz, xyzz; XYZZ", "a\n\nb\n"]
+    raw = [t.encode() for t in texts]
+    got = quality.features(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    assert np.allclose(got, [brute_features(t) for t in texts], atol=1e-6)
+
+
 # ------------------------------------------------------------------ language
 def test_language(spark):
     rng = random.Random(7)
@@ -128,7 +175,68 @@ def test_language(spark):
     assert {r.lang_pred for r in language.predict(docs, None).collect()} == {"und"}
 
 
+def test_folded_tables_against_the_trained_network():
+    """Applying the network by tables of byte pairs gives what its training pass gives on the same windows."""
+    rng = np.random.default_rng(3)
+    net = language.train(rng.integers(97, 123, (40, language.WINDOW)).astype(np.uint8), rng.integers(0, 3, 40), ["a", "b", "c"], epochs=1)
+    raw = [b"", b"x", b"hello world", bytes(rng.integers(0, 256, 256).astype(np.uint8)), bytes(rng.integers(97, 123, 1000).astype(np.uint8))]
+    data, offs = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    x, row, own = language.windows_of(data, offs)
+    pieces = [r[k : k + language.WINDOW] for r in raw for k in range(0, max(1, len(r)), language.WINDOW)]
+    assert [bytes(w) for w in x] == [p.ljust(language.WINDOW, b" ") for p in pieces] and own.tolist() == [len(p) for p in pieces]
+    hidden, _ = language._forward(net, x)
+    want = net.log_softmax(np.maximum(np.concatenate(hidden, 1), 0))
+    assert np.allclose(net.log_softmax(net.pooled(x)), want, atol=1e-4)
+    langs, score = language._chunk(net, data, offs)
+    for i, r in enumerate(raw):
+        mean = (want[row == i] * own[row == i][:, None]).sum(0) / max(len(r), 1)
+        p = np.exp(mean) / np.exp(mean).sum()
+        assert score[i] == pytest.approx(p.max(), abs=1e-4) and langs[i] == "abc"[p.argmax()]
+
+
 # ------------------------------------------------------------------ mixing
+def test_taken_against_a_walk_over_blocks(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 90)), rng.choice("ab")) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kw = {"shard_words": 900, "block": 16, "seed": 3}
+    out = {r.doc_id: r for r in mixing.mix(docs, **kw).collect()}
+    hashed = docs.select("doc_id", F.xxhash64("doc_id", F.lit(4)).alias("o"), *[F.pmod(F.xxhash64("doc_id", F.lit(3), F.lit(mixing.stable_hash(repr(s)))), F.lit(-(-out_size(out, rows, s) // 900))).alias(s) for s in "ab"]).collect()
+    size = {i: len(t.split()) for i, t, _ in rows}
+    source = {i: s for i, _, s in rows}
+    shards = {}
+    for r in sorted(hashed, key=lambda r: (r.o, r.doc_id)):
+        shards.setdefault((source[r.doc_id], r[source[r.doc_id]]), []).append(r.doc_id)
+    targets = mixing.targets([(s, out_size(out, rows, s)) for s in "ab"])
+    plan = mixing.apportion(targets, [(s, k, sum(size[i] for i in ids)) for (s, k), ids in shards.items()], 16)
+    for s, k, words, blocks, quota in plan.shards:
+        start = mixing.stable_hash(f"3/{s!r}/{k}") % max(1, blocks)
+        times = [quota // max(1, blocks)] * blocks
+        for b in range(blocks):  # evenly spread from a seeded start
+            times[b] += ((b + 1) * (quota % max(1, blocks)) + start) // max(1, blocks) - (b * (quota % max(1, blocks)) + start) // max(1, blocks)
+        assert sum(times) == quota and max(times, default=0) <= 2
+        line = [i for i in shards[s, k] for _ in range(size[i])]
+        assert len(line) == words
+        want = {i: 0 for i in shards[s, k]}
+        for p, i in enumerate(line):
+            want[i] += times[p // 16]
+        assert {i: out[i].taken for i in want} == want
+    for s, words, target in targets:
+        assert abs(sum(r.taken for i, r in out.items() if source[i] == s) - target) <= 40
+
+
+def out_size(out, rows, s):
+    return sum(len(t.split()) for _, t, x in rows if x == s)
+
+
+def test_small_sources_reach_their_targets():
+    """A last block that covers little does not eat the quota of a small source."""
+    sources = mixing.targets([("a", 20), ("b", 40), ("c", 5000)], share=Fraction(2))
+    plan = mixing.apportion(sources, [("a", 0, 20), ("b", 0, 40), ("c", 0, 5000)])
+    for (s, words, target), (_, _, _, blocks, quota) in zip(sources, plan.shards, strict=True):
+        assert abs(quota * words / blocks - target) <= words / blocks / 2 + 1, s
+
+
 def test_sainte_lague_is_by_highest_quotients():
     rng = random.Random(1)
     for _ in range(60):
@@ -234,20 +342,16 @@ def test_topk_of_few_and_of_nothing(spark):
 def test_threshold_stops_early():
     rows = np.zeros((5000, 3), np.float32)
     rows[:, 0] = np.arange(5000)
-    seen = []
-    original = topk.SortedLists
-
-    class Watched(original):
-        def __init__(self, r):
-            super().__init__(r)
-            seen.append(self)
-
-    topk.SortedLists = Watched
-    try:
-        at, ids, score = topk.threshold_topk(np.arange(5000), rows, np.array([-1]), np.array([[1, 0, 0]], np.float32), 5)
-    finally:
-        topk.SortedLists = original
-    assert ids.tolist() == [4999, 4998, 4997, 4996, 4995] and score.tolist() == ids.tolist()
+    best = topk.Best(1, 5)
+    ids, q = np.arange(5000), np.array([[1, 0, 0]], np.float32)
+    scored = topk.threshold_topk(ids, topk.SortedLists(rows), rows, np.array([-1]), q, 5, best)
+    _, found, score = best.rows(np.array([-1]))
+    assert found.tolist() == [4999, 4998, 4997, 4996, 4995] and score.tolist() == found.tolist() and scored < 500
+    # a later shard that is worse is left after its first depth; equal scores of smaller ids come in
+    worse = topk.threshold_topk(ids + 5000, topk.SortedLists(rows / 2), rows / 2, np.array([-1]), q, 5, best)
+    assert worse < 500 and best.rows(np.array([-1]))[1].tolist() == found.tolist()
+    topk.threshold_topk(ids - 5000, topk.SortedLists(rows), rows, np.array([-1]), q, 5, best)
+    assert best.rows(np.array([-1]))[1].tolist() == [4999, -2, 4998, -3, 4997]  # -1 is the query itself
 
 
 def test_pipeline_stages(spark, tmp_path):

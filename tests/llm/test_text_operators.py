@@ -287,25 +287,26 @@ def items(rows):
 
 @pytest.mark.parametrize(("shard_bytes", "block_bytes"), [(4 << 20, 4 << 20), (900, 4 << 20), (2000, 300)])
 def test_contamination(spark, rows, items, shard_bytes, block_bytes):
-    unique = [(i, t) for k, (i, t) in enumerate(rows) if i is not None and i not in (903, 904)]
-    d = spark.createDataFrame(unique, "doc_id long, text string").repartition(2)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     b = spark.createDataFrame(items, "item_id long, text string")
     got = as_rows(decontaminate.digest(decontaminate.contamination(d, b, shard_bytes=shard_bytes, block_bytes=block_bytes)), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    assert got == brute_hits(unique, items)
+    assert got == brute_hits(rows, items)
 
 
 @pytest.mark.parametrize("block_bytes", [4 << 20, 300])
 def test_decontaminate_cuts_what_is_hit(spark, rows, items, block_bytes):
-    unique = [(i, t) for i, t in rows if i is not None and i not in (903, 904)]
-    d, b = spark.createDataFrame(unique, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    out = {r.doc_id: r.text for r in decontaminate.decontaminate(d, b, block_bytes=block_bytes).collect()}
-    for i, n, hit, _, _, any_hit in brute_hits(unique, items):
-        text = dict(unique)[i]
+    numbered = [(k, i, t, "a", "b", "c") for k, (i, t) in enumerate(rows)]  # clashing names, repeated and null ids
+    d, b = spark.createDataFrame(numbered, "k long, doc_id long, text string, _id string, spans string, `_spans` string"), spark.createDataFrame(items, "item_id long, text string")
+    result = decontaminate.decontaminate(d, b, block_bytes=block_bytes)
+    assert result.columns == d.columns
+    out = {r.k: r for r in result.collect()}
+    assert len(out) == len(rows) and all(r.spans == "b" and r["_id"] == "a" for r in out.values())
+    for k, (_, text) in enumerate(rows):
+        (_, n, hit, _, _, any_hit), text_out = brute_hits([(k, text)], items)[0], out[k].text
         if not any_hit:
-            assert out[i] == text
+            assert text_out == text
         else:
-            left = Words(np.frombuffer(out[i].lower().encode(), np.uint8), np.array([0, len(out[i].encode())]), ALNUM).count[0]
-            assert left == n - hit
+            assert Words(np.frombuffer(text_out.lower().encode(), np.uint8), np.array([0, len(text_out.encode())]), ALNUM).count[0] == n - hit
 
 
 def test_contamination_of_nothing(spark, docs):
