@@ -283,20 +283,23 @@ def digest(documents: DataFrame, **kw) -> DataFrame:
 
 
 def remove(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
-    """documents with repeated words cut out of their texts, together with the space after them; other columns as they are."""
+    """documents with repeated words cut out of their texts, together with the space after them; other columns as they are, whatever their names.
+
+    Null and empty texts stay; repeated rows of one id do not cut each other; rows
+    with a null id stay whole and cut nothing elsewhere; an empty table stays empty.
+    """
     r = find(documents, id_col=id_col, text_col=text_col, window=window, rounds=rounds)
     # one row an id; a copy's rows are told from other rows of its id by their words
     copies = r.scanned.where("copy").select("doc_id", F.lit(True).alias("copy")).distinct()
-    marks = r.starts.join(copies, "doc_id", "full").withColumnRenamed("doc_id", "_id")
+    marks = r.starts.join(copies, "doc_id", "full")
     schema, k = documents.schema, documents.schema.names.index(text_col)
-    marked = documents.join(marks, documents[id_col].cast("long") == F.col("_id"), "left")
-    packed = marked.select(*[documents[c].alias(f"c{i}") for i, c in enumerate(documents.columns)], "starts", "copy")
+    plain = documents.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(documents.columns)])
+    packed = plain.join(marks, F.col(f"c{documents.columns.index(id_col)}").cast("long") == F.col("doc_id"), "left").drop("doc_id")
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(k).to_pylist()
             for a, b, data, offs, w, gone in _removed(batch, window, f"c{k}"):
-                raw = data.tobytes()
+                raw, texts = data.tobytes(), None
                 for row in np.unique(w.row[gone]).tolist():
                     lo, hi = int(w.first[row]), int(w.first[row + 1])
                     g = np.concatenate([[False], gone[lo:hi], [False]])
@@ -306,8 +309,9 @@ def remove(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                         last = lo + y == hi  # nothing is kept after: the space before goes instead
                         kept.append(raw[at : (int(w.end[lo + x - 1]) if x else int(offs[row])) if last else int(w.start[lo + x])])
                         at = int(offs[row + 1]) if last else int(w.start[lo + y])
-                    texts[a + row] = b"".join([*kept, raw[at : int(offs[row + 1])]]).decode()
-            columns = [pa.array(texts, batch.schema.field(k).type) if i == k else batch.column(i) for i in range(len(schema))]
-            yield pa.RecordBatch.from_arrays(columns, schema.names)
+                    texts = texts or batch.column(k)[a:b].to_pylist()
+                    texts[row] = b"".join([*kept, raw[at : int(offs[row + 1])]]).decode()
+                columns = [pa.array(texts, batch.schema.field(k).type) if i == k and texts else batch.column(i)[a:b] for i in range(len(schema))]
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return packed.mapInArrow(run, schema)

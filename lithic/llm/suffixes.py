@@ -21,7 +21,8 @@ positions; equal strings have it at the same offset.  So
    and only pieces that occur twice have their strings fingerprinted (128 bits)
    and counted.
 
-No pairs are formed; the sort's ranges split equal and common prefixes anywhere.
+No pairs are formed; the sort's ranges split common prefixes anywhere, and equal
+suffixes as well, as eight bytes of their own part them.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ GAP = 128
 RANGE_BYTES = 12 << 20
 RUN_BYTES = 24 << 20
 PIECE = 16
+#: Suffixes sampled for each range.
+SAMPLES = 8
 
 
 # ------------------------------------------------------------------ sync points
@@ -162,14 +165,24 @@ def front_code(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes]:
     return shared, np.array([len(r) for r in rests], np.uint16), b"".join(rests)
 
 
-def _runs(length: int, gap: int, bounds: list[bytes]):
-    """Sorted suffixes of a task, in front-coded pieces by range."""
+def _keys(raw: bytes, pos: np.ndarray, end: np.ndarray, uid: np.ndarray, place: np.ndarray, most: int) -> list[bytes]:
+    """The suffixes raw[pos:end], those of `most` bytes with eight more that part equal ones: so range bounds can split them too.
+
+    Only full-length suffixes get them, so the order of different suffixes stays.  They
+    hang on the text and the place in it alone, so a sampled key is the one that is sorted.
+    """
+    ties = mix(uid.view(U64) + mix(place.astype(U64))).tobytes()
+    return [raw[x:y] + ties[8 * k : 8 * k + 8] if y - x == most else raw[x:y] for k, (x, y) in enumerate(zip(pos.tolist(), end.tolist(), strict=True))]
+
+
+def _runs(length: int, gap: int, given):
+    """Sorted suffixes of a task, in front-coded pieces by range; given: the broadcast bounds."""
     core, most = length - gap + 1, length + gap
 
     def run(batches):
         from bisect import bisect_left
 
-        keys, pay, held = [], [], 0
+        bounds, keys, pay, held = given.value, [], [], 0
 
         def flush():
             payload = np.concatenate(pay)
@@ -194,7 +207,7 @@ def _runs(length: int, gap: int, bounds: list[bytes]):
                 pos, row = s.pos[take], s.row[take]
                 end = np.minimum(pos + most, offs[row + 1])
                 raw = data.tobytes()
-                keys += [raw[x:y] for x, y in zip(pos.tolist(), end.tolist(), strict=True)]
+                keys += _keys(raw, pos, end, batch.column(0).to_numpy()[a:b][row], pos - offs[row], most)
                 out = np.zeros(len(take), _PAYLOAD)
                 out["uid"] = batch.column(0).to_numpy()[a:b][row]
                 out["core"], out["pos"] = name[take].view(np.int64), pos - offs[row]
@@ -268,10 +281,11 @@ def merge(runs: list) -> list[tuple[int, int, bytes]]:
             node //= 2
 
 
-def _matches(bounds: list[bytes]):
-    """Merge a range's runs: each suffix with the longest prefix it surely shares (`sure`) and could share (`most`) with another."""
+def _matches(given, longest: int):
+    """Merge a range's runs: each suffix with the longest prefix it surely shares (`sure`) and could share (`most`) with another; what parts equal ones is no prefix."""
 
     def run(batches):
+        bounds = given.value
         blobs: dict[int, list] = {}
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
@@ -287,6 +301,7 @@ def _matches(bounds: list[bytes]):
             # the bound above is a suffix of its own and the first of the next range
             shared[0] = 0
             shared[n] = common_prefix(last, bounds[part]) if part < len(bounds) else 0
+            shared, size = np.minimum(shared, longest), np.minimum(size, longest)
             sure = np.maximum(shared[:-1], shared[1:])
             most = sure.copy()
             if part:  # the neighbour below the first suffix is in another range; so it is for those that share much with the first
@@ -404,7 +419,7 @@ def _range_bounds(texts: DataFrame, length: int, gap: int, total: int, range_byt
     parts = max(1, -(-total * (length + gap) // range_bytes))
     if parts == 1:
         return []
-    rate = min(1.0, 64 * parts / total)
+    rate = min(1.0, SAMPLES * parts / total)
 
     def sample(batches):
         for batch in batches:
@@ -414,10 +429,11 @@ def _range_bounds(texts: DataFrame, length: int, gap: int, total: int, range_byt
                 name = span_hash(p, s.pos, s.pos + length - gap + 1)
                 take = np.flatnonzero(_wanted(batch, "cores", a, b, s.row, name))
                 f = batch.column(0).to_numpy()[a:b].view(U64)[s.row[take]]
-                take = take[(mix(f ^ s.pos[take].astype(U64)) >> U64(11)).astype(float) / 2.0**53 < rate]
+                take = take[(mix(f ^ (s.pos[take] - offs[s.row[take]]).astype(U64)) >> U64(11)).astype(float) / 2.0**53 < rate]
                 raw = data.tobytes()
                 end = np.minimum(s.pos[take] + length + gap, offs[s.row[take] + 1])
-                yield pa.RecordBatch.from_arrays([pa.array([raw[x:y] for x, y in zip(s.pos[take].tolist(), end.tolist(), strict=True)], pa.binary())], ["key"])
+                uid = batch.column(0).to_numpy()[a:b][s.row[take]]
+                yield pa.RecordBatch.from_arrays([pa.array(_keys(raw, s.pos[take], end, uid, s.pos[take] - offs[s.row[take]], length + gap), pa.binary())], ["key"])
 
     keys = sorted({bytes(r[0]) for r in texts.select("uid", "text", "cores").mapInArrow(sample, "key binary").collect()})
     return sorted({keys[len(keys) * k // parts] for k in range(1, parts)}) if keys else []
@@ -440,9 +456,10 @@ def find(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     named = docs.where(F.octet_length("text") >= length).select("text").mapInArrow(_named, "f1 long, f2 long, text string")
     texts = cut(named.join(lists, ["f1", "f2"]).groupBy("uid").agg(F.first("text").alias("text"), F.first("cores").alias("cores")), "texts")
     bounds = _range_bounds(texts, length, gap, total, range_bytes)
-    runs = texts.mapInArrow(_runs(length, gap, bounds), "part int, shared binary, rest binary, raw binary, payload binary")
+    given = documents.sparkSession.sparkContext.broadcast(bounds)
+    runs = texts.mapInArrow(_runs(length, gap, given), "part int, shared binary, rest binary, raw binary, payload binary")
     kinds = "uid long, core long, pos long, far long, near long, sure int, most int"
-    found = matched = cut(runs.repartition(len(bounds) + 1, "part").mapInArrow(_matches(bounds), kinds), "matches")
+    found = matched = cut(runs.repartition(len(bounds) + 1, "part").mapInArrow(_matches(given, length + gap), kinds), "matches")
     drop(shared)
     # starts settled by the sync points before, as islands of overlapping ranges; a point's own starts begin left of it, so
     # they are settled up to the island's end only if the island begins no later than they do
