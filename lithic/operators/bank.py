@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -47,7 +48,7 @@ def filtered(bank: DataFrame, *, text: str | None = None, topic: str | None = No
     if needle:
         preds.append(F.contains(F.lower("full_text"), F.lit(needle)))
     if topic:
-        preds.append(F.coalesce(F.col("tags").rlike(rf"(^|\|){topic}(:|$)"), F.lit(False)))
+        preds.append(F.coalesce(F.col("tags").rlike(rf"(^|\|){re.escape(topic)}(:|$)"), F.lit(False)))
     if school:
         preds.append(F.col("school_code") == school)
     if year is not None:

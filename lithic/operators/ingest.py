@@ -2,27 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lithic.functions import text as T
+from lithic.operators import tables
 
 
 # ------------------------------------------------------------------ discovery
-def union_until(sources: list[DataFrame], target: int, key: str = "exam_key") -> DataFrame:
+def union_until(sources: list[DataFrame | Callable[[], DataFrame]], target: int, key: str = "exam_key", failed: list[str] | None = None) -> DataFrame:
     """Union of sources in order, up to and including the one that brings the distinct keys to `target`.
 
     Counts run on the driver one source at a time, as later sources need not be
-    read at all; a source that fails to load belongs to the caller's log.
+    read at all; the distinct keys so far are kept, at most `target` of them.  A
+    source may be a function; one that fails gives no links, and its error is
+    appended to `failed`.
     """
     taken: list[DataFrame] = []
+    keys: set = set()
     for s in sources:
-        taken.append(s)
-        if reduce(DataFrame.unionByName, taken).select(key).distinct().limit(target).count() >= target:
+        try:
+            df = s() if callable(s) else s
+            new = [r[0] for r in df.where(~F.col(key).isin(sorted(keys)) if keys else F.lit(True)).select(key).where(F.col(key).isNotNull()).distinct().limit(target).collect()]
+        except Exception as x:  # a source that cannot be read is logged and left out
+            if failed is None:
+                raise
+            failed.append(f"{type(x).__name__}: {str(x)[:300]}")
+            continue
+        taken.append(df)
+        keys |= set(new)
+        if len(keys) >= target:
             break
+    if not taken:
+        raise ValueError("no source could be read")
     return reduce(DataFrame.unionByName, taken)
 
 
@@ -96,21 +113,32 @@ def select_listed(groups: DataFrame, codes: list[str], cap: int) -> DataFrame:
 
 # ------------------------------------------------------------------ ingest
 def ingest_states(links: DataFrame, known_urls: DataFrame, known_shas: DataFrame, max_bytes: int, order: str = "ord") -> DataFrame:
-    """state of each link (url, sha, size, failed): skipped, failed, refused, duplicate or new; in-batch repeats count in input order.
+    """state of each link (url, sha, size, failed): skipped, failed, refused, duplicate or new; links count in input order.
 
-    A URL counts as seen once an earlier link with it was stored; a hash likewise.
+    A link is stored if it can be and no earlier stored link has its URL or its
+    hash.  Each round stores those links that are the first of the undecided
+    ones both by URL and by hash, and decides all others of these URLs and
+    hashes; few links are left after the first round.  Minima are aggregated,
+    so a hot URL or hash meets in no task.
     """
-    base = links.join(known_urls.select("url").distinct().withColumn("_u", F.lit(True)), "url", "left").join(known_shas.select("sha").distinct().withColumn("_s", F.lit(True)), "sha", "left")
+    base = links.withColumn("_r", F.struct(F.col(order).alias("o"), F.monotonically_increasing_id().alias("i")))
+    base = base.join(known_urls.select("url").distinct().withColumn("_u", F.lit(True)), "url", "left").join(known_shas.select("sha").distinct().withColumn("_s", F.lit(True)), "sha", "left")
     bad = F.col("failed") | F.col("sha").isNull()
-    storable = F.col("_u").isNull() & ~bad & (F.col("size") < max_bytes)
-    base = base.withColumn("_ok", storable)
-    # the first storable link of a hash is stored, if the hash is new
-    by_sha = Window.partitionBy("sha", "_ok").orderBy(order)
-    base = base.withColumn("_stored", F.col("_ok") & F.col("_s").isNull() & (F.row_number().over(by_sha) == 1))
-    by_url = Window.partitionBy("url").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.col("_u").isNotNull() | F.coalesce(F.bool_or("_stored").over(by_url), F.lit(False))
-    state = F.when(seen, "skipped").when(bad, "failed").when(F.col("size") >= max_bytes, "refused").when(F.col("_stored"), "new").otherwise("duplicate")
-    return base.withColumn("state", state).drop("_u", "_s", "_ok", "_stored")
+    base = tables.written(base, "links")
+    open_ = base.where(F.col("_u").isNull() & F.col("_s").isNull() & ~bad & (F.col("size") < max_bytes)).select("url", "sha", "_r")
+    stored = []
+    while True:
+        by_url, by_sha = (open_.groupBy(k).agg(F.min("_r").alias(f"_{k}")) for k in ("url", "sha"))
+        firsts = open_.join(by_url, "url").join(by_sha, "sha").where((F.col("_r") == F.col("_url")) & (F.col("_r") == F.col("_sha"))).select("url", "sha", "_r")
+        stored.append(tables.written(firsts, "stored"))
+        open_ = tables.written(open_.join(stored[-1].select("url"), "url", "left_anti").join(stored[-1].select("sha"), "sha", "left_anti"), "open")
+        if open_.isEmpty():
+            break
+    kept = reduce(DataFrame.unionByName, stored).select("url", F.col("_r").alias("_kept"))  # one link a URL
+    out = base.join(kept, "url", "left")
+    seen = F.col("_u").isNotNull() | F.coalesce(F.col("_kept") < F.col("_r"), F.lit(False))
+    state = F.when(seen, "skipped").when(bad, "failed").when(F.col("size") >= max_bytes, "refused").when(F.col("_kept") == F.col("_r"), "new").otherwise("duplicate")
+    return out.select(*links.columns, state.alias("state"))
 
 
 def unique_by_sha(rows: DataFrame, sha: str = "sha", order: str = "ord") -> DataFrame:
@@ -121,13 +149,38 @@ def unique_by_sha(rows: DataFrame, sha: str = "sha", order: str = "ord") -> Data
 SUFFIXES = ("", "_b", "_c", "_d", "_e")
 
 
-def free_names(rows: DataFrame, taken: DataFrame, name: str = "name", order: str = "ord") -> DataFrame:
-    """rel_path of each row: its name, or with _b to _e before the extension where names repeat; null beyond that, for the caller to refuse."""
-    used = taken.groupBy(name).agg(F.count(F.lit(1)).alias("_used"))
-    k = F.row_number().over(Window.partitionBy(name).orderBy(order)) + F.coalesce("_used", F.lit(0))
-    out = rows.join(used, name, "left").withColumn("_k", k)
-    suffix = F.get(F.array(*map(F.lit, SUFFIXES)), (F.col("_k") - 1).cast("int"))
-    return out.withColumn("rel_path", F.concat(F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), suffix, F.regexp_extract(name, r"(\.[^.]*)?$", 1))).drop("_k", "_used")
+def free_names(rows: DataFrame, taken: DataFrame, name: str = "name", sha: str = "sha", order: str = "ord") -> DataFrame:
+    """rel_path of each row: the first of its name and its name with _b to _e that is free or holds the same bytes; null if none is, for the caller to refuse.
+
+    taken: (name, sha) of the files there are.  Rows count in input order and
+    take names as they come.  Of a name only its first hashes can get one, so
+    at most `len(SUFFIXES) + 1` of them are looked at together, with the names
+    that suffixes could lead to.
+    """
+    stem = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1)
+    extension = F.regexp_extract(name, r"(\.[^.]*)?$", 1)
+    root = F.concat(F.regexp_replace(stem, r"(_[b-e])+$", ""), extension)
+    first = rows.groupBy(F.col(name).alias("n"), F.col(sha).alias("s")).agg(F.min(order).alias("o"))
+    wanted = first.withColumn("k", F.row_number().over(Window.partitionBy("n").orderBy("o", "s"))).where(F.col("k") <= len(SUFFIXES) + 1)
+    left = wanted.withColumn("root", F.regexp_replace("n", r"(_[b-e])+(\.[^.]*)?$", "$2"))
+    right = taken.select(F.col(name).alias("n"), F.col(sha).alias("s"), root.alias("root"))
+    kind = f"n string, s {rows.schema[sha].dataType.simpleString()}, rel_path string"
+
+    def settle(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        there, out = dict(zip(old["n"], old["s"], strict=True)), []
+        for n, s in new.sort_values(["o", "n"])[["n", "s"]].itertuples(index=False):
+            head, dot, tail = n.rpartition(".")
+            found = None
+            for x in SUFFIXES:
+                path = f"{head}{x}{dot}{tail}" if dot else f"{n}{x}"
+                if there.setdefault(path, s) == s:
+                    found = path
+                    break
+            out.append((n, s, found))
+        return pd.DataFrame(out, columns=["n", "s", "rel_path"])
+
+    placed = left.groupBy("root").cogroup(right.groupBy("root")).applyInPandas(settle, kind)
+    return rows.join(placed.select(F.col("n").alias(name), F.col("s").alias(sha), "rel_path"), [name, sha], "left").select(*rows.columns, "rel_path")
 
 
 # ------------------------------------------------------------------ upserts
@@ -150,6 +203,31 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], update: list[str]) -
     return both.select(*cols).select(*old.columns)
 
 
+def upsert_papers(old: DataFrame, new: DataFrame, update: list[str]) -> DataFrame:
+    """Papers upserted by hash first and, where that is new, by (source, source_url): a known hash keeps its row, a known link gets the new hash.
+
+    new has `ord`; of several rows for one paper the last counts.  Rows of old
+    keep their id; new papers have a null id, for the caller to number.
+    """
+    by_sha = old.select("file_sha256", F.col("id").alias("_a"))
+    by_link = old.select("source", "source_url", F.col("id").alias("_b"))
+    found = new.join(by_sha, "file_sha256", "left").join(by_link, ["source", "source_url"], "left").withColumn("_id", F.coalesce("_a", "_b"))
+    rest = [c for c in old.columns if c != "id"]
+    last = found.where(F.col("_id").isNotNull()).groupBy("_id").agg(F.max_by(F.struct(*rest), "ord").alias("_n"))
+    kept = old.join(last, old["id"] == last["_id"], "left").select("id", *[(F.coalesce(F.col(f"_n.{c}"), F.col(c)) if c in update else F.col(c)).alias(c) for c in rest])
+    fresh = found.where(F.col("_id").isNull()).groupBy("file_sha256").agg(F.max_by(F.struct(*rest), "ord").alias("_n")).select("_n.*")
+    fresh = fresh.withColumn("_k", F.row_number().over(Window.partitionBy("source", "source_url").orderBy("file_sha256"))).where("_k = 1").drop("_k")
+    return kept.unionByName(fresh.select(F.lit(None).cast(old.schema["id"].dataType).alias("id"), *rest))
+
+
+def apply_geometry(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(questions with the new values, one row with how many changed): known keys only, null-safe."""
+    changed = changed_rows(old, new, keys, values).select(*keys, F.struct(*values).alias("_v"))
+    out = old.join(changed, keys, "left")
+    cols = [(F.when(F.col("_v").isNotNull(), F.col(f"_v.{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c)) for c in old.columns]
+    return out.select(*cols), changed.agg(F.count(F.lit(1)).alias("changed"))
+
+
 def changed_rows(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """New rows of known keys whose values differ null-safely."""
     a, b = old.select(*keys, *values).alias("a"), new.alias("b")
@@ -169,10 +247,19 @@ def replace_partitions(old: DataFrame, new: DataFrame, key: str = "paper_id") ->
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
-def crawl_log(links: DataFrame, run_at: Column) -> DataFrame:
-    """One row a source: links seen, distinct exams, and errors as a sorted JSON list."""
-    errors = F.to_json(F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.col("error")))))
-    return links.groupBy("source").agg(F.count_if(F.col("error").isNull()).alias("urls_seen"), F.count_distinct("exam_key").alias("new_papers"), errors.alias("errors")).withColumn("run_at", run_at)
+def replace_questions(questions: DataFrame, new: DataFrame, tags: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(questions, tags) after a paper's questions have been replaced: tags of questions that are gone go too."""
+    out = replace_partitions(questions, new)
+    return out, tags.join(out.select(F.col("id").alias("question_id")), "question_id", "left_semi")
+
+
+def crawl_log(links: DataFrame, run_at: Column, most: int = 1000) -> DataFrame:
+    """One row a source: links seen, distinct exams, number of errors, and the first `most` distinct errors as a sorted JSON list."""
+    counts = links.groupBy("source").agg(F.count_if(F.col("error").isNull()).alias("urls_seen"), F.count_distinct("exam_key").alias("new_papers"), F.count("error").alias("n_errors"))
+    errors = links.where(F.col("error").isNotNull()).select("source", "error").distinct()
+    first = errors.withColumn("_k", F.row_number().over(Window.partitionBy("source").orderBy("error"))).where(F.col("_k") <= most)
+    listed = first.groupBy("source").agg(F.to_json(F.array_sort(F.collect_list("error"))).alias("errors"))
+    return counts.join(listed, "source", "left").withColumn("errors", F.coalesce("errors", F.lit("[]"))).withColumn("run_at", run_at)
 
 
 def candidates_json(groups: DataFrame, path: str) -> bool:

@@ -34,8 +34,8 @@ def lines_of_text(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     """Lines of plain texts as (paper_id, seq, text): right-trimmed, blank ones dropped."""
     return (
         documents.select(F.col(id_col).alias("paper_id"), F.posexplode(F.split(text_col, "\n")).alias("seq", "text"))
-        .withColumn("text", F.rtrim(F.col("text")))
-        .where(F.length(F.trim("text")) > 0)
+        .withColumn("text", F.regexp_replace("text", r"\s+$", ""))
+        .where(F.col("text") != "")
     )
 
 
@@ -51,17 +51,25 @@ def in_margin(top: Column, bottom: Column, height: Column) -> Column:
     return (top < height * 0.08) | (bottom > height * 0.90)
 
 
-def strip_furniture(lines: DataFrame, gutter: float = 120.0, share: float = 0.4) -> DataFrame:
-    """Lines without running headers, footers and page numbers: margin lines that repeat, are a number right of the gutter, or say so."""
+def strip_furniture(lines: DataFrame, gutter: float = 120.0, share: float = 0.4, pages: DataFrame | None = None) -> DataFrame:
+    """Lines without running headers, footers and page numbers, of papers of two pages and more; one-page papers stay as they are.
+
+    A margin line goes if its flattened text (eight characters or more, no
+    number) stands in the margins of max(2, int(share * pages)) pages, if it is a
+    number right of the gutter, or if it is known furniture.  pages: (paper_id,
+    pages); without it a paper has as many pages as its last line says.
+    """
     flat = T.flat_space(F.col("text"))
-    pages = F.max("page").over(_paper())
-    with_flat = lines.withColumn("_flat", flat).withColumn("_edge", in_margin(F.col("top"), F.col("bottom"), F.col("page_height"))).withColumn("_pages", pages)
-    # distinct pages of a text as an aggregation with partial sums, as a running header may be on every page
-    on = with_flat.groupBy("paper_id", "_flat").agg(F.count_distinct("page").alias("_on"))
-    repeated = F.coalesce(F.col("_on"), F.lit(0)) >= F.greatest(F.lit(2), F.floor(F.col("_pages") * share))
+    with_flat = lines.withColumn("_flat", flat).withColumn("_edge", in_margin(F.col("top"), F.col("bottom"), F.col("page_height")))
+    total = pages.select("paper_id", F.col("pages").alias("_pages")) if pages is not None else lines.groupBy("paper_id").agg(F.max("page").alias("_pages"))
+    running = with_flat.where(F.col("_edge") & (F.length("_flat") >= 8) & ~F.col("_flat").rlike(T.PAGE_NUMBER))
+    # distinct pages of a text as aggregations with partial sums, as a running header may be on every page
+    on = running.groupBy("paper_id", "_flat").agg(F.count_distinct("page").alias("_on")).join(total, "paper_id")
+    on = on.where(F.col("_on") >= F.greatest(F.lit(2), F.floor(F.col("_pages") * share))).select("paper_id", "_flat", F.lit(True).alias("_repeated"))
     number = F.col("_flat").rlike(T.PAGE_NUMBER) & (F.col("x0") > gutter)
-    out = with_flat.join(on, ["paper_id", "_flat"], "left")
-    return out.where(~(F.col("_edge") & (repeated | number | F.col("_flat").rlike(T.FURNITURE)))).select(*lines.columns)
+    out = with_flat.join(on, ["paper_id", "_flat"], "left").join(total, "paper_id", "left")
+    furniture = F.col("_edge") & (F.col("_repeated").isNotNull() | number | F.col("_flat").rlike(T.FURNITURE))
+    return out.where((F.coalesce("_pages", F.lit(0)) < 2) | ~furniture).select(*lines.columns)
 
 
 # ------------------------------------------------------------------ candidates
@@ -138,7 +146,7 @@ def segments(lines: DataFrame, chain: DataFrame) -> DataFrame:
 def questions(lines: DataFrame, chain: DataFrame, low_pages: DataFrame | None = None) -> DataFrame:
     """One row a question: text, hash, marks, parts, pages and crop box. low_pages: (paper_id, low_pages array<int>) that need OCR."""
     body = segments(lines, chain)
-    stripped = F.trim("text")
+    stripped = F.regexp_replace("text", r"^\s+|\s+$", "")
     solid = (F.length(stripped) >= 3) & ~stripped.rlike(T.PAGE_NUMBER)
     head = F.when(F.col("is_start") & (F.regexp_extract("text", T.NUMBERED, 2) != ""), F.regexp_extract("text", T.NUMBERED, 2)).otherwise(F.col("text"))
     part = F.lower(F.nullif(F.regexp_extract(head, T.PART, 1), F.lit("")))
@@ -166,7 +174,7 @@ def questions(lines: DataFrame, chain: DataFrame, low_pages: DataFrame | None =
     y_top = F.greatest(F.lit(0.0), F.col("first.top") - 8.0)
     y_bottom = F.when(back, F.col("next.top") - 4.0).when(F.col("next.page") == F.col("_end"), F.least(low, F.col("next.top") - 4.0)).otherwise(low)
     y_bottom = F.when(page_start == page_end, F.greatest(y_bottom, y_top + 12.0)).otherwise(y_bottom)
-    full_text = F.trim(F.array_join(F.transform("lines", lambda x: x["text"]), "\n"))
+    full_text = F.regexp_replace(F.array_join(F.transform("lines", lambda x: x["text"]), "\n"), r"^\s+|\s+$", "")
     out = q.select(
         "paper_id", "q_number", F.array_distinct(F.transform("parts", lambda x: x["p"])).alias("part_labels"), page_start.alias("page_start"), page_end.alias("page_end"),
         F.round(y_top, 2).alias("y_top"), F.round(y_bottom, 2).alias("y_bottom"), "marks_total", full_text.alias("full_text"), F.sha2(full_text, 256).alias("text_sha256"),
@@ -202,9 +210,13 @@ def missing_numbers(found: Column) -> Column:
 
 
 def split_papers(lines: DataFrame, *, gutter: float = 120.0, tolerance: float = 6.0, expected_min: int = 10, expected_max: int = 13, paper_marks: int = 100,
-                 low_pages: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(questions, papers): all questions with their paper's confidence, and one row a paper with signals, status and notes."""
-    kept = reading_order(strip_furniture(lines, gutter))
+                 low_pages: DataFrame | None = None, pages: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(questions, papers): all questions with their paper's confidence, and one row a paper with signals, status and notes.
+
+    pages: (paper_id, pages) of the papers; low_pages: (paper_id, low_pages) with the pages of too little text.
+    """
+    kept = reading_order(strip_furniture(lines, gutter, pages=pages))
+    before, after = (df.groupBy("paper_id").agg(F.count(F.lit(1)).alias(n)) for df, n in ((lines, "_all"), (kept, "_kept")))
     chain = chains(modal_gutter(candidates(kept, gutter), tolerance))
     found = questions(kept, chain, low_pages)
     totals = found.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("marks_total") > 0).alias("with_marks"), F.coalesce(F.sum("marks_total"), F.lit(0)).alias("total_marks"), F.sort_array(F.collect_set("q_number")).alias("numbers"))
@@ -213,11 +225,16 @@ def split_papers(lines: DataFrame, *, gutter: float = 120.0, tolerance: float =
     c = score_columns(F.col("n"), F.col("n_candidates"), F.col("n_gaps"), F.col("with_marks"), F.col("total_marks"), expected_min, expected_max, paper_marks)
     none = F.col("n") == 0
     papers = papers.withColumns(c | {"confidence": F.when(none, 0.0).otherwise(c["confidence"])})
+    papers = papers.join(before, "paper_id").join(after, "paper_id", "left").withColumn("n_stripped", F.col("_all") - F.coalesce("_kept", F.lit(0))).drop("_all", "_kept")
+    empty = F.array().cast("array<int>")
+    papers = papers.join(low_pages, "paper_id", "left").withColumn("low_pages", F.coalesce("low_pages", empty)) if low_pages is not None else papers.withColumn("low_pages", empty)
     notes = F.filter(F.array(
         F.when(none, "no incrementing question numbers found in the gutter"),
         F.when(~none & ((F.col("n") < expected_min) | (F.col("n") > expected_max)), F.concat(F.col("n").cast("string"), F.lit(f" questions detected, outside the expected {expected_min}-{expected_max}"))),
         F.when(~none & (F.col("n_gaps") > 0), F.concat(F.lit("question number(s) not detected: ["), F.array_join(missing_numbers(F.col("numbers")), ", "), F.lit("]"))),
         F.when(~none & (F.col("total_marks") != paper_marks), F.concat(F.lit("marks total "), F.col("total_marks").cast("string"), F.lit(f", expected {paper_marks}"))),
+        F.when(F.col("n_stripped") > 0, F.concat(F.col("n_stripped").cast("string"), F.lit(" running lines left out"))),
+        F.when(F.size("low_pages") > 0, F.concat(F.lit("little text on page(s) "), F.array_join("low_pages", ", "))),
     ), lambda x: x.isNotNull())
     papers = papers.withColumn("notes", notes).withColumn("parse_status", status(F.col("n"), F.col("confidence")))
     return found.join(papers.select("paper_id", F.col("confidence").alias("extract_confidence")), "paper_id"), papers

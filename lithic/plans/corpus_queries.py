@@ -42,10 +42,13 @@ def upsert_merge(spark, sf_dir):
 
 
 def filename_suffix(spark, sf_dir):
-    """Names by source and character count; those of labelled documents are taken already."""
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.concat("source", F.lit("_"), "lang", F.lit("_"), (F.col("n_chars") / 400).cast("int").cast("string"), F.lit(".pdf")).alias("name"))
-    taken = d.join(read(spark, sf_dir, "labels").select(F.col("doc_id").alias("ord")), "ord", "left_semi")
-    return ingest.free_names(d, taken.select("name")).select("ord", "name", "rel_path")
+    """Names by source, language and size; the first labelled document of a name holds it already or, with an odd id, the name with _b."""
+    name = F.concat("source", F.lit("_"), "lang", F.lit("_"), (F.col("n_chars") / 400).cast("int").cast("string"))
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), name.alias("stem"), F.sha2("text", 256).alias("sha"))
+    labelled = d.join(read(spark, sf_dir, "labels").select(F.col("doc_id").alias("ord")), "ord", "left_semi")
+    first = labelled.groupBy("stem").agg(F.min(F.struct("ord", "sha")).alias("f"))
+    taken = first.select(F.concat("stem", F.when(F.col("f.ord") % 2 == 1, "_b").otherwise(""), F.lit(".pdf")).alias("name"), "f.sha")
+    return ingest.free_names(d.select("ord", F.concat("stem", F.lit(".pdf")).alias("name"), "sha"), taken).select("ord", "name", "rel_path")
 
 
 def crawl_log_summary(spark, sf_dir):
@@ -55,7 +58,7 @@ def crawl_log_summary(spark, sf_dir):
         F.regexp_extract(h, r"([a-z]+)$", 1).alias("source"), F.concat(h, F.lit("|"), (F.col("page_id") % 7).cast("string")).alias("exam_key"),
         F.when(F.col("page_id") % 9 == 0, F.concat(F.lit("Error: page "), F.col("page_id").cast("string"))).alias("error"),
     )
-    return ingest.crawl_log(links, F.lit("2025-01-01T00:00:00+00:00"))
+    return ingest.crawl_log(links, F.lit("2025-01-01T00:00:00+00:00"), 5)
 
 
 # ------------------------------------------------------------------ lines
@@ -97,13 +100,13 @@ def anchors(spark, sf_dir):
 
 
 def host_policy(spark, sf_dir):
+    """Hosts of odd length have no rules, those whose length four divides forbid all to all, the others have rules for `bot` and for `*`."""
     p = read(spark, sf_dir, "pages").select("page_id", "url")
-    hosts = p.select(sources.host(F.col("url")).alias("host")).distinct().select("host", F.explode(F.array(
-        F.struct(F.lit("*").alias("agent"), F.lit("/en/").alias("prefix"), F.lit(False).alias("allow")),
-        F.struct(F.lit("*").alias("agent"), F.lit("/en/1").alias("prefix"), F.lit(True).alias("allow")),
-        F.struct(F.lit("bot").alias("agent"), F.lit("/").alias("prefix"), F.lit(False).alias("allow")),
-    )).alias("r")).where(F.length("host") % 2 == 0).select("host", "r.*")
-    out = sources.allowed(p, hosts, ("bot", "*"))
+    rule = lambda pos, agent, prefix, allow: F.struct(F.lit(pos).alias("pos"), F.lit(agent).alias("agent"), F.lit(prefix).alias("prefix"), F.lit(allow).alias("allow"))
+    some = F.array(rule(0, "*", "/en/1", True), rule(1, "*", "/en/", False), rule(2, "*", "/en/2", True), rule(3, "Bot", "/", False))
+    rules = F.when(F.length("host") % 4 == 0, F.array(rule(0, "*", "/", False))).otherwise(some)
+    robots = p.select(sources.host(F.col("url")).alias("host")).distinct().where(F.length("host") % 2 == 0).select("host", F.explode(rules).alias("r")).select("host", "r.*")
+    out = sources.allowed(p, robots, ("bot/1.0", "*"))
     out = out.withColumn("delay", sources.crawl_delay(F.when(F.length("host") % 3 == 0, (F.length("host") % 7).cast("double")), 2.0)).withColumn("ord", F.col("page_id"))
     return sources.schedule(out).select("page_id", "host", "allowed", "delay", "start_at")
 
@@ -131,7 +134,7 @@ def detect_year(spark, sf_dir):
 
 def absolute_urls(spark, sf_dir):
     p = read(spark, sf_dir, "pages")
-    href = F.get(F.array(*map(F.lit, ["/a/b.zip", "c.pdf?x=1", "//other.example.org/z", "https://a.example.com/q", "d/e"])), (F.col("page_id") % 5).cast("int"))
+    href = F.get(F.array(*map(F.lit, ["/a/b.zip", "c.pdf?x=1", "//other.example.org/z", "https://a.example.com/q", "d/e", "?page=2", "#t", "../x", "./y/../z", ""])), (F.col("page_id") % 10).cast("int"))
     return p.select("page_id", T.absolute_url(F.col("url"), href).alias("link"))
 
 
@@ -139,7 +142,7 @@ def zip_members(spark, sf_dir):
     """Each page as an archive whose members' names follow its id, listed from the central directory of its bytes."""
     le = lambda x, n: F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright(x, 8 * k).bitwiseAND(255)), 2, "0") for k in range(n)]))
     zero = lambda n: F.unhex(F.lit("00" * n))
-    p = read(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("p"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, ".PDF").otherwise(".txt")).alias("name"), F.length("html").alias("n"))
+    p = read(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("p"), F.col("page_id").cast("string"), F.get(F.array(*map(F.lit, [".PDF", ".txt", "/../x.pdf", "/", ":y.pdf", "/in/z.pdf"])), (F.col("page_id") % 6).cast("int"))).alias("name"), F.length("html").alias("n"))
     n = F.length("name")
     entry = F.concat(F.unhex(F.lit("504B0102")), zero(20), le(F.col("n"), 4), le(n, 2), zero(16), F.col("name").cast("binary"))
     end = F.concat(F.unhex(F.lit("504B0506")), zero(4), le(F.lit(1), 2), le(F.lit(1), 2), le(F.lit(46) + n, 4), zero(6))
@@ -226,17 +229,18 @@ QUERIES = {
     )
 }
 
-_LINES = """
-WITH raw AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq, rtrim(unnest(string_split(text, chr(10))), ' ') AS text FROM documents),
-lines AS (SELECT doc_id AS paper_id, seq, text FROM raw WHERE length(trim(text)) > 0)"""
+_LINES = r"""
+WITH raw AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq, unnest(string_split(text, chr(10))) AS t FROM documents),
+lines AS (SELECT doc_id AS paper_id, seq, regexp_replace(t, '\s+$', '') AS text FROM raw WHERE regexp_replace(t, '\s+$', '') <> '')"""
+# one link after the other, with what is stored so far
 _STATES = """
-WITH l AS (SELECT doc_id AS ord, 'u/' || source || '/' || (doc_id % 97) AS url, sha256(text) AS sha, strlen(text)::BIGINT AS size, doc_id % 13 = 0 AS failed FROM documents),
-o AS (SELECT * FROM l WHERE ord % 11 = 0),
-b AS (SELECT *, url IN (SELECT url FROM o) AS ku, sha IN (SELECT sha FROM o) AS ks FROM l),
-c AS (SELECT *, NOT ku AND NOT failed AND size < 6000 AS ok FROM b),
-d AS (SELECT *, ok AND NOT ks AND row_number() OVER (PARTITION BY sha, ok ORDER BY ord) = 1 AS stored FROM c),
-e AS (SELECT *, ku OR coalesce(bool_or(stored) OVER (PARTITION BY url ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS seen FROM d),
-s AS (SELECT ord, url, size, CASE WHEN seen THEN 'skipped' WHEN failed THEN 'failed' WHEN size >= 6000 THEN 'refused' WHEN stored THEN 'new' ELSE 'duplicate' END AS state FROM e)
+WITH RECURSIVE l AS (SELECT doc_id AS ord, 'u/' || source || '/' || (doc_id % 97) AS url, sha256(text) AS sha, strlen(text)::BIGINT AS size, doc_id % 13 = 0 AS failed FROM documents),
+n AS (SELECT *, row_number() OVER (ORDER BY ord) AS k FROM l),
+w AS (SELECT 0::BIGINT AS k, 0::BIGINT AS ord, '' AS url, 0::BIGINT AS size, '' AS state, (SELECT list(url) FROM l WHERE ord % 11 = 0) AS urls, (SELECT list(sha) FROM l WHERE ord % 11 = 0) AS shas
+  UNION ALL SELECT k, ord, url, size, state, CASE WHEN state = 'new' THEN list_append(urls, url) ELSE urls END, CASE WHEN state = 'new' THEN list_append(shas, sha) ELSE shas END
+  FROM (SELECT n.k, n.ord, n.url, n.size, n.sha, w.urls, w.shas, CASE WHEN list_contains(w.urls, n.url) THEN 'skipped' WHEN n.failed THEN 'failed' WHEN n.size >= 6000 THEN 'refused' WHEN list_contains(w.shas, n.sha) THEN 'duplicate' ELSE 'new' END AS state
+    FROM w JOIN n ON n.k = w.k + 1)),
+s AS (SELECT ord, url, size, state FROM w WHERE k > 0)
 """
 _W = r"(^|[^\p{L}\p{N}_])%s([^\p{L}\p{N}_]|$)"
 
@@ -249,6 +253,8 @@ def _hits(rules: dict) -> str:
 
 
 _REASON = "CASE WHEN len(codes) = 0 THEN 'no rule hits' WHEN len(codes) > {0} THEN 'conflicting rule hits (' || len(codes) || ' topics: ' || array_to_string(codes, ',') || ')' ELSE '' END"
+_BASE_SQL = r"""regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*:)//', 1) AS scheme, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) AS root,
+  regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*(\?[^#]*)', 1) AS query, CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '^(.*/)', 1) END AS folder"""
 _HOST = r"lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1))"
 _ROUTE = "WITH " + _hits(WORD_RULES) + """,
 cache AS (SELECT sha256(text) AS sha, max(CASE WHEN quality = 1 THEN 'GOOD' ELSE 'POOR' END) AS code FROM labels JOIN documents USING (doc_id) GROUP BY ALL),
@@ -262,40 +268,51 @@ ORACLE_SQL = {
     "ingest_summary": _STATES + "SELECT state, count(*) AS n FROM s GROUP BY state",
     "upsert_merge": """WITH d AS (SELECT doc_id AS id, lang, source, n_chars AS size FROM documents), o AS (SELECT * FROM d WHERE id % 3 > 0), n AS (SELECT id, upper(lang) AS lang, 'new' AS source, size * 2 AS size FROM d WHERE id % 2 = 0)
 SELECT coalesce(o.id, n.id) AS id, coalesce(n.lang, o.lang) AS lang, coalesce(o.source, n.source) AS source, coalesce(n.size, o.size)::BIGINT AS size FROM o FULL JOIN n ON o.id = n.id""",
-    "filename_suffix": """WITH d AS (SELECT doc_id AS ord, source || '_' || lang || '_' || (n_chars // 400) || '.pdf' AS name FROM documents), u AS (SELECT name, count(*) AS used FROM d WHERE ord IN (SELECT doc_id FROM labels) GROUP BY name),
-r AS (SELECT d.*, row_number() OVER (PARTITION BY d.name ORDER BY ord) + coalesce(used, 0) AS k FROM d LEFT JOIN u USING (name))
-SELECT ord, name, CASE WHEN k <= 5 THEN replace(name, '.pdf', ['', '_b', '_c', '_d', '_e'][k] || '.pdf') END AS rel_path FROM r""",
+    # of a name's hashes, in the order of their first rows, the one of the file at _b goes there unless the name itself is free; others take what is free
+    "filename_suffix": """WITH d AS (SELECT doc_id AS ord, source || '_' || lang || '_' || (n_chars // 400) AS stem, sha256(text) AS sha FROM documents),
+t AS (SELECT stem, min(ord) % 2 = 1 AS b, arg_min(sha, ord) AS tsha FROM d WHERE ord IN (SELECT doc_id FROM labels) GROUP BY stem),
+f AS (SELECT stem, sha, min(ord) AS o FROM d GROUP BY stem, sha),
+g AS (SELECT f.*, b, tsha, row_number() OVER (PARTITION BY f.stem ORDER BY o) AS k FROM f LEFT JOIN t USING (stem)),
+h AS (SELECT *, CASE WHEN NOT b AND sha = tsha THEN 1 WHEN b AND k > 1 AND sha = tsha THEN 2 END AS own FROM g),
+p AS (SELECT *, count(*) FILTER (WHERE own IS NULL) OVER (PARTITION BY stem ORDER BY o) AS m FROM h),
+q AS (SELECT *, coalesce(own, CASE WHEN b IS NULL THEN m WHEN NOT b THEN m + 1 WHEN m = 1 THEN 1 ELSE m + 1 END) AS slot FROM p)
+SELECT d.ord, d.stem || '.pdf' AS name, CASE WHEN slot <= 5 THEN d.stem || ['', '_b', '_c', '_d', '_e'][slot] || '.pdf' END AS rel_path FROM d JOIN q USING (stem, sha)""",
     "crawl_log_summary": f"""WITH l AS (SELECT regexp_extract({_HOST}, '([a-z]+)$', 1) AS source, {_HOST} || '|' || (page_id % 7) AS exam_key, CASE WHEN page_id % 9 = 0 THEN 'Error: page ' || page_id END AS error FROM pages)
-SELECT source, count(*) FILTER (WHERE error IS NULL) AS urls_seen, count(DISTINCT exam_key) AS new_papers, '[' || coalesce(string_agg('"' || error || '"', ',' ORDER BY error), '') || ']' AS errors, '2025-01-01T00:00:00+00:00' AS run_at FROM l GROUP BY source""",
+SELECT source, count(*) FILTER (WHERE error IS NULL) AS urls_seen, count(DISTINCT exam_key) AS new_papers, count(error) AS n_errors,
+  '[' || coalesce(array_to_string(list_transform((list_sort(list(DISTINCT error) FILTER (WHERE error IS NOT NULL)))[1:5], lambda x: '"' || x || '"'), ','), '') || ']' AS errors, '2025-01-01T00:00:00+00:00' AS run_at FROM l GROUP BY source""",
     "line_explode_order": _LINES + "SELECT paper_id, row_number() OVER (PARTITION BY paper_id ORDER BY seq)::INTEGER - 1 AS line_index, (seq // 20 + 1)::INTEGER AS page, sha256(text) AS sha FROM lines",
     "repeated_lines": r"""WITH l AS (SELECT source, doc_id AS page, regexp_replace(trim(t), '\s+', ' ', 'g') AS text FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS t FROM documents) WHERE length(trim(t)) > 0),
 n AS (SELECT source, count(DISTINCT page) AS total FROM l GROUP BY source)
 SELECT source, text, count(DISTINCT page) AS n_pages FROM l JOIN n USING (source) GROUP BY source, text, total HAVING count(DISTINCT page) >= greatest(2, floor(total * 0.02))""",
-    "strip_furniture": _LINES + r""", p AS (SELECT source AS paper_id, doc_id AS page, seq, regexp_replace(trim(lines.text), '\s+', ' ', 'g') AS flat, seq = 0 OR seq = max(seq) OVER (PARTITION BY doc_id) AS edge FROM lines JOIN documents ON doc_id = lines.paper_id),
-n AS (SELECT paper_id, flat, count(DISTINCT page) AS np FROM p GROUP BY ALL), t AS (SELECT paper_id, max(page) AS total FROM p GROUP BY paper_id)
-SELECT paper_id, count(*) AS n_lines, sum(seq)::BIGINT AS seqs, sum(page)::BIGINT AS pages FROM p JOIN n USING (paper_id, flat) JOIN t USING (paper_id)
-WHERE NOT (edge AND (np >= greatest(2, floor(total * 0.02)) OR regexp_matches(flat, '(?i)(turn\s+over|^\s*©|\d{4}/\d{2}(/[A-Z])*|blank\s+page|end\s+of\s+paper)'))) GROUP BY paper_id""",
+    "strip_furniture": _LINES + r""", p AS (SELECT source AS paper_id, doc_id AS page, seq, regexp_replace(regexp_replace(lines.text, '^\s+', ''), '\s+', ' ', 'g') AS flat, seq = 0 OR seq = max(seq) OVER (PARTITION BY doc_id) AS edge FROM lines JOIN documents ON doc_id = lines.paper_id),
+t AS (SELECT paper_id, max(page) AS total FROM p GROUP BY paper_id),
+n AS (SELECT paper_id, flat FROM p JOIN t USING (paper_id) WHERE edge AND length(flat) >= 8 AND NOT regexp_matches(flat, '^\s*\d{1,3}\s*$') GROUP BY paper_id, flat, total HAVING count(DISTINCT page) >= greatest(2, floor(total * 0.02)))
+SELECT paper_id, count(*) AS n_lines, sum(seq)::BIGINT AS seqs, sum(page)::BIGINT AS pages FROM p JOIN t USING (paper_id) LEFT JOIN (SELECT *, true AS again FROM n) USING (paper_id, flat)
+WHERE total < 2 OR NOT (edge AND (again IS NOT NULL OR regexp_matches(flat, '(?i)(?:\bturn over\b|^\s*©|\b\d{4}/\d{2}(?:/[A-Z0-9]+)*\b|\bblank page\b|\bend of paper\b)'))) GROUP BY paper_id""",
     "candidate_lines": _LINES + r""", b AS (SELECT paper_id, seq, CASE WHEN seq % 5 = 4 THEN 294.6 ELSE 56.6 END::DOUBLE AS x0, CASE WHEN (seq + 1) % 3 > 0 THEN text WHEN (seq + 1) % 4 = 0 THEN (seq + 1) % 60 || '. ' || text
   WHEN (seq + 1) % 4 = 1 THEN ((seq + 1) % 60)::VARCHAR WHEN (seq + 1) % 4 = 2 THEN (seq + 1) % 60 || ' ,' ELSE '  ' || (seq + 1) % 60 || ') ' || text END AS t FROM lines),
 c AS (SELECT *, regexp_extract(t, '^\s*(\d{1,2})\s*[.)]?\s+(\S.*)$', 1) AS q1, regexp_extract(t, '^\s*(\d{1,2})\s*[.)]?\s+(\S.*)$', 2) AS body, regexp_extract(t, '^\s*(\d{1,2})\s*[.)]?\s*$', 1) AS q2 FROM b WHERE x0 <= 120)
 SELECT paper_id, seq::INTEGER AS line_index, try_cast(CASE WHEN q1 <> '' THEN CASE WHEN length(trim(body)) >= 3 THEN q1 END WHEN q2 <> '' THEN q2 END AS INTEGER) AS q_number, x0 FROM c
 WHERE CASE WHEN q1 <> '' THEN length(trim(body)) >= 3 ELSE q2 <> '' END""",
-    "anchors": r"""WITH a AS (SELECT page_id, url, regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1) AS h FROM pages),
-b AS (SELECT page_id, url, generate_subscripts(h, 1) - 1 AS pos, unnest(h) AS href FROM a),
-c AS (SELECT *, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*:)//', 1) AS scheme, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) AS root, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/(?:[^?#]*/)?)', 1) AS folder FROM b)
-SELECT page_id, pos::INTEGER AS pos, href, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN scheme || href WHEN starts_with(href, '/') THEN root || href
-  WHEN folder = '' THEN root || '/' || href ELSE folder || href END AS link FROM c""",
+    "anchors": r"""WITH a AS (SELECT page_id, url, regexp_extract_all(html, '(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1) AS h FROM pages),
+b AS (SELECT page_id, url, generate_subscripts(h, 1) - 1 AS pos, replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(unnest(h), '^["'']|["'']$', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&#x27;', ''''), '&#38;', '&'), '&amp;', '&') AS href FROM a),
+c AS (SELECT *, """ + _BASE_SQL + r""" FROM b)
+SELECT page_id, pos::INTEGER AS pos, href, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN scheme || href WHEN href = '' OR starts_with(href, '#') THEN root || path || query || href
+  WHEN starts_with(href, '?') THEN root || path || href WHEN starts_with(href, '/') THEN root || href ELSE root || folder || href END AS link FROM c""",
     "host_policy": rf"""WITH p AS (SELECT page_id, url, {_HOST} AS host, CASE WHEN regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^#]*)', 1) END AS path FROM pages),
-d AS (SELECT page_id, host, length(host) % 2 <> 0 OR starts_with(path, '/en/1') OR NOT starts_with(path, '/en/') AS allowed, greatest(2.0::DOUBLE, CASE WHEN length(host) % 3 = 0 THEN (length(host) % 7)::DOUBLE ELSE 0.0::DOUBLE END) AS delay FROM p)
+d AS (SELECT page_id, host, length(host) % 2 <> 0 OR (length(host) % 4 <> 0 AND (starts_with(path, '/en/1') OR NOT starts_with(path, '/en/'))) AS allowed, greatest(2.0::DOUBLE, CASE WHEN length(host) % 3 = 0 THEN (length(host) % 7)::DOUBLE ELSE 0.0::DOUBLE END) AS delay FROM p)
 SELECT *, coalesce(sum(delay) OVER (PARTITION BY host ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS start_at FROM d""",
     "retry_schedule": """SELECT event_id, (400 + event_id % 130)::INTEGER AS status, least(120.0::DOUBLE, 2.0::DOUBLE * pow(2.0::DOUBLE, user_id % 9)) AS wait FROM events
 WHERE 400 + event_id % 130 = 429 OR 400 + event_id % 130 BETWEEN 500 AND 599""",
     "detect_year": r"""WITH t AS (SELECT o_orderkey, 'exam 20' || lpad((o_orderkey % 100)::VARCHAR, 2, '0') || ' x2019_' || o_custkey || ' ' || o_orderkey AS t FROM orders)
 SELECT o_orderkey, list_max(list_filter(list_transform(regexp_extract_all(regexp_replace(t, '(\d+)', ' \1 ', 'g'), '(^|\D)(20\d\d)\D', 2), lambda x: x::INTEGER), lambda y: y BETWEEN 2010 AND 2030)) AS year FROM t""",
-    "absolute_urls": r"""WITH b AS (SELECT page_id, url, ['/a/b.zip', 'c.pdf?x=1', '//other.example.org/z', 'https://a.example.com/q', 'd/e'][page_id % 5 + 1] AS href FROM pages),
-c AS (SELECT *, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*:)//', 1) AS scheme, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) AS root, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/(?:[^?#]*/)?)', 1) AS folder FROM b)
-SELECT page_id, CASE page_id % 5 WHEN 0 THEN root || href WHEN 2 THEN scheme || href WHEN 3 THEN href ELSE CASE WHEN folder = '' THEN root || '/' ELSE folder END || href END AS link FROM c""",
-    "zip_members": "SELECT page_id, name, length(html)::BIGINT AS size, page_id % 2 = 0 AS is_pdf, true AS safe FROM (SELECT page_id, html, 'p' || page_id || CASE WHEN page_id % 2 = 0 THEN '.PDF' ELSE '.txt' END AS name FROM pages)",
+    "absolute_urls": r"""WITH c AS (SELECT page_id, page_id % 10 AS k, """ + _BASE_SQL + r""" FROM pages),
+d AS (SELECT *, CASE WHEN folder = '/' THEN '/' ELSE regexp_replace(folder, '[^/]+/$', '') END AS parent FROM c)
+SELECT page_id, CASE k WHEN 0 THEN root || '/a/b.zip' WHEN 1 THEN root || folder || 'c.pdf?x=1' WHEN 2 THEN scheme || '//other.example.org/z' WHEN 3 THEN 'https://a.example.com/q' WHEN 4 THEN root || folder || 'd/e'
+  WHEN 5 THEN root || path || '?page=2' WHEN 6 THEN root || path || query || '#t' WHEN 7 THEN root || parent || 'x' WHEN 8 THEN root || folder || 'z' ELSE root || path || query END AS link FROM d""",
+    "zip_members": r"""WITH m AS (SELECT page_id, length(html)::BIGINT AS size, 'p' || page_id || ['.PDF', '.txt', '/../x.pdf', '/', ':y.pdf', '/in/z.pdf'][page_id % 6 + 1] AS name FROM pages)
+SELECT page_id, name, size, ends_with(lower(name), '.pdf') AS is_pdf,
+  ends_with(lower(name), '.pdf') AND NOT list_contains(string_split(replace(name, '\', '/'), '/'), '..') AND name[1] NOT IN ('/', '\') AND NOT contains(name, ':') AS safe FROM m""",
     "decode_bom": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'utf-16-le' ELSE 'utf-8' END AS encoding, sha256(text) AS sha FROM documents",
     "fold_accents": "SELECT doc_id, sha256(lower(strip_accents(text))) AS sha FROM documents",
     "smallest_version": """WITH s AS (SELECT doc_id, strlen(text) AS a, length(text) * 2 AS b, strlen(trim(regexp_replace(text, ' +', ' ', 'g'), ' ')) AS c FROM documents)
@@ -305,7 +322,14 @@ SELECT doc_id, CASE WHEN a <= b AND a <= c THEN 'original' WHEN b <= c THEN 'wid
     "topic_rules": "SELECT p_partkey, CASE WHEN p_partkey % 6 = 4 THEN 'no rule hits' ELSE '' END AS reason, ['BINOM', 'GRAPH', 'EQIN', 'VEC', '', 'SEQS'][p_partkey % 6 + 1] AS codes FROM part",
     "tag_routing": _ROUTE + "SELECT * FROM t",
     "routing_summary": _ROUTE + "SELECT outcome, count(*) AS n FROM t GROUP BY outcome",
-    "reply_validate": """WITH e AS (SELECT event_id, event_id % 7 > 0 AND event_id % 6 NOT IN (1, 3, 4) AS ok FROM events)
-SELECT event_id, CASE WHEN ok THEN ['VEC,FUNC', '', 'DIFF,MACL,PROB', '', '', 'HYPO'][event_id % 6 + 1] END AS codes, CASE WHEN ok THEN least(1.0::DOUBLE, greatest(0.0::DOUBLE, (event_id % 30)::DOUBLE / 10.0::DOUBLE - 1)) END AS confidence FROM e""",
+    "reply_validate": """WITH b AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '```json' || chr(10) ELSE '' END || '{"topic_codes": ' ||
+  ['["vec","FUNC","vec"]', '["NOPE"]', '["DIFF",3,"macl","PROB","NORM"]', '"VEC"', '[]', '[" hypo "]'][event_id % 6 + 1] || ', "confidence": ' || ((event_id % 30) / 10.0::DOUBLE - 1)::VARCHAR ||
+  CASE WHEN event_id % 7 > 0 THEN '}' ELSE '' END || CASE WHEN event_id % 4 = 0 THEN chr(10) || '```' ELSE '' END AS body FROM events),
+j AS (SELECT event_id, regexp_extract(body, '(?s)[{].*[}]') AS t FROM b),
+v AS (SELECT event_id, CASE WHEN t <> '' AND json_valid(t) THEN t::JSON END AS t FROM j),
+c AS (SELECT event_id, t, CASE WHEN json_type(t, '$.topic_codes') = 'ARRAY' THEN json_extract(t, '$.topic_codes[*]') ELSE [] END AS raw FROM v),
+u AS (SELECT event_id, t, list_filter(list_transform(list_filter(raw, lambda x: json_type(x) = 'VARCHAR'), lambda x: upper(x ->> '$')), lambda x: list_contains([""" + ", ".join(f"'{c}'" for c, _, _ in tagging.TOPICS) + """], x)) AS codes FROM c),
+d AS (SELECT event_id, t, list_filter(codes, lambda x, i: list_position(codes, x) = i)[1:3] AS codes FROM u)
+SELECT event_id, CASE WHEN len(codes) > 0 THEN array_to_string(codes, ',') END AS codes, CASE WHEN len(codes) > 0 THEN least(1.0::DOUBLE, greatest(0.0::DOUBLE, (t ->> '$.confidence')::DOUBLE)) END AS confidence FROM d""",
     "text_cuts": "SELECT doc_id, length(text)::BIGINT AS chars, substring(split_part(text, chr(10), 1), 1, 120) AS first_line, sha256(substring(text, 1, 4000)) AS clip_sha FROM documents",
 }

@@ -7,6 +7,7 @@ import struct
 import tomllib
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import reduce
 from io import BytesIO
 from pathlib import Path
 
@@ -17,6 +18,7 @@ from pyspark.sql.types import BinaryType, StringType
 from pyspark.sql.window import Window
 
 from lithic.functions import text as T
+from lithic.operators import tables
 
 # ------------------------------------------------------------------ registry
 Source = Callable[[SparkSession, dict], DataFrame]
@@ -60,9 +62,10 @@ def candidate_links(spark: SparkSession, path: str) -> DataFrame:
 
 # ------------------------------------------------------------------ html
 def anchors(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, pos, href, link) of every <a href> in document order; link is absolute."""
-    found = F.regexp_extract_all(html_col, F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""), F.lit(1))
-    out = pages.select(id_col, url_col, F.posexplode(found).alias("pos", "href"))
+    """(id, pos, href, link) of every <a href> in document order, quoted or not, with character references resolved; link is absolute."""
+    found = F.regexp_extract_all(html_col, F.lit(r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""), F.lit(1))
+    out = pages.select(id_col, url_col, F.posexplode(found).alias("pos", "raw"))
+    out = out.withColumn("href", T.unescaped(F.regexp_replace("raw", r"""^["']|["']$""", "")))
     return out.select(id_col, "pos", "href", T.absolute_url(F.col(url_col), F.col("href")).alias("link"))
 
 
@@ -150,9 +153,47 @@ def zip_members(tail: bytes) -> list[tuple[str, int]]:
 
 
 def safe_member(name: Column) -> Column:
-    """Whether an archive member's name stays inside the folder it is unpacked to."""
+    """Whether an archive member is a PDF whose name stays inside the folder it is unpacked to: no folder, no drive, no root, no `..`."""
     parts = F.split(F.replace(name, F.lit("\\"), F.lit("/")), "/")
-    return ~F.exists(parts, lambda p: p == "..") & ~F.startswith(name, F.lit("/")) & ~F.startswith(name, F.lit("\\")) & ~name.rlike("^[A-Za-z]:")
+    inside = ~F.exists(parts, lambda p: p == "..") & ~F.startswith(name, F.lit("/")) & ~F.startswith(name, F.lit("\\")) & ~F.contains(name, F.lit(":"))
+    return F.coalesce(inside & F.endswith(F.lower(name), F.lit(".pdf")), F.lit(False))
+
+
+def page_count(files: DataFrame, counter: Callable[[bytes], int], id_col: str = "paper_id", raw_col: str = "content") -> DataFrame:
+    """(id, pages) of documents by a callable; 0 for one that cannot be read."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i, raw in zip(pdf["id"], pdf["raw"], strict=True):
+                try:
+                    n = int(counter(bytes(raw)))
+                except Exception:  # a broken document has no pages
+                    n = 0
+                yield pd.DataFrame([(i, n)], columns=["id", "pages"])
+
+    kind = files.schema[id_col].dataType.simpleString()
+    return files.select(F.col(id_col).alias("id"), F.col(raw_col).alias("raw")).mapInPandas(run, f"id {kind}, pages int").withColumnRenamed("id", id_col)
+
+
+def compressed(files: DataFrame, compressors: list[Callable[[bytes], bytes]], target: int, raw_col: str = "content") -> DataFrame:
+    """files with `stored` (the smallest of the bytes and what the callables make of them) and a note; files of up to `target` bytes stay."""
+
+    def run(raw: pd.Series) -> pd.Series:
+        out = []
+        for b in raw:
+            best = b = None if b is None else bytes(b)
+            for f in compressors if b is not None and len(b) > target else ():
+                try:
+                    new = f(b)
+                except Exception:  # a compressor that fails changes nothing
+                    continue
+                best = new if len(new) < len(best) else best
+            out.append(best)
+        return pd.Series(out, dtype=object)
+
+    stored = files.withColumn("stored", F.pandas_udf(run, BinaryType())(F.col(raw_col)))
+    before, after = F.octet_length(raw_col), F.octet_length("stored")
+    return stored.withColumn("note", F.when(before <= target, "small enough as it is").otherwise(T.compression_note(before, after, F.lit(target))))
 
 
 def is_pdf(raw: Column) -> Column:
@@ -161,13 +202,17 @@ def is_pdf(raw: Column) -> Column:
 
 @F.pandas_udf(BinaryType())
 def extract_member(raw: pd.Series, name: pd.Series) -> pd.Series:
-    """A member's bytes out of whole archives; null where it cannot be read."""
+    """A PDF member's bytes out of whole archives; null where it cannot be read, its name is not safe or it is no PDF."""
 
     def one(b, n):
         try:
-            return zipfile.ZipFile(BytesIO(bytes(b))).read(n)
-        except (KeyError, zipfile.BadZipFile, TypeError):
+            parts = n.replace("\\", "/").split("/")
+            if ".." in parts or not parts[0] or ":" in n or not n.lower().endswith(".pdf"):
+                return None
+            out = zipfile.ZipFile(BytesIO(bytes(b))).read(n)
+        except (KeyError, zipfile.BadZipFile, TypeError, AttributeError):
             return None
+        return out if out.startswith(b"%PDF") else None
 
     return pd.Series([one(b, n) for b, n in zip(raw, name, strict=True)], dtype=object)
 
@@ -184,24 +229,29 @@ def host(url: Column) -> Column:
 
 
 def allowed(urls: DataFrame, robots: DataFrame, agents: tuple[str, ...]) -> DataFrame:
-    """urls with `allowed`: for any of the agents the longest matching rule (allow before disallow on ties) permits it; hosts without rules permit all.
+    """urls with `allowed`: whether the rules permit it to any of the agents.
 
-    robots: (host, agent, prefix, allow, delay); a small table a host, joined on the host.
+    robots: (host, pos, agent, prefix, allow), a small table a host, joined on
+    the host.  An agent follows the first named group that its name (up to a
+    slash) contains, and the rules for `*` if there is none; of these the first
+    one by pos whose prefix fits decides, an empty prefix permits, and where
+    none fits the URL is permitted, as on hosts without rules.
     """
     path = F.coalesce(F.nullif(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^#]*)", 1), F.lit("")), F.lit("/"))
     base = urls.withColumn("host", host(F.col("url"))).withColumn("_path", path)
-    rules = robots.where(F.col("agent").isin(*agents)).groupBy("host").agg(F.collect_list(F.struct("agent", "prefix", "allow")).alias("_rules"))
+    rule = F.struct("pos", F.lower("agent").alias("agent"), "prefix", "allow")
+    rules = robots.groupBy("host").agg(F.array_sort(F.collect_list(rule)).alias("_rules"))
     joined = base.join(rules, "host", "left")
 
     def verdict(agent: str) -> Column:
-        mine = F.filter("_rules", lambda r: (r["agent"] == agent) & (r["prefix"] != "") & F.startswith(F.col("_path"), r["prefix"]))
-        best = F.array_max(F.transform(mine, lambda r: F.struct(F.length(r["prefix"]).alias("n"), r["allow"].alias("allow"))))
-        return F.coalesce(best["allow"], F.lit(True))
-
-    verdicts = [verdict(a) for a in agents]
-    any_ok = verdicts[0]
-    for v in verdicts[1:]:
-        any_ok = any_ok | v
+        name = F.lit(agent.split("/")[0].lower())
+        named = F.filter("_rules", lambda r: (r["agent"] != "*") & F.contains(name, r["agent"]))
+        group = F.when(F.size(named) > 0, F.get(named, F.lit(0))["agent"]).otherwise("*")
+        fits = F.filter("_rules", lambda r: (r["agent"] == group) & F.startswith(F.col("_path"), r["prefix"]))
+        first = F.get(fits, F.lit(0))
+        return F.coalesce(F.when(first["prefix"] == "", True).otherwise(first["allow"]), F.lit(True))
+
+    any_ok = reduce(lambda a, b: a | b, [verdict(a) for a in agents])
     return joined.withColumn("allowed", any_ok).drop("_rules", "_path")
 
 
@@ -210,9 +260,20 @@ def crawl_delay(delay: Column, least: float) -> Column:
 
 
 def schedule(requests: DataFrame, order: str = "ord", delay: str = "delay") -> DataFrame:
-    """start_at seconds of each request: the delays of its host's earlier ones."""
-    w = Window.partitionBy("host").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return requests.withColumn("start_at", F.coalesce(F.sum(delay).over(w), F.lit(0.0)))
+    """start_at seconds of each request: the delays of its host's earlier ones.
+
+    Sums over sums: the requests are sorted into ranges by host and order, each
+    range adds up its own delays, and the ranges of a host are few, so a host
+    with very many requests is no single task.
+    """
+    ranged = requests.repartitionByRange("host", order).withColumn("_part", F.spark_partition_id())
+    ranged = tables.written(ranged, "schedule")  # the ranges stay what they are
+    own = Window.partitionBy("host", "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("host").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("host", "_part").agg(F.sum(delay).alias("_sum"))
+    sums = sums.select("host", "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)).alias("_before"))
+    out = ranged.withColumn("_own", F.coalesce(F.sum(delay).over(own), F.lit(0.0))).join(sums, ["host", "_part"])
+    return out.withColumn("start_at", F.col("_before") + F.col("_own")).select(*requests.columns, "start_at")
 
 
 def backoff(base: Column, attempt: Column, most: float = 120.0) -> Column:

@@ -1,7 +1,7 @@
 """Fetching on the executors, and link sources over fetched pages.
 
 The network is a callable given by the caller (`url, form -> (status, headers,
-bytes)`), so that everything here runs and is tested without one.  Requests are
+bytes)`, with a third argument, further headers, where a range is asked for), so that everything here runs and is tested without one.  Requests are
 dealt by host: one task holds a host's requests and so its spacing.
 """
 
@@ -16,43 +16,58 @@ from pyspark.sql import functions as F
 
 from lithic.functions import text as T
 from lithic.operators import ingest
-from lithic.sources import anchors, decoded, host, matching_links, zip_listing
+from lithic.sources import allowed, anchors, decoded, host, matching_links, zip_listing
 
-Getter = Callable[[str, str | None], tuple[int, dict[str, str], bytes]]
+Getter = Callable[..., tuple[int, dict[str, str], bytes]]
 RESPONSE = "url string, status int, content binary, headers map<string,string>, attempts int, error string"
 
 
-def fetch(requests: DataFrame, getter: Getter, *, max_bytes: int = 52_428_800, max_retries: int = 4, base_delay: float = 2.0, most_delay: float = 120.0, parts: int = 32,
-          sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """Responses of requests (url, form, delay): 429 and 5xx are tried again with doubling waits, bodies of max_bytes and more are refused.
+def fetch(requests: DataFrame, getter: Getter, *, robots: DataFrame | None = None, agents: tuple[str, ...] = ("*",), max_bytes: int = 52_428_800, max_retries: int = 4,
+          base_delay: float = 2.0, most_delay: float = 120.0, parts: int = 32, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Responses of requests (url, form, delay, first, last).
 
-    A failing request is a row with its error, never a failed task.
+    429, 5xx and transport errors are tried again with doubling waits from
+    base_delay on, bodies of max_bytes and more are refused.  With robots (see
+    `sources.allowed`) URLs that the rules forbid are not asked.  first and last
+    are a byte range, sent as a Range header where given.  A failing request is
+    a row with its error, never a failed task; every response is handed on
+    before the next request is made.
     """
 
+    def one(url, form, delay, ok, first, last):
+        status, headers, body, error, n = None, {}, None, None, 0
+        if not ok:
+            return url, None, None, headers, n, "RobotsDisallowed"
+        extra = {} if first is None or first != first else {"Range": f"bytes={int(first)}-" + ("" if last is None or last != last else str(int(last)))}
+        if delay:
+            sleep(float(delay))
+        while n < max_retries:
+            if n:
+                sleep(min(most_delay, base_delay * 2 ** (n - 1)))
+            n += 1
+            try:
+                status, headers, body = getter(url, form, extra) if extra else getter(url, form)
+                error = None
+            except Exception as x:  # any transport error is tried again and then a row
+                status, body, error = None, None, f"{type(x).__name__}: {x}"
+                continue
+            if status != 429 and not 500 <= status <= 599:
+                break
+        if error is None and status is not None and status >= 400:
+            error = f"HTTPError: {status}"
+        if body is not None and max(len(body), int(headers.get("content-length", 0) or 0)) >= max_bytes:
+            body, error = None, f"TooLarge: {max_bytes} bytes or more"
+        return url, status, body, headers, n, error
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for url, form, delay in zip(pdf["url"], pdf["form"], pdf["delay"], strict=True):
-                status, headers, body, error, n = None, {}, None, None, 0
-                while n < max_retries:
-                    if n or delay:
-                        sleep(min(most_delay, base_delay * 2**n) if n else float(delay))
-                    n += 1
-                    try:
-                        status, headers, body = getter(url, form)
-                    except Exception as x:  # any transport error is a row
-                        error = f"{type(x).__name__}: {x}"
-                        break
-                    if status != 429 and not 500 <= status <= 599:
-                        break
-                if error is None and status is not None and status >= 400:
-                    error = f"HTTPError: {status}"
-                if body is not None and max(len(body), int(headers.get("content-length", 0) or 0)) >= max_bytes:
-                    body, error = None, f"TooLarge: {max_bytes} bytes or more"
-                out.append((url, status, body, headers, n, error))
-            yield pd.DataFrame(out, columns=["url", "status", "content", "headers", "attempts", "error"])
-
-    dealt = requests.select("url", F.col("form") if "form" in requests.columns else F.lit(None).cast("string").alias("form"), F.col("delay") if "delay" in requests.columns else F.lit(0.0).alias("delay"))
+            for row in pdf.itertuples(index=False):
+                yield pd.DataFrame([one(*row)], columns=["url", "status", "content", "headers", "attempts", "error"]).astype({"status": "Int32"})
+
+    asked = allowed(requests, robots, agents) if robots is not None else requests.withColumn("allowed", F.lit(True))
+    kinds = {"form": "string", "delay": "double", "first": "long", "last": "long"}
+    given = {c: F.col(c).cast(k) if c in requests.columns else F.lit(0.0 if c == "delay" else None).cast(k) for c, k in kinds.items()}
+    dealt = asked.select("url", given["form"].alias("form"), given["delay"].alias("delay"), "allowed", given["first"].alias("first"), given["last"].alias("last"))
     return dealt.repartition(parts, host(F.col("url"))).mapInPandas(run, RESPONSE)
 
 

@@ -1,5 +1,7 @@
 """Tagging, cache routing, the bank view, ingest states, upserts and streams on literal rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,12 +56,12 @@ def test_routing(spark):
     def model(prompt):
         if prompt.startswith("bad"):
             raise ConnectionError("down")
-        if "JSON only" not in prompt and prompt.startswith("what"):
-            return "words only", 400, 10
+        if tagging.AGAIN not in prompt and prompt.startswith("what"):
+            return '{"topic_codes": ["NOPE"]}', 400, 10  # braces, but nothing usable: asked once more
         return ('{"topic_codes": ["DIFF"], "confidence": 1}', 450, 15) if prompt.startswith("what") else ("{}", 1, 1)
 
     misses = decided.where("id in (3, 4, 5)").select("text_sha256", F.col("full_text").alias("prompt"))
-    answers = tagging.classify(misses, model)
+    answers = tagging.classify(misses, model, sleep=lambda s: None)
     tokens = {r.text_sha256: (r.input_tokens, r.output_tokens, r.error) for r in answers.collect()}
     assert tokens["h3"] == (850, 25, None) and tokens["h5"][2] == "ConnectionError: down"
     on = {r.id: (r.outcome, [t.code for t in r.tags]) for r in tagging.route(decided, cache, "m", answers).collect()}
@@ -132,14 +134,65 @@ def test_ingest_states(spark):
     assert got == ["skipped", "new", "skipped", "failed", "refused", "duplicate", "duplicate", "new", "new"]
 
 
+def brute_states(rows, urls, shas, most):
+    urls, shas, out = set(urls), set(shas), []
+    for _, url, sha, size, failed in rows:
+        state = "skipped" if url in urls else "failed" if failed or sha is None else "refused" if size >= most else "duplicate" if sha in shas else "new"
+        if state == "new":
+            urls.add(url)
+            shas.add(sha)
+        out.append(state)
+    return out
+
+
+def test_a_skipped_link_claims_no_hash(spark):
+    schema = "ord int, url string, sha string, size long, failed boolean"
+    none = spark.createDataFrame([], "url string, sha string")
+    rows = [(0, "u1", "s1", 5, False), (1, "u1", "s2", 5, False), (2, "u2", "s2", 5, False)]
+    assert [r.state for r in ingest.ingest_states(spark.createDataFrame(rows, schema), none, none, 100).orderBy("ord").collect()] == ["new", "skipped", "new"]
+    rng = random.Random(3)
+    rows = [(i, f"u{rng.randrange(30)}", rng.choice([None, *(f"s{k}" for k in range(30))]), rng.choice([5, 5, 5, 200]), rng.random() < 0.1) for i in range(300)]
+    old = spark.createDataFrame([("u3", "s4")], "url string, sha string")
+    got = [r.state for r in ingest.ingest_states(spark.createDataFrame(rows, schema).repartition(3), old, old, 100).orderBy("ord").collect()]
+    assert got == brute_states(rows, ["u3"], ["s4"], 100)
+
+
+def test_papers_and_geometry(spark):
+    kind = "id long, source string, source_url string, file_sha256 string, rel_path string"
+    old = spark.createDataFrame([(1, "a", "u1", "h1", "p1"), (2, "a", "u2", "h2", "p2")], kind)
+    new = spark.createDataFrame([("b", "v", "h1", "q1", 0), ("a", "u2", "h9", "q2", 1), ("c", "w", "h5", "q5", 2), ("c", "w", "h5", "q6", 3)], "source string, source_url string, file_sha256 string, rel_path string, ord int")
+    got = sorted(((r.id or 0), r.file_sha256, r.rel_path) for r in ingest.upsert_papers(old, new, ["rel_path", "file_sha256"]).collect())
+    assert got == [(0, "h5", "q6"), (1, "h1", "q1"), (2, "h9", "q2")]
+    q = spark.createDataFrame([(1, 1.0, 2), (2, None, 3)], "id long, y double, page int")
+    out, n = ingest.apply_geometry(q, spark.createDataFrame([(1, 1.0, 2), (2, 5.0, 3), (9, 1.0, 1)], "id long, y double, page int"), ["id"], ["y", "page"])
+    assert sorted(map(tuple, out.collect())) == [(1, 1.0, 2), (2, 5.0, 3)] and n.first().changed == 1
+    questions = spark.createDataFrame([(1, 7), (2, 7), (3, 8)], "id long, paper_id long")
+    tags = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C")], "question_id long, topic_code string")
+    left, kept = ingest.replace_questions(questions, spark.createDataFrame([(4, 7)], "id long, paper_id long"), tags)
+    assert sorted(r.id for r in left.collect()) == [3, 4] and [r.question_id for r in kept.collect()] == [3]
+
+
+def test_a_failing_source_is_left_out(spark):
+    def broken():
+        raise OSError("no such page")
+
+    one = lambda *keys: spark.createDataFrame([(k,) for k in keys], "exam_key string")
+    failed = []
+    out = ingest.union_until([lambda: one("a", "b"), broken, one("b", "c"), one("never")], 3, failed=failed)
+    assert sorted(r[0] for r in out.collect()) == ["a", "b", "b", "c"] and failed == ["OSError: no such page"]
+
+
 def test_upsert_and_names(spark):
     old = spark.createDataFrame([(1, "a", "keep"), (2, "b", "keep"), (None, "n", "keep")], "id int, v string, w string")
     new = spark.createDataFrame([(1, "x", "no", 0), (1, "y", "no", 1), (None, "m", "no", 0), (3, "c", "w", 0)], "id int, v string, w string, ord int")
     got = sorted(map(tuple, ingest.upsert(old, new, ["id"], ["v"]).collect()), key=repr)
     assert got == sorted([(1, "y", "keep"), (2, "b", "keep"), (None, "m", "keep"), (3, "c", "w")], key=repr)
-    names = spark.createDataFrame([(i, "a.pdf") for i in range(6)], "ord int, name string")
-    got = [r.rel_path for r in ingest.free_names(names, names.limit(1)).orderBy("ord").collect()]
-    assert got == ["a_b.pdf", "a_c.pdf", "a_d.pdf", "a_e.pdf", None, None]
+    given = lambda rows: spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "ord int, name string, sha string")
+    names = lambda rows, taken: [r.rel_path for r in ingest.free_names(given(rows), given(taken)).orderBy("ord").collect()]
+    assert names([("a.pdf", f"s{i}") for i in range(6)], [("a.pdf", "t")]) == ["a_b.pdf", "a_c.pdf", "a_d.pdf", "a_e.pdf", None, None]
+    assert names([("x.pdf", "n"), ("x.pdf", "m"), ("x.pdf", "n")], [("x.pdf", "t"), ("x_b.pdf", "u")]) == ["x_c.pdf", "x_d.pdf", "x_c.pdf"]
+    assert names([("x.pdf", "u"), ("x.pdf", "m"), ("x_b.pdf", "k")], [("x_b.pdf", "u")]) == ["x.pdf", "x_c.pdf", "x_b_b.pdf"]
+    assert names([("x.pdf", "t"), ("x_b.pdf", "m"), ("x.pdf", "k"), ("y", "k")], [("x.pdf", "t")]) == ["x.pdf", "x_b.pdf", "x_c.pdf", "y"]
     q = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (2, 1, "z")], "paper_id int, q_number int, text_sha256 string")
     assert sorted(map(tuple, ingest.same_signature(q, q.where("text_sha256 <> 'y'")).collect())) == [(1, False), (2, True)]
 

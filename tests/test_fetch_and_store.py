@@ -24,10 +24,49 @@ def test_fetch(spark):
     urls = [("http://a/ok", None), ("http://a/busy", None), ("http://b/down", None), ("http://b/big", None), ("http://b/gone", None), ("http://b/post", "q=1")]
     out = fetching.fetch(spark.createDataFrame(urls, "url string, form string"), getter, max_bytes=50, max_retries=3, sleep=lambda s: None).cache()
     got = {r.url[9:]: (r.attempts, r.error) for r in out.collect()}
-    assert got == {"ok": (1, None), "busy": (3, "HTTPError: 503"), "down": (1, "ConnectionError: no"), "big": (1, "TooLarge: 50 bytes or more"), "gone": (1, "HTTPError: 404"), "post": (1, None)}
+    assert got == {"ok": (1, None), "busy": (3, "HTTPError: 503"), "down": (3, "ConnectionError: no"), "big": (1, "TooLarge: 50 bytes or more"), "gone": (1, "HTTPError: 404"), "post": (1, None)}
     assert {(r.url[9:], r.html) for r in fetching.html_of(out).collect()} == {("ok", "é"), ("post", "q=1")}
 
 
+def test_fetch_asks_the_rules_waits_and_ranges(spark):
+    waits, seen = spark.sparkContext.accumulator(0.0), []
+
+    def getter(url, form, headers=None):
+        return 206 if headers else 200, {}, str(sorted((headers or {}).items())).encode()
+
+    robots = spark.createDataFrame([("h", 0, "*", "/no", False)], "host string, pos int, agent string, prefix string, allow boolean")
+    rows = [("http://h/no/1", None, None, 1.0), ("http://h/yes", 5, 9, 2.0), ("http://h/tail", 7, None, 0.0), ("http://h/all", None, None, 0.0)]
+    out = fetching.fetch(spark.createDataFrame(rows, "url string, first long, last long, delay double"), getter, robots=robots, agents=("me/1.0",), sleep=lambda s: waits.add(s)).collect()
+    assert {r.url[9:]: (r.status, r.error, r.content and bytes(r.content).decode()) for r in out} == {
+        "no/1": (None, "RobotsDisallowed", None), "yes": (206, None, "[('Range', 'bytes=5-9')]"), "tail": (206, None, "[('Range', 'bytes=7-')]"), "all": (200, None, "[]"),
+    }
+    assert waits.value == 2.0 and not seen
+
+    def busy(url, form):
+        return 500, {}, b""
+
+    waits = spark.sparkContext.accumulator(0.0)
+    fetching.fetch(spark.createDataFrame([("http://h/x",)], "url string"), busy, max_retries=4, base_delay=3.0, sleep=lambda s: waits.add(s)).collect()
+    assert waits.value == 3 + 6 + 12
+
+
+def test_pages_and_compression(spark):
+    from lithic import sources
+
+    df = spark.createDataFrame([(1, b"x" * 100), (2, b"ab"), (3, None)], "paper_id long, content binary")
+
+    def count(raw):
+        return len(raw) // 10 if raw != b"ab" else int("no number")
+
+    assert {r.paper_id: r.pages for r in sources.page_count(df, count).collect()} == {1: 10, 2: 0, 3: 0}
+
+    def broken(raw):
+        raise OSError
+
+    out = {r.paper_id: (r.stored and len(r.stored), r.note) for r in sources.compressed(df, [lambda b: b[:30], broken, lambda b: b * 2], 50).collect()}
+    assert out[1][0] == 30 and out[2] == (2, "small enough as it is") and out[3][0] is None
+
+
 def _zip(*names):
     b = io.BytesIO()
     with zipfile.ZipFile(b, "w") as z:

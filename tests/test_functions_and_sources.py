@@ -27,7 +27,7 @@ def test_normalised(spark):
 
 def test_school(spark):
     cases = {"2025 acjc prelim": "ACJC", "Anderson Serangoon JC": "ASRJC", "anderson": "ASRJC", "St. Andrew's": "SAJC", "x-ri-y": "RI", "prime trial": "UNK", "raffles institution RI": "RI",
-             "hci": "HCI", "ahci": "UNK", "Hwa-Chong": "HCI", "national junior": "NJC", "": "UNK", "Anglo-Chinese": "ACJC", "nus high vjc": "NUSH", "NJC mi": "NJC"}
+             "hci": "HCI", "ahci": "UNK", "Hwa-Chong": "HCI", "national junior": "NJC", "": "UNK", "Anglo-Chinese": "ACJC", "nus high vjc": "NUSH", "NJC mi": "NJC", "mi ri": "RI", "ri/mi": "RI"}
     assert values(spark, "t string", list(cases), T.school(T.normalised(F.col("t")))["code"]) == list(cases.values())
     assert len(T.aliases()) == 52 and len({a for a, _, _ in T.aliases()}) == 52
 
@@ -81,7 +81,28 @@ def test_zip_listing_and_extraction(spark):
     assert got == [("bad", "", 0, False, True), ("tail", "a/Q1.PDF", 14, True, False), ("tail", "é.txt", 1000, False, False), ("u", "a/Q1.PDF", 14, True, False), ("u", "é.txt", 1000, False, False)]
     out = df.where("url = 'u'").withColumn("m", sources.extract_member(F.col("content"), F.lit("a/Q1.PDF"))).select(sources.is_pdf(F.col("m")), "m").first()
     assert out[0] and bytes(out[1]) == b"%PDF-1.4 hello"
-    assert values(spark, "t string", ["a/b.pdf", "../x", "a/../b", "/x", "C:\\x", "a\\..\\b", "a..b"], sources.safe_member(F.col("t"))) == [True, False, False, False, False, False, True]
+    assert values(spark, "t string", ["a/b.pdf", "../x.pdf", "a/../b.pdf", "/x.pdf", "C:\\x.pdf", "a\\..\\b.pdf", "a..b.PDF", "x:y/a.pdf", "folder/", "a.txt", None], sources.safe_member(F.col("t"))) == [True, False, False, False, False, False, True, False, False, False, False]
+    files = spark.createDataFrame([(_zip({"ok.pdf": b"%PDF-1", "not.pdf": b"hello", "../up.pdf": b"%PDF-1", "a.txt": b"%PDF-1"}),)], "content binary")
+    assert [files.select(sources.extract_member(F.col("content"), F.lit(n))).first()[0] is not None for n in ("ok.pdf", "not.pdf", "../up.pdf", "a.txt", "missing.pdf")] == [True, False, False, False, False]
+
+
+def _zip(members):
+    b = io.BytesIO()
+    with zipfile.ZipFile(b, "w") as z:
+        for name, raw in members.items():
+            z.writestr(name, raw)
+    return b.getvalue()
+
+
+def test_links_resolve(spark):
+    base = "http://h/a/b/c.php?q=1#f"
+    cases = {"": "http://h/a/b/c.php?q=1", "?page=2": "http://h/a/b/c.php?page=2", "#t": "http://h/a/b/c.php?q=1#t", "../x": "http://h/a/x", "../../../x/": "http://h/x/", "./y": "http://h/a/b/y",
+             "..": "http://h/a/", ".": "http://h/a/b/", "/p/../q?a=/../b": "http://h/q?a=/../b", "z/./w": "http://h/a/b/z/w", "//o/k": "http://o/k", "mailto:x": "mailto:x", "d/e": "http://h/a/b/d/e"}
+    assert values(spark, "t string", list(cases), T.absolute_url(F.lit(base), F.col("t"))) == list(cases.values())
+    assert values(spark, "t string", ["x", "?y"], T.absolute_url(F.lit("http://h"), F.col("t"))) == ["http://h/x", "http://h?y"]
+    html = "<a id=1 href=/u?a=1&amp;b=2>x</a> <a data-href='n' href='it&#39;s'>y</a>"
+    df = spark.createDataFrame([(1, "http://h/", html)], "page_id long, url string, html string")
+    assert [r.link for r in sources.anchors(df).orderBy("pos").collect()] == ["http://h/u?a=1&b=2", "http://h/it's"]
 
 
 def test_anchors_keep_order(spark):
@@ -91,10 +112,14 @@ def test_anchors_keep_order(spark):
 
 
 def test_robots_and_schedule(spark):
-    robots = spark.createDataFrame([("h", "*", "/", False, None), ("h", "*", "/ok", True, 5.0), ("g", "bot", "/", False, None), ("g", "*", "/p", False, None)], "host string, agent string, prefix string, allow boolean, delay double")
-    urls = spark.createDataFrame([(1, "http://h/ok/1"), (2, "http://h/no"), (3, "http://g/p"), (4, "http://g/q"), (5, "http://new/")], "ord int, url string")
-    assert {r.ord: r.allowed for r in sources.allowed(urls, robots, ("bot", "*")).collect()} == {1: True, 2: True, 3: False, 4: True, 5: True}
-    assert {r.ord: r.allowed for r in sources.allowed(urls, robots, ("*",)).collect()} == {1: True, 2: False, 3: False, 4: True, 5: True}
+    rules = [("h", 0, "*", "/ok", True), ("h", 1, "*", "/", False), ("g", 0, "Bot", "/", False), ("g", 1, "*", "/p", False), ("only", 0, "*", "/", False), ("e", 0, "*", "", False)]
+    robots = spark.createDataFrame(rules, "host string, pos int, agent string, prefix string, allow boolean")
+    urls = spark.createDataFrame([(1, "http://h/ok/1"), (2, "http://h/no"), (3, "http://g/p"), (4, "http://g/q"), (5, "http://new/"), (6, "http://only/x"), (7, "http://e/x")], "ord int, url string")
+    ask = lambda *agents: {r.ord: r.allowed for r in sources.allowed(urls, robots, agents).collect()}
+    # an agent without rules of its own follows those for all
+    assert ask("bot/2.0", "*") == {1: True, 2: False, 3: False, 4: True, 5: True, 6: False, 7: True}
+    assert ask("bot") == {1: True, 2: False, 3: False, 4: False, 5: True, 6: False, 7: True}
+    assert ask("other") == {1: True, 2: False, 3: False, 4: True, 5: True, 6: False, 7: True}
     times = spark.createDataFrame([("h", 1, 2.0), ("h", 2, 3.0), ("h", 3, 2.0), ("g", 1, 9.0)], "host string, ord int, delay double")
     assert sorted((r.host, r.ord, r.start_at) for r in sources.schedule(times).collect()) == [("g", 1, 0.0), ("h", 1, 0.0), ("h", 2, 2.0), ("h", 3, 5.0)]
     assert values(spark, "n int", [0, 3, 10], sources.backoff(F.lit(2.0), F.col("n"))) == [2.0, 16.0, 120.0]

@@ -25,8 +25,12 @@ def test_furniture(spark):
     for page in (1, 2):
         rows += [(1, page, 10, 56, "School  name"), (1, page, 400, 56, "body"), (1, page, 798, 294, str(page)), (1, page, 798, 56, str(page + 4)), (1, page, 780, 56, "[Turn over"), (1, page, 790, 200, f"9758/0{page}/X")]
     rows += [(2, 1, 10, 56, "once"), (2, 1, 400, 56, "x")]
+    # papers of one page stay; short lines and numbers in the gutter may repeat; digits after a slash belong to a code, not to a word
+    rows += [(3, p, 10, 56, t) for p in (1, 2) for t in ("5", "Qn 1", "3 A return over ten years is")] + [(4, 1, 10, 56, "[Turn over"), (4, 1, 790, 300, "1")]
     kept = [(r.paper_id, r.text) for r in segment.strip_furniture(lines(spark, rows)).collect()]
-    assert sorted(kept) == [(1, "5"), (1, "6"), (1, "body"), (1, "body"), (2, "once"), (2, "x")]
+    assert sorted(kept) == [(1, "5"), (1, "6"), (1, "body"), (1, "body"), (2, "once"), (2, "x"), *[(3, "5")] * 2, *[(3, "Qn 1")] * 2, (4, "1"), (4, "[Turn over")]
+    kept = [r.text for r in segment.strip_furniture(lines(spark, [(3, p, 10 * p, 56, t) for p in (1, 2) for t in ("3 A return over ten years is", "overturn overall") if p == 1] + [(3, 2, 300, 56, "x")])).collect()]
+    assert sorted(kept) == ["3 A return over ten years is", "overturn overall", "x"]
 
 
 def test_candidates(spark):
@@ -100,7 +104,7 @@ def test_scores_and_notes(paper):
     assert (one.n, one.n_gaps, one.total_marks, one.parse_status) == (3, 0, 9, "partial")
     assert one.numbering == 1.0 and one.sequence == 1.0 and one.marks == 0.667 and one["count"] == 0.0 and one.marks_sum == 0.0
     assert q[1].extract_confidence == one.confidence == round(0.2 + 0.15 + 0.25 * 2 / 3, 3)
-    assert one.notes == ["3 questions detected, outside the expected 10-13", "marks total 9, expected 100"]
+    assert one.notes == ["3 questions detected, outside the expected 10-13", "marks total 9, expected 100", "little text on page(s) 2"]
     assert (two.n, two.confidence, two.parse_status, two.notes) == (0, 0.0, "failed", ["no incrementing question numbers found in the gutter"])
 
 
