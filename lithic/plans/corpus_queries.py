@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from lithic import sources
 from lithic.functions import text as T
-from lithic.operators import ingest, segment, tagging
+from lithic.operators import ingest, segment, store, tagging
 from lithic.plans.bank_queries import read
 
 
@@ -94,6 +94,46 @@ def candidate_lines(spark, sf_dir):
     return segment.candidates(placed).select("paper_id", "line_index", "q_number", "x0")
 
 
+def _exam_lines(spark, sf_dir):
+    """Documents as papers of 20 lines a page: of three lines the first gets a question number in the gutter (one in seven is left out), the second a part label, the third marks."""
+    lines = segment.lines_of_text(read(spark, sf_dir, "documents"))
+    k, place = (F.col("seq") / 3).cast("int") + 1, F.col("seq") % 20
+    numbered = (F.col("seq") % 3 == 0) & ((F.col("paper_id") + k) % 7 > 0) & (k <= 99)
+    text = (
+        F.when(numbered, F.concat(k.cast("string"), F.lit(". "), "text")).when(F.col("seq") % 3 == 1, F.concat(F.when(F.col("paper_id") % 2 == 0, "(a) ").otherwise("(II) "), F.col("text")))
+        .when(F.col("seq") % 3 == 2, F.concat("text", F.lit(" ["), (F.col("seq") % 9 + 1).cast("string"), F.lit("]"))).otherwise(F.col("text"))
+    )
+    return lines.select(
+        "paper_id", "seq", ((F.col("seq") / 20).cast("int") + 1).alias("page"), (place * 39.0 + 40).alias("top"), F.when(numbered, 56.6).otherwise(150.0).alias("x0"),
+        text.alias("text"), (place * 39.0 + 52).alias("bottom"), F.lit(842.0).alias("page_height"),
+    )
+
+
+def _low_pages(lines):
+    pages = lines.groupBy("paper_id").agg(F.max("page").alias("pages"))
+    return store.low_text_pages(lines, pages, 300)
+
+
+def segment_questions(spark, sf_dir):
+    """The questions of all papers, with their crop boxes."""
+    lines = _exam_lines(spark, sf_dir)
+    found, _ = segment.split_papers(lines, low_pages=_low_pages(lines))
+    return found.select("paper_id", "q_number", F.array_join("part_labels", ",").alias("parts"), "page_start", "page_end", "y_top", "y_bottom", "marks_total", "text_sha256", "needs_ocr", "extract_confidence")
+
+
+def split_papers(spark, sf_dir):
+    """One row a paper: signals, status and notes."""
+    lines = _exam_lines(spark, sf_dir)
+    _, papers = segment.split_papers(lines, low_pages=_low_pages(lines))
+    return papers.select("paper_id", "n", "n_candidates", "n_gaps", "with_marks", "total_marks", "confidence", "parse_status", "n_stripped", F.array_join("low_pages", ",").alias("low_pages"), F.array_join("notes", "; ").alias("notes"))
+
+
+def crop_slices(spark, sf_dir):
+    """The pages of each question's crop."""
+    q = segment_questions(spark, sf_dir).where("page_end >= page_start").withColumn("page_height", F.lit(842.0))
+    return segment.page_slices(q).select("paper_id", "q_number", F.col("page").cast("int").alias("page"), "y0", "y1")
+
+
 # ------------------------------------------------------------------ pages
 def anchors(spark, sf_dir):
     return sources.anchors(read(spark, sf_dir, "pages"))
@@ -119,10 +159,10 @@ def retry_schedule(spark, sf_dir):
 def link_metadata(spark, sf_dir):
     """Titles built from page ids and customer-like codes; all detectors at once."""
     p = read(spark, sf_dir, "pages").select("page_id")
-    codes = F.array(*map(F.lit, ["RI", "Hwa Chong", "st andrew's", "NYJC", "victoria junior college", "xri", "MI (promo)", "Temasek mid year", "Anglo-Chinese ct"]))
+    codes = F.array(*map(F.lit, ["RI", "Hwa Chong", "st andrew's", "NYJC", "victoria junior college", "xri", "MI (promo)", "Temasek mid year", "Anglo-Chinese ct", "mi%ri", "Raffles Institution vjc", "É. Ñuñez rí"]))
     kinds = F.array(*map(F.lit, ["P1 QP", "Paper 2 Solutions", "Paper 1 question with answers", "P2 ms", "worked paper", "2 qp"]))
     i = F.col("page_id").cast("int")
-    title = F.concat_ws("_", (F.lit(2005) + i % 30).cast("string"), F.get(codes, i % 9), F.get(kinds, i % 6))
+    title = F.concat_ws("_", (F.lit(2005) + i % 30).cast("string"), F.get(codes, i % 12), F.get(kinds, i % 6))
     return T.with_metadata(p.select("page_id", title.alias("title")), "title")
 
 
@@ -223,7 +263,7 @@ def text_cuts(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        dedupe_by_sha, ingest_status, ingest_summary, upsert_merge, filename_suffix, crawl_log_summary, line_explode_order, repeated_lines, strip_furniture, candidate_lines, anchors, host_policy,
+        dedupe_by_sha, ingest_status, ingest_summary, upsert_merge, filename_suffix, crawl_log_summary, line_explode_order, repeated_lines, strip_furniture, candidate_lines, segment_questions, split_papers, crop_slices, anchors, host_policy,
         retry_schedule, link_metadata, detect_year, absolute_urls, zip_members, decode_bom, fold_accents, smallest_version, rule_tags, rule_reasons, topic_rules, tag_routing, routing_summary,
         reply_validate, text_cuts,
     )
@@ -232,6 +272,41 @@ QUERIES = {
 _LINES = r"""
 WITH raw AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq, unnest(string_split(text, chr(10))) AS t FROM documents),
 lines AS (SELECT doc_id AS paper_id, seq, regexp_replace(t, '\s+$', '') AS text FROM raw WHERE regexp_replace(t, '\s+$', '') <> '')"""
+# numbers stand once each and ascend, so the longest chain is all of them up to the first step of more than two, if it begins at one or two
+_EXAM = _LINES + r""",
+e AS (SELECT paper_id, seq, seq // 3 + 1 AS k, seq % 3 = 0 AND (paper_id + seq // 3 + 1) % 7 > 0 AND seq // 3 + 1 <= 99 AS num, text AS raw, (seq // 20 + 1)::INTEGER AS page, (seq % 20 * 39.0 + 40)::DOUBLE AS top FROM lines),
+f AS (SELECT *, CASE WHEN num THEN k || '. ' || raw WHEN seq % 3 = 1 THEN CASE WHEN paper_id % 2 = 0 THEN '(a) ' ELSE '(II) ' END || raw WHEN seq % 3 = 2 THEN raw || ' [' || (seq % 9 + 1) || ']' ELSE raw END AS t,
+  top + 12 AS bottom, CASE WHEN num THEN 56.6 ELSE 150.0 END AS x0, max(page) OVER (PARTITION BY paper_id) AS total FROM e),
+g AS (SELECT *, top < 842 * 0.08 OR bottom > 842 * 0.90 AS edge, regexp_replace(regexp_replace(t, '^\s+', ''), '\s+', ' ', 'g') AS flat FROM f),
+again AS (SELECT paper_id, flat, true AS yes FROM g WHERE edge AND length(flat) >= 8 AND NOT regexp_matches(flat, '^\s*\d{1,3}\s*$') GROUP BY paper_id, flat, total HAVING count(DISTINCT page) >= greatest(2, floor(total * 0.4))),
+h AS (SELECT g.*, row_number() OVER (PARTITION BY g.paper_id ORDER BY seq) - 1 AS idx FROM g LEFT JOIN again USING (paper_id, flat)
+  WHERE total < 2 OR NOT (edge AND (yes IS NOT NULL OR (regexp_matches(flat, '^\s*\d{1,3}\s*$') AND x0 > 120) OR regexp_matches(flat, '(?i)(?:\bturn over\b|^\s*©|\b\d{4}/\d{2}(?:/[A-Z0-9]+)*\b|\bblank page\b|\bend of paper\b)')))),
+low AS (SELECT paper_id, p, total FROM (SELECT DISTINCT paper_id, total, unnest(generate_series(1, total)) AS p FROM f) LEFT JOIN (SELECT paper_id, page AS p, sum(length(trim(t))) AS n FROM f GROUP BY ALL) USING (paper_id, p) WHERE coalesce(n, 0) < 300),
+cand AS (SELECT paper_id, idx, k, k - lag(k) OVER w AS step, first_value(k) OVER w AS k1 FROM h WHERE num AND length(regexp_replace(raw, '^\s+', '')) >= 3 WINDOW w AS (PARTITION BY paper_id ORDER BY idx)),
+chain AS (SELECT * FROM (SELECT *, sum(CASE WHEN step > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY paper_id ORDER BY idx) AS broken FROM cand) WHERE k1 <= 2 AND broken = 0),
+seg AS (SELECT * FROM (SELECT h.*, chain.k AS start, last_value(chain.k IGNORE NULLS) OVER (PARTITION BY h.paper_id ORDER BY h.idx) AS q FROM h LEFT JOIN chain USING (paper_id, idx)) WHERE q IS NOT NULL),
+s2 AS (SELECT *, regexp_replace(regexp_replace(t, '^\s+', ''), '\s+$', '') AS st, length(st) >= 3 AND NOT regexp_matches(st, '^\s*\d{1,3}\s*$') AS solid, regexp_extract(t, '[\[(](\d{1,2})[\])]\s*$', 1) AS mark,
+  lower(regexp_extract(CASE WHEN start IS NOT NULL THEN regexp_replace(raw, '^\s+', '') ELSE t END, '(?i)^\s*\(([ivx]{1,4}|[a-h])\)\s', 1)) AS part FROM seg),
+parts AS (SELECT paper_id, q, string_agg('(' || part || ')', ',' ORDER BY i) AS parts FROM (SELECT paper_id, q, part, min(idx) AS i FROM s2 WHERE part <> '' GROUP BY ALL) GROUP BY paper_id, q),
+a1 AS (SELECT paper_id, q, min(idx) AS i0, arg_min(page, idx) AS p0, arg_min(top, idx) AS t0, arg_min(bottom, idx) AS b0, arg_max(page, idx) FILTER (WHERE solid) AS tail, sum(CASE WHEN mark <> '' THEN mark::INTEGER END)::INTEGER AS marks_total,
+  sha256(regexp_replace(regexp_replace(string_agg(t, chr(10) ORDER BY idx), '^\s+', ''), '\s+$', '')) AS text_sha256 FROM s2 GROUP BY paper_id, q),
+a2 AS (SELECT *, greatest(coalesce(tail, p0), p0) AS pe, lead(p0) OVER w AS np, lead(t0) OVER w AS nt FROM a1 WINDOW w AS (PARTITION BY paper_id ORDER BY i0)),
+a3 AS (SELECT a2.*, coalesce((SELECT max(bottom) FROM s2 WHERE s2.paper_id = a2.paper_id AND s2.q = a2.q AND solid AND page = pe), b0) + 8 AS lowest FROM a2),
+a4 AS (SELECT *, CASE WHEN np < pe THEN np ELSE pe END AS page_end, greatest(0, t0 - 8) AS yt, CASE WHEN np < pe THEN nt - 4 WHEN np = pe THEN least(lowest, nt - 4) ELSE lowest END AS yb FROM a3),
+box AS (SELECT paper_id, q::INTEGER AS q_number, coalesce(parts, '') AS parts, p0 AS page_start, page_end, round(yt, 2) AS y_top, round(CASE WHEN p0 = page_end THEN greatest(yb, yt + 12) ELSE yb END, 2) AS y_bottom, marks_total, text_sha256,
+  EXISTS (SELECT 1 FROM low WHERE low.paper_id = a4.paper_id AND p BETWEEN p0 AND page_end) AS needs_ocr FROM a4 LEFT JOIN parts USING (paper_id, q)),
+n1 AS (SELECT paper_id, count(*) AS n, count(*) FILTER (WHERE marks_total > 0) AS with_marks, coalesce(sum(marks_total), 0)::BIGINT AS total_marks, list_sort(list(q_number)) AS numbers FROM box GROUP BY paper_id),
+n2 AS (SELECT paper_id, count(*) AS nc FROM cand GROUP BY paper_id), n3 AS (SELECT paper_id, count(*) FILTER (WHERE step = 2 OR (step IS NULL AND k = 2)) AS ng FROM chain GROUP BY paper_id),
+n4 AS (SELECT paper_id, count(*) AS lines_ FROM f GROUP BY paper_id), n5 AS (SELECT paper_id, count(*) AS kept FROM h GROUP BY paper_id), n6 AS (SELECT paper_id, string_agg(p::VARCHAR, ',' ORDER BY p) AS lp, string_agg(p::VARCHAR, ', ' ORDER BY p) AS lpn FROM low GROUP BY paper_id),
+n7 AS (SELECT n4.paper_id, coalesce(n, 0) AS n, coalesce(with_marks, 0) AS with_marks, coalesce(total_marks, 0) AS total_marks, coalesce(numbers, []) AS numbers, coalesce(nc, 0) AS n_candidates, coalesce(ng, 0)::INTEGER AS n_gaps,
+  lines_ - coalesce(kept, 0) AS n_stripped, coalesce(lp, '') AS low_pages, lpn FROM n4 LEFT JOIN n1 USING (paper_id) LEFT JOIN n2 USING (paper_id) LEFT JOIN n3 USING (paper_id) LEFT JOIN n5 USING (paper_id) LEFT JOIN n6 USING (paper_id)),
+n8 AS (SELECT *, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE round(0.20::DOUBLE * (1.0::DOUBLE - least(0.5::DOUBLE, greatest(0, n_candidates - n)::DOUBLE / n_candidates)) + 0.15::DOUBLE * greatest(0.0::DOUBLE, 1.0::DOUBLE - 0.15::DOUBLE * n_gaps) + 0.25::DOUBLE * (with_marks::DOUBLE / n)
+  + 0.20::DOUBLE * greatest(0.0::DOUBLE, 1.0::DOUBLE - (CASE WHEN n < 10 THEN 10 - n WHEN n > 13 THEN n - 13 ELSE 0 END)::DOUBLE / 5.0::DOUBLE) + 0.20::DOUBLE * greatest(0.0::DOUBLE, 1.0::DOUBLE - abs(total_marks - 100)::DOUBLE / 20.0::DOUBLE), 3) END AS confidence FROM n7),
+paper AS (SELECT *, CASE WHEN n > 0 AND confidence >= 0.6 THEN 'ok' WHEN n > 0 THEN 'partial' ELSE 'failed' END AS parse_status, concat_ws('; ', CASE WHEN n = 0 THEN 'no incrementing question numbers found in the gutter' END,
+  CASE WHEN n > 0 AND (n < 10 OR n > 13) THEN n || ' questions detected, outside the expected 10-13' END,
+  CASE WHEN n > 0 AND n_gaps > 0 THEN 'question number(s) not detected: [' || array_to_string(list_filter(range(1, list_max(numbers) + 1), lambda x: NOT list_contains(numbers, x)), ', ') || ']' END,
+  CASE WHEN n > 0 AND total_marks <> 100 THEN 'marks total ' || total_marks || ', expected 100' END, CASE WHEN n_stripped > 0 THEN n_stripped || ' running lines left out' END, CASE WHEN lpn IS NOT NULL THEN 'little text on page(s) ' || lpn END) AS notes FROM n8)
+"""
 # one link after the other, with what is stored so far
 _STATES = """
 WITH RECURSIVE l AS (SELECT doc_id AS ord, 'u/' || source || '/' || (doc_id % 97) AS url, sha256(text) AS sha, strlen(text)::BIGINT AS size, doc_id % 13 = 0 AS failed FROM documents),
@@ -262,6 +337,21 @@ t AS (SELECT doc_id, CASE WHEN len(codes) BETWEEN 1 AND 2 THEN 'rule' WHEN code
   CASE WHEN len(codes) BETWEEN 1 AND 2 THEN array_to_string(codes, ',') ELSE coalesce(code, '') END AS codes FROM r LEFT JOIN cache ON sha = sha256(text))
 """
 
+_ALIASES = ", ".join(f"({i}, '{a}', '{c}', '{n.replace(chr(39), chr(39) * 2)}', {a in T.BOUNDED})" for i, (a, c, n) in enumerate(T.aliases()))
+_SAYS = lambda words: " OR ".join(f"contains(flat, '{w}')" for w in words)
+_METADATA = rf"""WITH p AS (SELECT page_id, concat_ws('_', (2005 + page_id % 30)::VARCHAR, ['RI', 'Hwa Chong', 'st andrew''s', 'NYJC', 'victoria junior college', 'xri', 'MI (promo)', 'Temasek mid year', 'Anglo-Chinese ct', 'mi%ri', 'Raffles Institution vjc', 'É. Ñuñez rí'][page_id % 12 + 1],
+  ['P1 QP', 'Paper 2 Solutions', 'Paper 1 question with answers', 'P2 ms', 'worked paper', '2 qp'][page_id % 6 + 1]) AS title FROM pages),
+b AS (SELECT page_id, title, trim(regexp_replace(regexp_replace(lower(strip_accents(title)), '[_\-+%]+', ' ', 'g'), '\s+', ' ', 'g')) AS blob FROM p),
+f AS (SELECT *, ' ' || trim(regexp_replace(blob, '[^a-z0-9]+', ' ', 'g')) || ' ' AS flat FROM b),
+a(i, alias, code, name, bounded) AS (VALUES {_ALIASES}),
+m AS (SELECT page_id, arg_min(code, length(alias) * -1000 + i) AS code, arg_min(name, length(alias) * -1000 + i) AS name FROM f JOIN a ON CASE WHEN bounded THEN regexp_matches(blob, '(^|[^a-z])' || alias || '([^a-z]|$)') ELSE contains(blob, alias) END GROUP BY page_id)
+SELECT f.page_id, title, coalesce(code, 'UNK') AS school_code, coalesce(name, 'Unknown') AS school,
+  list_max(list_filter(list_transform(regexp_extract_all(regexp_replace(title, '(\d+)', ' \1 ', 'g'), '(^|\D)(20\d\d)\D', 2), lambda x: x::INTEGER), lambda y: y BETWEEN 2010 AND 2030)) AS year,
+  try_cast(coalesce(nullif(regexp_extract(blob, '\b(?:paper|p)\s*([12])\b', 1), ''), nullif(regexp_extract(blob, '\b([12])\s*(?:qp|ms)\b', 1), '')) AS INTEGER) AS paper_no,
+  CASE WHEN ({_SAYS(T.SCHEME_WORDS)}) AND ({_SAYS(T.QUESTION_WORDS)}) THEN 'combined' WHEN {_SAYS(T.SCHEME_WORDS)} THEN 'ms' ELSE 'qp' END AS doc_type,
+  CASE WHEN contains(blob, 'prelim') THEN 'prelim' WHEN contains(blob, 'promo') THEN 'promo' WHEN contains(blob, 'mid year') OR contains(blob, 'midyear') OR contains(blob, 'mye') THEN 'mye' WHEN contains(blob, 'common test') OR blob = 'ct' THEN 'ct' ELSE 'prelim' END AS exam_type
+FROM f LEFT JOIN m USING (page_id)"""
+
 ORACLE_SQL = {
     "dedupe_by_sha": "SELECT sha256(text) AS sha, min(doc_id) AS ord, arg_min(source, doc_id) AS source, count(*) AS n FROM documents GROUP BY sha256(text)",
     "ingest_status": _STATES + "SELECT ord, url, size, state FROM s",
@@ -294,6 +384,11 @@ WHERE total < 2 OR NOT (edge AND (again IS NOT NULL OR regexp_matches(flat, '(?i
 c AS (SELECT *, regexp_extract(t, '^\s*(\d{1,2})\s*[.)]?\s+(\S.*)$', 1) AS q1, regexp_extract(t, '^\s*(\d{1,2})\s*[.)]?\s+(\S.*)$', 2) AS body, regexp_extract(t, '^\s*(\d{1,2})\s*[.)]?\s*$', 1) AS q2 FROM b WHERE x0 <= 120)
 SELECT paper_id, seq::INTEGER AS line_index, try_cast(CASE WHEN q1 <> '' THEN CASE WHEN length(trim(body)) >= 3 THEN q1 END WHEN q2 <> '' THEN q2 END AS INTEGER) AS q_number, x0 FROM c
 WHERE CASE WHEN q1 <> '' THEN length(trim(body)) >= 3 ELSE q2 <> '' END""",
+    "segment_questions": _EXAM + "SELECT paper_id, q_number, parts, page_start, page_end, y_top, y_bottom, marks_total, text_sha256, needs_ocr, confidence AS extract_confidence FROM box JOIN paper USING (paper_id)",
+    "split_papers": _EXAM + "SELECT paper_id, n, n_candidates, n_gaps, with_marks, total_marks, confidence, parse_status, n_stripped, low_pages, notes FROM paper",
+    "crop_slices": _EXAM + """SELECT paper_id, q_number, page::INTEGER AS page, CASE WHEN page = page_start THEN y_top ELSE 0.0::DOUBLE END AS y0, CASE WHEN page = page_end THEN y_bottom ELSE 842.0::DOUBLE END AS y1
+FROM (SELECT *, unnest(generate_series(page_start, page_end)) AS page FROM box WHERE page_end >= page_start)""",
+    "link_metadata": _METADATA,
     "anchors": r"""WITH a AS (SELECT page_id, url, regexp_extract_all(html, '(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1) AS h FROM pages),
 b AS (SELECT page_id, url, generate_subscripts(h, 1) - 1 AS pos, replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(unnest(h), '^["'']|["'']$', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&#x27;', ''''), '&#38;', '&'), '&amp;', '&') AS href FROM a),
 c AS (SELECT *, """ + _BASE_SQL + r""" FROM b)
