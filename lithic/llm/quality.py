@@ -74,7 +74,7 @@ def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     marks = _OTHER[data]
     twice = np.zeros(n, bool)
     twice[1:] = marks[1:] & (data[1:] == data[:-1])
-    key = np.unique(np.stack([w.row.astype(U64), h]), axis=1)[0].astype(np.int64) if len(h) else np.zeros(0, np.int64)
+    key = w.row[np.unique(h ^ mix(w.row.astype(U64)), return_index=True)[1]]
     chars, tokens = np.maximum(size, 1), np.maximum(w.count, 1)
     counts = np.stack([
         _totals(_UPPER[data], offs) / chars, _totals(_DIGIT[data], offs) / chars, _totals(marks, offs) / chars, _totals(twice, offs) / chars,
