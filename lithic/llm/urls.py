@@ -13,10 +13,14 @@ a rule fits its host and all subdomains when the path begins with the rule's.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: (verdict, host, path)
 HostPathRule = tuple[str, str, str]
 RULES: tuple[HostPathRule, ...] = (
@@ -65,45 +69,84 @@ def given_rules(host: Column, path: Column, rules: tuple[HostPathRule, ...] = RU
     return out if out is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def mine(labelled: DataFrame, *, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_rules: int = MAX_RULES) -> DataFrame:
+def _together(items: DataFrame) -> DataFrame:
+    """(token, group): tokens that stand in exactly the same rows have one group, their smallest one.
+
+    A row's name is a hash of its number; equal counts, sums and exclusive ors of names mean equal rows.
+    """
+    name = F.xxhash64("row")
+    signs = items.select("row", F.explode("tokens").alias("token")).groupBy("token").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(name).alias("x"), F.sum(F.shiftrightunsigned(name, 24)).alias("s"), F.sum(F.shiftrightunsigned(F.xxhash64("row", F.lit(1)), 24)).alias("s2")
+    )
+    groups = signs.groupBy("n", "x", "s", "s2").agg(F.min("token").alias("group"))
+    return signs.join(groups, ["n", "x", "s", "s2"]).select("token", "group", "n")
+
+
+def _kept(rules: DataFrame) -> DataFrame:
+    """rules (needs, verdict, confidence, ...) of which no smaller one of the same verdict, part of it, is at least as confident.
+
+    Every part of a frequent set is frequent, so it suffices to look one token
+    down, level by level, at the best confidence of a set and of all its parts.
+    """
+    rules = cut(rules, "rules")
+    levels = [r[0] for r in rules.select("size").distinct().orderBy("size").collect()]
+    below, kept = None, []
+    for k in levels:
+        level = rules.where(F.col("size") == k)
+        if below is None:
+            level = level.withColumn("part", F.lit(-1.0))
+        else:
+            parts = level.select("needs", "verdict", F.explode("needs").alias("x")).select("needs", "verdict", F.array_remove("needs", F.col("x")).alias("p"))
+            best = parts.join(below.select(F.col("needs").alias("p"), "verdict", "best"), ["p", "verdict"]).groupBy("needs", "verdict").agg(F.max("best").alias("part"))
+            level = level.join(best, ["needs", "verdict"], "left").withColumn("part", F.coalesce("part", F.lit(-1.0)))
+        below = cut(level.withColumn("best", F.greatest("confidence", "part")), "level")
+        kept.append(below.where(F.col("confidence") > F.col("part")).drop("part", "best"))
+    return reduce(DataFrame.unionByName, kept)
+
+
+def mine(labelled: DataFrame, *, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules from rows (tokens array<string>, blocked boolean): id, needs, size, rarest, verdict, confidence, support.
 
     Null token sets and null labels take no part.  With no labelled row there
-    are no rules.  `min_support` bounds the frequent items that FP-growth keeps
-    in the driver and so the number of rules; more than `max_rules` is an error
-    that asks for a higher support, rather than rules being dropped.
+    are no rules.  Tokens that only occur together are mined as one item and
+    come back as several in a rule's needs, so one long URL does not give all
+    subsets of its tokens.  `min_support` bounds the frequent items that
+    FP-growth keeps.
     """
     spark = labelled.sparkSession
     known = labelled.where(F.col("tokens").isNotNull() & F.col("blocked").isNotNull())
-    items = known.select(F.concat("tokens", F.array(F.when(F.col("blocked"), F.lit("!block")).otherwise(F.lit("!allow")))).alias("items"))
+    known = cut(known.select(F.array_distinct("tokens").alias("tokens"), "blocked").withColumn("row", F.monotonically_increasing_id()), "labelled")
     empty = "id long, needs array<string>, size int, rarest string, verdict string, confidence double, support double"
-    if not items.limit(1).count():
+    total = known.count()
+    if not total:
         return spark.createDataFrame([], empty)
+    groups = cut(_together(known), "groups")
+    label = F.when(F.col("blocked"), F.lit("!block")).otherwise(F.lit("!allow"))
+    named = known.select("row", F.explode_outer("tokens").alias("token")).join(groups.select("token", "group"), "token", "left").groupBy("row").agg(F.collect_set("group").alias("g"))
+    items = named.join(known.select("row", label.alias("label")), "row").select(F.concat("g", F.array("label")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence, numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions"))).fit(items)
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    rules = (
-        model.associationRules.where(F.col("consequent")[0].isin("!block", "!allow") & ~F.array_contains("antecedent", "!block") & ~F.array_contains("antecedent", "!allow"))
-        .select(F.array_sort("antecedent").alias("needs"), F.substring(F.col("consequent")[0], 2, 5).alias("verdict"), "confidence", "support")
-        .withColumn("id", F.xxhash64("needs", "verdict"))
-    )
-    # a rule falls if a smaller one of the same verdict, part of it, is at least as confident
-    part = rules.select(F.col("id").alias("id2"), F.col("needs").alias("needs2"), F.col("verdict").alias("verdict2"), F.col("confidence").alias("confidence2"), F.explode("needs").alias("token"))
-    beaten = (
-        rules.select("id", "needs", "verdict", "confidence", F.explode("needs").alias("token")).join(part, "token")
-        .where((F.col("verdict") == F.col("verdict2")) & (F.size("needs2") < F.size("needs")) & (F.col("confidence2") >= F.col("confidence")) & (F.size(F.array_except("needs2", "needs")) == 0))
-        .select("id").distinct()
-    )
-    kept = rules.join(beaten, "id", "left_anti")
-    rarest = kept.select("id", F.explode("needs").alias("token")).join(single, "token").groupBy("id").agg(F.min_by("token", F.struct("freq", "token")).alias("rarest"))
-    out = kept.join(rarest, "id").select("id", "needs", F.size("needs").alias("size"), "rarest", "verdict", "confidence", "support").cache()
-    if (n := out.count()) > max_rules:
-        raise ValueError(f"{n} rules: raise min_support above {min_support} to stay within {max_rules}")
-    return out
-
-
-def match(token_sets: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
-    """For each distinct token set: the most confident rule that it contains, as verdict and rule id; else the default."""
-    index = F.broadcast(rules.select("id", "needs", "size", "rarest", "verdict", "confidence"))  # at most max_rules rows, as `mine` has checked
+    sets = cut(model.freqItemsets.select(F.array_sort(F.filter("items", lambda x: ~x.isin("!block", "!allow"))).alias("needs"), F.filter("items", lambda x: x.isin("!block", "!allow")).alias("v"), "freq"), "frequent")
+    plain = sets.where((F.size("v") == 0) & (F.size("needs") > 0)).select("needs", F.col("freq").alias("all"))
+    both = sets.where((F.size("v") == 1) & (F.size("needs") > 0)).join(plain, "needs")
+    confidence = F.col("freq") / F.col("all")
+    rules = both.select("needs", F.substring(F.col("v")[0], 2, 5).alias("verdict"), confidence.alias("confidence"), (F.col("freq") / F.lit(float(total))).alias("support"), F.size("needs").alias("size"))
+    kept = _kept(rules).where(F.col("confidence") >= min_confidence)
+    kept = kept.select(F.xxhash64("needs", "verdict").alias("id"), F.col("needs").alias("mined"), "verdict", "confidence", "support")
+    tokens = kept.select("id", F.explode("mined").alias("group")).join(groups, "group")
+    named = tokens.groupBy("id").agg(F.array_sort(F.collect_set("token")).alias("needs"), F.min_by("token", F.struct("n", "token")).alias("rarest"))
+    out = kept.join(named, "id").select("id", "needs", F.size("needs").alias("size"), "rarest", "verdict", "confidence", "support")
+    return cut(out, "rules")
+
+
+def match(token_sets: DataFrame, rules: DataFrame, default: str = "allow", max_rules: int = MAX_RULES) -> DataFrame:
+    """For each distinct token set: the most confident rule that it contains, as verdict and rule id; else the default.
+
+    The inverted index, rules under their rarest token, is broadcast if it has
+    at most `max_rules` rows and joined by a shuffle beyond that.  Null token
+    sets get the default.
+    """
+    index = rules.select("id", "needs", "size", "rarest", "verdict", "confidence")
+    index = F.broadcast(index) if rules.count() <= max_rules else index
     met = token_sets.select("tokens", F.explode("tokens").alias("rarest")).join(index, "rarest").where(F.size(F.array_except("needs", "tokens")) == 0)
     best = met.groupBy("tokens").agg(F.max(F.struct("confidence", "size", (F.col("verdict") == "block").alias("b"), "id", "verdict")).alias("best"))
     return token_sets.join(best, "tokens", "left").select("tokens", F.coalesce(F.col("best")["verdict"], F.lit(default)).alias("mined"), F.col("best")["id"].alias("mined_id"))
@@ -117,7 +160,8 @@ def judge(
 
     Labels for mining are rows (page_id, blocked); without them the URLs that a
     given rule decides are the labelled ones.  A null URL or one without ``://``
-    has empty host and path and gets the default.  Repeated rows are each judged.
+    has empty host and path and gets the default.  Repeated rows are each judged;
+    an empty table gives none; other columns are not looked at.
     """
     urls = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     host, path = host_and_path(F.col("url"))
@@ -129,7 +173,7 @@ def judge(
         labelled = parsed.join(labels.select("page_id", F.col("blocked").cast("boolean").alias("blocked")), "page_id").select("tokens", "blocked")
     found = mine(labelled, min_support=min_support, min_confidence=min_confidence)
     # far fewer token sets than URLs; each is matched once and the verdict joined back
-    verdicts = match(parsed.select("tokens").distinct(), found, default)
+    verdicts = cut(match(parsed.select("tokens").distinct(), found, default), "verdicts")  # a table, so both sides of the join can be split
     out = parsed.join(verdicts.withColumnRenamed("tokens", "t"), F.col("tokens") == F.col("t"), "left")
     return out.select(
         "page_id", "host", "path", F.col("given")["rule"].alias("rule"), F.coalesce(F.col("given")["verdict"], F.col("mined"), F.lit(default)).alias("verdict"),
