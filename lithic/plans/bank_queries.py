@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lithic.functions import text as T
-from lithic.operators import bank, ingest, segment, tagging
+from lithic.operators import bank, ingest, segment, tables, tagging
 
 TIE = ("l_shipdate", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
 
@@ -28,23 +28,25 @@ def papers(spark, sf_dir) -> DataFrame:
 
 
 def numbered(spark, sf_dir) -> DataFrame:
+    """Lines as questions with their number in the order, one sort of the table."""
     w = Window.partitionBy("l_orderkey").orderBy(*TIE)
     return read(spark, sf_dir, "lineitem").withColumn("q_number", F.row_number().over(w)).withColumn("id", F.col("l_orderkey") * 1000 + F.col("q_number"))
 
 
-def questions(spark, sf_dir) -> DataFrame:
-    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("full_text"))
-    return numbered(spark, sf_dir).join(part, "l_partkey").select(
-        "id", F.col("l_orderkey").alias("paper_id"), "q_number", F.when(F.col("l_linenumber") < 7, F.col("l_quantity").cast("int")).alias("marks_total"), "full_text"
-    )
+def _texts(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("full_text"), "p_type", "p_brand")
+
+
+def questions(spark, sf_dir, rows: DataFrame | None = None) -> DataFrame:
+    rows = rows if rows is not None else numbered(spark, sf_dir).join(_texts(spark, sf_dir), "l_partkey")
+    return rows.select("id", F.col("l_orderkey").alias("paper_id"), "q_number", F.when(F.col("l_linenumber") < 7, F.col("l_quantity").cast("int")).alias("marks_total"), "full_text")
 
 
-def tags(spark, sf_dir) -> DataFrame:
-    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_brand")
+def tags(spark, sf_dir, rows: DataFrame | None = None) -> DataFrame:
+    rows = rows if rows is not None else numbered(spark, sf_dir).join(_texts(spark, sf_dir), "l_partkey")
     method = F.when(F.col("l_discount") < 0.05, "rule").otherwise("llm")
-    rows = numbered(spark, sf_dir).join(part, "l_partkey").where(F.col("l_tax") > 0.01)
     codes = F.array_distinct(F.filter(F.array("p_type", F.when(F.col("l_tax") > 0.05, F.col("p_brand"))), lambda x: x.isNotNull()))
-    return rows.select(F.col("id").alias("question_id"), F.explode(codes).alias("topic_code"), method.alias("method"))
+    return rows.where(F.col("l_tax") > 0.01).select(F.col("id").alias("question_id"), F.explode(codes).alias("topic_code"), method.alias("method"))
 
 
 def topics(spark, sf_dir) -> DataFrame:
@@ -54,7 +56,10 @@ def topics(spark, sf_dir) -> DataFrame:
 
 
 def view(spark, sf_dir) -> DataFrame:
-    return bank.bank_view(questions(spark, sf_dir), papers(spark, sf_dir), tags(spark, sf_dir))
+    """The joined view; lines are numbered and joined with their texts once, for questions and tags."""
+    rows = numbered(spark, sf_dir).join(_texts(spark, sf_dir), "l_partkey")
+    rows = tables.written(rows.select("id", "l_orderkey", "q_number", "l_linenumber", "l_quantity", "l_discount", "l_tax", "full_text", "p_type", "p_brand"), "numbered")
+    return bank.bank_view(questions(spark, sf_dir, rows), papers(spark, sf_dir), tags(spark, sf_dir, rows))
 
 
 _CTE = """
