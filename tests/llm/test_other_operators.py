@@ -393,3 +393,32 @@ def test_pipeline_stages(spark, tmp_path):
     assert ids["mixing"] == ids["decontamination"]
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == ids["mixing"]
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_pipeline_of_nothing_and_of_odd_rows(spark, tmp_path):
+    """Empty tables, nulls everywhere, repeated rows and columns whose names the stages use themselves."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, predicted string, copy string, spans string, items string, doc_id_ string"
+    rng = random.Random(4)
+    text = " ".join(rng.choices([f"w{i}" for i in range(900)], k=120))
+    odd = [(None, None), (None, ""), (1, None), (2, ""), (3, text), (3, text), (4, text), (5, text + " more"), (None, text), (6, " \n "), (7, "w " * 30_000)]
+    more = ("en", None, 0, "a", "b", "c", "d", "e", "f")
+    for name, rows in (("none", []), ("odd", [(*r, *more) for r in odd])):
+        top = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, schema).write.parquet(f"{top}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{top}/labels.parquet")
+        spark.createDataFrame([(None, None), (1, "")] if rows else [], "item_id long, text string").write.parquet(f"{top}/benchmark.parquet")
+        docs = spark.read.parquet(f"{top}/documents.parquet")
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            out = f(spark, docs, top)
+            assert out.columns == docs.columns
+            out.write.parquet(f"{top}/{stage}")
+            docs = spark.read.parquet(f"{top}/{stage}")
+        left = docs.collect()
+        # one of the near copies stays; null ids, null and empty texts are no copies of anything
+        assert sorted(repr((r.doc_id, len(r.text) if r.text is not None else None)) for r in left) == (
+            sorted(repr((i, None if t is None else len(t))) for i, t in odd if i not in (4, 5)) if rows else []
+        )
+        assert all((r.score, r.predicted, r.copy, r.spans, r.items, r.doc_id_) == more[3:] for r in left)
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, top).count() == len(left)
