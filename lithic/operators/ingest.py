@@ -262,6 +262,16 @@ def crawl_log(links: DataFrame, run_at: Column, most: int = 1000) -> DataFrame:
     return counts.join(listed, "source", "left").withColumn("errors", F.coalesce("errors", F.lit("[]"))).withColumn("run_at", run_at)
 
 
+def append_crawl_log(log: DataFrame, path: str) -> None:
+    """Add a run's rows to the log's folder; earlier runs stay."""
+    log.write.mode("append").parquet(path)
+
+
+def candidates_order(groups: DataFrame) -> DataFrame:
+    """Groups as the candidates file lists them: newest first, then the most complete, then by code."""
+    return groups.orderBy(F.col("year").desc(), F.col("complete_papers").desc(), "school_code")
+
+
 def candidates_json(groups: DataFrame, path: str) -> bool:
     """Write groups as JSON; an empty result never replaces an earlier one. Whether it was written."""
     if groups.isEmpty():

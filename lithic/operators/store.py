@@ -66,10 +66,24 @@ def violations(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def status_changes(papers: DataFrame, results: DataFrame) -> DataFrame:
+    """(id, parse_status, parse_notes) of papers whose status or notes a result (id, parse_status, notes) changes; unchanged ones are skipped."""
+    r = results.select("id", F.col("parse_status").alias("_s"), F.nullif(F.array_join("notes", "; "), F.lit("")).alias("_n"))
+    both = papers.select("id", "parse_status", "parse_notes").join(r, "id")
+    return both.where(~F.col("_s").eqNullSafe(F.col("parse_status")) | ~F.col("_n").eqNullSafe(F.col("parse_notes"))).select("id", F.col("_s").alias("parse_status"), F.col("_n").alias("parse_notes"))
+
+
 def next_status(papers: DataFrame, results: DataFrame) -> DataFrame:
-    """papers with parse_status and parse_notes from results (id, parse_status, notes); those without a result stay."""
-    r = results.select("id", F.col("parse_status").alias("_s"), F.array_join("notes", "; ").alias("_n"))
-    return papers.join(r, "id", "left").withColumn("parse_status", F.coalesce("_s", "parse_status")).withColumn("parse_notes", F.when(F.col("_s").isNotNull(), F.nullif("_n", F.lit(""))).otherwise(F.col("parse_notes"))).select(*papers.columns)
+    """papers with parse_status and parse_notes from results (id, parse_status, notes); those without a result or a change stay."""
+    r = status_changes(papers, results).select("id", F.struct(F.col("parse_status").alias("s"), F.col("parse_notes").alias("n")).alias("_new"))
+    new = lambda field, old: F.when(F.col("_new").isNotNull(), F.col(f"_new.{field}")).otherwise(F.col(old))
+    return papers.join(r, "id", "left").withColumn("parse_status", new("s", "parse_status")).withColumn("parse_notes", new("n", "parse_notes")).select(*papers.columns)
+
+
+def seeded(topics: DataFrame, seed: DataFrame) -> DataFrame:
+    """topics with the seed (code, name, strand) upserted: known codes get its name and strand, new ones are added, others stay."""
+    s = seed.dropDuplicates(["code"]).select("code", F.struct("name", "strand").alias("_s"))
+    return topics.join(s, "code", "full").select("code", F.coalesce("_s.name", "name").alias("name"), F.coalesce("_s.strand", "strand").alias("strand"))
 
 
 def mean_confidence(papers: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lithic.functions import text as T
-from lithic.operators import bank, ingest, segment, tables, tagging
+from lithic.operators import bank, ingest, segment, store, tables, tagging
 
 TIE = ("l_shipdate", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
 
@@ -227,6 +227,53 @@ def signature_same(spark, sf_dir):
     return ingest.same_signature(q, new)
 
 
+def scan_questions(spark, sf_dir):
+    return tagging.to_tag(questions(spark, sf_dir)).select("id", "paper_id", "q_number", "text_sha256")
+
+
+def candidates_order(spark, sf_dir):
+    return ingest.candidates_order(exam_groups(spark, sf_dir)).select("exam_key", "year", "complete_papers", "school_code")
+
+
+def mean_confidence(spark, sf_dir):
+    scored = paper_score(spark, sf_dir).select("paper_id", "confidence").join(read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("paper_id")).agg(F.count(F.lit(1)).alias("n")), "paper_id")
+    return store.mean_confidence(scored).select("papers", F.round("mean_confidence", 6).alias("mean_confidence"))
+
+
+def seed_topics(spark, sf_dir):
+    """The topics of the parts, half of them renamed and some new ones seeded."""
+    t = topics(spark, sf_dir)
+    seed = t.where(F.length("code") % 2 == 0).select("code", F.upper("name").alias("name"), F.lit("pure").alias("strand")).unionByName(t.select(F.concat("code", F.lit("+")).alias("code"), "name", "strand"))
+    return store.seeded(t, seed)
+
+
+def status_changes(spark, sf_dir):
+    """Papers with an old status against what their scores say now."""
+    now = paper_score(spark, sf_dir).select(F.col("paper_id").alias("id"), "parse_status", F.when(F.col("marks_sum") < 0.5, F.array(F.lit("marks"), F.lit("low"))).otherwise(F.array().cast("array<string>")).alias("notes"))
+    old = papers(spark, sf_dir).select("id", F.when(F.col("id") % 3 == 0, "partial").when(F.col("id") % 3 == 1, "ok").alias("parse_status"), F.when(F.col("id") % 2 == 0, "marks; low").alias("parse_notes"))
+    return store.status_changes(old, now)
+
+
+def table_violations(spark, sf_dir):
+    """Tags checked against what the table allows, with some repeated and some of another method."""
+    t = tags(spark, sf_dir).select("question_id", "topic_code", F.when(F.col("question_id") % 7 == 0, F.lit("guess")).otherwise(F.col("method")).alias("method"))
+    return store.violations(t.unionByName(t.where(F.col("question_id") % 5 == 0)), "question_topics")
+
+
+def sidecar_files(spark, sf_dir):
+    q = questions(spark, sf_dir).select("paper_id", "q_number", F.lit(1).alias("page_start"), F.lit(2).alias("page_end"), "marks_total", F.array(F.lit("(a)")).alias("part_labels"), "full_text")
+    p = papers(spark, sf_dir).select(F.col("id").alias("paper_id"), "rel_path")
+    s = store.sidecars(q, p)
+    return s.select("paper_id", "sidecar", F.coalesce(F.size("questions"), F.lit(0)).alias("n"), F.array_join(F.transform("questions", lambda x: F.concat_ws(":", x["q_number"].cast("string"), x["chars"].cast("string"), x["first_line"])), "|").alias("listed"))
+
+
+def first_seen(spark, sf_dir):
+    """The first question of each text."""
+    from lithic.sources import fetch
+
+    return fetch.first_seen(questions(spark, sf_dir).select("full_text", "paper_id", "q_number"), "full_text", "paper_id", "q_number")
+
+
 def prompt_list(spark, sf_dir):
     return tagging.prompt_list(topics(spark, sf_dir))
 
@@ -241,7 +288,7 @@ QUERIES = {
     for f in (
         bank_view, bank_filtered, bank_footer, bank_cards, facet_used_topics, facet_years, facet_schools, topic_report, untagged_questions, global_counts, first_related_nullsafe, scan_question_papers,
         paper_score, longest_chain, missing_numbers, modal_gutter, page_slices, exam_groups, select_top_one_per_school, select_listed_schools, newest_first, union_sources, first_groups, geometry_changed,
-        replace_papers, replace_tag_sets, signature_same, prompt_list, token_cost,
+        replace_papers, replace_tag_sets, signature_same, prompt_list, token_cost, scan_questions, candidates_order, mean_confidence, seed_topics, status_changes, table_violations, sidecar_files, first_seen,
     )
 }
 
@@ -254,6 +301,12 @@ gm AS (SELECT exam_key, min(ord) AS ord, count(*) AS n_papers, count(*) FILTER (
 g AS (SELECT gm.*, 'School ' || k.school_code AS school, k.school_code, k.year, k.exam_type FROM gm JOIN k ON k.id = gm.ord)
 """
 
+_SCORE = """, t AS (SELECT paper_id, count(*) AS n, count(*) FILTER (WHERE marks_total > 0) AS wm, coalesce(sum(marks_total), 0) AS tm, count(*) + paper_id % 3 AS nc, paper_id % 2 AS ng FROM questions GROUP BY paper_id),
+s AS (SELECT *, 1.0::DOUBLE - least(0.5::DOUBLE, greatest(0, nc - n)::DOUBLE / nc) AS numbering, greatest(0.0::DOUBLE, 1.0::DOUBLE - 0.15::DOUBLE * ng) AS sequence, wm::DOUBLE / n AS marks,
+  greatest(0.0::DOUBLE, 1.0::DOUBLE - (CASE WHEN n < 3 THEN 3 - n WHEN n > 6 THEN n - 6 ELSE 0 END)::DOUBLE / 5.0::DOUBLE) AS count_, greatest(0.0::DOUBLE, 1.0::DOUBLE - abs(tm - 100)::DOUBLE / 20.0::DOUBLE) AS marks_sum FROM t),
+c AS (SELECT *, round(0.20::DOUBLE * numbering + 0.15::DOUBLE * sequence + 0.25::DOUBLE * marks + 0.20::DOUBLE * count_ + 0.20::DOUBLE * marks_sum, 3) AS confidence FROM s)
+"""
+
 ORACLE_SQL = {
     "bank_view": _CTE + "SELECT * FROM bank",
     "bank_filtered": _CTE + "SELECT * FROM bank WHERE contains(lower(full_text), 'a') AND year = 1996 AND ms_path IS NOT NULL AND coalesce(marks_total, -1) >= 5 AND coalesce(marks_total, 999) <= 40",
@@ -271,10 +324,7 @@ FROM (SELECT *, CASE WHEN tags IS NULL THEN 0 ELSE len(string_split(tags, '|'))
     "global_counts": _CTE + "SELECT (SELECT count(*) FROM topics) AS topics, (SELECT count(*) FROM questions WHERE id NOT IN (SELECT question_id FROM tags)) AS untagged",
     "first_related_nullsafe": _CTE + "SELECT p.id, p.school_code, p.year, p.exam_type, p.paper_no, ms.ms_path FROM papers p LEFT JOIN ms ON ms.school_code = p.school_code AND ms.year = p.year AND ms.exam_type = p.exam_type AND ms.paper_no IS NOT DISTINCT FROM p.paper_no WHERE p.doc_type = 'qp'",
     "scan_question_papers": _CTE + "SELECT * FROM papers WHERE doc_type IN ('qp', 'combined')",
-    "paper_score": _CTE + """, t AS (SELECT paper_id, count(*) AS n, count(*) FILTER (WHERE marks_total > 0) AS wm, coalesce(sum(marks_total), 0) AS tm, count(*) + paper_id % 3 AS nc, paper_id % 2 AS ng FROM questions GROUP BY paper_id),
-s AS (SELECT *, 1.0::DOUBLE - least(0.5::DOUBLE, greatest(0, nc - n)::DOUBLE / nc) AS numbering, greatest(0.0::DOUBLE, 1.0::DOUBLE - 0.15::DOUBLE * ng) AS sequence, wm::DOUBLE / n AS marks,
-  greatest(0.0::DOUBLE, 1.0::DOUBLE - (CASE WHEN n < 3 THEN 3 - n WHEN n > 6 THEN n - 6 ELSE 0 END)::DOUBLE / 5.0::DOUBLE) AS count_, greatest(0.0::DOUBLE, 1.0::DOUBLE - abs(tm - 100)::DOUBLE / 20.0::DOUBLE) AS marks_sum FROM t),
-c AS (SELECT *, round(0.20::DOUBLE * numbering + 0.15::DOUBLE * sequence + 0.25::DOUBLE * marks + 0.20::DOUBLE * count_ + 0.20::DOUBLE * marks_sum, 3) AS confidence FROM s)
+    "paper_score": _CTE + _SCORE + """
 SELECT paper_id, round(numbering, 3) AS numbering, round(sequence, 3) AS sequence, round(marks, 3) AS marks, round(count_, 3) AS "count", round(marks_sum, 3) AS marks_sum, confidence,
   CASE WHEN n > 0 AND confidence >= 0.6 THEN 'ok' WHEN n > 0 THEN 'partial' ELSE 'failed' END AS parse_status FROM c""",
     "longest_chain": "WITH RECURSIVE " + _CTE.strip().removeprefix("WITH ").split("questions AS (")[0].split("numbered AS (")[1].join(["numbered AS (", ""]).rstrip().rstrip(",") + """,
@@ -311,6 +361,20 @@ SELECT id, y_top::INTEGER AS y_top, page_end FROM n WHERE o IS DISTINCT FROM y_t
 SELECT id, paper_id, q_number FROM questions WHERE paper_id NOT IN (SELECT paper_id FROM n) UNION ALL SELECT * FROM n""",
     "replace_tag_sets": _CTE + """SELECT question_id, topic_code, 0.5::DOUBLE AS confidence, method FROM tags WHERE question_id % 4 <> 0
 UNION ALL SELECT question_id, 'NEW', length(max(topic_code))::DOUBLE, 'llm' FROM tags WHERE question_id % 4 = 0 GROUP BY question_id""",
+    "scan_questions": _CTE + "SELECT id, paper_id, q_number, sha256(full_text) AS text_sha256 FROM questions",
+    "candidates_order": _GROUPS + "SELECT exam_key, year, complete_papers, school_code FROM g",
+    "mean_confidence": _CTE + _SCORE + "SELECT count(*) AS papers, round(avg(confidence), 6) AS mean_confidence FROM c",
+    "seed_topics": _CTE + """, s AS (SELECT code, upper(name) AS name, 'pure' AS strand FROM topics WHERE length(code) % 2 = 0 UNION ALL SELECT code || '+', name, strand FROM topics)
+SELECT code, coalesce(s.name, t.name) AS name, coalesce(s.strand, t.strand) AS strand FROM topics t FULL JOIN s USING (code)""",
+    "status_changes": _CTE + _SCORE + """, now AS (SELECT paper_id AS id, CASE WHEN n > 0 AND confidence >= 0.6 THEN 'ok' WHEN n > 0 THEN 'partial' ELSE 'failed' END AS st, CASE WHEN round(marks_sum, 3) < 0.5 THEN 'marks; low' END AS nt FROM c),
+old AS (SELECT id, CASE id % 3 WHEN 0 THEN 'partial' WHEN 1 THEN 'ok' END AS st, CASE WHEN id % 2 = 0 THEN 'marks; low' END AS nt FROM papers)
+SELECT id, now.st AS parse_status, now.nt AS parse_notes FROM old JOIN now USING (id) WHERE now.st IS DISTINCT FROM old.st OR now.nt IS DISTINCT FROM old.nt""",
+    "table_violations": _CTE + """, t AS (SELECT question_id, topic_code, CASE WHEN question_id % 7 = 0 THEN 'guess' ELSE method END AS method FROM tags), u AS (SELECT * FROM t UNION ALL SELECT * FROM t WHERE question_id % 5 = 0)
+SELECT 'method is not allowed' AS rule, method AS value, count(*) AS n FROM u WHERE method NOT IN ('rule', 'llm') GROUP BY method
+UNION ALL SELECT 'question_id,topic_code is not unique', question_id || '|' || topic_code, count(*) FROM u GROUP BY question_id, topic_code HAVING count(*) > 1""",
+    "sidecar_files": _CTE + """SELECT p.id AS paper_id, replace(p.rel_path, '.pdf', '.split.json') AS sidecar, count(q.id)::INTEGER AS n, string_agg(q_number || ':' || length(full_text) || ':' || substring(full_text, 1, 120), '|' ORDER BY q_number) AS listed
+FROM papers p LEFT JOIN questions q ON q.paper_id = p.id GROUP BY p.id, p.rel_path""",
+    "first_seen": _CTE + "SELECT full_text, paper_id, q_number FROM (SELECT *, row_number() OVER (PARTITION BY full_text ORDER BY paper_id, q_number) AS rn FROM questions) WHERE rn = 1",
     "signature_same": _CTE + "SELECT paper_id, paper_id % 6 > 0 OR min(q_number) > 1 AS same FROM questions GROUP BY paper_id",
     "prompt_list": _CTE + "SELECT string_agg('  ' || code || ' - ' || name || ' (' || strand || ')', chr(10) ORDER BY strand, code) AS topic_list FROM topics",
     "token_cost": """SELECT event_type AS model, count(*) AS calls, coalesce(sum(floor(value)::BIGINT), 0)::BIGINT AS tokens_in, coalesce(sum(user_id % 50), 0)::BIGINT AS tokens_out,

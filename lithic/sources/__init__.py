@@ -131,27 +131,39 @@ def zip_listing(archives: DataFrame, id_col: str = "url", raw_col: str = "conten
     return archives.select(F.col(id_col).alias("id"), F.col(raw_col).alias("raw")).mapInPandas(run, f"id {kind}, name string, size long, is_pdf boolean, error string")
 
 
-def zip_members(tail: bytes) -> list[tuple[str, int]]:
-    """(name, uncompressed size) from the bytes of an archive or of its end."""
+def directory_place(tail: bytes) -> tuple[int, int, int]:
+    """Members, size and offset of the central directory, from the bytes of an archive's end."""
     at = tail.rfind(b"PK\x05\x06")
     if at < 0:
         raise ValueError("no end of central directory")
     count, size, offset = struct.unpack_from("<HII", tail, at + 10)
     if 0xFFFF == count or 0xFFFFFFFF in (size, offset):
         raise ValueError("zip64 archives are not supported")
-    pos, out = at - size, []
-    if pos < 0:
-        raise ValueError("the central directory is not in the bytes given")
+    return count, size, offset
+
+
+def directory_members(directory: bytes, count: int) -> list[tuple[str, int]]:
+    """(name, uncompressed size) of the entries of a central directory."""
+    pos, out = 0, []
     while len(out) < count:
-        if tail[pos : pos + 4] != b"PK\x01\x02":
+        if directory[pos : pos + 4] != b"PK\x01\x02":
             raise ValueError("bad central directory entry")
-        flags, plain = struct.unpack_from("<H", tail, pos + 8)[0], struct.unpack_from("<I", tail, pos + 24)[0]
-        n, extra, comment = struct.unpack_from("<HHH", tail, pos + 28)
-        out.append((tail[pos + 46 : pos + 46 + n].decode("utf-8" if flags & 0x800 else "cp437"), plain))
+        flags, plain = struct.unpack_from("<H", directory, pos + 8)[0], struct.unpack_from("<I", directory, pos + 24)[0]
+        n, extra, comment = struct.unpack_from("<HHH", directory, pos + 28)
+        out.append((directory[pos + 46 : pos + 46 + n].decode("utf-8" if flags & 0x800 else "cp437"), plain))
         pos += 46 + n + extra + comment
     return out
 
 
+def zip_members(tail: bytes) -> list[tuple[str, int]]:
+    """(name, uncompressed size) from the bytes of an archive or of an end that holds its central directory."""
+    count, size, _ = directory_place(tail)
+    at = tail.rfind(b"PK\x05\x06") - size
+    if at < 0:
+        raise ValueError("the central directory is not in the bytes given")
+    return directory_members(tail[at:], count)
+
+
 def safe_member(name: Column) -> Column:
     """Whether an archive member is a PDF whose name stays inside the folder it is unpacked to: no folder, no drive, no root, no `..`."""
     parts = F.split(F.replace(name, F.lit("\\"), F.lit("/")), "/")

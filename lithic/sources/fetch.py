@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lithic.functions import text as T
-from lithic.operators import ingest
-from lithic.sources import allowed, anchors, decoded, host, matching_links, zip_listing
+from lithic.operators import ingest, tables
+from lithic.sources import allowed, anchors, decoded, directory_members, directory_place, host, matching_links, zip_listing
 
 Getter = Callable[..., tuple[int, dict[str, str], bytes]]
 RESPONSE = "url string, status int, content binary, headers map<string,string>, attempts int, error string"
@@ -29,7 +29,8 @@ def fetch(requests: DataFrame, getter: Getter, *, robots: DataFrame | None = Non
     429, 5xx and transport errors are tried again with doubling waits from
     base_delay on, bodies of max_bytes and more are refused.  With robots (see
     `sources.allowed`) URLs that the rules forbid are not asked.  first and last
-    are a byte range, sent as a Range header where given.  A failing request is
+    are a byte range, sent as a Range header where given; a negative first asks
+    for so many bytes of the end.  A failing request is
     a row with its error, never a failed task; every response is handed on
     before the next request is made.
     """
@@ -38,7 +39,8 @@ def fetch(requests: DataFrame, getter: Getter, *, robots: DataFrame | None = Non
         status, headers, body, error, n = None, {}, None, None, 0
         if not ok:
             return url, None, None, headers, n, "RobotsDisallowed"
-        extra = {} if first is None or first != first else {"Range": f"bytes={int(first)}-" + ("" if last is None or last != last else str(int(last)))}
+        given = [None if x is None or x != x else int(x) for x in (first, last)]
+        extra = {} if given[0] is None else {"Range": f"bytes={given[0]}" + ("" if given[0] < 0 else "-" if given[1] is None else f"-{given[1]}")}
         if delay:
             sleep(float(delay))
         while n < max_retries:
@@ -71,6 +73,49 @@ def fetch(requests: DataFrame, getter: Getter, *, robots: DataFrame | None = Non
     return dealt.repartition(parts, host(F.col("url"))).mapInPandas(run, RESPONSE)
 
 
+def remote_members(urls: DataFrame, getter: Getter, tail: int = 66_000, **kw) -> DataFrame:
+    """(url, name, size, error) of the members of remote zip archives, by two range reads: the end, and the central directory it points to.
+
+    Each archive (url) is asked for once, however often it is listed.  A server
+    that does not answer with the part asked for (status 206) gives an error.
+    """
+    once = urls.select("url").distinct()
+    ends = tables.written(fetch(once.withColumn("first", F.lit(-tail)), getter, **kw), "ends")
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                try:
+                    if r.error is not None:
+                        raise ValueError(r.error)
+                    if r.status != 206:
+                        raise ValueError(f"no range: status {r.status}")
+                    count, size, offset = directory_place(bytes(r.content))
+                    row = (r.url, count, offset, offset + size - 1, None)
+                except ValueError as x:
+                    row = (r.url, None, None, None, str(x))
+                yield pd.DataFrame([row], columns=["url", "count", "first", "last", "bad"]).astype({"count": "Int32", "first": "Int64", "last": "Int64"})
+
+    placed = tables.written(ends.select("url", "status", "content", "error").mapInPandas(places, "url string, count int, first long, last long, bad string"), "places")
+    found = fetch(placed.where("bad IS NULL AND count > 0").select("url", "first", "last"), getter, **kw)
+
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                try:
+                    if r.error is not None or r.status != 206:
+                        raise ValueError(r.error or f"no range: status {r.status}")
+                    out += [(r.url, n, s, None) for n, s in directory_members(bytes(r.content), int(r.count))]
+                except ValueError as x:
+                    out.append((r.url, None, None, str(x)))
+            yield pd.DataFrame(out, columns=["url", "name", "size", "error"]).astype({"size": "Int64"})
+
+    kinds = "url string, name string, size long, error string"
+    good = found.join(placed.select("url", "count"), "url").select("url", "status", "content", "error", "count").mapInPandas(members, kinds)
+    return good.unionByName(placed.where("bad IS NOT NULL").select("url", F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("size"), F.col("bad").alias("error")))
+
+
 def html_of(responses: DataFrame) -> DataFrame:
     """(url, html) of the responses without error, decoded by mark, declared charset, utf-8 or cp1252."""
     charset = F.regexp_extract(F.coalesce(F.col("headers")["content-type"], F.lit("")), r"(?i)charset=([\w-]+)", 1)

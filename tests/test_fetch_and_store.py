@@ -50,6 +50,42 @@ def test_fetch_asks_the_rules_waits_and_ranges(spark):
     assert waits.value == 3 + 6 + 12
 
 
+def test_remote_archives_by_two_ranges(spark):
+    whole = _zip("a.pdf", "b/c.pdf")
+    big = _zip(*[f"folder/{i:05}.pdf" for i in range(300)])
+    count = spark.sparkContext.accumulator(0)
+
+    def getter(url, form, headers=None):
+        raw = {"http://h/a.zip": whole, "http://h/big.zip": big, "http://h/not": b"hello"}.get(url)
+        count.add(1)
+        if raw is None:
+            return 404, {}, b""
+        if headers is None or url.endswith("not"):
+            return 200, {}, raw
+        first, _, last = headers["Range"].removeprefix("bytes=").rpartition("-")
+        return (206, {}, raw[-int(last) :]) if not first else (206, {}, raw[int(first) : int(last) + 1])
+
+    urls = spark.createDataFrame([("http://h/a.zip",), ("http://h/big.zip",), ("http://h/not",), ("http://h/gone",), ("http://h/a.zip",)], "url string")
+    out = fetching.remote_members(urls, getter, tail=2000).collect()
+    assert sorted(r.name for r in out if r.url.endswith("a.zip")) == ["a.pdf", "b/c.pdf"] and sum(r.url.endswith("big.zip") for r in out) == 300
+    assert {r.url[9:]: r.error for r in out if r.error} == {"not": "no range: status 200", "gone": "HTTPError: 404"}
+
+
+def test_seed_status_and_log(spark, tmp_path):
+    topics = spark.createDataFrame([("A", "old", "pure"), ("X", "own", "stats")], "code string, name string, strand string")
+    seed = spark.createDataFrame([("A", "new", "stats"), ("B", "b", "pure")], "code string, name string, strand string")
+    assert sorted(map(tuple, store.seeded(topics, seed).collect())) == [("A", "new", "stats"), ("B", "b", "pure"), ("X", "own", "stats")]
+    papers = spark.createDataFrame([(1, "ok", "n"), (2, "pending", None), (3, "ok", None)], "id long, parse_status string, parse_notes string")
+    results = spark.createDataFrame([(1, "ok", ["n"]), (2, "partial", ["a", "b"])], "id long, parse_status string, notes array<string>")
+    assert [tuple(r) for r in store.status_changes(papers, results).collect()] == [(2, "partial", "a; b")]
+    assert sorted(map(tuple, store.next_status(papers, results).collect())) == [(1, "ok", "n"), (2, "partial", "a; b"), (3, "ok", None)]
+    from lithic.operators import ingest
+
+    for _ in range(2):
+        ingest.append_crawl_log(topics, str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 4
+
+
 def test_pages_and_compression(spark):
     from lithic import sources
 
