@@ -241,6 +241,39 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, which: int
     return out
 
 
+_ODD = 0x9E3779B97F4A7C15
+_ODD_POWERS: list[np.ndarray] = []
+_ODD_BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0x2545F4914F6CDD1D))
+
+
+def _odd_powers(n: int) -> list[np.ndarray]:
+    if not _ODD_POWERS or len(_ODD_POWERS[0]) < n:
+        n = max(n, CHUNK + 1)
+        _ODD_POWERS[:] = [np.full(n, b, U64) for b in (_ODD, pow(_ODD, -1, 1 << 64))]
+        for x in _ODD_POWERS:
+            x[0] = 1
+            np.multiply.accumulate(x, out=x)
+    return _ODD_POWERS
+
+
+def rough_prefix(data: np.ndarray) -> np.ndarray:
+    """Running sums for `rough_span`, modulo 2**64: several times cheaper than `prefix_hash`."""
+    up, out = _odd_powers(len(data) + 1)[0], np.zeros(len(data) + 1, U64)
+    for a in range(0, len(data), _PIECE):
+        x = data[a : a + _PIECE]
+        term = _ODD_BYTE[x]
+        term *= up[a : a + len(x)]
+        term[:1] += out[a : a + 1]
+        np.cumsum(term, out=out[a + 1 : a + 1 + len(x)])
+    return out
+
+
+def rough_span(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Names of spans for finding candidates: equal spans have equal names, but different ones of a certain structure can share one."""
+    down = _odd_powers(len(prefix))[1]
+    return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(U64) * U64(0x632BE59BD9B4E019))
+
+
 # ------------------------------------------------------------------ words
 class Words:
     """Words of a chunk: byte spans, the row each stands in, and where each row's words begin."""

@@ -21,6 +21,9 @@ positions; equal strings have it at the same offset.  So
    and only pieces that occur twice have their strings fingerprinted (128 bits)
    and counted.
 
+Names of cores and pieces only find candidates and are cheap hashes; what decides
+is the sort or 128-bit fingerprints modulo a prime.
+
 No pairs are formed; the sort's ranges split common prefixes anywhere, and equal
 suffixes as well, as eight bytes of their own part them.
 """
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import CHUNK, U64, chunks, cut, drop, mix, prefix_hash, span_hash
+from .common import CHUNK, U64, chunks, cut, drop, mix, prefix_hash, rough_prefix, rough_span, span_hash
 
 LENGTH = 400
 GAP = 128
@@ -99,7 +102,7 @@ def _scan(length: int, gap: int):
         for batch in batches:
             for a, b, data, offs in chunks(batch, "text"):
                 s = Sync(data, offs, length, gap)
-                cores = _lists(_signed(span_hash(prefix_hash(data), s.pos, s.pos + core)), s.row, b - a)
+                cores = _lists(_signed(rough_span(rough_prefix(data), s.pos, s.pos + core)), s.row, b - a)
                 raw = data.tobytes()
                 sha = [hashlib.sha256(raw[x:y]).digest() for x, y in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
                 f = np.array([_name(x) for x in sha], np.int64).reshape(-1, 2)
@@ -199,8 +202,7 @@ def _runs(length: int, gap: int, given):
         for batch in batches:
             for a, b, data, offs in chunks(batch, "text"):
                 s = Sync(data, offs, length, gap)
-                p = prefix_hash(data)
-                name = span_hash(p, s.pos, s.pos + core)
+                name = rough_span(rough_prefix(data), s.pos, s.pos + core)
                 take = np.flatnonzero(_wanted(batch, "cores", a, b, s.row, name))
                 if not len(take):
                     continue
@@ -349,7 +351,7 @@ def _pieces(length: int):
                 right = pos[i] - j * PIECE  # the piece's last start; its first is PIECE - 1 before
                 x, y = np.maximum(lo[i], right - PIECE + 1), np.minimum(hi[i], right)
                 start = offs[row[i]] + right
-                name = span_hash(prefix_hash(data), start, start - PIECE + 1 + length)
+                name = rough_span(rough_prefix(data), start, start - PIECE + 1 + length)
                 open_ = np.maximum(x, first[i]) <= np.minimum(y, last[i])
                 # the sync point's offset belongs to the name: equal strings have theirs at the same place
                 yield pa.RecordBatch.from_arrays(
@@ -425,8 +427,7 @@ def _range_bounds(texts: DataFrame, length: int, gap: int, total: int, range_byt
         for batch in batches:
             for a, b, data, offs in chunks(batch, "text"):
                 s = Sync(data, offs, length, gap)
-                p = prefix_hash(data)
-                name = span_hash(p, s.pos, s.pos + length - gap + 1)
+                name = rough_span(rough_prefix(data), s.pos, s.pos + length - gap + 1)
                 take = np.flatnonzero(_wanted(batch, "cores", a, b, s.row, name))
                 f = batch.column(0).to_numpy()[a:b].view(U64)[s.row[take]]
                 take = take[(mix(f ^ (s.pos[take] - offs[s.row[take]]).astype(U64)) >> U64(11)).astype(float) / 2.0**53 < rate]
