@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 from pyspark.sql.window import Window
 
 from lithic.functions import text as T
+from lithic.operators import tables
 
 _CHAIN = StructType().add("path", ArrayType(IntegerType())).add("gaps", IntegerType())
 
@@ -215,10 +216,11 @@ def split_papers(lines: DataFrame, *, gutter: float = 120.0, tolerance: float =
 
     pages: (paper_id, pages) of the papers; low_pages: (paper_id, low_pages) with the pages of too little text.
     """
-    kept = reading_order(strip_furniture(lines, gutter, pages=pages))
+    # the lines left and the questions are read several times: written once, so that no stage is computed anew
+    kept = tables.written(reading_order(strip_furniture(lines, gutter, pages=pages)), "lines")
     before, after = (df.groupBy("paper_id").agg(F.count(F.lit(1)).alias(n)) for df, n in ((lines, "_all"), (kept, "_kept")))
-    chain = chains(modal_gutter(candidates(kept, gutter), tolerance))
-    found = questions(kept, chain, low_pages)
+    chain = tables.written(chains(modal_gutter(candidates(kept, gutter), tolerance)), "chains")
+    found = tables.written(questions(kept, chain, low_pages), "questions")
     totals = found.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("marks_total") > 0).alias("with_marks"), F.coalesce(F.sum("marks_total"), F.lit(0)).alias("total_marks"), F.sort_array(F.collect_set("q_number")).alias("numbers"))
     papers = lines.select("paper_id").distinct().join(chain, "paper_id", "left").join(totals, "paper_id", "left")
     papers = papers.select("paper_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_candidates", "n_gaps", "n", "with_marks", "total_marks")], F.coalesce("numbers", F.array().cast("array<int>")).alias("numbers"))
