@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, mixing, neardup, quality, recompress, suffixes, topk, urls
+from . import align, chat, decontaminate, exact, language, merkle, mixing, neardup, quality, recompress, suffixes, topk, urls
 from .common import table
 
 
@@ -61,10 +61,55 @@ def op10_topk(spark, sf_dir):
     return topk.topk(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_quality, op3_language, op4_substring_dedup, op5_near_dedup, op6_mixing, op7_url_filter, op8_decontaminate, op9_suffix_dedup, op10_topk)}
+def op11_exact_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return exact.classes(docs.select("doc_id", "text", F.sha2(exact.normalised(F.col("text")), 256).alias("text_sha256")), carry=["text_sha256"])
+
+
+def op12_token_alignment(spark, sf_dir):
+    found = align.align(table(spark, sf_dir, "documents"), keep=["doc_id"], digest=True)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
+def op13_merkle(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    leaf = lambda text: merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, leaf(F.translate("text", upper, upper.lower())))
+    leaves = docs.select("doc_id", "source", leaf(F.col("text")).alias("leaf"), tampered.alias("tampered"))
+    out = merkle.proofs(leaves, "source", "doc_id", "leaf", ["tampered"])
+    out = out.withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("path")))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat, op2_quality, op3_language, op4_substring_dedup, op5_near_dedup, op6_mixing, op7_url_filter, op8_decontaminate, op9_suffix_dedup, op10_topk, op11_exact_dedup, op12_token_alignment, op13_merkle)}
 
 _W8 = r"""list_filter(regexp_split_to_array(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
 ORACLE_SQL = {
+    "op11_exact_dedup": r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS cp, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
+g AS (SELECT *, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS k, count(*) OVER (PARTITION BY norm) AS n FROM d WINDOW w AS (PARTITION BY norm ORDER BY cp DESC, doc_id))
+SELECT doc_id, keep_id, n AS group_size, k = 1 AS kept, sha256(norm) AS text_sha256 FROM g""",
+    # nodes level by level, first of the sources, then of their subroots; a leaf walks up by the siblings at each level
+    "op13_merkle": r"""
+WITH RECURSIVE f AS (SELECT doc_id, source, lang, n_chars, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+p AS (SELECT doc_id, source, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+  coalesce(strlen(text) || ':' || text, '-') AS body, coalesce(strlen(low) || ':' || low, '-') AS tampered FROM f),
+bits AS (SELECT list(t ORDER BY i) AS tab FROM (SELECT i, list_reduce([i, 1, 1, 1, 1, 1, 1, 1, 1]::BIGINT[], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS t FROM range(256) r(i))),
+l AS (SELECT doc_id, source, sha256(head || body) AS leaf, sha256(head || tampered) AS changed, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+  lambda c, x: xor(c // 256, tab[(xor(c % 256, x) + 1)::INTEGER]))) AS crc FROM p, bits),
+o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, count(*) OVER (PARTITION BY source) AS m FROM l),
+n AS (SELECT tree, 0 AS lvl, pos, m, leaf AS h FROM o
+  UNION ALL SELECT tree, lvl + 1, pos // 16, (m + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM n WHERE m > 1 GROUP BY tree, lvl, pos // 16, m),
+t AS (SELECT -1::BIGINT AS tree, 0 AS lvl, tree AS pos, (SELECT count(DISTINCT tree) FROM o) AS m, h FROM n WHERE m = 1
+  UNION ALL SELECT tree, lvl + 1, pos // 16, (m + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE m > 1 GROUP BY tree, lvl, pos // 16, m),
+s AS (SELECT tree, lvl, pos, m, h, coalesce(string_agg(h, '') OVER (PARTITION BY tree, lvl, pos // 16 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+  coalesce(string_agg(h, '') OVER (PARTITION BY tree, lvl, pos // 16 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM (SELECT * FROM n UNION ALL SELECT * FROM t)),
+w AS (SELECT doc_id, leaf, tree AS home, tree, 0 AS lvl, pos, CASE WHEN crc % 5 = 0 THEN changed ELSE leaf END AS fold, '' AS proof FROM o
+  UNION ALL SELECT doc_id, leaf, home, CASE WHEN m > 1 THEN w.tree ELSE -1 END, CASE WHEN m > 1 THEN w.lvl + 1 ELSE 0 END, CASE WHEN m > 1 THEN w.pos // 16 ELSE home END,
+    CASE WHEN m > 1 THEN sha256(a || fold || b) ELSE fold END, CASE WHEN m > 1 THEN proof || a || b ELSE proof END FROM w JOIN s ON s.tree = w.tree AND s.lvl = w.lvl AND s.pos = w.pos WHERE m > 1 OR w.tree >= 0)
+SELECT doc_id, leaf, (SELECT h FROM n WHERE n.tree = home AND n.m = 1) AS subroot, t.h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = t.h AS verified
+FROM w JOIN t ON w.tree = -1 AND t.m = 1 AND w.lvl = t.lvl""",
     "op8_decontaminate": f"""
 WITH d AS (SELECT doc_id, {_W8.format("coalesce(text, '')")} AS w FROM documents),
 b AS (SELECT item_id, {_W8.format("coalesce(text, '')")} AS w FROM benchmark),
