@@ -136,7 +136,7 @@ def crop_slices(spark, sf_dir):
 
 # ------------------------------------------------------------------ pages
 def anchors(spark, sf_dir):
-    return sources.anchors(read(spark, sf_dir, "pages"))
+    return sources.anchors(read(spark, sf_dir, "pages")).select("page_id", "pos", "href", "link")
 
 
 def host_policy(spark, sf_dir):

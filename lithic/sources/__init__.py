@@ -7,7 +7,6 @@ import struct
 import tomllib
 import zipfile
 from collections.abc import Callable, Iterator
-from functools import reduce
 from io import BytesIO
 from pathlib import Path
 
@@ -19,6 +18,8 @@ from pyspark.sql.window import Window
 
 from lithic.functions import text as T
 from lithic.operators import tables
+from lithic.sources.html import anchors  # noqa: F401
+from lithic.sources.robots import applied, from_table, host  # noqa: F401
 
 # ------------------------------------------------------------------ registry
 Source = Callable[[SparkSession, dict], DataFrame]
@@ -61,14 +62,6 @@ def candidate_links(spark: SparkSession, path: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ html
-def anchors(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, pos, href, link) of every <a href> in document order, quoted or not, with character references resolved; link is absolute."""
-    found = F.regexp_extract_all(html_col, F.lit(r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""), F.lit(1))
-    out = pages.select(id_col, url_col, F.posexplode(found).alias("pos", "raw"))
-    out = out.withColumn("href", T.unescaped(F.regexp_replace("raw", r"""^["']|["']$""", "")))
-    return out.select(id_col, "pos", "href", T.absolute_url(F.col(url_col), F.col("href")).alias("link"))
-
-
 def matching_links(links: DataFrame, title_pattern: str | None = None, href_pattern: str | None = None, title_col: str = "title", href_col: str = "href") -> DataFrame:
     out = links
     if title_pattern:
@@ -236,35 +229,10 @@ def smallest_version(rows: DataFrame, id_col: str, versions: list[str]) -> DataF
 
 
 # ------------------------------------------------------------------ fetch policy
-def host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
-
-
 def allowed(urls: DataFrame, robots: DataFrame, agents: tuple[str, ...]) -> DataFrame:
-    """urls with `allowed`: whether the rules permit it to any of the agents.
-
-    robots: (host, pos, agent, prefix, allow), a small table a host, joined on
-    the host.  An agent follows the first named group that its name (up to a
-    slash) contains, and the rules for `*` if there is none; of these the first
-    one by pos whose prefix fits decides, an empty prefix permits, and where
-    none fits the URL is permitted, as on hosts without rules.
-    """
-    path = F.coalesce(F.nullif(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^#]*)", 1), F.lit("")), F.lit("/"))
-    base = urls.withColumn("host", host(F.col("url"))).withColumn("_path", path)
-    rule = F.struct("pos", F.lower("agent").alias("agent"), "prefix", "allow")
-    rules = robots.groupBy("host").agg(F.array_sort(F.collect_list(rule)).alias("_rules"))
-    joined = base.join(rules, "host", "left")
-
-    def verdict(agent: str) -> Column:
-        name = F.lit(agent.split("/")[0].lower())
-        named = F.filter("_rules", lambda r: (r["agent"] != "*") & F.contains(name, r["agent"]))
-        group = F.when(F.size(named) > 0, F.get(named, F.lit(0))["agent"]).otherwise("*")
-        fits = F.filter("_rules", lambda r: (r["agent"] == group) & F.startswith(F.col("_path"), r["prefix"]))
-        first = F.get(fits, F.lit(0))
-        return F.coalesce(F.when(first["prefix"] == "", True).otherwise(first["allow"]), F.lit(True))
-
-    any_ok = reduce(lambda a, b: a | b, [verdict(a) for a in agents])
-    return joined.withColumn("allowed", any_ok).drop("_rules", "_path")
+    """urls with host and `allowed`: whether a table of rules (host, pos, agent, prefix, allow) permits it to any of the agents; see `robots.applied`."""
+    given = urls.withColumnRenamed("delay", "_given") if "delay" in urls.columns else urls
+    return applied(given, from_table(robots), agents).drop("delay").withColumnRenamed("_given", "delay")
 
 
 def crawl_delay(delay: Column, least: float) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lithic.functions import text as T
 from lithic.operators import ingest, tables
 from lithic.sources import allowed, anchors, decoded, directory_members, directory_place, host, matching_links, zip_listing
+from lithic.sources.robots import robots_url
 
 Getter = Callable[..., tuple[int, dict[str, str], bytes]]
 RESPONSE = "url string, status int, content binary, headers map<string,string>, attempts int, error string"
@@ -73,6 +74,21 @@ def fetch(requests: DataFrame, getter: Getter, *, robots: DataFrame | None = Non
     return dealt.repartition(parts, host(F.col("url"))).mapInPandas(run, RESPONSE)
 
 
+def robots_bodies(urls: DataFrame, getter: Getter, known: DataFrame | None = None, **kw) -> DataFrame:
+    """(host, status, body) of the robots.txt of every host of urls, each asked for once; hosts of `known` (such a table) are not asked again.
+
+    Write the result and hand it on as `known`: it is the cache of a crawl.  A
+    host that cannot be reached has a null body, which allows all.
+    """
+    asked = urls.select(host(F.col("url")).alias("host"), robots_url(F.col("url")).alias("url")).where("host <> ''")
+    once = asked.groupBy("host").agg(F.min("url").alias("url"))
+    if known is not None:
+        once = once.join(known.select("host"), "host", "left_anti")
+    got = fetch(once.select("url"), getter, **kw)
+    text = decoded(got.withColumn("charset", F.lit(None).cast("string"))).select(host(F.col("url")).alias("host"), "status", F.when(F.col("content").isNotNull(), F.col("text")).alias("body"))
+    return text if known is None else known.select("host", "status", "body").unionByName(text)
+
+
 def remote_members(urls: DataFrame, getter: Getter, tail: int = 66_000, **kw) -> DataFrame:
     """(url, name, size, error) of the members of remote zip archives, by two range reads: the end, and the central directory it points to.
 
@@ -170,9 +186,8 @@ def paged_listing(pages: DataFrame, listing: list[str], *, name: str, id_pattern
     """Links of listing pages in order: anchors whose target holds an id and whose text fits; stops with the page that brings `target` distinct exams."""
     order = F.array_position(F.array(*map(F.lit, listing)), F.col("url"))
     mine = pages.withColumn("page_no", order).where(F.col("page_no") > 0)
-    found = F.regexp_extract_all("html", F.lit(r"""(?is)(<a\s[^>]*?href\s*=\s*["'][^"']*["'][^>]*>.*?</a>)"""), F.lit(1))
-    a = mine.select("url", "page_no", F.posexplode(found).alias("pos", "tag"))
-    a = a.withColumn("href", F.regexp_extract("tag", r"""(?is)href\s*=\s*["']([^"']*)["']""", 1)).withColumn("t", T.flat_space(F.regexp_replace("tag", "<[^>]*>", "")))
+    found = anchors(mine.withColumn("page_id", F.struct("url", "page_no")))
+    a = found.select("page_id.*", "pos", "href", "link", F.col("text").alias("t"))
     a = matching_links(a.withColumn("item", F.regexp_extract("href", id_pattern, 1)).where("item <> ''"), title_pattern=title_pattern, title_col="t")
-    rows = a.select(F.col("url").alias("page_url"), T.absolute_url(F.col("url"), F.col("href")).alias("file_url"), "item", "t", F.struct("page_no", "pos").alias("ord"))
+    rows = a.select(F.col("url").alias("page_url"), F.col("link").alias("file_url"), "item", "t", F.struct("page_no", "pos").alias("ord"))
     return ingest.first_groups(_links(rows, name, F.col("t")), "page_url", "exam_key", "ord", target)
