@@ -153,14 +153,20 @@ def _sampled_windows(seed: int):
 
 
 def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, seed: int = SEED) -> ByteConv | None:
-    """Train on about `sample` texts of each language (chosen by a hash of their id) and up to three windows of each; None without labelled text."""
+    """Train on about `sample` texts of each language (chosen by a hash of id and text) and up to three windows of each; None without labelled text.
+
+    A null id is an id like others.  Rows that are alike in id, text and language
+    count once, so the sample stays bounded however often they are repeated.
+    """
     known = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
     counts = {r[lang_col]: r["count"] for r in known.groupBy(lang_col).count().collect()}
     if not counts:
         return None
     rate = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, sample / n))])
-    chance = F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    got = known.where(chance < rate[F.col(lang_col)]).select(lang_col, text_col).mapInArrow(_sampled_windows(seed), "lang string, bytes binary").collect()
+    name = F.xxhash64(id_col, text_col, F.lit(seed))
+    chance = F.pmod(name, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chosen = known.where(chance < rate[F.col(lang_col)]).groupBy(lang_col, name.alias("_name")).agg(F.min(text_col).alias("_text"))
+    got = chosen.select(lang_col, "_text").mapInArrow(_sampled_windows(seed), "lang string, bytes binary").collect()
     rows = sorted((r["lang"], bytes(r["bytes"])) for r in got)  # the same order whatever the order of tasks
     langs = sorted(counts)
     at = {x: i for i, x in enumerate(langs)}
@@ -177,7 +183,7 @@ def predict(documents: DataFrame, net: ByteConv | None, *, text_col: str = "text
     be given.
     """
     schema = documents.schema
-    if {lang_out, score_out} & set(schema.names):
+    if {lang_out.lower(), score_out.lower()} & {n.lower() for n in schema.names}:
         raise ValueError(f"documents already have {lang_out} or {score_out}: give other names")
     given = documents.sparkSession.sparkContext.broadcast(net)
 

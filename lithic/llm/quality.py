@@ -74,6 +74,7 @@ def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     marks = _OTHER[data]
     twice = np.zeros(n, bool)
     twice[1:] = marks[1:] & (data[1:] == data[:-1])
+    twice[offs[:-1][offs[:-1] < n]] = False  # a text's first byte follows nothing
     key = w.row[np.unique(h ^ mix(w.row.astype(U64)), return_index=True)[1]]
     chars, tokens = np.maximum(size, 1), np.maximum(w.count, 1)
     counts = np.stack([
@@ -92,7 +93,8 @@ class BradleyTerry:
     quantile: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        z = (x.astype(float) @ self.weight - self.cut) / self.spread
+        # row by row in one order, so that a score does not hang on the rows beside it
+        z = (np.einsum("ij,j->i", x.astype(float), self.weight) - self.cut) / self.spread
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
@@ -135,16 +137,17 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
         sample: int = SAMPLE, pairs: int = PAIRS, seed: int = SEED) -> BradleyTerry:
     """Fit on at most about `sample` labelled documents; rows without id or label, or with another label, are left out.
 
-    Null texts are empty ones.  Repeated rows of a document or of a label count
-    each; without a row, or with one label only, all scores lie on one side.
+    Null texts are empty ones.  An id counts once for each of its labels, with
+    the smallest of its texts, however often it is repeated, so the sample stays
+    bounded; without a row, or with one label only, all scores lie on one side.
     """
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).distinct()
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample / 2 / n))]) if counts else F.create_map(F.lit(0), F.lit(0.0))
     chance = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = known.where(chance < rate[F.col("label")])
     # the sample is bounded by its parameter, so it may be broadcast against the documents
-    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    rows = documents.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
     got = rows.select("label", "text").mapInArrow(_features, "label int, x binary").toArrow()
     label, raw = got.column("label").to_numpy(), got.column("x").to_pylist()
     order = sorted(range(len(raw)), key=lambda i: (raw[i], label[i]))  # the rows' order must not hang on the order of tasks
