@@ -11,7 +11,10 @@ k-th score.  A task carries the k best of each query from shard to shard, so
 later shards begin with a bound; the k best of the tasks are merged per query.
 
 Scores are exact: components are integers, and their products are summed as
-float64 below 2**53 (float32 where 2**24 suffices).
+float64 below 2**53 (float32 where 2**24 suffices).  Vectors too large for that
+are kept apart, as candidates and as queries: their scores are bracketed in
+float64 and settled in Python's integers where a bracket reaches the k-th score.
+A component, and a score, beyond the range of a long is the end of that range.
 """
 
 from __future__ import annotations
@@ -30,13 +33,17 @@ BLOCK_ROWS = 65536
 #: Queries that are scored at once against the rows of a shard.
 STEP = 512
 FIRST_DEPTH = 32
+LONGEST = (1 << 63) - 1
 
 
 def quantized(vectors: DataFrame, vec_col: str = "embedding", scale: float = 64.0) -> DataFrame:
     """Rows whose vector has no null and no non-finite component, as array<long> `v` of floor(scale * x)."""
     x = F.transform(vec_col, lambda c: c.cast("double"))
     ok = F.col(vec_col).isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    return vectors.where(F.coalesce(ok, F.lit(False))).withColumn("v", F.transform(x, lambda c: F.floor(c * F.lit(scale)).cast("long")))
+    y = lambda c: c * F.lit(scale)
+    # the largest double below 2**63 fits a long
+    whole = lambda c: F.when(y(c) >= F.lit(2.0**63), F.lit(LONGEST)).when(y(c) < F.lit(-(2.0**63)), F.lit(-LONGEST - 1)).otherwise(F.floor(F.least(F.greatest(y(c), F.lit(-(2.0**63))), F.lit(2.0**63 - 1024))).cast("long"))
+    return vectors.where(F.coalesce(ok, F.lit(False))).withColumn("v", F.transform(x, whole))
 
 
 class SortedLists:
@@ -97,20 +104,47 @@ def threshold_topk(ids: np.ndarray, lists: SortedLists, rows: np.ndarray, query_
     return scored
 
 
+def _largest(rows: np.ndarray) -> np.ndarray:
+    return np.abs(rows.astype(float)).max(axis=1, initial=0)
+
+
+def _ordinary(rows: np.ndarray) -> np.ndarray:
+    """Which vectors are so small that the product of any two of them is exact in float64."""
+    return _largest(rows) ** 2 * max(1, rows.shape[1]) < 2**52
+
+
 def _exact_type(rows: np.ndarray, queries: np.ndarray):
-    most = np.abs(rows).max(initial=0).astype(float) * np.abs(queries).max(initial=0) * max(1, rows.shape[1])
-    if most < 2**24:
-        return np.float32
-    if most < 2**53:
-        return np.float64
-    raise ValueError("components are too large for exact scores")
+    return np.float32 if _largest(rows).max(initial=0) * _largest(queries).max(initial=0) * max(1, rows.shape[1]) < 2**24 else np.float64
+
+
+def large_topk(ids: np.ndarray, rows: np.ndarray, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """The k best (score, id) of a query among rows of any size, scores as longs: those whose brackets reach the k-th score are settled in integers."""
+    other = np.flatnonzero(ids != query_id)
+    x, q = rows[other].astype(float), query.astype(float)
+    rough, slack = x @ q, (np.abs(x) @ np.abs(q)) * (len(q) + 4) * 2.0**-52
+    end = lambda v: np.clip(v, -(2.0**63), 2.0**63)
+    low, high = end(rough - slack), end(rough + slack)
+    kth = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf
+    whole = [int(c) for c in query]
+    exact = []
+    for i in np.flatnonzero(high >= kth).tolist():
+        score = sum(a * b for a, b in zip((int(c) for c in rows[other[i]]), whole, strict=True))
+        exact.append((-max(-LONGEST - 1, min(LONGEST, score)), int(ids[other[i]])))
+    return [(-score, i) for score, i in sorted(exact)[:k]]
 
 
 def _answers(given, k: int):
     """The k best of the task's shards for each query of the block: given has (ids, vectors) by dimension."""
 
     def run(batches):
-        best = {dim: Best(len(ids), k) for dim, (ids, _) in given.value.items()}
+        small = {dim: np.flatnonzero(_ordinary(queries)) for dim, (_, queries) in given.value.items()}
+        best = {dim: Best(len(at), k) for dim, at in small.items()}
+        rest: list[tuple[int, int, int]] = []  # of vectors that are too large for float64
+
+        def settled(ids, rows, query_ids, queries, which):
+            for q in which.tolist():
+                rest.extend((int(query_ids[q]), i, score) for score, i in large_topk(ids, rows, int(query_ids[q]), queries[q], k))
+
         for batch in batches:
             for r in range(batch.num_rows):
                 dim = batch.column(1)[r].as_py()
@@ -119,15 +153,23 @@ def _answers(given, k: int):
                 ids = batch.column(2)[r].values.to_numpy()
                 rows = np.frombuffer(batch.column(3)[r].as_buffer(), "<i8").reshape(len(ids), dim)
                 query_ids, queries = given.value[dim]
+                fits = _ordinary(rows)
+                if not fits.all():
+                    settled(ids[~fits], rows[~fits], query_ids, queries, small[dim])
+                if len(small[dim]) < len(queries):
+                    settled(ids, rows, query_ids, queries, np.setdiff1d(np.arange(len(queries)), small[dim]))
+                ids, rows, query_ids, queries = ids[fits], rows[fits], query_ids[small[dim]], queries[small[dim]]
                 kind = _exact_type(rows, queries)
                 rows = rows.astype(kind)
                 lists = SortedLists(rows)
                 for a in range(0, len(queries), STEP):
                     threshold_topk(ids, lists, rows, query_ids[a : a + STEP], queries[a : a + STEP].astype(kind), k, best[dim], a)
         for dim, found in best.items():
-            query_id, ids, score = found.rows(given.value[dim][0])
+            query_id, ids, score = found.rows(given.value[dim][0][small[dim]])
             for a in range(0, len(ids), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in (query_id, ids, score)], ["query_id", "vec_id", "score"])
+        if rest:
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rest], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -176,7 +218,9 @@ def topk(
     as query or as candidate; nor do rows with a null id.  A query is compared
     with candidates of its own dimension only.  Ties go to the smaller id; of
     repeated candidate rows each counts, and repeated query rows are answered
-    once (the smallest vector, where they differ).  Empty inputs give no rows.  Other columns are ignored.
+    once (the smallest vector, where they differ).  Components and scores beyond
+    the range of a long are the end of that range, and such scores are ties.
+    Empty inputs give no rows.  Other columns are ignored.
     """
     spark = vectors.sparkSession
     cand = quantized(vectors.where(F.col(id_col).isNotNull()), vec_col, scale).select(F.col(id_col).cast("long").alias("id"), "v")
