@@ -18,13 +18,15 @@ leave fewer than one link of 0.75 in 10**9 unseen.
    similarity 0.75 stays together in some child with probability 0.984.
 3. Comparison.  Small nodes, and nodes that branching does not thin out, are
    compared exhaustively by sketches inside tasks, the latter in blocks of
-   about ``BLOCK`` tokens; what comes out are the classes that have a promising
-   partner in another component.
+   about ``BLOCK`` tokens and piece by piece; what comes out are the classes that
+   have a promising partner in another component.
 4. Ceilings.  A token that no other of these classes has cannot be common, so
    what is left of a set is the most that any pair with it can share.  Near
    copies of a template that differ too much from all others mostly go here.
-5. Confirmation.  The classes left are compared once more, with their full sets.
-   A part gives at most one link for each component that it joins.
+5. Confirmation.  The classes left are compared once more, with their full sets,
+   in large nodes through an index of each set's rarest tokens, one of which any
+   link must share.  A part gives at most one link for each component that it
+   joins, and classes that a link has joined are not compared again.
 
 Beside the stars no pair is ever written, and pairs inside a component are not compared, as they cannot change the result.
 """
@@ -38,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NON_SPACE, U64, Words, chunks, cut, drop, mix, uniform, unused
+from .common import LOWER, NON_SPACE, U64, Words, chunks, cut, drop, mix, string_buffers, uniform, unused
 
 SHINGLE = 5
 COORDS = 48
@@ -48,6 +50,8 @@ BRANCHES = 3
 LEVELS = 4
 #: Tokens of the sets of a block of a large node.
 BLOCK = 1 << 19
+#: Pairs of a part that are looked at together, and tokens that are counted together.
+PAIRS = 1 << 19
 ROUNDS = 4
 #: Share of confirmed stars below which no further round is made.
 FEW = 0.05
@@ -222,8 +226,9 @@ class _Rows:
             yield few, few + d
         for k in np.flatnonzero(size > small).tolist():
             lo, hi = int(head[k]), int(head[k] + size[k])
-            for a in range(lo, hi, 128):
-                i, j = np.meshgrid(np.arange(a, min(a + 128, hi)), np.arange(a, hi), indexing="ij")
+            step = max(1, PAIRS // (hi - lo))
+            for a in range(lo, hi, step):
+                i, j = np.meshgrid(np.arange(a, min(a + step, hi)), np.arange(a, hi), indexing="ij")
                 use = i < j
                 yield i[use], j[use]
 
@@ -240,31 +245,68 @@ class _Rows:
                 yield i[ok], j[ok]
 
 
-def _common(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of pairs of sets, pair by pair or, where most sets are in many pairs, of all with all at once."""
-    if len(i) <= 8 * len(sets):
-        return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
-    n = len(sets)
-    token, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(n), [len(s) for s in sets])
-    order = np.argsort(column, kind="stable")
-    row, first = row[order], np.concatenate([[0], np.cumsum(times)])
-    both = np.zeros((n, n), np.float32)
-    rare = np.flatnonzero((times > 1) & (times <= 8))
-    for d in range(1, 8):  # tokens of few sets: their pairs, by distance in the token's list
-        rare = rare[times[rare] > d]
-        for k in range(int(times[rare].max(initial=0)) - d):
-            at = first[rare[times[rare] > d + k]] + k
-            np.add.at(both, (row[at], row[at + d]), 1)
-    often = np.flatnonzero(times > 8)
-    for a in range(0, len(often), 4096):
-        some = often[a : a + 4096]
-        has = np.zeros((n, len(some)), np.float32)
-        which = np.repeat(np.arange(len(some)), times[some])
-        at = np.arange(len(which)) - np.repeat(np.cumsum(times[some]) - times[some], times[some]) + np.repeat(first[some], times[some])
-        has[row[at], which] = 1
-        both += np.triu(has @ has.T, 1)
-    return both[np.minimum(i, j), np.maximum(i, j)].astype(np.int64)
+def _overlap(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of pairs of sets."""
+    return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+
+
+def _joined(x: _Rows, lo: int, hi: int, token: np.ndarray, off: np.ndarray, percent: int):
+    """Links (i, j) of the rows lo to hi, one part, that join components; token[off[k]:off[k + 1]] is the set of row lo + k.
+
+    Two sets of which the larger has n tokens can only be linked if they share
+    one of their n - ceil(percent * n / 100) + 1 rarest tokens, so an index of
+    these gives each row its candidates; those of its own component are passed
+    over, the others are counted token by token.  Memory is that of the part's
+    tokens, whatever the number of its pairs.
+    """
+    n, size = hi - lo, np.diff(off)
+    _, column, times = np.unique(token, return_inverse=True, return_counts=True)
+    rank = np.empty(len(times), np.int64)
+    rank[np.argsort(times, kind="stable")] = np.arange(len(times))
+    row = np.repeat(np.arange(n), size)
+    token = rank[column]
+    order = np.lexsort((token, row))
+    token, often = token[order], times[column][order] > 1
+    place = np.arange(len(token)) - np.repeat(off[:-1], size)
+    prefix = often & (place < np.repeat(size + (-percent * size // 100) + 1, size))
+    listed = np.flatnonzero(prefix)
+    by_token = listed[np.argsort(token[listed], kind="stable")]
+    post, head = row[by_token], np.searchsorted(token[by_token], np.arange(len(times) + 1))
+    own, own_first = token[listed], np.searchsorted(row[listed], np.arange(n + 1))
+    part, side, most = np.unique(x.component[lo:hi], return_inverse=True)[1], x.side[lo:hi], x.most[lo:hi]
+    has, hit = np.zeros(len(times), bool), np.zeros(n, bool)
+    for i in range(n):
+        mine = own[own_first[i] : own_first[i + 1]].tolist()
+        if not mine:
+            continue
+        for t in mine:
+            hit[post[head[t] : head[t + 1]]] = True
+        some = i + 1 + np.flatnonzero(hit[i + 1 :])
+        for t in mine:
+            hit[post[head[t] : head[t + 1]]] = False
+        m = size[some]
+        ok = (part[some] != part[i]) & (100 * np.minimum(m, size[i]) >= percent * np.maximum(m, size[i])) & ((side[some] != side[i]) | (side[i] == 0))
+        some = some[ok & ((100 + percent) * np.minimum(most[some], most[i]) >= percent * (m + size[i]))]
+        if not len(some):
+            continue
+        has[token[off[i] : off[i + 1]]] = True
+        step = max(1, PAIRS // int(size[some].max()))
+        for a in range(0, len(some), step):
+            js = some[a : a + step]
+            k = size[js]
+            at = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k) + np.repeat(off[js], k)
+            both = np.add.reduceat(has[token[at]].astype(np.int64), np.cumsum(k) - k)
+            for j in js[(both > 0) & (100 * both >= percent * (k + size[i] - both))].tolist():
+                if part[j] != part[i]:
+                    yield lo + i, lo + j
+                    part[part == part[j]] = part[i]
+        has[token[off[i] : off[i + 1]]] = False
+
+
+def _tokens(own: pa.ChunkedArray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of the sets of rows lo to hi, one behind the other, and where each begins."""
+    offs, raw = string_buffers(own.slice(lo, hi - lo))
+    return np.frombuffer(raw[offs[0] : offs[-1]].tobytes(), U64), (offs - offs[0]) // 8
 
 
 def _joining(x: _Rows, i: np.ndarray, j: np.ndarray) -> list[int]:
@@ -299,23 +341,28 @@ def _compared(leaves: list[DataFrame], known: DataFrame, small: int, percent: in
     rows = rows.join(known, "id").select("part", F.col("side").cast("long").alias("side"), "id", "component", "n", "most", *sketch, *["own"] * exact)
 
     def found(x: _Rows, own: pa.Array | None):
-        pairs = [np.stack(p) for p in x.promising(small, percent, agree)]
-        i, j = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
         if own is None:
-            return [pa.array(np.unique(x.id[np.concatenate([i, j])]))]
-        order = np.argsort(x.part[i], kind="stable")
-        i, j = i[order], j[order]
-        kept = []
-        for at in np.split(np.arange(len(i)), np.flatnonzero(np.diff(x.part[i])) + 1):  # part by part
-            if len(at):
-                use, back = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
-                sets = [np.frombuffer(own[int(k)].as_buffer(), U64) for k in use]
-                both = _common(sets, back[: len(at)], back[len(at) :])
-                kept.append(at[(both > 0) & (100 * both >= percent * (x.n[i[at]] + x.n[j[at]] - both))])
-        kept = np.concatenate(kept) if kept else np.zeros(0, np.int64)
-        i, j = i[kept], j[kept]
-        some = _joining(x, i, j)
-        a, b = x.id[i[some]], x.id[j[some]]
+            hit = np.zeros(len(x.part), bool)
+            for i, j in x.promising(small, percent, agree):
+                hit[i] = hit[j] = True
+            return [pa.array(np.unique(x.id[hit]))]
+        ends = np.flatnonzero(np.diff(x.part)) + 1
+        bounds = np.concatenate([[0], ends, [len(x.part)]]) if len(x.part) else np.zeros(1, np.int64)
+        large = np.diff(bounds) > small
+        links = [k for lo, hi in zip(bounds[:-1][large].tolist(), bounds[1:][large].tolist(), strict=True) for k in _joined(x, lo, hi, *_tokens(own, lo, hi), percent)]
+        i, j = np.array(links, np.int64).reshape(-1, 2).T
+        few = _Rows([c[np.repeat(~large, np.diff(bounds))] for c in x.columns])
+        place = np.flatnonzero(np.repeat(~large, np.diff(bounds)))
+        pairs = [np.stack(p) for p in few.promising(small, percent, agree)]  # of small parts only: at most `small` a row
+        p, q = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+        if len(p):
+            use, back = np.unique(np.concatenate([p, q]), return_inverse=True)
+            both = _overlap([np.frombuffer(own[int(k)].as_buffer(), U64) for k in place[use]], back[: len(p)], back[len(p) :])
+            ok = (both > 0) & (100 * both >= percent * (few.n[p] + few.n[q] - both))
+            p, q = p[ok], q[ok]
+            some = _joining(few, p, q)
+            i, j = np.concatenate([i, place[p[some]]]), np.concatenate([j, place[q[some]]])
+        a, b = x.id[i], x.id[j]
         return [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))]
 
     names = ["a", "b"] if exact else ["id"]
