@@ -131,7 +131,8 @@ def ingest_states(links: DataFrame, known_urls: DataFrame, known_shas: DataFrame
         by_url, by_sha = (open_.groupBy(k).agg(F.min("_r").alias(f"_{k}")) for k in ("url", "sha"))
         firsts = open_.join(by_url, "url").join(by_sha, "sha").where((F.col("_r") == F.col("_url")) & (F.col("_r") == F.col("_sha"))).select("url", "sha", "_r")
         stored.append(tables.written(firsts, "stored"))
-        open_ = tables.written(open_.join(stored[-1].select("url"), "url", "left_anti").join(stored[-1].select("sha"), "sha", "left_anti"), "open")
+        last, open_ = open_, tables.written(open_.join(stored[-1].select("url"), "url", "left_anti").join(stored[-1].select("sha"), "sha", "left_anti"), "open")
+        tables.drop(last)
         if open_.isEmpty():
             break
     kept = reduce(DataFrame.unionByName, stored).select("url", F.col("_r").alias("_kept"))  # one link a URL
@@ -203,21 +204,48 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], update: list[str]) -
     return both.select(*cols).select(*old.columns)
 
 
-def upsert_papers(old: DataFrame, new: DataFrame, update: list[str]) -> DataFrame:
-    """Papers upserted by hash first and, where that is new, by (source, source_url): a known hash keeps its row, a known link gets the new hash.
+#: What a paper that is known already takes from a new row; its hash, source and link stay.
+DESCRIPTIVE = ("school", "school_code", "year", "exam_type", "paper_no", "doc_type", "rel_path", "pages", "size_bytes")
 
-    new has `ord`; of several rows for one paper the last counts.  Rows of old
-    keep their id; new papers have a null id, for the caller to number.
+
+def upsert_papers(old: DataFrame, new: DataFrame, update: list[str] | None = None) -> DataFrame:
+    """Papers after the rows of new have come in one by one, in the order of `ord`.
+
+    A row belongs to the paper with its hash or, where there is none, to the one
+    with its (source, source_url), be it old or brought by an earlier row; that
+    paper takes the columns of `update` (by default those of `DESCRIPTIVE` that
+    there are) from the last such row.  A row without a paper becomes one, with a
+    null id for the caller to number.  Hashes are looked up as they were when the
+    batch began, also where `update` changes them.  Rows without a hash are left
+    out; a null source or link is equal to nothing.  Old papers keep their ids.
     """
-    by_sha = old.select("file_sha256", F.col("id").alias("_a"))
-    by_link = old.select("source", "source_url", F.col("id").alias("_b"))
-    found = new.join(by_sha, "file_sha256", "left").join(by_link, ["source", "source_url"], "left").withColumn("_id", F.coalesce("_a", "_b"))
     rest = [c for c in old.columns if c != "id"]
-    last = found.where(F.col("_id").isNotNull()).groupBy("_id").agg(F.max_by(F.struct(*rest), "ord").alias("_n"))
-    kept = old.join(last, old["id"] == last["_id"], "left").select("id", *[(F.coalesce(F.col(f"_n.{c}"), F.col(c)) if c in update else F.col(c)).alias(c) for c in rest])
-    fresh = found.where(F.col("_id").isNull()).groupBy("file_sha256").agg(F.max_by(F.struct(*rest), "ord").alias("_n")).select("_n.*")
-    fresh = fresh.withColumn("_k", F.row_number().over(Window.partitionBy("source", "source_url").orderBy("file_sha256"))).where("_k = 1").drop("_k")
-    return kept.unionByName(fresh.select(F.lit(None).cast(old.schema["id"].dataType).alias("id"), *rest))
+    update = [c for c in DESCRIPTIVE if c in rest] if update is None else update
+    link = F.struct("source", "source_url")
+    given = tables.written(new.where(F.col("file_sha256").isNotNull()), "new")
+    by_sha = old.groupBy("file_sha256").agg(F.min("id").alias("_a"))
+    by_link = old.groupBy("source", "source_url").agg(F.min("id").alias("_b"))
+    found = given.join(by_sha, "file_sha256", "left").join(by_link, ["source", "source_url"], "left").withColumn("_id", F.coalesce("_a", "_b"))
+    named = F.when(F.col("source").isNotNull() & F.col("source_url").isNotNull(), F.to_json(link))
+    found = tables.written(found.withColumn("_link", F.coalesce(named, F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))), "found")
+    taken = lambda n: [(F.when(F.col(n).isNotNull(), F.col(f"{n}.{c}")).otherwise(F.col(c)) if c in update else F.col(c)).alias(c) for c in rest]
+    # of the rows without an old paper the first of its hash and of its link becomes one, with what earlier ones have left open
+    open_ = found.where(F.col("_id").isNull())
+    links = tables.written(open_.select("ord", F.col("_link").alias("url"), F.col("file_sha256").alias("sha"), F.lit(0).cast("long").alias("size"), F.lit(False).alias("failed"), F.struct(*rest).alias("_row")), "links")
+    nothing = links.limit(0)
+    first = tables.written(ingest_states(links, nothing.select("url"), nothing.select("sha"), 1).where("state = 'new'").select("url", "sha", "ord", "_row"), "first")
+    # each row's paper: old by hash, new by hash, old by link, new by link
+    own = F.struct(*[F.col(c).alias(c) for c in update])
+    rows = found.select("_a", "_b", "_link", "file_sha256", F.col("ord").alias("_ord"), own.alias("_values"))
+    rows = rows.join(first.select(F.col("sha").alias("file_sha256"), F.col("ord").alias("_so")), "file_sha256", "left").withColumn("_s", F.when(F.col("_so") < F.col("_ord"), F.col("file_sha256")))
+    rows = rows.join(first.select(F.col("url").alias("_link"), F.col("sha").alias("_u"), F.col("ord").alias("_uo")), "_link", "left")
+    old_paper = F.coalesce("_a", F.when(F.col("_s").isNull(), F.col("_b")))
+    new_paper = F.when(F.col("_a").isNull(), F.coalesce("_s", F.when(F.col("_b").isNull() & (F.col("_uo") < F.col("_ord")), F.col("_u"))))
+    aimed = tables.written(rows.select(old_paper.alias("_old"), new_paper.alias("_new"), "_ord", "_values"), "aimed")
+    last = lambda key: aimed.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by("_values", "_ord").alias("_n"))
+    kept = old.join(last("_old"), F.col("id") == F.col("_old"), "left").select("id", *taken("_n"))
+    fresh = first.join(last("_new"), F.col("sha") == F.col("_new"), "left").select("_row.*", "_n")
+    return kept.unionByName(fresh.select(F.lit(None).cast(old.schema["id"].dataType).alias("id"), *taken("_n")))
 
 
 def apply_geometry(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> tuple[DataFrame, DataFrame]:

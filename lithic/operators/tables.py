@@ -5,8 +5,41 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_RECORDS: list[list[str]] = []
+
+
+@contextmanager
+def recording():
+    """A list of the folders that `written` makes meanwhile, for `delete` once nothing reads them any more."""
+    made: list[str] = []
+    _RECORDS.append(made)
+    try:
+        yield made
+    finally:
+        _RECORDS.remove(made)
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of Spark's file systems."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def drop(*made: DataFrame) -> None:
+    """Delete tables made by `written` that nothing will read again."""
+    for t in made:
+        if path := getattr(t, "_lithic_path", None):
+            delete(t.sparkSession, path)
 
 
 def written(df: DataFrame, name: str = "step") -> DataFrame:
@@ -20,4 +53,8 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", top)
     path = f"{top.rstrip('/')}/lithic-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for made in _RECORDS:
+        made.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lithic_path = path
+    return out
