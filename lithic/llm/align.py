@@ -14,9 +14,12 @@ is the distinct pairs of chunks and not the tokens.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,16 +38,105 @@ CHUNK = 1 << 20
 ROWS = 2048
 
 
+#: Where a text may be cut: at a single space between two characters that are no space. Neither side has tokens across it (see `Side.cuts`).
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: A space at which a text may not be cut.
+_UNCUT = re.compile(r"\s (?=.)| (?=\s)|\A | \Z", re.S)
+#: Parts whose tokens a worker keeps, at most, beside those of the chunk at hand.
+KNOWN = 1 << 18
+
+
 class Side:
-    """A tokenizer: ids of texts, and the bytes of every id."""
+    """A tokenizer: ids of a space and each text, and the bytes of every id.
 
-    def __init__(self, pieces: list[bytes], encode):
-        self.pieces, self.encode = pieces, encode
-        self.length = np.array([len(p) for p in pieces], np.int64)
-        self.names = [str(i) for i in range(len(pieces))]
+    cuts: whether the tokens of a text are those of its parts between `_CUT`, each with a space before it.
+    """
 
-    def tokens(self, texts: list[str]) -> list[list[int]]:
-        return self.encode(texts)
+    def __init__(self, pieces: list[bytes], encode, cuts: bool):
+        self.pieces, self.encode, self.cuts = pieces, encode, cuts
+        self.length = np.array([len(p) for p in pieces], np.int64)
+        #: Ids as text, once before each of the marks.
+        self.shown = [f"{i}{mark}" for mark in ",|;" for i in range(len(pieces))]
+
+        self.raw, self.begin = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(self.length) - self.length
+
+    def gives_back(self, ids: list[int], text: str) -> bool:
+        return b"".join(map(self.pieces.__getitem__, ids)) == f" {text}".encode()
+
+    def all_given_back(self, ids: np.ndarray, n: np.ndarray, texts: list[str]) -> np.ndarray:
+        """`gives_back` of texts, whose ids stand one behind the other, n of each."""
+        offs, raw = string_buffers(pa.array(texts, pa.string()))
+        want = np.insert(raw[offs[0] : offs[-1]], offs[:-1] - offs[0], 0x20)
+        size, length = np.diff(offs) + 1, self.length[ids]
+        row = np.repeat(np.arange(len(texts)), n)
+        good = np.bincount(row, weights=length, minlength=len(texts)) == size
+        length = length * good[row]
+        at = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length) + np.repeat(self.begin[ids], length)
+        differ = self.raw[at] != want[np.repeat(good, size)]
+        good[np.repeat(row, length)[differ]] = False
+        return good
+
+
+class Parts:
+    """Tokens of both sides for parts of texts. Parts come again and again, so each is tokenized once as long as it is kept."""
+
+    def __init__(self, a: Side, b: Side):
+        self.sides = (a, b)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.first = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
+        self.ids = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.good = np.zeros(0, bool)
+
+    def _add(self, new: list[str]) -> None:
+        good = np.ones(len(new), bool)
+        for k, side in enumerate(self.sides):
+            ids = side.encode(new)
+            n = np.fromiter(map(len, ids), np.int64, len(new))
+            flat = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
+            good &= side.all_given_back(flat, n, new)
+            self.first[k] = np.concatenate([self.first[k], self.first[k][-1] + np.cumsum(n)])
+            self.ids[k] = np.concatenate([self.ids[k], flat])
+        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+        self.good = np.concatenate([self.good, good])
+
+    def tokens(self, texts: list[str]):
+        """For each side the ids of all texts, one behind the other, and how many each text has; texts that a side does not give back have none."""
+        parts = [_CUT.split(t) if _UNCUT.search(t) else t.split(" ") for t in texts]
+        if len(self.at) > KNOWN:
+            self._clear()
+        self._add(sorted(set().union(*parts).difference(self.at)))
+        which = np.fromiter(map(self.at.__getitem__, chain.from_iterable(parts)), np.int64, sum(map(len, parts)))
+        row = np.repeat(np.arange(len(texts)), np.fromiter(map(len, parts), np.int64, len(texts)))
+        bad = np.zeros(len(texts), bool)
+        bad[row[~self.good[which]]] = True  # a part is not given back, so neither is the whole
+        keep = ~bad[row]
+        which, row = which[keep], row[keep]
+        out = []
+        for first, ids in zip(self.first, self.ids, strict=True):
+            n = first[which + 1] - first[which]
+            at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[which], n)
+            out += [ids[at], np.bincount(row, weights=n, minlength=len(texts)).astype(np.int64)]
+        return out
+
+
+def _whole(texts: list[str], a: Side, b: Side):
+    """The same as `Parts.tokens`, of texts that must not be cut."""
+    both = [side.encode(texts) for side in (a, b)]
+    good = [a.gives_back(x, t) and b.gives_back(y, t) for t, x, y in zip(texts, *both, strict=True)]
+    out = []
+    for ids in both:
+        ids = [x if ok else [] for x, ok in zip(ids, good, strict=True)]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        out += [np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())), n]
+    return out
+
+
+@lru_cache(maxsize=2)
+def _parts(a: Side, b: Side) -> Parts:
+    return Parts(a, b)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -64,7 +156,13 @@ def byte_level(path: str) -> Side:
     t.encode_special_tokens = True
     letters, n = _byte_letters(), t.get_vocab_size(with_added_tokens=True)
     pieces = [bytes(letters[c] for c in t.id_to_token(i) or "" if c in letters) for i in range(n)]
-    return Side(pieces, lambda texts: [e.ids for e in t.encode_batch_fast([f" {x}" for x in texts], add_special_tokens=False)])
+    shape = json.loads(t.to_str())
+    # its pattern never puts a character and a single space behind it into one part
+    cuts = not shape["normalizer"] and (shape["pre_tokenizer"] or {}).get("type") == "ByteLevel" and shape["pre_tokenizer"].get("use_regex", True) and not shape["pre_tokenizer"]["add_prefix_space"]
+    return Side(pieces, lambda texts: [e.ids for e in t.encode_batch_fast([f" {x}" for x in texts], add_special_tokens=False)], cuts)
+
+
+_AS_IS = "  ﬁ Ａ\u0301  x\t\n½ "
 
 
 @lru_cache(maxsize=4)
@@ -74,7 +172,9 @@ def piece_level(path: str) -> Side:
 
     m = SentencePieceProcessor(model_file=path)
     piece = lambda i: bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace("▁", " ").encode()
-    return Side([piece(i) for i in range(m.get_piece_size())], lambda texts: m.encode(texts, num_threads=1))
+    # no piece goes on with a space behind another character, and texts are taken as they are
+    cuts = not any(re.search("[^▁]▁", m.id_to_piece(i)) for i in range(m.get_piece_size())) and m.normalize(_AS_IS) == "▁" + _AS_IS.replace(" ", "▁")
+    return Side([piece(i) for i in range(m.get_piece_size())], lambda texts: m.encode(texts, num_threads=1), cuts)
 
 
 # ------------------------------------------------------------------ intervals
@@ -96,6 +196,11 @@ def overlaps(a_start: np.ndarray, a_end: np.ndarray, b_start: np.ndarray, b_end:
     return i, j
 
 
+@lru_cache(maxsize=2)
+def _words(a: Side, b: Side) -> list[str]:
+    return a.shown + b.shown
+
+
 def aligned(texts: list[str], a: Side, b: Side, kind: str = "end"):
     """Alignment of a chunk of texts.
 
@@ -104,44 +209,39 @@ def aligned(texts: list[str], a: Side, b: Side, kind: str = "end"):
     pairs that overlap within a group (kind "overlap"), or of these only those
     whose ranges end together (kind "end").
     """
-    some = [k for k, t in enumerate(texts) if t]
-    ids_a, ids_b = a.tokens([texts[k] for k in some]), b.tokens([texts[k] for k in some])
-    good = []
-    for k, x, y in zip(some, ids_a, ids_b, strict=True):
-        raw = f" {texts[k]}".encode()
-        if b"".join(map(a.pieces.__getitem__, x)) == raw and b"".join(map(b.pieces.__getitem__, y)) == raw:
-            good.append((k, x, y))
-    n = len(texts)
-    counts = np.zeros((4, n), np.int64)
+    some = np.array([k for k, t in enumerate(texts) if t], np.int64)
+    n, counts = len(texts), np.zeros((4, len(texts)), np.int64)
     groups: list[str | None] = [None] * n
-    if not good:
+    given = [texts[k] for k in some.tolist()]
+    ia, n_a, ib, n_b = _parts(a, b).tokens(given) if a.cuts and b.cuts else _whole(given, a, b)
+    if not len(ia):
         return counts, groups, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    flat = lambda which: np.fromiter((t for g in good for t in g[which]), np.int64, sum(len(g[which]) for g in good))
-    ia, ib = flat(1), flat(2)
-    at = np.array([g[0] for g in good])
-    row_a, row_b = np.repeat(at, [len(g[1]) for g in good]), np.repeat(at, [len(g[2]) for g in good])
+    row_a, row_b = np.repeat(some, n_a), np.repeat(some, n_b)
     # the texts stand one behind the other, and both sides tile the same bytes
     end_a, end_b = np.cumsum(a.length[ia]), np.cumsum(b.length[ib])
     start_a, start_b = end_a - a.length[ia], end_b - b.length[ib]
     counts[0], counts[1] = np.bincount(row_a, minlength=n), np.bincount(row_b, minlength=n)
-    start, end = np.concatenate([start_a, start_b]), np.concatenate([end_a, end_b])
-    order, group = coalesce(start, end)
-    row = np.concatenate([row_a, row_b])[order]
-    first = np.r_[True, group[1:] != group[:-1]]
-    counts[2] = np.bincount(row[first], minlength=n)
-    # a text never shares a group with the next one, as both sides end with it; in a group A comes before B, each in order
-    side = order >= len(ia)
-    shown = np.lexsort((side, group))
-    names = a.names + b.names
-    ids = np.concatenate([ia, ib + len(a.names)])[order][shown]
-    g, sd, r = group[shown], side[shown], row[shown]
-    last = np.append((g[1:] != g[:-1]) | (sd[1:] != sd[:-1]), True)
-    closes = np.append(g[1:] != g[:-1], True)
-    mark = np.where(closes, 2, np.where(last, 1, 0)).tolist()
-    words = [names[i] + ",|;"[m] for i, m in zip(ids.tolist(), mark, strict=True)]
-    bounds = np.searchsorted(r, at), np.searchsorted(r, at, "right")
-    for k, x, y in zip(at.tolist(), *map(np.ndarray.tolist, bounds), strict=True):
-        groups[k] = "".join(words[x:y])[:-1]
+    order, sorted_group = coalesce(np.concatenate([start_a, start_b]), np.concatenate([end_a, end_b]))
+    group = np.empty(len(order), np.int64)
+    group[order] = sorted_group
+    ga, gb, m = group[: len(ia)], group[len(ia) :], int(sorted_group[-1]) + 1
+    # a text never shares a group with the next one, as both sides end with it
+    in_a, in_b = np.bincount(ga, minlength=m), np.bincount(gb, minlength=m)
+    upto_a, upto_b = np.cumsum(in_a), np.cumsum(in_b)
+    last_a = upto_a - 1  # the last A token of a group
+    counts[2] = np.bincount(row_a[last_a], minlength=n)
+    # tokens as they are shown: group by group, A before B, each with the mark that follows it
+    shown = np.empty(len(order), np.int64)
+    mark_a, mark_b = np.zeros(len(ia), np.int64), np.zeros(len(ib), np.int64)
+    mark_a[last_a], mark_b[upto_b - 1] = 1, 2
+    shown[np.arange(len(ia)) + (upto_b - in_b)[ga]] = ia + mark_a * len(a.pieces)
+    shown[np.arange(len(ib)) + upto_a[gb]] = ib + mark_b * len(b.pieces) + 3 * len(a.pieces)
+    words = list(map(_words(a, b).__getitem__, shown.tolist()))
+    x = 0
+    for k, size in zip(some.tolist(), (n_a + n_b).tolist(), strict=True):
+        if size:
+            groups[k] = "".join(words[x : x + size])[:-1]
+            x += size
     i, j = overlaps(start_a, end_a, start_b, end_b)
     if kind == "end":
         both = end_a[i] == end_b[j]

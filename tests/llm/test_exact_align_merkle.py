@@ -153,6 +153,17 @@ def test_alignment_query_clashes_and_empty(spark, tmp_path):
     assert align.align(df.limit(0), keep=["doc_id"]).count() == 0
 
 
+@needs_files
+def test_tokens_of_parts_are_those_of_the_whole():
+    rng = random.Random(3)
+    a, b = align.byte_level(PATHS[0]), align.piece_level(PATHS[1])
+    assert a.cuts and b.cuts
+    bits = ["a", "word", " ", " ", "  ", "\n", "\t", "é", "▁", "\x1c", "\x85", "\u3000", "1", "'s", ".", "東", "🙂", "<s>", "\u200b", "\xa0"]
+    texts = ["".join(rng.choice(bits) for _ in range(1 + rng.randrange(12))) for _ in range(3000)]
+    for x, y in zip(align.Parts(a, b).tokens(texts), align._whole(texts, a, b), strict=True):
+        assert np.array_equal(x, y)
+
+
 @needs_files
 def test_overlap_links(spark):
     """All pairs that share a byte, against a double loop."""
@@ -161,8 +172,8 @@ def test_overlap_links(spark):
         counts, _, _, ia, ib = align.aligned([text], a, b, "overlap")
         spans = []
         for side in (a, b):
-            end = np.cumsum(side.length[side.tokens([text])[0]])
-            spans.append(list(zip(np.r_[0, end[:-1]], end, side.tokens([text])[0], strict=True)))
+            end = np.cumsum(side.length[side.encode([text])[0]])
+            spans.append(list(zip(np.r_[0, end[:-1]], end, side.encode([text])[0], strict=True)))
         want = [(x[2], y[2]) for x in spans[0] for y in spans[1] if x[0] < y[1] and y[0] < x[1]]
         assert list(zip(ia.tolist(), ib.tolist(), strict=True)) == want and counts[3][0] == len(want)
 
