@@ -42,16 +42,21 @@ def drop(*made: DataFrame) -> None:
             delete(t.sparkSession, path)
 
 
-def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """df written under spark.checkpoint.dir and read back; on one machine a temporary folder serves where that is unset."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; on one machine a temporary folder serves where that is unset."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
         spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top.rstrip('/')}/lithic-{name}-{uuid.uuid4().hex}"
+    return top.rstrip("/")
+
+
+def written(df: DataFrame, name: str = "step") -> DataFrame:
+    """df written to the shared folder and read back."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/lithic-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     for made in _RECORDS:
         made.append(path)

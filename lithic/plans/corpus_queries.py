@@ -178,15 +178,20 @@ def absolute_urls(spark, sf_dir):
     return p.select("page_id", T.absolute_url(F.col("url"), href).alias("link"))
 
 
-def zip_members(spark, sf_dir):
-    """Each page as an archive whose members' names follow its id, listed from the central directory of its bytes."""
+def zip_archives(spark, sf_dir):
+    """Each page as an archive whose members' names follow its id."""
     le = lambda x, n: F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright(x, 8 * k).bitwiseAND(255)), 2, "0") for k in range(n)]))
     zero = lambda n: F.unhex(F.lit("00" * n))
     p = read(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("p"), F.col("page_id").cast("string"), F.get(F.array(*map(F.lit, [".PDF", ".txt", "/../x.pdf", "/", ":y.pdf", "/in/z.pdf"])), (F.col("page_id") % 6).cast("int"))).alias("name"), F.length("html").alias("n"))
     n = F.length("name")
     entry = F.concat(F.unhex(F.lit("504B0102")), zero(20), le(F.col("n"), 4), le(n, 2), zero(16), F.col("name").cast("binary"))
     end = F.concat(F.unhex(F.lit("504B0506")), zero(4), le(F.lit(1), 2), le(F.lit(1), 2), le(F.lit(46) + n, 4), zero(6))
-    return sources.zip_listing(p.select("page_id", F.concat(entry, end).alias("content")), "page_id").select(F.col("id").alias("page_id"), "name", "size", "is_pdf").withColumn("safe", sources.safe_member(F.col("name")))
+    return p.select("page_id", F.concat(entry, end).alias("content"))
+
+
+def zip_members(spark, sf_dir):
+    """Members of archives, listed from the central directory of their bytes."""
+    return sources.zip_listing(zip_archives(spark, sf_dir), "page_id").select(F.col("id").alias("page_id"), "name", "size", "is_pdf").withColumn("safe", sources.safe_member(F.col("name")))
 
 
 def decode_bom(spark, sf_dir):
