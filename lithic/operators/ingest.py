@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -112,6 +112,28 @@ def select_listed(groups: DataFrame, codes: list[str], cap: int) -> DataFrame:
 
 
 # ------------------------------------------------------------------ ingest
+#: Links that one task may walk through, holding their URLs and hashes.
+FEW = 100_000
+
+
+def _walked(open_: DataFrame) -> DataFrame:
+    """Of at most `FEW` links (url, sha, _r) those that are stored, one after the other."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        urls, shas = set(), set()
+        for pdf in batches:
+            keep = []
+            for url, sha in zip(pdf["url"], pdf["sha"], strict=True):
+                keep.append(url not in urls and sha not in shas)
+                if keep[-1]:
+                    urls.add(url)
+                    shas.add(sha)
+            yield pdf[keep]
+
+    flat = open_.select("url", "sha", "_r.o", "_r.i").repartition(1).sortWithinPartitions("o", "i")
+    return flat.mapInPandas(run, flat.schema).select("url", "sha", F.struct("o", "i").alias("_r"))
+
+
 def ingest_states(links: DataFrame, known_urls: DataFrame, known_shas: DataFrame, max_bytes: int, order: str = "ord") -> DataFrame:
     """state of each link (url, sha, size, failed): skipped, failed, refused, duplicate or new; links count in input order.
 
@@ -119,7 +141,8 @@ def ingest_states(links: DataFrame, known_urls: DataFrame, known_shas: DataFrame
     hash.  Each round stores those links that are the first of the undecided
     ones both by URL and by hash, and decides all others of these URLs and
     hashes; few links are left after the first round.  Minima are aggregated,
-    so a hot URL or hash meets in no task.
+    so a hot URL or hash meets in no task.  Once at most `FEW` links are open,
+    one task walks through them, so long chains of conflicts add no rounds.
     """
     base = links.withColumn("_r", F.struct(F.col(order).alias("o"), F.monotonically_increasing_id().alias("i")))
     base = base.join(known_urls.select("url").distinct().withColumn("_u", F.lit(True)), "url", "left").join(known_shas.select("sha").distinct().withColumn("_s", F.lit(True)), "sha", "left")
@@ -127,14 +150,16 @@ def ingest_states(links: DataFrame, known_urls: DataFrame, known_shas: DataFrame
     base = tables.written(base, "links")
     open_ = base.where(F.col("_u").isNull() & F.col("_s").isNull() & ~bad & (F.col("size") < max_bytes)).select("url", "sha", "_r")
     stored = []
-    while True:
+    while left := open_.count():
+        if left <= FEW:
+            stored.append(tables.written(_walked(open_), "stored"))
+            break
         by_url, by_sha = (open_.groupBy(k).agg(F.min("_r").alias(f"_{k}")) for k in ("url", "sha"))
         firsts = open_.join(by_url, "url").join(by_sha, "sha").where((F.col("_r") == F.col("_url")) & (F.col("_r") == F.col("_sha"))).select("url", "sha", "_r")
         stored.append(tables.written(firsts, "stored"))
         last, open_ = open_, tables.written(open_.join(stored[-1].select("url"), "url", "left_anti").join(stored[-1].select("sha"), "sha", "left_anti"), "open")
         tables.drop(last)
-        if open_.isEmpty():
-            break
+    stored = stored or [open_]
     kept = reduce(DataFrame.unionByName, stored).select("url", F.col("_r").alias("_kept"))  # one link a URL
     out = base.join(kept, "url", "left")
     seen = F.col("_u").isNotNull() | F.coalesce(F.col("_kept") < F.col("_r"), F.lit(False))

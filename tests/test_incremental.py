@@ -107,3 +107,15 @@ def test_tables_that_are_dropped_are_gone(spark):
     assert len(made) == 1 and tables.exists(spark, made[0])
     tables.drop(a)
     assert not tables.exists(spark, made[0])
+
+
+@pytest.mark.parametrize("few", [0, 4])
+def test_rounds_decide_what_a_walk_decides(spark, monkeypatch, few):
+    rng = random.Random(13)
+    schema = "ord int, url string, sha string, size long, failed boolean"
+    rows = [(i, f"u{rng.randrange(12)}", f"s{rng.randrange(12)}", 5, False) for i in range(60)]
+    df, none = spark.createDataFrame(rows, schema).repartition(3), spark.createDataFrame([], "url string, sha string")
+    states = lambda: [r.state for r in ingest.ingest_states(df, none, none, 100).orderBy("ord").collect()]
+    walked = states()
+    monkeypatch.setattr(ingest, "FEW", few)
+    assert states() == walked and {"new", "skipped", "duplicate"} <= set(walked)
