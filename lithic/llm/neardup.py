@@ -214,8 +214,8 @@ class _Rows:
         self.part, self.side, self.id, self.component, self.n, self.most = columns[:6]
         self.sketch = np.stack(columns[6:], axis=1).view(U64) if len(columns[0]) else np.zeros((0, COORDS // 16), U64)
 
-    def pairs(self, small: int):
-        """Positions (i, j) of all pairs within parts, piece by piece."""
+    def pairs(self, small: int, hit: np.ndarray | None = None):
+        """Positions (i, j) of all pairs within parts, piece by piece; of large parts only those of which not both are marked in hit, as it stands then."""
         n = len(self.part)
         head = np.flatnonzero(np.concatenate([[True], self.part[1:] != self.part[:-1]])) if n else np.zeros(0, np.int64)
         size = np.diff(np.append(head, n))
@@ -228,13 +228,15 @@ class _Rows:
             lo, hi = int(head[k]), int(head[k] + size[k])
             step = max(1, PAIRS // (hi - lo))
             for a in range(lo, hi, step):
-                i, j = np.meshgrid(np.arange(a, min(a + step, hi)), np.arange(a, hi), indexing="ij")
-                use = i < j
-                yield i[use], j[use]
+                i, j = np.arange(a, min(a + step, hi)), np.arange(a, hi)
+                for x, y in [(i, j)] if hit is None else [(i[~hit[i]], j), (i[hit[i]], j[~hit[j]])]:
+                    x, y = np.meshgrid(x, y, indexing="ij")
+                    use = x < y
+                    yield x[use], y[use]
 
-    def promising(self, small: int, percent: int, agree: int):
+    def promising(self, small: int, percent: int, agree: int, hit: np.ndarray | None = None):
         """(i, j) of pairs in different components that sizes, ceilings and sketches let be linked."""
-        for i, j in self.pairs(small):
+        for i, j in self.pairs(small, hit):
             n, m = self.n[i], self.n[j]
             ok = (self.component[i] != self.component[j]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
             ok &= (100 + percent) * np.minimum(self.most[i], self.most[j]) >= percent * (n + m)
@@ -342,8 +344,10 @@ def _compared(leaves: list[DataFrame], known: DataFrame, small: int, percent: in
 
     def found(x: _Rows, own: pa.Array | None):
         if own is None:
+            # a class whose ceiling is below its own share can be linked with nothing, one with a partner needs no other
+            x = _Rows([c[100 * x.most >= percent * x.n] for c in x.columns])
             hit = np.zeros(len(x.part), bool)
-            for i, j in x.promising(small, percent, agree):
+            for i, j in x.promising(small, percent, agree, hit):
                 hit[i] = hit[j] = True
             return [pa.array(np.unique(x.id[hit]))]
         ends = np.flatnonzero(np.diff(x.part)) + 1
