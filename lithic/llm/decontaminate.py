@@ -9,18 +9,21 @@ a wavelet matrix for ranks, and every ``sample``-th suffix position.  All
 phrases are searched backward at once, occurrences are located by LF steps to
 the next sampled position, and the hit spans of a document are merged.
 
-The documents are read once and never shuffled.  Phrases are the stated query
-set: they are collected and broadcast in blocks of at most about ``block_bytes``
-of text.  Each row passes through the blocks one after the other and takes its
-spans along, so rows are never told apart or merged by an id.  After ``WAVE``
-blocks the rows are written, which bounds what an executor holds of the phrases;
-results are the same for any size of blocks.
+Phrases are the stated query set: they are collected and broadcast in blocks of
+at most about ``block_bytes`` of text, as word numbers and where each phrase
+begins, about three bytes for each byte of text.  Up to ``wave_blocks`` blocks
+are searched in one scan: a shard is indexed once and all of them go past its
+index, and the documents are neither shuffled nor written.  A benchmark beyond
+one such wave has the documents written once, with row numbers; every further
+wave is one scan that returns only the numbers, spans and items of rows that are
+hit, and these are joined back by number.  Rows are never told apart by an id,
+and results are the same for any size of blocks and waves.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,41 +36,51 @@ from .common import ALNUM, LOWER, Words, chunks, cut, unused
 WINDOW = 10
 SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 4 << 20
-WAVE = 8
+WAVE = 16
 
 
 # ------------------------------------------------------------------ phrases
-def phrases_of(items, window: int = WINDOW) -> dict[tuple[bytes, ...], set]:
-    """Windows of `window` words of each item; an item of fewer words, but not none, is one window."""
-    out: dict[tuple[bytes, ...], set] = defaultdict(set)
-    for item_id, text in items:
-        data = LOWER[np.frombuffer((text or "").encode(), np.uint8)]
-        w = Words(data, np.array([0, len(data)]), ALNUM)
-        raw = data.tobytes()
-        words = [raw[a:b] for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True)]
-        for k in range(max(1, len(words) - window + 1) if words else 0):
-            out[tuple(words[k : k + window])].add(item_id)
-    return out
+class Phrases:
+    """Distinct phrases of a block of items, each a stretch of the items' words, and the items of each.
 
+    A phrase is a window of `window` words of an item; an item of fewer words, but
+    not none, is one phrase.  Words go by their hash; `words` holds numbers into `hash`.
+    """
 
-class Phrases:
-    """Distinct phrases as arrays of word numbers, padded with 0, and the items of each."""
-
-    def __init__(self, found: dict[tuple[bytes, ...], set]):
-        keys = sorted(found)
-        self.vocabulary = sorted({w for k in keys for w in k})
-        number = {w: i + 1 for i, w in enumerate(self.vocabulary)}
-        self.length = np.array([len(k) for k in keys], np.int64)
-        self.words = np.zeros((len(keys), max(self.length, default=1)), np.int64)
-        for i, k in enumerate(keys):
-            self.words[i, : len(k)] = [number[w] for w in k]
-        self.items = [sorted((x for x in found[k] if x is not None), key=str) for k in keys]
-        data = np.frombuffer(b"".join(self.vocabulary), np.uint8)
-        ends = np.cumsum([0, *(len(w) for w in self.vocabulary)])
-        hashed = Words(data, ends, np.ones(256, bool)).hashes(data) if len(data) else np.zeros(0, np.uint64)
-        order = np.argsort(hashed)
-        self.hash, self.number = hashed[order], order + 1
-        self.bytes = [self.vocabulary[i] for i in order]
+    def __init__(self, items: list[tuple], window: int = WINDOW):
+        raw = [(text or "").encode() for _, text in items]
+        data = LOWER[np.frombuffer(b"".join(raw), np.uint8)]
+        w = Words(data, np.cumsum([0, *map(len, raw)]), ALNUM)
+        self.hash, number = np.unique(w.hashes(data), return_inverse=True)
+        self.words = number.astype(np.int32)
+        times = np.where(w.count > 0, np.maximum(w.count - window + 1, 1), 0)
+        item = np.repeat(np.arange(len(items)), times)
+        begin = np.repeat(w.first[:-1] - np.cumsum(times) + times, times) + np.arange(len(item))
+        length = np.minimum(w.count, window)[item]
+        place = np.arange(window)
+        shown = np.where(place < length[:, None], self.words[np.minimum(begin[:, None] + place, max(len(self.words) - 1, 0))], -1) if len(item) else np.zeros((0, window), np.int64)
+        keys = np.ascontiguousarray(shown.astype(np.int32)).view(np.dtype((np.void, 4 * window))).ravel()
+        _, one, same = np.unique(keys, return_index=True, return_inverse=True)
+        self.begin, self.length = begin[one].astype(np.int32), length[one].astype(np.int32)
+        self.names = [None if i is None else str(i) for i, _ in items]
+        listed = np.array([i is not None for i in self.names], bool)[item]
+        pairs = np.unique(same[listed] * len(items) + item[listed])
+        self.item = (pairs % max(len(items), 1)).astype(np.int32)
+        self.first = np.searchsorted(pairs // max(len(items), 1), np.arange(len(one) + 1)).astype(np.int32)
+
+    def items_of(self, phrases: np.ndarray) -> set[str]:
+        lo, n = self.first[phrases], self.first[phrases + 1] - self.first[phrases]
+        at = np.arange(int(n.sum())) + np.repeat(lo - np.cumsum(n) + n, n)
+        return {self.names[i] for i in np.unique(self.item[at]).tolist()}
+
+
+class Wave:
+    """Blocks of phrases under one numbering of their words, from 1."""
+
+    def __init__(self, blocks: list[Phrases]):
+        self.blocks = blocks
+        self.hash = np.unique(np.concatenate([b.hash for b in blocks]))
+        self.words = [(np.searchsorted(self.hash, b.hash) + 1).astype(np.int32)[b.words] for b in blocks]
 
 
 # ------------------------------------------------------------------ index
@@ -134,16 +147,16 @@ class FMIndex:
         self.mark_rank = np.concatenate([[0], np.cumsum(self.marked)])
         self.at = order[self.marked]
 
-    def search(self, words: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Backward search of all phrases: ranges of rows in suffix order."""
+    def search(self, words: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Backward search of all phrases words[begin:begin + length] at once: ranges of rows in suffix order."""
         lo = np.zeros(len(length), np.int64)
         hi = np.full(len(length), len(self.bwt), np.int64)
         live = np.arange(len(length))
-        for back in range(1, words.shape[1] + 1):
+        for back in range(1, int(length.max(initial=0)) + 1):
             live = live[(length[live] >= back) & (hi[live] > lo[live])]
             if not len(live):
                 break
-            c = words[live, length[live] - back]
+            c = words[begin[live] + length[live] - back]
             lo[live] = self.before[c] + self.tree.rank(c, lo[live])
             hi[live] = self.before[c] + self.tree.rank(c, hi[live])
         return lo, hi
@@ -171,14 +184,14 @@ class Shard:
     def __init__(self):
         self.seq, self.pos, self.bytes, self.total = [np.zeros(1, np.int64)], [np.full(1, -1, np.int64)], 0, 0
 
-    def add(self, data: np.ndarray, offs: np.ndarray, phrases: Phrases) -> Words:
+    def add(self, data: np.ndarray, offs: np.ndarray, wave: Wave) -> Words:
         data = LOWER[data]
         w = Words(data, offs, ALNUM)
         number = np.zeros(len(w.start), np.int64)
-        if len(phrases.hash) and len(w.start):
+        if len(wave.hash) and len(w.start):
             h = w.hashes(data)
-            k = np.minimum(np.searchsorted(phrases.hash, h), len(phrases.hash) - 1)
-            number = np.where(phrases.hash[k] == h, phrases.number[k], 0)
+            k = np.minimum(np.searchsorted(wave.hash, h), len(wave.hash) - 1)
+            number = np.where(wave.hash[k] == h, k + 1, 0)
         # a separator before each row, and only the first of consecutive unknown words
         seq = np.insert(number, w.first[:-1], 0)
         pos = np.insert(np.arange(len(number)) + self.total, w.first[:-1], -1)
@@ -192,22 +205,24 @@ class Shard:
         self.total += len(number)
         return w
 
-    def hits(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
-        """Phrase number and first word of each occurrence."""
+    def hits(self, wave: Wave):
+        """For each block with occurrences: the block, and phrase number and first word of each occurrence; one index serves all."""
         seq, pos = np.concatenate([*self.seq, np.zeros(1, np.int64)]), np.concatenate([*self.pos, np.full(1, -1)])
-        if not len(phrases.length) or not seq.any():
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        index = FMIndex(seq, len(phrases.vocabulary))
-        lo, hi = index.search(phrases.words, phrases.length)
-        n = np.maximum(hi - lo, 0)
-        which = np.repeat(np.arange(len(n)), n)
-        rows = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        return which, pos[index.locate(rows)]
-
-
-def _merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+        if not seq.any():
+            return
+        index = FMIndex(seq, len(wave.hash))
+        for block, words in zip(wave.blocks, wave.words, strict=True):
+            lo, hi = index.search(words, block.begin, block.length)
+            n = np.maximum(hi - lo, 0)
+            which = np.repeat(np.arange(len(n)), n)
+            if len(which):
+                rows = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+                yield block, which, pos[index.locate(rows)]
+
+
+def _merged(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
-    for a, b in sorted(zip(starts.tolist(), ends.tolist(), strict=True)):
+    for a, b in sorted(pairs):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -232,50 +247,46 @@ def _joined(spans: list[dict]) -> list[dict]:
     return out
 
 
-def _flush(shard: Shard, parts: list, phrases: Phrases):
+def _flush(shard: Shard, parts: list, wave: Wave) -> list[dict]:
     """For each part (words, offsets) of the shard: spans and items of its rows that are hit, by row."""
-    which, at = shard.hits(phrases)
-    order = np.argsort(at, kind="stable")
-    which, at = which[order], at[order]
-    base = 0
-    for w, offs in parts:
-        first = w.first + base
-        cut_ = np.searchsorted(at, first)
-        found = {}
-        for r in np.flatnonzero(np.diff(cut_)).tolist():
-            a, b = int(cut_[r]), int(cut_[r + 1])
-            start = at[a:b] - int(first[r])
-            spans = [
-                {"first": x, "n": y - x, "begin": int(w.start[w.first[r] + x] - offs[r]), "end": int(w.end[w.first[r] + y - 1] - offs[r])}
-                for x, y in _merged(start, start + phrases.length[which[a:b]])
-            ]
-            found[r] = spans, {str(i) for p in np.unique(which[a:b]).tolist() for i in phrases.items[p]}
-        yield found
-        base += len(w.start)
-
-
-def _search(given, text_col: str, names: list[str], first: bool, shard_bytes: int):
-    """Rows with n_words, spans and items (the last three of names); after the first block the last two are added to."""
+    bases = np.cumsum([0, *(len(w.start) for w, _ in parts)])
+    spans, items = [{} for _ in parts], [{} for _ in parts]
+    for block, which, at in shard.hits(wave):
+        order = np.argsort(at, kind="stable")
+        which, at = which[order], at[order]
+        for p, (w, _) in enumerate(parts):
+            first = w.first + bases[p]
+            cut_ = np.searchsorted(at, first)
+            for r in np.flatnonzero(np.diff(cut_)).tolist():
+                a, b = int(cut_[r]), int(cut_[r + 1])
+                start = at[a:b] - int(first[r])
+                spans[p].setdefault(r, []).extend(_merged(list(zip(start.tolist(), (start + block.length[which[a:b]]).tolist(), strict=True))))
+                items[p].setdefault(r, set()).update(block.items_of(np.unique(which[a:b])))
+    return [
+        {
+            r: ([{"first": x, "n": y - x, "begin": int(w.start[w.first[r] + x] - offs[r]), "end": int(w.end[w.first[r] + y - 1] - offs[r])} for x, y in _merged(pairs)], sorted(items[p][r]))
+            for r, pairs in spans[p].items()
+        }
+        for p, (w, offs) in enumerate(parts)
+    ]
+
+
+def _search(given: list, text_col: str, names: list[str], shard_bytes: int, all_rows: bool):
+    """Rows with n_words, spans and items as further columns; or of the hit rows only the first column, spans and items."""
 
     def run(batches):
-        known, shard, parts, held = given.value, Shard(), [], []
+        wave, shard, parts, held = Wave([g.value for g in given]), Shard(), [], []
 
         def flush():
-            for (w, _), rows, found in zip(parts, held, _flush(shard, parts, known), strict=True):
-                n = rows.num_rows
-                before = rows.columns[:-3] if not first else rows.columns
-                if first or found:
-                    spans, items = ([[] for _ in range(n)] for _ in "xy") if first else (rows.column(k).to_pylist() for k in (-2, -1))
-                    for r, (s, i) in found.items():
-                        spans[r], items[r] = _joined([*spans[r], *s]), sorted({*items[r], *i})
-                    last = [pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))]
-                else:
-                    last = rows.columns[-2:]
-                yield pa.RecordBatch.from_arrays([*before, pa.array(w.count, pa.int64()), *last], names)
+            for (w, _), rows, found in zip(parts, held, _flush(shard, parts, wave), strict=True):
+                hit = range(rows.num_rows) if all_rows else sorted(found)
+                spans, items = (pa.array([found[r][k] if r in found else [] for r in hit], kind) for k, kind in ((0, SPANS), (1, pa.list_(pa.string()))))
+                before = [*rows.columns, pa.array(w.count, pa.int64())] if all_rows else [rows.column(0).take(pa.array(hit, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*before, spans, items], names)
 
         for batch in batches:
             for a, b, data, offs in chunks(batch, text_col):
-                parts.append((shard.add(data, offs, known), offs))
+                parts.append((shard.add(data, offs, wave), offs))
                 held.append(batch.slice(a, b - a))
                 if shard.bytes >= shard_bytes:
                     yield from flush()
@@ -285,28 +296,58 @@ def _search(given, text_col: str, names: list[str], first: bool, shard_bytes: in
     return run
 
 
-def _marked(documents: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, window: int, shard_bytes: int, block_bytes: int) -> tuple[DataFrame, list[str]]:
+def _as_one(batches):
+    """Spans and items of several waves as those of one search."""
+    for batch in batches:
+        spans, items = (batch.column(k).to_pylist() for k in (1, 2))
+        one = [_joined([s for part in parts for s in part]) for parts in spans]
+        names = [sorted({i for part in parts for i in part}) for parts in items]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(one, SPANS), pa.array(names, pa.list_(pa.string()))], ["row", "spans", "items"])
+
+
+def _marked(
+    documents: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, window: int, shard_bytes: int, block_bytes: int, wave_blocks: int
+) -> tuple[DataFrame, list[str]]:
     """documents with three further columns, and the names of these: number of words, merged hit spans, items that occur."""
-    spark, extra = documents.sparkSession, []
-    for name, kind in (("n_words", "long"), ("spans", _SPANS_SQL), ("items", "array<string>")):
-        extra.append((unused(documents, name), kind))
-    names = [*documents.columns, *(n for n, _ in extra)]
-    schema = StructType([*documents.schema.fields, *(StructField(n, DataType.fromDDL(k)) for n, k in extra)])
+    spark = documents.sparkSession
+    extra = [(unused(documents, name), kind) for name, kind in (("n_words", "long"), ("spans", _SPANS_SQL), ("items", "array<string>"))]
+    n_words, spans, items_ = (n for n, _ in extra)
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).where(F.col("text").isNotNull()).distinct()
     size = items.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    blocks, out = max(1, -(-size // block_bytes)), documents
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()
-        given = spark.sparkContext.broadcast(Phrases(phrases_of(map(tuple, block), window)))
-        if k and k % WAVE == 0:
-            out = cut(out, "marked")
-        out = out.mapInArrow(_search(given, text_col, names, k == 0, shard_bytes), schema)
-    return out, [n for n, _ in extra]
+    blocks = max(1, -(-size // block_bytes))
+    if blocks > 1:
+        items = cut(items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks))).repartition("block").sortWithinPartitions("block"), "items")
+
+    def wave(docs: DataFrame, k: int, all_rows: bool) -> DataFrame:
+        """One search of docs: all rows with the three columns, or (row, spans, items) of hit rows, docs then being (row, text)."""
+        given = []
+        for n in range(k, min(k + wave_blocks, blocks)):
+            block = items.where(F.col("block") == n).select("item_id", "text") if blocks > 1 else items
+            given.append(spark.sparkContext.broadcast(Phrases([tuple(r) for r in block.collect()], window)))
+        if all_rows:
+            schema = StructType([*docs.schema.fields, *(StructField(n, DataType.fromDDL(kind)) for n, kind in extra)])
+            return docs.mapInArrow(_search(given, text_col, schema.names, shard_bytes, True), schema)
+        return docs.mapInArrow(_search(given, "text", ["row", "spans", "items"], shard_bytes, False), f"row long, spans {_SPANS_SQL}, items array<string>")
+
+    out = wave(documents, 0, True)
+    if blocks > wave_blocks:
+        row = unused(out, "row")
+        out = cut(out.withColumn(row, F.monotonically_increasing_id()), "marked")
+        texts = out.select(F.col(row).alias("row"), F.col(text_col).alias("text"))
+        found = [out.where(F.size(spans) > 0).select(F.col(row).alias("row"), F.col(spans).alias("spans"), F.col(items_).alias("items"))]
+        found += [wave(texts, k, False) for k in range(wave_blocks, blocks, wave_blocks)]
+        parts = reduce(DataFrame.unionByName, found).groupBy("row").agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
+        at, more, names = (unused(out, n) for n in ("found_row", "found_spans", "found_items"))
+        one = parts.mapInArrow(_as_one, f"row long, spans {_SPANS_SQL}, items array<string>").toDF(at, more, names)
+        joined = out.join(one, F.col(row) == F.col(at), "left")
+        new = {spans: F.coalesce(more, spans), items_: F.coalesce(names, items_)}
+        out = joined.select(*[F.col(f"`{c}`") for c in (*documents.columns, n_words)], *[e.alias(c) for c, e in new.items()])
+    return out, [n_words, spans, items_]
 
 
 def contamination(
     documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES,
+    item_text_col: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES, wave_blocks: int = WAVE,
 ) -> DataFrame:
     """For each document row: doc_id, n_words, merged hit spans and the items that occur.
 
@@ -317,13 +358,13 @@ def contamination(
     nothing; of the documents only id and text are looked at.
     """
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    out, (n_words, spans, items) = _marked(docs, benchmark, "text", item_col, item_text_col, window, shard_bytes, block_bytes)
+    out, (n_words, spans, items) = _marked(docs, benchmark, "text", item_col, item_text_col, window, shard_bytes, block_bytes, wave_blocks)
     return out.select("doc_id", n_words, spans, items)
 
 
 def decontaminate(
     documents: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
-    shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES,
+    shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES, wave_blocks: int = WAVE,
 ) -> DataFrame:
     """Documents with the hit spans cut out of their texts; texts without a hit, null and empty ones stay as they are.
 
@@ -331,7 +372,7 @@ def decontaminate(
     an id, so repeated and null ids make no difference.  An empty table stays
     empty, and an empty benchmark cuts nothing.
     """
-    out, (_, spans, _) = _marked(documents, benchmark, text_col, item_col, item_text_col, window, shard_bytes, block_bytes)
+    out, (_, spans, _) = _marked(documents, benchmark, text_col, item_col, item_text_col, window, shard_bytes, block_bytes, wave_blocks)
     s, raw = F.col(spans), F.col(text_col).cast("binary")
 
     def piece(i):

@@ -366,19 +366,19 @@ def items(rows):
     return out + [(50, "one"), (51, "TWO"), (52, ""), (53, None), (53, "absent words"), (None, "ab ab ab"), (2, out[2][1]), (54, "p q r p q r p q r p q")]
 
 
-@pytest.mark.parametrize(("shard_bytes", "block_bytes"), [(4 << 20, 4 << 20), (900, 4 << 20), (2000, 300)])
-def test_contamination(spark, rows, items, shard_bytes, block_bytes):
+@pytest.mark.parametrize(("shard_bytes", "block_bytes", "wave_blocks"), [(4 << 20, 4 << 20, 16), (900, 4 << 20, 16), (2000, 300, 16), (2000, 300, 2), (900, 150, 1)])
+def test_contamination(spark, rows, items, shard_bytes, block_bytes, wave_blocks):
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     b = spark.createDataFrame(items, "item_id long, text string")
-    got = as_rows(decontaminate.digest(decontaminate.contamination(d, b, shard_bytes=shard_bytes, block_bytes=block_bytes)), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    got = as_rows(decontaminate.digest(decontaminate.contamination(d, b, shard_bytes=shard_bytes, block_bytes=block_bytes, wave_blocks=wave_blocks)), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert got == brute_hits(rows, items)
 
 
-@pytest.mark.parametrize("block_bytes", [4 << 20, 300])
-def test_decontaminate_cuts_what_is_hit(spark, rows, items, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "wave_blocks"), [(4 << 20, 16), (300, 16), (300, 2)])
+def test_decontaminate_cuts_what_is_hit(spark, rows, items, block_bytes, wave_blocks):
     numbered = [(k, i, t, "a", "b", "c") for k, (i, t) in enumerate(rows)]  # clashing names, repeated and null ids
-    d, b = spark.createDataFrame(numbered, "k long, doc_id long, text string, _id string, spans string, `_spans` string"), spark.createDataFrame(items, "item_id long, text string")
-    result = decontaminate.decontaminate(d, b, block_bytes=block_bytes)
+    d, b = spark.createDataFrame(numbered, "k long, doc_id long, text string, _id string, spans string, `Row` string"), spark.createDataFrame(items, "item_id long, text string")
+    result = decontaminate.decontaminate(d, b, block_bytes=block_bytes, wave_blocks=wave_blocks)
     assert result.columns == d.columns
     out = {r.k: r for r in result.collect()}
     assert len(out) == len(rows) and all(r.spans == "b" and r["_id"] == "a" for r in out.values())
@@ -396,6 +396,21 @@ def test_contamination_of_nothing(spark, docs):
     assert decontaminate.contamination(docs.limit(0), spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
 
 
+def test_all_blocks_of_phrases_pass_one_index_in_one_scan(spark, rows, items, monkeypatch):
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    plan = decontaminate.contamination(d, b, block_bytes=150)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan and "parquet" not in plan
+    built = []
+    monkeypatch.setattr(decontaminate, "FMIndex", lambda *a, index=decontaminate.FMIndex: built.append(1) or index(*a))
+    blocks = [decontaminate.Phrases([item]) for item in items]
+    wave, shard = decontaminate.Wave(blocks), decontaminate.Shard()
+    for _, text in rows:
+        raw = (text or "").encode()
+        shard.add(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), wave)
+    assert len(list(shard.hits(wave))) > 2 and len(built) == 1
+
+
 def test_words_match_the_pattern():
     rng = random.Random(4)
     texts = ["".join(rng.choices("ab \n\té\x0b\x0cZ", k=rng.randint(0, 30))) for _ in range(50)] + ["", "", " "]
