@@ -10,23 +10,27 @@ block q // n times and q mod n seeded ones once more.  A document's share is
 what the taken blocks cover of it, so it never exceeds twice its size as long as
 targets stop at twice the source.
 
-Only sums per source and per shard reach the driver.  Beside one shard a source
-there are at most ``2 * max_shards``, whatever the input; beyond that shards get
-larger, and one holds ids and sizes only, never texts.  What is broadcast has at
-most `BROADCAST_ROWS` rows; larger plans are joined by a shuffle.
+Sources are rows of a table throughout, as there may be as many as web hosts: the
+level of the targets is found by a few sums over that table, seats by a bound on
+the quotients and a distributed sort of the few that the bound leaves open (about
+two a source), and a source's shards are apportioned in a task of their own.
+Beside one shard a source there are at most ``2 * max_shards``, whatever the
+input; beyond that shards get larger, and one holds ids and sizes only, never
+texts.  The driver sees sums and the sizes of sort ranges.  What is broadcast
+has at most `BROADCAST_ROWS` rows; larger tables are joined by a shuffle.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from fractions import Fraction
 from heapq import heapify, heapreplace
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD_SQL, cut, stable_hash
+from .common import WORD_SQL, cut
 
 WEIGHTS = (5, 2, 1)
 SHARE = Fraction(3, 2)
@@ -37,6 +41,8 @@ SHARD_ROWS = 200_000
 BROADCAST_ROWS = 100_000
 MAX_SHARDS = 20_000
 SEED = 23
+#: Votes are counted in parts of a block, so that their sums are exact.
+PARTS = 1 << 20
 
 
 def n_words(text):
@@ -44,22 +50,63 @@ def n_words(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD_SQL)), F.lit(0)).cast("long")
 
 
-def water_fill(sizes: list[int], weights: list[int], total: Fraction, cap: int = CAP) -> list[Fraction]:
-    """Targets in proportion to the weights that stop at cap * size; what is over is shared again by weight."""
-    target, open_ = [Fraction(0)] * len(sizes), [i for i, w in enumerate(weights) if w > 0]
-    left = Fraction(total)
-    while open_:
-        all_w = sum(weights[i] for i in open_)
-        over = [i for i in open_ if left * weights[i] / all_w > cap * sizes[i]]
-        if not over:
-            for i in open_:
-                target[i] = left * weights[i] / all_w
-            break
-        for i in over:
-            target[i] = Fraction(cap * sizes[i])
-            left -= target[i]
-        open_ = [i for i in open_ if i not in set(over)]
-    return target
+def in_order(df: DataFrame, order: list[Column], column: str) -> DataFrame:
+    """df with each row's number from 0 in an order that leaves no ties; only the sizes of the sort's ranges reach the driver."""
+    ranged = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), column)
+    before, at = [], 0
+    for part, n in sorted(map(tuple, ranged.groupBy("_range").count().collect())):
+        before.append((part, at))
+        at += n
+    first = F.broadcast(df.sparkSession.createDataFrame(before, "_range int, _before long"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1 + F.col("_before")
+    return ranged.join(first, "_range").withColumn(column, place).drop("_range", "_before")
+
+
+def _over(level: Fraction, cap: int) -> Column:
+    """Whether weight * level is above cap * n, in whole numbers."""
+    return F.expr(f"w > 0 AND CAST(w AS DECIMAL(10,0)) * {level.numerator}BD > CAST(n AS DECIMAL(20,0)) * {cap * level.denominator}BD")
+
+
+def water_level(sources: DataFrame, total: Fraction, cap: int = CAP) -> Fraction | None:
+    """The level at which targets least(w * level, cap * n) of sources (n, w) add up to total; None where all stop at their caps.
+
+    Sources above their caps at one level stay so at higher ones, so each round
+    adds some and shares what is left; a round is one row of sums.
+    """
+    level, known = Fraction(0), -1
+    while True:
+        over = _over(level, cap)
+        count, held, open_w = sources.agg(F.count_if(over), F.sum(F.when(over, F.col("n"))), F.sum(F.when(~over, F.col("w")))).first()
+        if count == known:
+            return level
+        if not open_w:
+            return None
+        level, known = (total - cap * (held or 0)) / open_w, count
+
+
+def highest_quotients(votes: DataFrame, seats: int) -> DataFrame:
+    """votes (place, v, ...) with `seats`: what each entry gets of all seats by highest quotients v / (2a + 1), ties to the smaller place.
+
+    Of V votes and k entries with votes, all quotients from V / (2 * seats - k) up
+    win at most `seats` seats, and those from V / (2 * seats + k) up at least as
+    many; only the quotients between, about k, are sorted.
+    """
+    total, k = votes.agg(F.sum(F.col("v").cast("decimal(38,0)")), F.count_if(F.col("v") > 0)).first()
+    total = int(total or 0)
+    if not total or seats <= 0:
+        return votes.withColumn("seats", F.lit(0).cast("long"))
+
+    def from_up(x: int) -> Column:
+        """How many quotients are total / x or more."""
+        return F.expr(f"(CAST(v AS DECIMAL(19,0)) * {x}BD + {total}BD) div {2 * total}BD")
+
+    counted = votes.withColumn("_sure", from_up(max(0, 2 * seats - k))).withColumn("_most", from_up(2 * seats + k))
+    left = seats - (counted.agg(F.sum("_sure")).first()[0] or 0)
+    open_ = counted.where("_most > _sure").select("place", "v", F.explode(F.sequence(F.col("_sure"), F.col("_most") - 1)).alias("a"))
+    open_ = open_.select("place", "a", (F.col("v") / (2 * F.col("a") + 1)).alias("q"))
+    won = in_order(open_, [F.col("q").desc(), F.col("place"), F.col("a")], "turn").where(F.col("turn") < left)
+    more = won.groupBy("place").agg(F.count(F.lit(1)).alias("_more"))
+    return counted.join(more, "place", "left").withColumn("seats", F.col("_sure") + F.coalesce("_more", F.lit(0))).drop("_sure", "_most", "_more")
 
 
 def sainte_lague(votes: list, seats: int) -> list[int]:
@@ -83,48 +130,36 @@ def sainte_lague(votes: list, seats: int) -> list[int]:
     return got
 
 
-@dataclass
-class Plan:
-    """Per source: size and target; per (source, shard): words, blocks and blocks to take."""
-
-    sources: list[tuple]
-    shards: list[tuple]
+def shard_quotas(blocks: list[int], seats: int, cap: int = CAP) -> list[int]:
+    """A source's blocks to take, dealt to its shards by their blocks; no shard above cap times its blocks."""
+    got = sainte_lague(blocks, min(seats, cap * sum(blocks)))
+    over = sum(max(0, g - cap * b) for g, b in zip(got, blocks, strict=True))
+    got = [min(g, cap * b) for g, b in zip(got, blocks, strict=True)]
+    for i, b in enumerate(blocks):
+        more = min(over, cap * b - got[i])
+        got[i], over = got[i] + more, over - more
+    return got
 
 
-def targets(per_source: list[tuple], weights=WEIGHTS, share: Fraction = SHARE, cap: int = CAP) -> list[tuple]:
-    """(source, words, target) in code point order of the source, null last."""
-    ordered = sorted(per_source, key=lambda r: (r[0] is None, r[0] or ""))
-    sizes = [int(r[1]) for r in ordered]
-    t = water_fill(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share * sum(sizes), cap)
-    return [(r[0], s, x) for r, s, x in zip(ordered, sizes, t, strict=True)]
+def quotas(sources: DataFrame, shards: DataFrame, block: int = BLOCK, cap: int = CAP) -> DataFrame:
+    """(place, shard, blocks, quota): blocks of each source by its target, then of each of its shards.
 
+    sources: (place, n, target); shards: (place, shard, words).  A shard's last
+    block covers less than the others, so a source's votes are the blocks that
+    its target takes: target * blocks / n.
+    """
+    shards = shards.withColumn("blocks", F.expr(f"(words + {block - 1}) div {block}"))
+    each = sources.join(shards.groupBy("place").agg(F.sum("blocks").alias("blocks")), "place")
+    v = F.coalesce(F.round(F.try_divide(F.col("target") * F.col("blocks"), F.col("n")) * PARTS).cast("long"), F.lit(0).cast("long"))
+    votes = cut(each.select("place", v.alias("v")), "votes")
+    total = int(votes.agg(F.sum(F.col("v").cast("decimal(38,0)"))).first()[0] or 0)
+    seats = highest_quotients(votes, (total + PARTS // 2) // PARTS).select("place", "seats")
 
-def apportion(sources: list[tuple], shards: list[tuple], block: int = BLOCK, cap: int = CAP) -> Plan:
-    """Blocks of each source by its target, then of each of its shards; no shard above cap times its blocks.
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:  # at most about max_shards rows
+        pdf = pdf.sort_values("shard")
+        return pdf.assign(quota=shard_quotas(pdf["blocks"].tolist(), int(pdf["seats"].iloc[0]), cap))[["place", "shard", "blocks", "quota"]]
 
-    A shard's last block covers less than the others, so a source's votes are
-    the blocks that its target takes: target * blocks / words.
-    """
-    by_source: dict = {}
-    for source, shard, words in shards:
-        by_source.setdefault(source, []).append((shard, int(words)))
-    each = [sum(-(-w // block) for _, w in by_source.get(source, [])) for source, _, _ in sources]
-    votes = [t * b / words if words else Fraction(0) for (_, words, t), b in zip(sources, each, strict=True)]
-    quota = sainte_lague(votes, int(sum(votes, Fraction(0)) + Fraction(1, 2)))
-    rows = []
-    for (source, _, _), seats in zip(sources, quota, strict=True):
-        mine = sorted(by_source.get(source, []))
-        sizes = [w for _, w in mine]
-        blocks = [-(-w // block) for w in sizes]
-        seats = min(seats, cap * sum(blocks))
-        got = sainte_lague(blocks, seats)
-        over = sum(max(0, g - cap * b) for g, b in zip(got, blocks, strict=True))
-        got = [min(g, cap * b) for g, b in zip(got, blocks, strict=True)]
-        for i in range(len(got)):
-            more = min(over, cap * blocks[i] - got[i])
-            got[i], over = got[i] + more, over - more
-        rows += [(source, s, w, b, g) for (s, w), b, g in zip(mine, blocks, got, strict=True)]
-    return Plan(sources, rows)
+    return shards.join(seats, "place").groupBy("place").applyInPandas(deal, "place long, shard long, blocks long, quota long")
 
 
 def _few(df: DataFrame, rows: int) -> DataFrame:
@@ -144,27 +179,28 @@ def mix(
     """
     sized = documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
     sized = cut(sized, "sizes")  # ids and sizes: the texts are read once
-    per_source = [tuple(r) for r in sized.groupBy("source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()]
-    spark = documents.sparkSession
-    if not per_source:
+    sources = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows"))
+    sources = in_order(sources, [F.col("source").isNull(), F.col("source")], "place")
+    weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    sources = cut(sources.select(F.col("source").alias("k"), "n", "rows", F.col("place").cast("long").alias("place"), weight.alias("w")), "sources")
+    words, rows, count = sources.agg(F.sum("n"), F.sum("rows"), F.count(F.lit(1))).first()
+    if not count:
         return sized.select("doc_id", "size", F.col("size").alias("source_size"), F.lit(0.0).alias("target"), F.col("size").alias("taken"))
-    sources = targets(per_source, weights, share, cap)
-    rows = {r[0]: r[2] for r in per_source}
-    words_each = max(shard_words, -(-sum(s for _, s, _ in sources) // max_shards))
-    rows_each = max(shard_rows, -(-sum(rows.values()) // max_shards))
-    info = spark.createDataFrame(
-        [(s, n, float(t), max(1, -(-n // words_each), -(-rows[s] // rows_each)), stable_hash(repr(s))) for s, n, t in sources],
-        "k string, source_size long, target double, n_shards long, salt long",
-    )  # one row a source
-    cond = sized["source"].eqNullSafe(info["k"])
-    dealt = sized.join(_few(info, len(sources)), cond).drop("k").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed), "salt"), F.col("n_shards")))
-    per_shard = [tuple(r) for r in dealt.groupBy("source", "shard").agg(F.sum("size").alias("n")).collect()]
-    plan = apportion(sources, per_shard, block, cap)
-    quotas = spark.createDataFrame(
-        [(s, k, b, g, stable_hash(f"{seed}/{s!r}/{k}") % max(1, b)) for s, k, _, b, g in plan.shards], "k string, s long, blocks long, quota long, start long"
-    )
-    placed = dealt.join(_few(quotas, len(plan.shards)), dealt["source"].eqNullSafe(quotas["k"]) & (dealt["shard"] == quotas["s"])).drop("k", "s")
-    line = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    level = water_level(sources, share * words, cap)
+    full = F.when(F.col("w") > 0, (cap * F.col("n")).cast("double")).otherwise(0.0)
+    if level is not None:
+        shared = F.coalesce(*[F.when(F.col("w") == w, float(level * w)) for w in sorted(set(weights))])
+        full = F.when(_over(level, cap), full).otherwise(shared)
+    words_each, rows_each = max(shard_words, -(-words // max_shards)), max(shard_rows, -(-rows // max_shards))
+    n_shards = F.greatest(F.lit(1), F.expr(f"(n + {words_each - 1}) div {words_each}"), F.expr(f"(rows + {rows_each - 1}) div {rows_each}"))
+    sources = sources.withColumns({"target": full, "n_shards": n_shards, "salt": F.xxhash64("k")})
+    info = _few(sources.select("k", "place", F.col("n").alias("source_size"), "target", "n_shards", "salt"), count)
+    dealt = sized.join(info, sized["source"].eqNullSafe(info["k"])).drop("k", "source")
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed), "salt"), F.col("n_shards"))).drop("n_shards")
+    shards = cut(dealt.groupBy("place", "shard").agg(F.sum("size").alias("words")), "shards")
+    placed = dealt.join(_few(quotas(sources, shards, block, cap), shards.count()), ["place", "shard"])
+    placed = placed.withColumn("start", F.pmod(F.xxhash64("salt", "shard", F.lit(seed)), F.greatest(F.col("blocks"), F.lit(1))))
+    line = Window.partitionBy("place", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("end", F.sum("size").over(line)).withColumn("begin", F.col("end") - F.col("size"))
 
     n, extra = F.greatest(F.col("blocks"), F.lit(1)), F.expr("quota % greatest(blocks, 1)")

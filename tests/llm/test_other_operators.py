@@ -195,22 +195,59 @@ def test_folded_tables_against_the_trained_network():
 
 
 # ------------------------------------------------------------------ mixing
+def water_fill(sizes, weights, total, cap=2):
+    """Targets one after the other: those above their caps stop there, the rest is shared again."""
+    target, open_, left = [Fraction(0)] * len(sizes), [i for i, w in enumerate(weights) if w > 0], Fraction(total)
+    while open_:
+        all_w = sum(weights[i] for i in open_)
+        over = [i for i in open_ if left * weights[i] / all_w > cap * sizes[i]]
+        for i in over or open_:
+            target[i] = Fraction(cap * sizes[i]) if over else left * weights[i] / all_w
+        left -= sum(target[i] for i in over)
+        open_ = [i for i in open_ if i not in over] if over else []
+    return target
+
+
+def plain_targets(per_source, weights=(5, 2, 1), share=Fraction(3, 2)):
+    ordered = sorted(per_source, key=lambda r: (r[0] is None, r[0] or ""))
+    sizes = [n for _, n in ordered]
+    return [(*r, t) for r, t in zip(ordered, water_fill(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share * sum(sizes)), strict=True)]
+
+
+def plain_quotas(sources, shards, block):
+    """(source, shard) -> (blocks, quota) in exact fractions."""
+    blocks = {(s, k): -(-w // block) for s, k, w in shards}
+    each = [sum(b for (x, _), b in blocks.items() if x == s) for s, _, _ in sources]
+    votes = [t * b / n if n else Fraction(0) for (_, n, t), b in zip(sources, each, strict=True)]
+    seats = mixing.sainte_lague(votes, int(sum(votes) + Fraction(1, 2)))
+    out = {}
+    for (s, _, _), q in zip(sources, seats, strict=True):
+        mine = sorted(k for x, k in blocks if x == s)
+        out |= {(s, k): (blocks[s, k], g) for k, g in zip(mine, mixing.shard_quotas([blocks[s, k] for k in mine], q), strict=True)}
+    return out
+
+
 def test_taken_against_a_walk_over_blocks(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(["w"] * rng.randint(0, 90)), rng.choice("ab")) for i in range(150)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     kw = {"shard_words": 900, "block": 16, "seed": 3}
     out = {r.doc_id: r for r in mixing.mix(docs, **kw).collect()}
-    hashed = docs.select("doc_id", F.xxhash64("doc_id", F.lit(4)).alias("o"), *[F.pmod(F.xxhash64("doc_id", F.lit(3), F.lit(mixing.stable_hash(repr(s)))), F.lit(-(-out_size(out, rows, s) // 900))).alias(s) for s in "ab"]).collect()
+    salt = F.xxhash64("source")
+    dealt = [F.pmod(F.xxhash64("doc_id", F.lit(3), salt), F.lit(-(-out_size(out, rows, s) // 900))) for s in "ab"]
+    hashed = docs.select("doc_id", F.xxhash64("doc_id", F.lit(4)).alias("o"), *[d.alias(s) for d, s in zip(dealt, "ab", strict=True)])
+    hashed = hashed.collect()
     size = {i: len(t.split()) for i, t, _ in rows}
     source = {i: s for i, _, s in rows}
     shards = {}
     for r in sorted(hashed, key=lambda r: (r.o, r.doc_id)):
         shards.setdefault((source[r.doc_id], r[source[r.doc_id]]), []).append(r.doc_id)
-    targets = mixing.targets([(s, out_size(out, rows, s)) for s in "ab"])
-    plan = mixing.apportion(targets, [(s, k, sum(size[i] for i in ids)) for (s, k), ids in shards.items()], 16)
-    for s, k, words, blocks, quota in plan.shards:
-        start = mixing.stable_hash(f"3/{s!r}/{k}") % max(1, blocks)
+    targets = plain_targets([(s, out_size(out, rows, s)) for s in "ab"])
+    plan = plain_quotas(targets, [(s, k, sum(size[i] for i in ids)) for (s, k), ids in shards.items()], 16)
+    for (s, k), (blocks, quota) in plan.items():
+        words = sum(size[i] for i in shards[s, k])
+        h = spark.sql(f"SELECT xxhash64(xxhash64('{s}'), {k}L, 3) h").first().h
+        start = h % max(1, blocks)
         times = [quota // max(1, blocks)] * blocks
         for b in range(blocks):  # evenly spread from a seeded start
             times[b] += ((b + 1) * (quota % max(1, blocks)) + start) // max(1, blocks) - (b * (quota % max(1, blocks)) + start) // max(1, blocks)
@@ -229,12 +266,41 @@ def out_size(out, rows, s):
     return sum(len(t.split()) for _, t, x in rows if x == s)
 
 
-def test_small_sources_reach_their_targets():
+def given(spark, targets, shards):
+    """Tables for `quotas` of (source, n, target) and (source, shard, words)."""
+    place = {s: i for i, (s, _, _) in enumerate(targets)}
+    sources = spark.createDataFrame([(place[s], n, float(t)) for s, n, t in targets], "place long, n long, target double")
+    return sources, spark.createDataFrame([(place[s], k, w) for s, k, w in shards], "place long, shard long, words long")
+
+
+def test_small_sources_reach_their_targets(spark):
     """A last block that covers little does not eat the quota of a small source."""
-    sources = mixing.targets([("a", 20), ("b", 40), ("c", 5000)], share=Fraction(2))
-    plan = mixing.apportion(sources, [("a", 0, 20), ("b", 0, 40), ("c", 0, 5000)])
-    for (s, words, target), (_, _, _, blocks, quota) in zip(sources, plan.shards, strict=True):
-        assert abs(quota * words / blocks - target) <= words / blocks / 2 + 1, s
+    sources = plain_targets([("a", 20), ("b", 40), ("c", 5000)], share=Fraction(2))
+    got = {r.place: r for r in mixing.quotas(*given(spark, sources, [("a", 0, 20), ("b", 0, 40), ("c", 0, 5000)])).collect()}
+    for i, (s, words, target) in enumerate(sources):
+        assert abs(got[i].quota * words / got[i].blocks - target) <= words / got[i].blocks / 2 + 1, s
+
+
+def test_quotas_of_very_many_sources_against_plain_code(spark):
+    rng = random.Random(9)
+    names = [None, *(f"s{i:04}" for i in range(699))]
+    size = {s: rng.choice([0, 1, 7, 320, rng.randint(1, 4000), rng.randint(1, 200)]) for s in names} | {"s0003": 400_000}
+    sources = plain_targets(list(size.items()))
+    shards = [(s, k, w) for s, n in size.items() for k, w in enumerate([n] if n < 3000 else [n // 3, n - n // 3 - 7, 7])]
+    table = spark.createDataFrame([(i, n, (5, 2, 1)[i % 3]) for i, (_, n, _) in enumerate(sources)], "place long, n long, w long")
+    level = mixing.water_level(table, Fraction(3, 2) * sum(size.values()))
+    assert [min((5, 2, 1)[i % 3] * level, Fraction(2 * n)) for i, (_, n, _) in enumerate(sources)] == [t for _, _, t in sources]
+    got = {(sources[r.place][0], r.shard): (r.blocks, r.quota) for r in mixing.quotas(*given(spark, sources, shards)).collect()}
+    assert got == plain_quotas(sources, shards, mixing.BLOCK)
+
+
+def test_distributed_seats_are_by_highest_quotients(spark):
+    rng = random.Random(2)
+    for n, seats in ((1, 5), (9, 0), (9, 3), (60, 20), (60, 61), (300, 2000)):
+        votes = [rng.choice([0, 1, 5, 5, rng.randint(0, 1000)]) for _ in range(n)]
+        df = spark.createDataFrame(list(enumerate(votes)), "place long, v long").repartition(3)
+        assert [r.seats for r in mixing.highest_quotients(df, seats).orderBy("place").collect()] == mixing.sainte_lague(votes, seats)
+    assert mixing.highest_quotients(df.limit(0), 4).count() == 0
 
 
 def test_sainte_lague_is_by_highest_quotients():
@@ -249,10 +315,14 @@ def test_sainte_lague_is_by_highest_quotients():
         assert got == want
 
 
-def test_water_fill_stops_at_caps():
-    assert mixing.water_fill([10, 100, 100], [5, 2, 1], Fraction(315)) == [20, 2 * Fraction(295, 3), Fraction(295, 3)]
-    assert mixing.water_fill([0, 10], [5, 2], Fraction(15)) == [0, 15]
-    assert sum(mixing.water_fill([1, 2, 3], [5, 2, 1], Fraction(9))) == 9
+def test_water_fill_stops_at_caps(spark):
+    for sizes, weights, total, want in (
+        ([10, 100, 100], [5, 2, 1], 315, [20, 2 * Fraction(295, 3), Fraction(295, 3)]), ([0, 10], [5, 2], 15, [0, 15]), ([1, 2, 3], [5, 2, 1], 9, [2, 4, 3]),
+    ):
+        assert water_fill(sizes, weights, Fraction(total)) == want
+        level = mixing.water_level(spark.createDataFrame(list(zip(sizes, weights, strict=True)), "n long, w long"), Fraction(total))
+        assert [min(w * level, Fraction(2 * n)) for n, w in zip(sizes, weights, strict=True)] == want
+    assert mixing.water_level(spark.createDataFrame([(1, 5), (2, 0)], "n long, w long"), Fraction(9)) is None
 
 
 def test_mix(spark):
@@ -265,7 +335,7 @@ def test_mix(spark):
     assert all(0 <= r.taken <= 2 * r.size for r in out)
     names = sorted({r[2] for r in rows if r[2] is not None}) + [None]
     size = {s: sum(len((t or "").split()) for _, t, x in rows if x == s) for s in names}
-    target = dict(zip(names, mixing.water_fill([size[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))], Fraction(3, 2) * sum(size.values())), strict=True))
+    target = dict(zip(names, water_fill([size[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))], Fraction(3, 2) * sum(size.values())), strict=True))
     by_id = {r.doc_id: r for r in out}
     for s in names:
         ids = [i for i, _, x in rows if x == s and i != 5]
