@@ -179,30 +179,36 @@ def free_names(rows: DataFrame, taken: DataFrame, name: str = "name", sha: str =
     """rel_path of each row: the first of its name and its name with _b to _e that is free or holds the same bytes; null if none is, for the caller to refuse.
 
     taken: (name, sha) of the files there are.  Rows count in input order and
-    take names as they come.  Of a name only its first hashes can get one, so
-    at most `len(SUFFIXES) + 1` of them are looked at together, with the names
-    that suffixes could lead to.
+    take names as they come.  After the first `len(SUFFIXES)` hashes of a name
+    all its paths are full, and what is in a full path stays; so only these
+    are looked at together, with the names that suffixes could lead to, and
+    every hash, a later one too, has the first path that holds it in the end.
     """
     stem = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1)
     extension = F.regexp_extract(name, r"(\.[^.]*)?$", 1)
     root = F.concat(F.regexp_replace(stem, r"(_[b-e])+$", ""), extension)
     first = rows.groupBy(F.col(name).alias("n"), F.col(sha).alias("s")).agg(F.min(order).alias("o"))
-    wanted = first.withColumn("k", F.row_number().over(Window.partitionBy("n").orderBy("o", "s"))).where(F.col("k") <= len(SUFFIXES) + 1)
+    wanted = first.withColumn("k", F.row_number().over(Window.partitionBy("n").orderBy("o", "s"))).where(F.col("k") <= len(SUFFIXES))
     left = wanted.withColumn("root", F.regexp_replace("n", r"(_[b-e])+(\.[^.]*)?$", "$2"))
     right = taken.select(F.col(name).alias("n"), F.col(sha).alias("s"), root.alias("root"))
     kind = f"n string, s {rows.schema[sha].dataType.simpleString()}, rel_path string"
 
     def settle(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        there, out = dict(zip(old["n"], old["s"], strict=True)), []
+        there = dict(zip(old["n"], old["s"], strict=True))
+        paths = {}
         for n, s in new.sort_values(["o", "n"])[["n", "s"]].itertuples(index=False):
             head, dot, tail = n.rpartition(".")
-            found = None
-            for x in SUFFIXES:
-                path = f"{head}{x}{dot}{tail}" if dot else f"{n}{x}"
+            paths[n] = [f"{head}{x}{dot}{tail}" if dot else f"{n}{x}" for x in SUFFIXES]
+            for path in paths[n]:
                 if there.setdefault(path, s) == s:
-                    found = path
                     break
-            out.append((n, s, found))
+        out = []
+        for n, some in paths.items():
+            held = {}
+            for path in some:
+                if path in there:
+                    held.setdefault(there[path], path)
+            out += [(n, s, path) for s, path in held.items()]
         return pd.DataFrame(out, columns=["n", "s", "rel_path"])
 
     placed = left.groupBy("root").cogroup(right.groupBy("root")).applyInPandas(settle, kind)

@@ -197,6 +197,14 @@ def test_upsert_and_names(spark):
     assert sorted(map(tuple, ingest.same_signature(q, q.where("text_sha256 <> 'y'")).collect())) == [(1, False), (2, True)]
 
 
+def test_late_hash_finds_the_file_that_holds_it(spark):
+    given = lambda rows: spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "ord int, name string, sha string")
+    names = lambda rows, taken: [r.rel_path for r in ingest.free_names(given(rows), given(taken)).orderBy("ord").collect()]
+    many = [("a.pdf", f"s{i}") for i in range(9)]
+    assert names([*many, ("a.pdf", "t")], [("a.pdf", "t")]) == ["a_b.pdf", "a_c.pdf", "a_d.pdf", "a_e.pdf", *[None] * 5, "a.pdf"]
+    assert names([("a_b.pdf", "k"), *many, ("a.pdf", "k")], []) == ["a_b.pdf", "a.pdf", "a_c.pdf", "a_d.pdf", "a_e.pdf", *[None] * 5, "a_b.pdf"]
+
+
 def test_empty_results_never_replace_a_file(spark, tmp_path):
     path = str(tmp_path / "c")
     assert ingest.candidates_json(spark.range(3), path)
