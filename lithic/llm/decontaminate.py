@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
-from .common import ALNUM, LOWER, Words, chunks, cut, unused
+from .common import ALNUM, LOWER, Words, chunks, cut, lean, unused
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
@@ -326,8 +326,8 @@ def _marked(
             given.append(spark.sparkContext.broadcast(Phrases([tuple(r) for r in block.collect()], window)))
         if all_rows:
             schema = StructType([*docs.schema.fields, *(StructField(n, DataType.fromDDL(kind)) for n, kind in extra)])
-            return docs.mapInArrow(_search(given, text_col, schema.names, shard_bytes, True), schema)
-        return docs.mapInArrow(_search(given, "text", ["row", "spans", "items"], shard_bytes, False), f"row long, spans {_SPANS_SQL}, items array<string>")
+            return docs.mapInArrow(lean(_search(given, text_col, schema.names, shard_bytes, True)), schema)
+        return docs.mapInArrow(lean(_search(given, "text", ["row", "spans", "items"], shard_bytes, False)), f"row long, spans {_SPANS_SQL}, items array<string>")
 
     out = wave(documents, 0, True)
     if blocks > wave_blocks:
@@ -338,7 +338,7 @@ def _marked(
         found += [wave(texts, k, False) for k in range(wave_blocks, blocks, wave_blocks)]
         parts = reduce(DataFrame.unionByName, found).groupBy("row").agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
         at, more, names = (unused(out, n) for n in ("found_row", "found_spans", "found_items"))
-        one = parts.mapInArrow(_as_one, f"row long, spans {_SPANS_SQL}, items array<string>").toDF(at, more, names)
+        one = parts.mapInArrow(lean(_as_one), f"row long, spans {_SPANS_SQL}, items array<string>").toDF(at, more, names)
         joined = out.join(one, F.col(row) == F.col(at), "left")
         new = {spans: F.coalesce(more, spans), items_: F.coalesce(names, items_)}
         out = joined.select(*[F.col(f"`{c}`") for c in (*documents.columns, n_words)], *[e.alias(c) for c, e in new.items()])

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NON_SPACE, U64, Words, chunks, cut, drop, mix, string_buffers, uniform, unused
+from .common import LOWER, NON_SPACE, U64, Words, chunks, cut, drop, lean, mix, string_buffers, uniform, unused
 
 SHINGLE = 5
 COORDS = 48
@@ -247,7 +247,7 @@ class _Rows:
                 yield i[ok], j[ok]
 
 
-def _overlap(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def _common(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of pairs of sets."""
     return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
 
@@ -361,7 +361,7 @@ def _compared(leaves: list[DataFrame], known: DataFrame, small: int, percent: in
         p, q = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
         if len(p):
             use, back = np.unique(np.concatenate([p, q]), return_inverse=True)
-            both = _overlap([np.frombuffer(own[int(k)].as_buffer(), U64) for k in place[use]], back[: len(p)], back[len(p) :])
+            both = _common([np.frombuffer(own[int(k)].as_buffer(), U64) for k in place[use]], back[: len(p)], back[len(p) :])
             ok = (both > 0) & (100 * both >= percent * (few.n[p] + few.n[q] - both))
             p, q = p[ok], q[ok]
             some = _joining(few, p, q)
@@ -389,7 +389,7 @@ def _compared(leaves: list[DataFrame], known: DataFrame, small: int, percent: in
         if held is not None:
             yield pa.RecordBatch.from_arrays(found(_Rows(held), pa.chunked_array(texts, pa.binary()) if exact else None), names)
 
-    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, ", ".join(f"{c} long" for c in names)).distinct()
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(lean(run), ", ".join(f"{c} long" for c in names)).distinct()
 
 
 # ------------------------------------------------------------------ confirmation
@@ -412,7 +412,7 @@ def _sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) ->
                 yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(keep, pa.int64())), pa.array(own, pa.binary())], ["id", "own"])
 
     texts = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("m")).select("text", "id", "f1", "f2")
-    return texts.mapInArrow(run, "id long, own binary").groupBy("id").agg(F.first("own").alias("own"))
+    return texts.mapInArrow(lean(run), "id long, own binary").groupBy("id").agg(F.first("own").alias("own"))
 
 
 def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -443,7 +443,7 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int
                     out.append((a[k], b[k]))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    links = cut(rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long"), "links")
+    links = cut(rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(lean(run), "a long, b long"), "links")
     drop(pairs, own, dealt)
     return links
 
@@ -458,7 +458,7 @@ def _ceilings(ids: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int)
                 x = np.frombuffer(batch.column(1)[k].as_buffer(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), batch.column(0)[k].as_py())), pa.array(x)], ["id", "token"])
 
-    single = own.mapInArrow(tokens, "id long, token long").groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1")
+    single = own.mapInArrow(lean(tokens), "id long, token long").groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1")
     alone = single.groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
     return ids.join(classes.select("id", "n"), "id").join(alone, "id", "left").select("id", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
 
@@ -530,7 +530,7 @@ def find(
     empty result; other columns are not looked at.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = cut(docs.mapInArrow(_signatures(shingle, COORDS), "doc_id long, n_shingles long, f1 long, f2 long, sig array<long>, sketch array<long>"), "sets")
+    sets = cut(docs.mapInArrow(lean(_signatures(shingle, COORDS)), "doc_id long, n_shingles long, f1 long, f2 long, sig array<long>, sketch array<long>"), "sets")
     usable = sets.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     kept = F.first(F.struct("sig", F.col("n_shingles").alias("n"), "sketch")).alias("c")
     first = usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x"), kept).select("f1", "f2", "m", "x", "c.*")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, NON_SPACE, U64, Words, chunks, mix
+from .common import LOWER, NON_SPACE, U64, Words, chunks, lean, mix
 
 SAMPLE = 8000
 PAIRS = 400_000
@@ -148,7 +148,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     chosen = known.where(chance < rate[F.col("label")])
     # the sample is bounded by its parameter, so it may be broadcast against the documents
     rows = documents.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
-    got = rows.select("label", "text").mapInArrow(_features, "label int, x binary").toArrow()
+    got = rows.select("label", "text").mapInArrow(lean(_features), "label int, x binary").toArrow()
     label, raw = got.column("label").to_numpy(), got.column("x").to_pylist()
     order = sorted(range(len(raw)), key=lambda i: (raw[i], label[i]))  # the rows' order must not hang on the order of tasks
     x = np.frombuffer(b"".join(raw[i] for i in order), np.float32).reshape(len(raw), WIDTH)
@@ -172,7 +172,7 @@ def score(documents: DataFrame, model: BradleyTerry, *, text_col: str = "text",
                 s = model.score(features(data, offs))
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*batch.schema.names, score_col, predicted_col])
 
-    return documents.mapInArrow(run, T.StructType([*schema.fields, T.StructField(score_col, T.DoubleType()), T.StructField(predicted_col, T.IntegerType())]))
+    return documents.mapInArrow(lean(run), T.StructType([*schema.fields, T.StructField(score_col, T.DoubleType()), T.StructField(predicted_col, T.IntegerType())]))
 
 
 def held_out(id_col: str, modulus: int, remainder: int):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, U64, Words, chunks, cut, drop, mix, prefix_hash, span_hash
+from .common import NON_SPACE, U64, Words, chunks, cut, drop, lean, mix, prefix_hash, span_hash
 
 WINDOW = 50
 ROUNDS = 11
@@ -233,7 +233,7 @@ class Repeats:
 
 def find(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, rounds: int = ROUNDS) -> Repeats:
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    raw = cut(docs.mapInArrow(_scan(window, rounds), "doc_id long, n_words long, sha string, f1 long, f2 long, symbols array<long>"), "scan")
+    raw = cut(docs.mapInArrow(lean(_scan(window, rounds)), "doc_id long, n_words long, sha string, f1 long, f2 long, symbols array<long>"), "scan")
     long_ = raw.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
     firsts = cut(long_.groupBy("f1", "f2").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m < x").select("f1", "f2", "m"), "copies")
     # copies and the rest: the join is on fingerprints, which a large group of copies shares, so both sides are tables
@@ -248,9 +248,9 @@ def find(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     )
     texts = cut(docs.join(lists, "doc_id"), "texts")
     kinds = "doc_id long, h1 long, h2 long"
-    seen = texts.select("doc_id", "text", "shared").mapInArrow(_windows(window, rounds, "shared"), kinds)
+    seen = texts.select("doc_id", "text", "shared").mapInArrow(lean(_windows(window, rounds, "shared")), kinds)
     known = cut(seen.groupBy("h1", "h2").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m < x").select("h1", "h2", "m"), "windows")
-    later = texts.where(F.size("later") > 0).select("doc_id", "text", "later").mapInArrow(_windows(window, rounds, "later"), kinds)
+    later = texts.where(F.size("later") > 0).select("doc_id", "text", "later").mapInArrow(lean(_windows(window, rounds, "later")), kinds)
     starts = cut(later.join(known, ["h1", "h2"]).where("doc_id > m").groupBy("doc_id").agg(F.collect_set("h1").alias("starts")), "starts")
     drop(shared, known)
     return Repeats(scanned, texts, starts, window)
@@ -274,7 +274,7 @@ def digest(documents: DataFrame, **kw) -> DataFrame:
                 sha = [_hex(x) for x in _joined(data, w, ~gone, b - a)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(w.count, pa.int64()), pa.array(n, pa.int64()), pa.array(sha)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    cut_ = r.texts.select("doc_id", "text").join(r.starts, "doc_id").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    cut_ = r.texts.select("doc_id", "text").join(r.starts, "doc_id").mapInArrow(lean(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
     plain = r.scanned.join(r.starts.select("doc_id"), "doc_id", "left_anti").select(
         "doc_id", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
         F.when(F.col("copy"), F.sha2(F.lit(""), 256)).otherwise(F.col("sha")).alias("kept_sha256"),
@@ -314,4 +314,4 @@ def remove(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 columns = [pa.array(texts, batch.schema.field(k).type) if i == k and texts else batch.column(i)[a:b] for i in range(len(schema))]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return packed.mapInArrow(run, schema)
+    return packed.mapInArrow(lean(run), schema)

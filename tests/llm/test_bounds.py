@@ -130,3 +130,37 @@ def test_many_short_copies_of_a_template(spark):
     want = brute(texts)
     assert [got[i] for i in range(len(texts))] == want
     assert resource.getrusage(resource.RUSAGE_CHILDREN).ru_maxrss < 4_000_000
+
+
+def test_the_pipeline_gives_python_small_batches(spark):
+    import pyarrow as pa
+
+    import corpus_pipeline
+
+    before = spark.conf.get(corpus_pipeline._ROWS)
+    try:
+        docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars int")
+        corpus_pipeline.STAGES[2][1](spark, docs, "")
+        sizes = spark.range(0, 9000, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+        assert max(r.n for r in sizes.collect()) <= corpus_pipeline.ARROW_ROWS
+    finally:
+        spark.conf.set(corpus_pipeline._ROWS, before)
+
+
+def test_a_lean_task_gives_its_memory_back():
+    import os
+
+    from lithic.llm.common import lean
+
+    resident = lambda: int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+    left = []
+
+    def run(batches):
+        for n in batches:
+            held = [bytes(50_000) + b"x" for _ in range(n)]
+            left.append(held.pop())  # the last piece stands above all others, so the heap does not shrink by itself
+            yield len(held)
+
+    before = resident()
+    assert list(lean(run)([4000])) == [3999]
+    assert resident() - before < 60
