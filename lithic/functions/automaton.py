@@ -5,14 +5,20 @@ pattern a literal that every match must contain goes into the automaton; the
 patterns whose literals occur in a text are its candidates, and only these are
 tried, on the JVM and with the same expressions as a short unrolled table.
 Patterns without such a literal are candidates everywhere.
+
+Phrases, rules that are words and nothing else, need no expressions: texts and
+phrases are both reduced to their words, and what the automaton finds is the answer.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,12 +113,12 @@ def _automaton(words: dict[str, list[int]]):
     return a
 
 
-def _blocks(rules: DataFrame, size: int) -> Iterator[list[tuple]]:
-    """The distinct rows of a rule table in blocks of about `size`, each of which fits the driver."""
+def _blocks(rules: DataFrame, size: int, keys: list[str] | None = None) -> Iterator[list[tuple]]:
+    """The distinct rows of a rule table in blocks of about `size`, each of which fits the driver; rows equal in `keys` share a block."""
     n = rules.count()
     k = max(1, -(-n // size))
     for b in range(k):
-        part = rules if k == 1 else rules.where(F.pmod(F.xxhash64(*rules.columns), F.lit(k)) == b)
+        part = rules if k == 1 else rules.where(F.pmod(F.xxhash64(*(keys or rules.columns)), F.lit(k)) == b)
         yield sorted(tuple(r) for r in part.collect())
 
 
@@ -158,6 +164,44 @@ def topic_hits(questions: DataFrame, rules: DataFrame, text_col: str, out: str =
     return staged.withColumn(out, F.map_from_entries(counted)).drop("_codes")
 
 
+def words_apart(text: Column) -> Column:
+    """The words of a text, runs of letters and numbers with A-Z in lower case, each between single spaces."""
+    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.regexp_replace(F.concat(F.lit(" "), low, F.lit(" ")), r"[^\p{L}\p{N}]+", " ")
+
+
+def _found(block: list[tuple[str, str]], id_col: str):
+    def run(batches):
+        words: dict[str, list[str]] = {}
+        for code, phrase in block:
+            words.setdefault(phrase, []).append(code)
+        a = _automaton({w: [w] for w in words}) if words else None
+        for batch in batches:
+            rows, codes, counts = [], [], []
+            for i, t in enumerate(batch.column(1).to_pylist() if a else ()):
+                hits = Counter(c for w in {w for _, (w,) in a.iter(t)} for c in words[w])
+                rows += [i] * len(hits)
+                codes += hits.keys()
+                counts += hits.values()
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(codes, pa.string()), pa.array(counts, pa.int32())], [id_col, "code", "n"])
+
+    return run
+
+
+def phrase_hits(texts: DataFrame, phrases: DataFrame, id_col: str, text_col: str, block: int = BLOCK) -> DataFrame:
+    """(id, code, n): how many of a code's distinct phrases stand in a text, word for word without regard to A-Z's case and to what is between words.
+
+    phrases: (code, phrase).  Phrases without a word and nulls are passed over;
+    phrases that differ in case count each.  A table of up to `block` phrases
+    costs one pass over the texts, whatever they have in common with them.
+    """
+    table = phrases.select(F.col("code").cast("string").alias("code"), F.col("phrase").cast("string").alias("phrase")).dropna().distinct()
+    table = table.select("code", words_apart(F.col("phrase")).alias("words"), "phrase").where("words <> ' '")
+    rows = texts.select(id_col, words_apart(F.col(text_col)).alias("_words"))
+    kind = f"`{id_col}` {texts.schema[id_col].dataType.simpleString()}, code string, n int"
+    return reduce(DataFrame.unionByName, [rows.mapInArrow(_found([r[:2] for r in b], id_col), kind) for b in _blocks(table, block, ["code"])])
+
+
 def longest_alias(blob: Column, aliases: list[tuple[str, str, str]], bounded=()) -> Column:
     """struct(code, name) of the longest of (alias, code, name) in a text; ties to the earlier one, null without one.
 

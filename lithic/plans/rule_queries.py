@@ -22,13 +22,11 @@ def rule_table_tags(spark, sf_dir):
 
 
 def phrase_rules(spark, sf_dir):
-    """Items of the benchmark as codes, their first four words and their fifth to eighth as patterns: which texts have them."""
+    """Items of the benchmark as codes, their first four words and their fifth to eighth as phrases: which texts have them."""
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     items = read(spark, sf_dir, "benchmark").select(F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("code"), words.alias("w")).where(F.size("w") >= 8)
-    pattern = lambda a: F.concat(F.lit(EDGE), F.array_join(F.slice("w", a, 4), r"[^\p{L}\p{N}]+"), F.lit(BEHIND))
-    rules = items.select("code", F.explode(F.array(pattern(1), pattern(5))).alias("pattern"))
-    found = automaton.topic_hits(read(spark, sf_dir, "documents").select("doc_id", "text"), rules, "text")
-    return found.where(F.size("hits") > 0).select("doc_id", F.explode("hits").alias("code", "n"))
+    phrases = items.select("code", F.explode(F.array(*[F.array_join(F.slice("w", k, 4), " ") for k in (1, 5)])).alias("phrase"))
+    return automaton.phrase_hits(read(spark, sf_dir, "documents"), phrases, "doc_id", "text")
 
 
 def host_aliases(spark, sf_dir):

@@ -62,6 +62,29 @@ def test_a_table_says_what_the_unrolled_rules_say(spark):
     assert all(r.hits == {} for r in none) and len(none) == len(TEXTS) + 1
 
 
+def test_phrases_are_found_word_for_word(spark):
+    texts = [None, "", "The big-cat_sat ON été!", "a big cat", "big cat big cat sat", "xbig cat", "bigcat sat on"]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(None, "Big cat")], "id int, t string").repartition(3)
+    table = spark.createDataFrame([("A", "big cat"), ("A", "Big cat"), ("B", "cat sat on été"), ("B", "big  CAT"), ("C", "..."), (None, "big"), ("C", None), ("C", "cat big")], "code string, phrase string")
+    want = sorted(map(repr, [(i, c, n) for i in (2, 3, 4, 5, None) for c, n in (("A", 2), ("B", 1 + (i == 2)), ("C", 1)) if i != 5 and (c != "C" or i == 4)]))
+    for block in (50_000, 2):
+        assert sorted(repr(tuple(r)) for r in automaton.phrase_hits(df, table, "id", "t", block=block).collect()) == want
+    assert automaton.phrase_hits(df, table.limit(0), "id", "t").count() == 0
+
+
+def test_phrases_need_no_expression_a_text(spark):
+    """All words of ten thousand phrases stand in every text: candidates by one literal each would be all of them."""
+    import time
+
+    rng = random.Random(3)
+    words = [f"w{k}x" for k in range(60)]
+    df = spark.createDataFrame([(i, " ".join(rng.choices(words, k=3000))) for i in range(40)], "id int, t string").repartition(4)
+    table = spark.range(10_000).selectExpr("'C' || id AS code", "'w' || id % 60 || 'x w' || id div 60 % 60 || 'x w' || id div 3600 || 'x w7x' AS phrase")
+    began = time.time()
+    assert automaton.phrase_hits(df, table, "id", "t").count() > 0
+    assert time.time() - began < 20
+
+
 def test_longest_alias_equals_the_unrolled_one(spark):
     titles = ["RI prelim", "xri", "Hwa Chong 2020", "st andrew junior", "mi promo", "st. andrew", "", None, "raffles institution vjc", "national junior college", "ri", "mid ri2", "nothing", "vjc-ri", "mi,hci", "himi"]
     df = spark.createDataFrame(list(enumerate(titles)), "id int, title string")
