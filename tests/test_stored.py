@@ -117,6 +117,21 @@ def test_a_search_is_a_scan(spark, tmp_path):
     assert search.posted(df.limit(0)).count() == 0
 
 
+def test_phrases_are_searched_in_one_pass_and_the_index_moves_nothing(spark, tmp_path):
+    texts = [None, "", "ab", "a\x00\x00b", "Abc \U0001f600d", "xabcx ab", "ÉTÉ à Paris"]
+    df = spark.createDataFrame([*enumerate(texts), (5, "abc again"), (None, "abc")], "id long, full_text string").repartition(2)
+    path = str(tmp_path / "index")
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan(search.posted(df)) and "Sort" not in plan(search.posted(df))
+    search.write_index(df, path)
+    index = spark.read.parquet(path)
+    phrases = ["abc", "", "ab", "a\x00\x00", "\U0001f600D", "été ", "none at all"]
+    found = search.search_all(df, index, phrases)
+    assert plan(found).count("FileScan parquet") == 1
+    want = [(i, p) for i, t in map(tuple, df.collect()) for p in phrases if not p or (t is not None and p.strip().lower() in t.lower())]
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in found.collect())
+
+
 def test_archives_in_sql(spark):
     end = bytes.fromhex("504B0506") + bytes(18)
     spark.createDataFrame([(1, b"no archive"), (2, None), (3, end)], "id long, content binary").createOrReplaceTempView("some_archives")
