@@ -153,3 +153,19 @@ def _table(spark, tmp_path):
     path = str(tmp_path / f"t{random.random()}")
     spark.range(3).write.parquet(path)
     return path
+
+
+def test_folding_holds_one_text_at_a_time():
+    import tracemalloc
+
+    import pandas as pd
+
+    fold = T.fold_accents.func
+    assert list(fold(pd.Series(["Élan ﬁn", None, "", "plain", "a\u0301\u20d7b"], dtype=object))) == ["Elan fin", None, "", "plain", "ab"]
+    s = pd.Series([f"{k} " + "été à la crème " * 2000 for k in range(200)], dtype=object)  # 6 MB of one-byte characters, twice that decomposed
+    tracemalloc.start()
+    try:
+        fold(s)
+        assert tracemalloc.get_traced_memory()[1] < 1.5 * sum(map(len, s))
+    finally:
+        tracemalloc.stop()
