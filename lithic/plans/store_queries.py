@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from lithic.operators import ingest, replacing, search, tables
-from lithic.plans.bank_queries import _CTE, questions, read, tags
+from lithic.plans.bank_queries import _CTE, numbered_once, questions, read, tags
 from lithic.plans.corpus_queries import zip_archives
 from lithic.sources import safe_member, zip_table
 
@@ -30,7 +30,8 @@ def upsert_papers(spark, sf_dir):
 def replaced_in_place(spark, sf_dir):
     """The stored bank after every tenth paper got its first question alone, with number 99, and every twentieth none: how many questions and tags each bucket has, and of which sum."""
     path = f"{tables.shared_dir(spark)}/lithic-bank-{uuid.uuid4().hex}"
-    q, t = questions(spark, sf_dir), tags(spark, sf_dir)
+    rows = numbered_once(spark, sf_dir)  # both tables and the replacement are made from them
+    q, t = questions(spark, sf_dir, rows), tags(spark, sf_dir, rows)
     q = q.select("id", "paper_id", "q_number")
     replacing.create(path, q, t.join(q.select(F.col("id").alias("question_id"), "paper_id"), "question_id"))
     papers = q.where(F.col("paper_id") % 10 == 0).select("paper_id").distinct()

@@ -132,6 +132,27 @@ def test_phrases_are_searched_in_one_pass_and_the_index_moves_nothing(spark, tmp
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in found.collect())
 
 
+def test_lines_are_numbered_once_for_a_stored_bank(spark, monkeypatch):
+    from lithic.plans import bank_queries
+
+    calls, real = [], bank_queries.numbered
+    monkeypatch.setattr(bank_queries, "numbered", lambda *a: calls.append(1) or real(*a))
+    monkeypatch.setattr(replacing, "create", lambda path, questions, tags: [df._jdf.queryExecution().optimizedPlan() for df in (questions, tags)])
+
+    class Seen(Exception):
+        pass
+
+    def seen(path, papers, questions):
+        plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (papers, questions)]
+        assert not any("Window" in p for p in plans)
+        raise Seen
+
+    monkeypatch.setattr(replacing, "replace_papers", seen)
+    with pytest.raises(Seen):
+        store_queries.replaced_in_place(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
+
+
 def test_archives_in_sql(spark):
     end = bytes.fromhex("504B0506") + bytes(18)
     spark.createDataFrame([(1, b"no archive"), (2, None), (3, end)], "id long, content binary").createOrReplaceTempView("some_archives")
