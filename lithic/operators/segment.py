@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 from pyspark.sql.window import Window
 
 from lithic.functions import text as T
-from lithic.operators import tables
+from lithic.operators import store, tables
 
 _CHAIN = StructType().add("path", ArrayType(IntegerType())).add("gaps", IntegerType())
 
@@ -33,11 +33,10 @@ def reading_order(lines: DataFrame) -> DataFrame:
 
 def lines_of_text(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Lines of plain texts as (paper_id, seq, text): right-trimmed, blank ones dropped."""
-    return (
-        documents.select(F.col(id_col).alias("paper_id"), F.posexplode(F.split(text_col, "\n")).alias("seq", "text"))
-        .withColumn("text", F.regexp_replace("text", r"\s+$", ""))
-        .where(F.col("text") != "")
-    )
+    lines = documents.select(F.col(id_col).alias("paper_id"), F.posexplode(F.split(text_col, "\n")).alias("seq", "text")).where(F.rlike("text", F.lit(r"\S")))
+    # only lines whose last character can end the pattern are trimmed, as most have nothing to trim ($ also stands before a last line separator)
+    ends = F.rlike(F.substring("text", -1, 1), F.lit(r"[\s\u0085\u2028\u2029]"))
+    return lines.withColumn("text", F.when(ends, F.regexp_replace("text", r"\s+$", "")).otherwise(F.col("text")))
 
 
 def repeated_lines(lines: DataFrame, group: str = "paper_id", page: str = "page", share: float = 0.4) -> DataFrame:
@@ -52,24 +51,38 @@ def in_margin(top: Column, bottom: Column, height: Column) -> Column:
     return (top < height * 0.08) | (bottom > height * 0.90)
 
 
-def strip_furniture(lines: DataFrame, gutter: float = 120.0, share: float = 0.4, pages: DataFrame | None = None) -> DataFrame:
+def _with_flat(lines: DataFrame) -> DataFrame:
+    """lines with _edge and, where they may stand in a margin, their flattened text; no other line is ever compared."""
+    edge = in_margin(F.col("top"), F.col("bottom"), F.col("page_height"))
+    return lines.withColumn("_edge", edge).withColumn("_flat", F.when(F.coalesce("_edge", F.lit(True)), T.flat_space(F.col("text"))))
+
+
+def page_texts(lines: DataFrame) -> DataFrame:
+    """(paper_id, page, text, n, chars): lines and their characters by page and by margin text that may run (eight characters or more, no number; null for all other lines)."""
+    may_run = F.col("_edge") & (F.length("_flat") >= 8) & ~F.col("_flat").rlike(T.PAGE_NUMBER)
+    counted = _with_flat(lines).select("paper_id", "page", F.when(may_run, F.col("_flat")).alias("_text"), F.length(F.trim("text")).alias("_chars"))
+    return counted.groupBy("paper_id", "page", F.col("_text").alias("text")).agg(F.count(F.lit(1)).alias("n"), F.sum("_chars").alias("chars"))
+
+
+def strip_furniture(lines: DataFrame, gutter: float = 120.0, share: float = 0.4, pages: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
     """Lines without running headers, footers and page numbers, of papers of two pages and more; one-page papers stay as they are.
 
     A margin line goes if its flattened text (eight characters or more, no
     number) stands in the margins of max(2, int(share * pages)) pages, if it is a
     number right of the gutter, or if it is known furniture.  pages: (paper_id,
-    pages); without it a paper has as many pages as its last line says.
+    pages); without it a paper has as many pages as its last line says.  texts:
+    `page_texts` of the lines, where they are at hand.
     """
-    flat = T.flat_space(F.col("text"))
-    with_flat = lines.withColumn("_flat", flat).withColumn("_edge", in_margin(F.col("top"), F.col("bottom"), F.col("page_height")))
-    total = pages.select("paper_id", F.col("pages").alias("_pages")) if pages is not None else lines.groupBy("paper_id").agg(F.max("page").alias("_pages"))
-    running = with_flat.where(F.col("_edge") & (F.length("_flat") >= 8) & ~F.col("_flat").rlike(T.PAGE_NUMBER))
+    texts = page_texts(lines) if texts is None else texts
+    total = pages.select("paper_id", F.col("pages").alias("_pages")) if pages is not None else texts.groupBy("paper_id").agg(F.max("page").alias("_pages"))
     # distinct pages of a text as aggregations with partial sums, as a running header may be on every page
-    on = running.groupBy("paper_id", "_flat").agg(F.count_distinct("page").alias("_on")).join(total, "paper_id")
-    on = on.where(F.col("_on") >= F.greatest(F.lit(2), F.floor(F.col("_pages") * share))).select("paper_id", "_flat", F.lit(True).alias("_repeated"))
+    on = texts.where(F.col("text").isNotNull()).groupBy("paper_id", "text").agg(F.count("page").alias("_on")).join(total, "paper_id")
+    on = on.where(F.col("_on") >= F.greatest(F.lit(2), F.floor(F.col("_pages") * share))).groupBy("paper_id").agg(F.collect_list("text").alias("_running"))
+    # a row a paper, as few texts can be on that share of its pages: the lines move once, by the paper
+    out = _with_flat(lines).join(total.join(on, "paper_id", "left"), "paper_id", "left")
     number = F.col("_flat").rlike(T.PAGE_NUMBER) & (F.col("x0") > gutter)
-    out = with_flat.join(on, ["paper_id", "_flat"], "left").join(total, "paper_id", "left")
-    furniture = F.col("_edge") & (F.col("_repeated").isNotNull() | number | F.col("_flat").rlike(T.FURNITURE))
+    repeated = F.coalesce(F.array_contains("_running", F.col("_flat")), F.lit(False))
+    furniture = F.col("_edge") & (repeated | number | F.col("_flat").rlike(T.FURNITURE))
     return out.where((F.coalesce("_pages", F.lit(0)) < 2) | ~furniture).select(*lines.columns)
 
 
@@ -138,10 +151,18 @@ def chains(found: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ questions
 def segments(lines: DataFrame, chain: DataFrame) -> DataFrame:
     """Lines from the first start on, with the q_number whose half-open range they stand in."""
-    starts = chain.select("paper_id", F.explode("starts").alias("s")).select("paper_id", F.col("s.line_index").alias("line_index"), F.col("s.q_number").alias("_q"))
-    w = _paper().orderBy("line_index").rowsBetween(Window.unboundedPreceding, 0)
-    joined = lines.join(starts, ["paper_id", "line_index"], "left")
-    return joined.withColumn("q_number", F.last("_q", ignorenulls=True).over(w)).withColumn("is_start", F.col("_q").isNotNull()).drop("_q").where(F.col("q_number").isNotNull())
+    starts = chain.where(F.col("paper_id").isNotNull()).select("paper_id", F.explode("starts").alias("s"))
+    starts = starts.select("paper_id", F.col("s.line_index").alias("line_index"), F.col("s.q_number").alias("_q"))
+    # starts stand among the lines, each before its own, so both move once, by the paper
+    rows = lines.withColumn("_line", F.lit(True)).unionByName(starts.withColumn("_line", F.lit(False)), allowMissingColumns=True)
+    w = _paper().orderBy("line_index", "_line").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(~F.col("_line"), F.struct(F.col("_q").alias("q"), F.col("line_index").alias("at"))), ignorenulls=True).over(w)
+    rows = rows.withColumn("_s", last).where(F.col("_line") & F.col("_s").isNotNull())
+    return rows.withColumn("q_number", F.col("_s.q")).withColumn("is_start", F.col("_s.at") == F.col("line_index")).drop("_q", "_line", "_s")
+
+
+def _mark() -> Column:
+    return F.nullif(F.regexp_extract("text", T.MARKS, 1), F.lit("")).cast("int")
 
 
 def questions(lines: DataFrame, chain: DataFrame, low_pages: DataFrame | None = None) -> DataFrame:
@@ -151,8 +172,7 @@ def questions(lines: DataFrame, chain: DataFrame, low_pages: DataFrame | None =
     solid = (F.length(stripped) >= 3) & ~stripped.rlike(T.PAGE_NUMBER)
     head = F.when(F.col("is_start") & (F.regexp_extract("text", T.NUMBERED, 2) != ""), F.regexp_extract("text", T.NUMBERED, 2)).otherwise(F.col("text"))
     part = F.lower(F.nullif(F.regexp_extract(head, T.PART, 1), F.lit("")))
-    mark = F.nullif(F.regexp_extract("text", T.MARKS, 1), F.lit("")).cast("int")
-    body = body.withColumn("_solid", solid).withColumn("_part", part).withColumn("_mark", mark)
+    body = body.withColumn("_solid", solid).withColumn("_part", part).withColumn("_mark", _mark())
     line = F.struct("line_index", "text")
     q = body.groupBy("paper_id", "q_number").agg(
         F.min_by(F.struct("page", "top", "bottom"), "line_index").alias("first"),
@@ -211,23 +231,31 @@ def missing_numbers(found: Column) -> Column:
 
 
 def split_papers(lines: DataFrame, *, gutter: float = 120.0, tolerance: float = 6.0, expected_min: int = 10, expected_max: int = 13, paper_marks: int = 100,
-                 low_pages: DataFrame | None = None, pages: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+                 low_pages: DataFrame | None = None, pages: DataFrame | None = None, low_text: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(questions, papers): all questions with their paper's confidence, and one row a paper with signals, status and notes.
 
-    pages: (paper_id, pages) of the papers; low_pages: (paper_id, low_pages) with the pages of too little text.
+    pages: (paper_id, pages) of the papers; low_pages: (paper_id, low_pages) with the pages of too little text, or low_text: the
+    characters below which a page has too little.  Only the lines left, counts and chains are written; the questions are made from them
+    when they are asked for, and the papers take no text but the marks.
     """
-    # the lines left and the questions are read several times: written once, so that no stage is computed anew
-    kept = tables.written(reading_order(strip_furniture(lines, gutter, pages=pages)), "lines")
-    before, after = (df.groupBy("paper_id").agg(F.count(F.lit(1)).alias(n)) for df, n in ((lines, "_all"), (kept, "_kept")))
+    # what is counted of the lines and the lines left are read several times: written once, so that no stage is computed anew
+    texts = tables.written(page_texts(lines), "texts")
+    kept = tables.written(reading_order(strip_furniture(lines, gutter, pages=pages, texts=texts)), "lines")
+    before, after = texts.groupBy("paper_id").agg(F.sum("n").alias("_all")), kept.groupBy("paper_id").agg(F.count(F.lit(1)).alias("_kept"))
+    if low_pages is None and low_text is not None:
+        chars = texts.groupBy("paper_id", "page").agg(F.sum("chars").alias("n"))
+        low_pages = store.low_pages(chars, pages if pages is not None else texts.groupBy("paper_id").agg(F.max("page").alias("pages")), low_text)
     chain = tables.written(chains(modal_gutter(candidates(kept, gutter), tolerance)), "chains")
-    found = tables.written(questions(kept, chain, low_pages), "questions")
-    totals = found.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("marks_total") > 0).alias("with_marks"), F.coalesce(F.sum("marks_total"), F.lit(0)).alias("total_marks"), F.sort_array(F.collect_set("q_number")).alias("numbers"))
-    papers = lines.select("paper_id").distinct().join(chain, "paper_id", "left").join(totals, "paper_id", "left")
-    papers = papers.select("paper_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_candidates", "n_gaps", "n", "with_marks", "total_marks")], F.coalesce("numbers", F.array().cast("array<int>")).alias("numbers"))
+    found = questions(kept, chain, low_pages)
+    # marks are read before the lines move, so that no text does
+    marks = segments(kept.select("paper_id", "line_index", _mark().alias("_mark")), chain).groupBy("paper_id", "q_number").agg(F.sum("_mark").cast("int").alias("marks_total"))
+    totals = marks.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("marks_total") > 0).alias("with_marks"), F.coalesce(F.sum("marks_total"), F.lit(0)).alias("total_marks"), F.sort_array(F.collect_set("q_number")).alias("numbers"))
+    papers = before.join(chain, "paper_id", "left").join(totals, "paper_id", "left")
+    papers = papers.select("paper_id", "_all", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_candidates", "n_gaps", "n", "with_marks", "total_marks")], F.coalesce("numbers", F.array().cast("array<int>")).alias("numbers"))
     c = score_columns(F.col("n"), F.col("n_candidates"), F.col("n_gaps"), F.col("with_marks"), F.col("total_marks"), expected_min, expected_max, paper_marks)
     none = F.col("n") == 0
     papers = papers.withColumns(c | {"confidence": F.when(none, 0.0).otherwise(c["confidence"])})
-    papers = papers.join(before, "paper_id").join(after, "paper_id", "left").withColumn("n_stripped", F.col("_all") - F.coalesce("_kept", F.lit(0))).drop("_all", "_kept")
+    papers = papers.where(F.col("paper_id").isNotNull()).join(after, "paper_id", "left").withColumn("n_stripped", F.col("_all") - F.coalesce("_kept", F.lit(0))).drop("_all", "_kept")
     empty = F.array().cast("array<int>")
     papers = papers.join(low_pages, "paper_id", "left").withColumn("low_pages", F.coalesce("low_pages", empty)) if low_pages is not None else papers.withColumn("low_pages", empty)
     notes = F.filter(F.array(

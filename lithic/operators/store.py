@@ -133,7 +133,11 @@ def extract_lines(files: DataFrame, extractor: Extractor) -> DataFrame:
 
 def low_text_pages(lines: DataFrame, pages: DataFrame, min_chars: int = 50) -> DataFrame:
     """(paper_id, low_pages) of papers (paper_id, pages): pages whose lines have fewer than min_chars characters."""
-    chars = lines.groupBy("paper_id", "page").agg(F.sum(F.length(F.trim("text"))).alias("n")).where(F.col("n") >= min_chars)
-    full = chars.groupBy("paper_id").agg(F.collect_set("page").alias("full"))
+    return low_pages(lines.groupBy("paper_id", "page").agg(F.sum(F.length(F.trim("text"))).alias("n")), pages, min_chars)
+
+
+def low_pages(chars: DataFrame, pages: DataFrame, min_chars: int = 50) -> DataFrame:
+    """`low_text_pages` where the characters (paper_id, page, n) are known."""
+    full = chars.where(F.col("n") >= min_chars).groupBy("paper_id").agg(F.collect_set("page").alias("full"))
     low = F.array_except(F.sequence(F.lit(1), "pages"), F.coalesce("full", F.array().cast("array<int>")))
     return pages.where("pages > 0").join(full, "paper_id", "left").select("paper_id", F.array_sort(low).alias("low_pages"))

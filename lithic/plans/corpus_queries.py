@@ -109,22 +109,15 @@ def _exam_lines(spark, sf_dir):
     )
 
 
-def _low_pages(lines):
-    pages = lines.groupBy("paper_id").agg(F.max("page").alias("pages"))
-    return store.low_text_pages(lines, pages, 300)
-
-
 def segment_questions(spark, sf_dir):
     """The questions of all papers, with their crop boxes."""
-    lines = _exam_lines(spark, sf_dir)
-    found, _ = segment.split_papers(lines, low_pages=_low_pages(lines))
+    found, _ = segment.split_papers(_exam_lines(spark, sf_dir), low_text=300)
     return found.select("paper_id", "q_number", F.array_join("part_labels", ",").alias("parts"), "page_start", "page_end", "y_top", "y_bottom", "marks_total", "text_sha256", "needs_ocr", "extract_confidence")
 
 
 def split_papers(spark, sf_dir):
     """One row a paper: signals, status and notes."""
-    lines = _exam_lines(spark, sf_dir)
-    _, papers = segment.split_papers(lines, low_pages=_low_pages(lines))
+    _, papers = segment.split_papers(_exam_lines(spark, sf_dir), low_text=300)
     return papers.select("paper_id", "n", "n_candidates", "n_gaps", "with_marks", "total_marks", "confidence", "parse_status", "n_stripped", F.array_join("low_pages", ",").alias("low_pages"), F.array_join("notes", "; ").alias("notes"))
 
 
