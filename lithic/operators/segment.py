@@ -167,12 +167,11 @@ def _mark() -> Column:
 
 def questions(lines: DataFrame, chain: DataFrame, low_pages: DataFrame | None = None) -> DataFrame:
     """One row a question: text, hash, marks, parts, pages and crop box. low_pages: (paper_id, low_pages array<int>) that need OCR."""
-    body = segments(lines, chain)
-    stripped = F.regexp_replace("text", r"^\s+|\s+$", "")
-    solid = (F.length(stripped) >= 3) & ~stripped.rlike(T.PAGE_NUMBER)
-    head = F.when(F.col("is_start") & (F.regexp_extract("text", T.NUMBERED, 2) != ""), F.regexp_extract("text", T.NUMBERED, 2)).otherwise(F.col("text"))
-    part = F.lower(F.nullif(F.regexp_extract(head, T.PART, 1), F.lit("")))
-    body = body.withColumn("_solid", solid).withColumn("_part", part).withColumn("_mark", _mark())
+    # what the patterns say of a line is found before the lines move, so that texts move only where they are asked for
+    stripped, body = F.regexp_replace("text", r"^\s+|\s+$", ""), F.regexp_extract("text", T.NUMBERED, 2)
+    part = lambda head: F.lower(F.nullif(F.regexp_extract(head, T.PART, 1), F.lit("")))
+    told = {"_solid": (F.length(stripped) >= 3) & ~stripped.rlike(T.PAGE_NUMBER), "_plain": part(F.col("text")), "_headed": part(F.when(body != "", body).otherwise(F.col("text"))), "_mark": _mark()}
+    body = segments(lines.withColumns(told), chain).withColumn("_part", F.when(F.col("is_start"), F.col("_headed")).otherwise(F.col("_plain")))
     line = F.struct("line_index", "text")
     q = body.groupBy("paper_id", "q_number").agg(
         F.min_by(F.struct("page", "top", "bottom"), "line_index").alias("first"),
