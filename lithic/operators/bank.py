@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PAPER_KEY = ("school_code", "year", "exam_type", "paper_no")
@@ -24,16 +24,23 @@ def first_related(left: DataFrame, right: DataFrame, key: tuple[str, ...]) -> Da
     return left.join(r, cond, "left").drop(*[f"_{k}" for k in key])
 
 
+def tag_text(items: Column) -> Column:
+    """`CODE:method` of an array of (topic_code, method), in code order, joined by |."""
+    return F.array_join(F.transform(F.array_sort(items), lambda x: F.concat(x["topic_code"], F.lit(":"), x["method"])), "|")
+
+
 def tag_lists(tags: DataFrame) -> DataFrame:
     """(question_id, tags): `CODE:method` in code order, joined by |."""
-    items = F.transform(F.array_sort(F.collect_list(F.struct("topic_code", "method"))), lambda x: F.concat(x["topic_code"], F.lit(":"), x["method"]))
-    return tags.groupBy("question_id").agg(F.array_join(items, "|").alias("tags"))
+    return tags.groupBy("question_id").agg(tag_text(F.collect_list(F.struct("topic_code", "method"))).alias("tags"))
 
 
-def bank_view(questions: DataFrame, papers: DataFrame, tags: DataFrame) -> DataFrame:
-    """Questions with their paper, its mark scheme and their tags; order it with `in_order` where order matters."""
-    q = questions.join(papers.where(F.col("doc_type").isin("qp", "combined")).withColumnRenamed("id", "paper_id"), "paper_id")
-    return first_related(q, mark_schemes(papers), PAPER_KEY).join(tag_lists(tags).withColumnRenamed("question_id", "id"), "id", "left")
+def bank_view(questions: DataFrame, papers: DataFrame, tags: DataFrame | None = None) -> DataFrame:
+    """Questions with their paper, its mark scheme and their tags; order it with `in_order` where order matters. Without tags, the questions bring that column themselves."""
+    # schemes go to the papers and tags to the bare questions, so that the wide rows move by the paper alone
+    shown = first_related(papers.where(F.col("doc_type").isin("qp", "combined")).withColumnRenamed("id", "paper_id"), mark_schemes(papers), PAPER_KEY)
+    q = questions if tags is None else questions.join(tag_lists(tags).withColumnRenamed("question_id", "id"), "id", "left")
+    own = [c for c in questions.columns if c not in ("id", "paper_id", "tags")]
+    return q.join(shown, "paper_id").select("id", "paper_id", *own, *[c for c in shown.columns if c != "paper_id"], "tags")
 
 
 def in_order(bank: DataFrame) -> DataFrame:
